@@ -39,3 +39,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagetally.llm.tokens import token_counts
 
     return token_counts(_documents(spark, sf_dir), _tokenizer(), limit=1024)
+
+
+#: Fixed by the query's contract: (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.urlfilter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op6_url_filter"] = """
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
+), rules(h, pre, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), m AS (
+  SELECT page_id, h || pre AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC) AS k
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
+)
+SELECT p.page_id, p.host, p.path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict
+FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
+"""
