@@ -66,3 +66,42 @@ WITH u AS (
 SELECT p.page_id, p.host, p.path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 """
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from pagetally.llm.licenses import BASE, FURTHER
+
+    rows = []
+    for n, (label, text, key) in enumerate(BASE + FURTHER):
+        words, phrase = text.split(" "), key.split(" ")
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        rows.append(f"({n < len(BASE)}, '{label}', {words}, {phrase}, {at})")
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t(base, label, tw, ph, place) AS (VALUES {", ".join(rows)}
+), hit AS (
+  SELECT doc_id, w, base, label, tw, place, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1] = ph[1] AND w[i + 1 : i + len(ph)] = ph)) AS p
+  FROM d, t WHERE list_has_all(w, ph)
+), scored AS (
+  SELECT doc_id, base, label, p, len(list_filter(range(0, len(tw)), lambda k: p - place + k >= 0 AND w[p - place + k + 1] = tw[k + 1])) / len(tw) AS share FROM hit
+), agg AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+         coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN agg USING (doc_id)
+"""
+
+
+ORACLES["op8_license_scan"] = _license_sql()
