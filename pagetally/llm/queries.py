@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagetally.llm.common import tune
 from pagetally.tables import table
@@ -105,3 +106,45 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 ORACLES["op8_license_scan"] = _license_sql()
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.factors import factor_duplicates
+
+    out = factor_duplicates(_documents(spark, sf_dir), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each span of words (from 0, stop exclusive) that repeats earlier text; other documents have none."""
+    from pagetally.llm.suffixes import suffix_duplicates
+
+    out = suffix_duplicates(_documents(spark, sf_dir), window=50)
+    span = F.explode("spans").alias("span")
+    return out.select("doc_id", "n_words", span).select("doc_id", F.col("span.start").alias("start_word"), F.col("span.stop").alias("stop_word"), F.col("n_words").alias("doc_words"))
+
+
+def _repeats_sql(window: int) -> str:
+    """c: (doc_id, word x) of all repeated words; d: documents and their words."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), p AS (SELECT doc_id, unnest(range(0, len(w) - {window - 1})) AS s, w FROM d WHERE len(w) >= {window}
+), h AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + {window}], ' ') AS k FROM p
+), r AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM h) WHERE n > 1
+), c AS (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS x FROM r)
+"""
+
+
+ORACLES["op5_substring_dedup"] = _repeats_sql(20) + """
+, g AS (SELECT doc_id, list(x) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_where(w, [NOT list_contains(coalesce(gone, []), i) FOR i IN range(0, len(w))]), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+ORACLES["op9_suffix_dedup"] = _repeats_sql(50) + """
+, i AS (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS island FROM c)
+SELECT doc_id, CAST(min(x) AS BIGINT) AS start_word, CAST(max(x) + 1 AS BIGINT) AS stop_word, CAST(any_value(len(w)) AS BIGINT) AS doc_words
+FROM i JOIN d USING (doc_id) GROUP BY doc_id, island
+"""

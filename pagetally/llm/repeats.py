@@ -1,0 +1,239 @@
+"""Repeated passages, found exactly: the engine of substring deduplication by reference factors
+(``factors``) and by sparse suffixes (``suffixes``).
+
+A passage is ``window`` consecutive words of one text. A word goes if a passage that covers it also
+starts earlier (smaller id, or same text and earlier start); passages are judged on the input.
+
+1. *Selection.* Of the ``block``-word fingerprints inside a passage the smallest is its anchor, so
+   equal passages have equal anchors at the same place. Only anchors, about 2 in
+   ``window - block + 2`` positions, are kept. Anchors that repeat inside a batch of texts are known
+   to repeat; of these one row goes on for the batch, so a passage that a third of all texts share
+   sends a row for each batch and not for each text. Whole texts are fingerprinted beside them: a
+   text that equals one with a smaller id goes completely and needs no further look.
+2. *Neighbours.* Anchors are shuffled and sorted by fingerprint; those with an equal neighbour go
+   back to their texts.
+3. *Extension.* Around each such anchor the passages it stands for are fingerprinted (128 bits) to
+   its left and right, again with one row for each batch; the earliest place of each is its
+   original, all others are repeats.
+4. *Removal.* Repeats of a text are merged to spans and cut.
+
+Texts are shuffled once, by id; both looks at them reuse that exchange.
+
+Defined results: null, empty and short texts (fewer words than ``window``) lose nothing; equal rows
+(same id and text) count as one text and each gets the same result; a row without id is returned as
+it is and is not compared; further columns are ignored; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pagetally.llm.common import Words, joined, mix, slices, tune
+
+GAP = 0x20
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, whether there is one)"""
+    there = np.asarray(column.is_valid())
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), there
+
+
+def _anchors(words: Words, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage starts, each one's anchor position, fingerprints of blocks from every position)"""
+    h, _ = words.windows(block)
+    starts = np.flatnonzero(words.fits(window))
+    width = window - block + 1
+    at = np.empty(len(starts), np.int64)
+    if len(starts):
+        view = np.lib.stride_tricks.sliding_window_view(h, width)
+        for a in range(0, len(starts), 1 << 18):
+            part = starts[a : a + (1 << 18)]
+            at[a : a + len(part)] = part + view[part].argmin(1)
+    return starts, at, h
+
+
+def _wholes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprint of each text's words."""
+    from pagetally.llm.common import _Q1, _Q2, powers
+
+    out = []
+    n = len(words.hash)
+    for base, h in ((_Q1, words.hash), (_Q2, mix(words.hash, 7))):
+        power, inverse = powers(base, n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * power[:n], out=total[1:])
+        out.append(mix((total[words.first[1:]] - total[words.first[:-1]]) * inverse[words.first[:-1]] + words.count.astype(np.uint64), 3))
+    return out[0], out[1] | np.uint64(1)
+
+
+def _select(window: int, block: int):
+    """kind 0: an anchor; 1: one that repeats in its batch; 2: a whole text; 3: one that repeats in its batch."""
+
+    def run(batches):
+        for batch in slices(batches):
+            ids, there = _ids(batch.column(0))
+            words = Words(*joined(batch.column(1), GAP))
+            long = there & (words.count >= window)
+            w1, w2 = _wholes(words)
+            order = np.lexsort((ids, w2, w1))
+            order = order[long[order]]
+            same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+            head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
+            copy = ids[order] > ids[order[head]]
+            first = np.r_[True, ~same] if len(order) else np.zeros(0, bool)
+            copies, heads = order[copy], order[first]
+            live = np.zeros(len(ids), bool)
+            live[heads] = True
+            starts, at, h = _anchors(words, window, block)
+            chosen = np.unique(at[live[words.doc[starts]]])
+            key, doc = h[chosen], ids[words.doc[chosen]]
+            # one row for each key of the batch, and one for each text that holds a repeated key
+            by = np.argsort(key, kind="stable")
+            key, doc = key[by], doc[by]
+            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+            size = np.diff(np.r_[np.flatnonzero(new), len(key)])
+            sure = np.repeat(size > 1, size)
+            k1, d1 = key[sure], doc[sure]
+            if len(k1):
+                pair = np.unique(np.stack([k1.view(np.int64), d1]), axis=1)
+                k1, d1 = pair[0].view(np.uint64), pair[1]
+            a = np.concatenate([key[new], k1, w1[heads], w1[copies]])
+            b = np.concatenate([np.zeros(int(new.sum()), np.uint64), d1.astype(np.uint64) * np.uint64(2) + np.uint64(2), w2[heads], mix(ids[copies].astype(np.uint64), 9)])
+            d = np.concatenate([doc[new], d1, ids[heads], ids[copies]])
+            kind = np.repeat(np.arange(4, dtype=np.int8), [int(new.sum()), len(k1), len(heads), len(copies)])
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d), pa.array(kind)], names=["a", "b", "id", "kind"])
+
+    return run
+
+
+def _extend(window: int, block: int):
+    """Passages around repeated anchors. n = 0: the first of its kind in the batch; otherwise n passages from ``at`` on that repeat for sure; at = -1: the whole text repeats."""
+
+    def run(batches):
+        for batch in slices(batches):
+            held = batch.column(2)
+            take = np.asarray(held.is_valid())
+            if not take.any():
+                continue
+            whole = np.asarray(batch.column(3).fill_null(False).to_numpy(zero_copy_only=False), bool)
+            ids, _ = _ids(batch.column(0))
+            rows = np.flatnonzero(take & ~whole)
+            a, b, d, p, n = [], [], [], [], []
+            if len(rows):
+                some = batch.take(pa.array(rows))
+                own = ids[rows]
+                words = Words(*joined(some.column(1), GAP))
+                known = np.unique(some.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+                known.sort()
+                starts, at, h = _anchors(words, window, block)
+                key = h[at]
+                hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+                starts = starts[hit]
+                h1, h2 = words.windows(window, double=True)
+                place = words.place()
+                rank = np.argsort(own[words.doc[starts]], kind="stable")
+                starts = starts[rank]  # by id and place
+                f1, f2 = h1[starts], h2[starts]
+                by = np.argsort(f1, kind="stable")
+                starts, f1, f2 = starts[by], f1[by], f2[by]
+                s_id, s_at = own[words.doc[starts]], place[starts]
+                new = np.r_[True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])] if len(starts) else np.zeros(0, bool)
+                head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+                later = (s_id > s_id[head]) | (s_id == s_id[head]) & (s_at > s_at[head])
+                a.append(f1[new].view(np.int64)), b.append(f2[new].view(np.int64)), d.append(s_id[new]), p.append(s_at[new]), n.append(np.zeros(int(new.sum()), np.int64))
+                again = np.sort(starts[later])
+                if len(again):
+                    cut = np.flatnonzero(np.r_[True, (again[1:] != again[:-1] + 1) | (words.doc[again[1:]] != words.doc[again[:-1]])])
+                    run_at = again[cut]
+                    run_id, run_place = own[words.doc[run_at]], place[run_at]
+                    a.append(mix(run_id.astype(np.uint64), 1).view(np.int64)), b.append(run_place), d.append(run_id), p.append(run_place), n.append(np.diff(np.r_[cut, len(again)]))
+            gone = ids[whole]
+            a.append(mix(gone.astype(np.uint64), 2).view(np.int64)), b.append(gone), d.append(gone), p.append(np.full(len(gone), -1)), n.append(np.ones(len(gone), np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, d)] + [pa.array(np.concatenate(x).astype(np.int32)) for x in (p, n)], names=["a", "b", "id", "at", "n"])
+
+    return run
+
+
+def _remove(window: int, keep_layout: bool, extra: int):
+    def run(batches):
+        for batch in slices(batches):
+            data, ends = joined(batch.column(1), GAP)
+            words = Words(data, ends)
+            cover = np.zeros(len(words.hash) + 1, np.int64)
+            held = batch.column(2)
+            if len(held) > held.null_count:
+                parent = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+                flat = held.values.slice(held.offsets[0].as_py(), held.offsets[-1].as_py() - held.offsets[0].as_py())
+                at = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
+                n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                begin = words.first[parent] + np.maximum(at, 0)
+                stop = np.where(at < 0, words.first[parent + 1], np.minimum(begin + np.maximum(n, 1) + window - 1, words.first[parent + 1]))
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, stop, -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            doc = words.doc
+            removed = np.bincount(doc[gone], minlength=batch.num_rows)
+            # spans of removed words
+            edge = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (doc[1:] != doc[:-1])]) if len(gone) else np.zeros(0, np.int64)
+            stop = np.flatnonzero(gone & np.r_[~gone[1:] | (doc[1:] != doc[:-1]), True]) + 1 if len(gone) else np.zeros(0, np.int64)
+            spans = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(np.bincount(doc[edge], minlength=batch.num_rows))].astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(edge - words.first[doc[edge]]), pa.array(stop - words.first[doc[edge]])], names=["start", "stop"]),
+            )
+            out = data.copy()
+            mask = np.zeros(len(data) + 1, np.int8)
+            if keep_layout:  # the text without its removed spans, up to the next kept word
+                begins = np.r_[0, ends[:-1] + 1]
+                mask[begins] += 1
+                mask[ends] -= 1
+                upto = np.where(stop < words.first[doc[edge] + 1], words.start[np.minimum(stop, len(words.start) - 1)], ends[doc[edge]]) if len(edge) else edge
+                np.add.at(mask, words.start[edge], -1)
+                np.add.at(mask, upto, 1)
+            else:  # kept words with a blank after each
+                kept = ~gone
+                mask[words.start[kept]] += 1
+                mask[words.end[kept] + 1] -= 1
+                out[words.end] = GAP
+            on = np.cumsum(mask[:-1].astype(np.int64)) > 0
+            total = np.r_[0, np.cumsum(on)]
+            lo, hi = total[np.r_[0, ends[:-1] + 1]], total[ends + 1]
+            text = out[on]
+            if keep_layout:
+                kept_text = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(np.append(lo, hi[-1]).astype(np.int32)), pa.py_buffer(text)])
+                if batch.column(1).null_count:
+                    kept_text = pa.array([k if v else None for k, v in zip(kept_text.to_pylist(), np.asarray(batch.column(1).is_valid()), strict=True)], pa.string())
+            else:
+                raw = text.tobytes()
+                kept_text = pa.array([raw[x : max(x, y - 1)].decode() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.string())
+            more = [batch.column(3 + k) for k in range(extra)]
+            yield pa.record_batch([batch.column(0), pa.array(words.count), pa.array(removed), spans, kept_text, *more], names=["id", "n_words", "n_removed", "spans", "kept"] + [f"x{k}" for k in range(extra)])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, window: int, block: int, id_col: str = "doc_id", text_col: str = "text", keep_layout: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(id_col, n_words, n_removed, spans of removed words, kept text[, carried columns])."""
+    tune(docs.sparkSession)
+    carry = carry or []
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(carry)])
+    selected = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_select(window, block), "a bigint, b bigint, id bigint, kind tinyint")
+    run = Window.partitionBy("a", "b")
+    seen = selected.select("*", F.count(F.lit(1)).over(run).alias("same"), F.min("id").over(run).alias("least"))
+    anchors = F.when((F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("same") > 1), F.col("a"))
+    whole = (F.col("kind") == 3) | (F.col("kind") == 2) & (F.col("least") < F.col("id"))
+    marked = seen.where(anchors.isNotNull() | whole).groupBy("id").agg(F.collect_list(anchors).alias("anchors"), F.max(whole).alias("whole"))
+    passages = base.join(marked, "id", "left").select("id", "text", "anchors", "whole").mapInArrow(_extend(window, block), "a bigint, b bigint, id bigint, at int, n int")
+    place = F.struct("id", "at")
+    repeats = passages.select("id", "at", "n", F.min(place).over(run).alias("first")).where((F.col("n") > 0) | (F.col("first") < place))
+    spans = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    more = [f"x{k}" for k in range(len(carry))]
+    schema = "id bigint, n_words bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept string" + "".join(f", x{k} {types[c]}" for k, c in enumerate(carry))
+    out = base.join(spans, "id", "left").select("id", "text", "found", *more).mapInArrow(_remove(window, keep_layout, len(carry)), schema)
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "spans", "kept", *[F.col(f"x{k}").alias(c) for k, c in enumerate(carry)])
