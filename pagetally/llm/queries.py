@@ -148,3 +148,27 @@ ORACLES["op9_suffix_dedup"] = _repeats_sql(50) + """
 SELECT doc_id, CAST(min(x) AS BIGINT) AS start_word, CAST(max(x) + 1 AS BIGINT) AS stop_word, CAST(any_value(len(w)) AS BIGINT) AS doc_words
 FROM i JOIN d USING (doc_id) GROUP BY doc_id, island
 """
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.setsketch import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+
+
+ORACLES["op10_near_dedup"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) AS g FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT u, v FROM l JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id
+), c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
