@@ -172,3 +172,26 @@ WITH RECURSIVE d AS (
 ), c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.quantised import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+ORACLES["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS (
+  SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0
+), e AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT e.w, r.c FROM r JOIN e ON e.u = r.vec_id
+), c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id
+), n AS (SELECT u AS vec_id, count(*) AS n FROM e GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
