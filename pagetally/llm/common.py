@@ -14,6 +14,8 @@ BLOB = 4 << 20  # bytes of text that are worked on at once; a longer text is wor
 #: ASCII white space between words: 0x20 and 0x09-0x0D.
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character but letters and digits.
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -116,11 +118,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class Words:
     """The words of a blob (texts with a gap byte after each): byte ranges, fingerprints, documents."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, lower: bool = False, gaps: np.ndarray = IS_GAP):
         if lower:
             data = LOWER[data]
         self.data = data
-        gap = IS_GAP[data]
+        gap = gaps[data]
         before = np.empty_like(gap)
         before[:1] = True
         before[1:] = gap[:-1]

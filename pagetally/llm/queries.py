@@ -195,3 +195,11 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it copies; clean documents have none."""
+    from pagetally.llm.decontam import contaminated
+
+    return contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), n=3, identity=0.8)
