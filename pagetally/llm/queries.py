@@ -203,3 +203,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagetally.llm.decontam import contaminated
 
     return contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), n=3, identity=0.8)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), sample=4000, threshold=0.3)
