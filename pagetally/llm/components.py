@@ -32,7 +32,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     now = links.select("u", "v")
     for _ in range(rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(checkpointed(_large_star(now))))
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -8,12 +8,15 @@ probability close to the Jaccard similarity for b near 1.
 1. Texts with equal sets form a class, represented by its smallest id.
 2. Registers are banded; the classes of a bucket are proposed to its smallest member, so a bucket
    gives as many candidates as it has members, never all pairs.
-3. Candidates are estimated jointly by likelihood from the numbers of larger, smaller and equal
-   registers; those not far below the threshold are verified on their full sets.
-4. Classes connected by proposals form a neighbourhood. Where the verified links leave it in several
-   components, every member outside the largest is compared with every member in blocks of bounded
-   size, which adds the links that the smallest members did not show.
-5. Connected components over all links.
+3. Classes connected by proposals form an area. The sets of an area of at most ``block`` elements
+   come together in one task, which compares a member with those not yet connected to it.
+4. In a larger area each proposal is verified where it stands. Where these links leave the area in
+   several components, every member outside the largest is compared with every member in blocks of
+   bounded size, which adds the links that the smallest members did not show; connected components
+   over all links follow.
+
+A comparison estimates the similarity jointly by likelihood from the numbers of larger, smaller and
+equal registers; what is not far below the threshold is verified on the full sets.
 
 With 32 bands of 4 registers a pair at 0.8 shares no bucket with probability 5e-8.
 
@@ -133,12 +136,13 @@ def _sketch(k: int, bands: int, rows: int):
 def _sets(k: int, m: int):
     def run(batches):
         for batch in slices(batches):
+            area = batch.column(2)
             value, size = shingle_sets(batch.column(1), k)
             reg = registers(value, size, m)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(value.view(np.int64)))
             some = np.cumsum(size > 0) - 1
             sketch = pa.array([reg[i].tobytes() if n else b"" for i, n in zip(some.tolist(), size.tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), sketch, lists], names=["id", "n", "sketch", "elements"])
+            yield pa.record_batch([batch.column(0), area, pa.array(size.astype(np.int64)), sketch, lists], names=["id", "area", "n", "sketch", "elements"])
 
     return run
 
@@ -169,6 +173,40 @@ def _verify(percent: int, m: int, slack: float):
     return run
 
 
+def _resolve(percent: int, m: int, slack: float):
+    """An area's components: a link from each member to the smallest id of its component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("id")
+        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
+        elements = group["elements"].combine_chunks()
+        value, off = _flat(elements if isinstance(elements, pa.ListArray) else elements.chunk(0))
+        reg = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, m)
+        _, code = np.unique(value, return_inverse=True)
+        mark = np.zeros(int(code.max()) + 1, np.int64)
+        part = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            rest = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+            rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
+            if len(rest):
+                mine = np.broadcast_to(reg[i], (len(rest), m))
+                rest = rest[joint_similarity(mine, reg[rest], np.full(len(rest), n[i], float), n[rest].astype(float)) >= percent / 100 - slack]
+            if not len(rest):
+                continue
+            mark[code[off[i] : off[i + 1]]] = 1
+            take = np.repeat(off[rest] - (np.cumsum(n[rest]) - n[rest]), n[rest]) + np.arange(n[rest].sum())
+            both = np.add.reduceat(mark[code[take]], np.cumsum(n[rest]) - n[rest])
+            mark[code[off[i] : off[i + 1]]] = 0
+            hit = rest[100 * both >= percent * (n[i] + n[rest] - both)]
+            if len(hit):
+                joined_parts = np.unique(np.r_[part[i], part[hit]])
+                part[np.isin(part, joined_parts)] = joined_parts[0]
+        moved = np.flatnonzero(part != np.arange(len(ids)))
+        return pa.table({"u": ids[moved], "v": ids[part[moved]]})
+
+    return run
+
+
 def _compare(percent: int):
     """Members outside the largest component against all members of a block."""
 
@@ -202,6 +240,25 @@ def _compare(percent: int):
     return run
 
 
+def _large_areas(proposed: DataFrame, sets: DataFrame, percent: int, m: int, block: int) -> DataFrame:
+    """(id, component) for areas that no single task should hold."""
+    a, b = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sketch", "elements")]) for s in "uv")
+    pairs = proposed.join(b, F.col("v") == F.col("id_v")).join(a, F.col("u") == F.col("id_u")).select("u", "v", "n_u", "sketch_u", "elements_u", "n_v", "sketch_v", "elements_v")
+    links = checkpointed(pairs.mapInArrow(_verify(percent, m, 0.25), "u bigint, v bigint"))
+    linked = connected_components(links)
+    places = checkpointed(sets.select("id", "n", "area").join(linked, "id", "left").select("id", "n", "area", F.coalesce("component", "id").alias("component")))
+    by_part = places.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    area = by_part.groupBy("area").agg(F.max(F.struct("k", "component", "n")).alias("top"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    area = area.select("area", F.col("top.component").alias("main"), F.ceil(F.col("all_n") / block).cast("int").alias("mb"), F.ceil((F.col("all_n") - F.col("top.n")) / block).cast("int").alias("ob"))
+    split = places.join(area, "area").join(sets.select("id", "elements"), "id")
+    spread = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    member = split.select("area", part("mb", 1).alias("m"), F.explode(spread("ob")).alias("o"), "id", "component", F.lit(False).alias("odd"), "elements")
+    odd = split.where("component <> main").select("area", F.explode(spread("mb")).alias("m"), part("ob", 2).alias("o"), "id", "component", F.lit(True).alias("odd"), "elements")
+    further = member.union(odd).groupBy("area", "m", "o").applyInArrow(_compare(percent), "u bigint, v bigint")
+    return connected_components(checkpointed(links.union(further)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row."""
     tune(docs.sparkSession)
@@ -213,25 +270,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets = keys.groupBy("key").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "least")
     proposed = checkpointed(keys.join(buckets, "key").where("class <> least").select(F.col("least").alias("u"), F.col("class").alias("v")).distinct())
     concerned = proposed.select(F.col("u").alias("id")).union(proposed.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(concerned, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle, bands * rows), "id bigint, n bigint, sketch binary, elements array<bigint>")
+    areas = concerned.join(connected_components(proposed), "id", "left").select("id", F.coalesce("component", "id").alias("area"))
+    sets = texts.join(areas, "id").dropDuplicates(["id"]).select("id", "text", "area").mapInArrow(_sets(shingle, bands * rows), "id bigint, area bigint, n bigint, sketch binary, elements array<bigint>")
     sets = checkpointed(sets)
-    a, b = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in "uv")
-    pairs = proposed.join(b, F.col("v") == F.col("id_v")).join(a, F.col("u") == F.col("id_u")).select("u", "v", "n_u", "sketch_u", "elements_u", "n_v", "sketch_v", "elements_v")
-    links = checkpointed(pairs.mapInArrow(_verify(percent, bands * rows, 0.25), "u bigint, v bigint"))
-    around = connected_components(proposed).withColumnRenamed("component", "area")
-    linked = connected_components(links)
-    places = sets.select("id", "n").join(around, "id", "left").join(linked, "id", "left").select("id", "n", F.coalesce("area", "id").alias("area"), F.coalesce("component", "id").alias("component"))
-    by_part = places.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    area = by_part.groupBy("area").agg(F.max(F.struct("k", "component")).getField("component").alias("main"), F.max(F.struct("k", "n")).getField("n").alias("main_n"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    area = area.select("area", "main", F.ceil(F.col("all_n") / block).cast("int").alias("mb"), F.ceil((F.col("all_n") - F.col("main_n")) / block).cast("int").alias("ob"))
-    split = places.join(area, "area").join(sets.select("id", "elements"), "id")
-    spread = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
-    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
-    member = split.select("area", part("mb", 1).alias("m"), F.explode(spread("ob")).alias("o"), "id", "component", F.lit(False).alias("odd"), "elements")
-    odd = split.where("component <> main").select("area", F.explode(spread("mb")).alias("m"), part("ob", 2).alias("o"), "id", "component", F.lit(True).alias("odd"), "elements")
-    further = member.union(odd).groupBy("area", "m", "o").applyInArrow(_compare(percent), "u bigint, v bigint")
-    found = connected_components(links.union(further))
+    size = sets.groupBy("area").agg(F.sum("n").alias("all_n"))
+    small = sets.join(size.where(F.col("all_n") <= block).select("area"), "area")
+    found = small.groupBy("area").applyInArrow(_resolve(percent, bands * rows, 0.25), "u bigint, v bigint").select(F.col("u").alias("class"), F.col("v").alias("component"))
+    large = size.where(F.col("all_n") > block).select("area")
+    if not large.isEmpty():
+        found = found.union(_large_areas(proposed, sets.join(large, "area"), percent, bands * rows, block).select(F.col("id").alias("class"), "component"))
     named = sketches.join(classes.select("f1", "f2", "class"), ["f1", "f2"], "left").select(F.col("id"), "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    out = named.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
+    out = named.join(found, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
