@@ -164,7 +164,8 @@ def year_headers(cols: Column, rows: Column, two_years: Column, dual: Column) ->
     values = F.greatest(width - 2, F.lit(0))
     y = F.transform(two_years, lambda v: v.cast("string"))
     plain = F.transform(F.sequence(F.lit(0), F.greatest(values - 1, F.lit(0))), lambda k: F.get(y, k % 2))
-    four = F.flatten(F.array(*[F.transform(y, lambda v, c=c: F.concat(v, F.lit(" " + c))) for c in (RIYAL, DOLLAR)]))
+    in_currency = lambda name: F.transform(y, lambda v: F.concat(v, F.lit(" " + name)))
+    four = F.concat(in_currency(RIYAL), in_currency(DOLLAR))
     heads = F.when(dual & (values >= 4), F.slice(four, 1, F.least(values, F.lit(4)))).otherwise(F.slice(plain, 1, values))
     made = F.concat(F.array(F.lit(ITEM), F.lit(NOTE)), heads, F.array_repeat(F.lit(""), values - F.size(heads)))
     missing = cols.isNull() | (F.size(cols) == 0) | blank_header(cols)
