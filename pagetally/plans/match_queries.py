@@ -99,14 +99,14 @@ NET = "s AS (SELECT l_orderkey AS stmt, sum(l_extendedprice * (1 - l_discount) *
 
 
 @query(
-    f"""WITH {NET} SELECT stmt, 'total' AS total, 'v' AS col, o_totalprice AS printed, round(summed, 3) AS summed, components, abs(o_totalprice - summed) <= 1 AS reconciles,
+    f"""WITH {NET} SELECT stmt, 'total' AS total, 'v' AS col, o_totalprice AS printed, round(summed, 6) AS summed, components, abs(o_totalprice - summed) <= 1 AS reconciles,
     CASE WHEN abs(o_totalprice - summed) <= 1 THEN CASE WHEN o_totalprice = summed THEN 'reconciles' ELSE 'rounding gap' END WHEN abs(o_totalprice + summed) <= 1 THEN 'sign flipped'
     WHEN starts_with(printf('%.0f', abs(summed)), printf('%.0f', abs(o_totalprice))) AND length(printf('%.0f', abs(o_totalprice))) < length(printf('%.0f', abs(summed))) THEN 'digits dropped' ELSE 'unexplained' END AS diagnosis
     FROM orders JOIN s ON stmt = o_orderkey"""
 )
 def d08_g06_g07_reconcile(spark, sf):
     cells, links = _statement(spark, sf)
-    return reconcile.diagnose(reconcile.reconcile(cells, links, ["stmt"])).withColumn("summed", F.round("summed", 3))
+    return reconcile.diagnose(reconcile.reconcile(cells, links, ["stmt"])).withColumn("summed", F.round("summed", 6))
 
 
 @query(
