@@ -68,12 +68,8 @@ def best_window(a: str, b: str) -> float:
     if short in long:
         return 100.0
     n, best = len(short), 0.0
-    letters = set(short)
     for at in range(1 - n, len(long)):
-        window = long[max(0, at) : at + n]
-        edge = window[-1] if at <= 0 else window[0] if at + n > len(long) else window[-1]
-        if edge in letters or window[0] in letters:
-            best = max(best, similarity(short, window))
+        best = max(best, similarity(short, long[max(0, at) : at + n]))
     return best
 
 

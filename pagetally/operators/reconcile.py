@@ -91,7 +91,7 @@ def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: f
         checked = {t: [(x, s) for x, s in parts if x in values] for t, parts in sums.items() if t in values}
         checked = {t: parts for t, parts in checked.items() if parts}
         fails = lambda v: [t for t, parts in checked.items() if abs(v[t] - sum(s * v[x] for x, s in parts)) > tolerance]
-        empty = pd.DataFrame({**{k: group[k].iloc[:0] for k in need}, "row_id": [], "old": [], "new": []})
+        empty = pd.DataFrame({k: pd.Series([], dtype=object) for k in [*need, "row_id", "old", "new"]})
         broken = fails(values)
         if len(broken) != 1:
             return empty
@@ -106,6 +106,7 @@ def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: f
                     found.append((name, old, new))
         if len(found) != 1:
             return empty
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in need}, "row_id": [found[0][0]], "old": [found[0][1]], "new": [found[0][2]]})
+        row = [*(group[k].iloc[0] for k in need), *found[0]]
+        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in zip([*need, "row_id", "old", "new"], row, strict=True)})
 
     return left.union(right).groupBy(*need).applyInPandas(one, schema)
