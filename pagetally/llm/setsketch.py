@@ -92,15 +92,15 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def joint_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity from registers (rows, m) and set sizes."""
+def joint_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, points: int = 101) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity from registers (rows, m) and set sizes, on a grid of points."""
     more, less = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - more - less
     u, v = na / (na + nb), nb / (na + nb)
     top = np.minimum(u / v, v / u)
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
     best, at = np.full(len(u), -np.inf), np.zeros(len(u))
-    for share in np.linspace(0, 1, 101):
+    for share in np.linspace(0, 1, points):
         j = share * top
         pm, pl = np.clip(p(u - v * j), 1e-12, 1), np.clip(p(v - u * j), 1e-12, 1)
         like = more * np.log(pm) + less * np.log(pl) + same * np.log(np.clip(1 - pm - pl, 1e-12, 1))
@@ -190,7 +190,7 @@ def _resolve(percent: int, m: int, slack: float):
             rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
             if len(rest):
                 mine = np.broadcast_to(reg[i], (len(rest), m))
-                rest = rest[joint_similarity(mine, reg[rest], np.full(len(rest), n[i], float), n[rest].astype(float)) >= percent / 100 - slack]
+                rest = rest[joint_similarity(mine, reg[rest], np.full(len(rest), n[i], float), n[rest].astype(float), points=21) >= percent / 100 - slack]
             if not len(rest):
                 continue
             mark[code[off[i] : off[i + 1]]] = 1
