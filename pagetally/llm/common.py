@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BLOB = 4 << 20  # bytes of text that are worked on at once; a longer text is worked on alone
+BLOB = 2 << 20  # bytes of text that are worked on at once; a longer text is worked on alone
 
 #: ASCII white space between words: 0x20 and 0x09-0x0D.
 IS_GAP = np.zeros(256, bool)
@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def tune(spark: SparkSession, rows: int = 2000) -> None:
+def tune(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of so many rows at most: texts can be long."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:

@@ -107,7 +107,7 @@ def packed_classes(path: str) -> bytes:
 class Tokenizer:
     """The compiled machines. Its size is bounded by the vocabulary and the cache limit."""
 
-    CACHE = 400_000  # transitions kept; beyond it the word machine starts anew
+    CACHE = 200_000  # transitions kept; beyond it the word machine starts anew
 
     def __init__(self, path: str, classes: bytes | None = None):
         spec = json.loads(open(path, encoding="utf-8").read())
