@@ -172,3 +172,37 @@ def year_headers(cols: Column, rows: Column, two_years: Column, dual: Column) ->
     ready = missing & (width >= 3) & (F.size(two_years) >= 2)
     kept = F.filter(rows, lambda r: F.size(row_years(r)) == 0)
     return F.struct(F.when(ready, made).when(~missing, cols).alias("cols"), F.when(ready, kept).otherwise(rows).alias("rows"))
+
+
+def count_relations(table: list[list[float | None]], tolerance: float = 1.0, longest: int = 12) -> int:
+    """Cells that are the sum of two or more cells directly above them in their column. The rule is this
+    library's own: a page that was read well shows more of its totals. Work is bounded by ``longest``."""
+    width = max(map(len, table), default=0)
+    found = 0
+    for c in range(width):
+        column = [row[c] if c < len(row) else None for row in table]
+        for r, total in enumerate(column):
+            if total is None or abs(total) < 1000:
+                continue
+            run, n = 0.0, 0
+            for above in reversed(column[max(0, r - longest) : r]):
+                if above is None:
+                    continue
+                run, n = run + above, n + 1
+                if n >= 2 and abs(run - total) <= tolerance:
+                    found += 1
+                    break
+    return found
+
+
+@F.pandas_udf(T.LongType())
+def relations(values: pd.Series) -> pd.Series:
+    """Relations of all of a page's tables, given as arrays of rows of values."""
+    clean = lambda v: None if v is None or v != v else float(v)
+    return values.map(lambda ts: 0 if ts is None else sum(count_relations([[clean(v) for v in row] for row in t]) for t in ts))
+
+
+def grid_values(grids: Column) -> Column:
+    """Tables of cells as tables of figures; NaN where a cell has none."""
+    value = lambda c: F.coalesce(cell_value(c), F.lit(float("nan")))
+    return F.transform(grids, lambda t: F.transform(t, lambda r: F.transform(r, value)))

@@ -310,6 +310,18 @@ def g02_table_cells(spark, sf):
     return t.select("l_orderkey", "row_no", F.posexplode("row").alias("col_no", "cell"))
 
 
+@query()
+def g09_relations(spark, sf):
+    values = grids.grid_values(grids.tables(F.col("html")))
+    return _html_pages(spark, sf).select("l_orderkey", grids.relations(values).alias("relations"))
+
+
+@query()
+def g10_one_digit_repair(spark, sf):
+    cells, links = _statement(spark, sf)
+    return reconcile.repair(cells.withColumn("value", F.round("value")), links, ["stmt"])
+
+
 @query()
 def g03_g04_structure_flags(spark, sf):
     flags = grids.structure_flags(F.col("text"), grids.tables(F.col("text")))

@@ -10,7 +10,7 @@ from pagetally.sources import pages
 from pagetally.tables import table
 
 
-@query("SELECT name, rows, figs, minutes FROM (SELECT event_type AS name, CAST(event_id % 175 AS INTEGER) AS rows, CAST(event_id % 371 AS INTEGER) AS figs, 1.5 AS minutes, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+@query("SELECT name, rows, figs, minutes FROM (SELECT event_type AS name, CAST(event_id % 175 AS INTEGER) AS rows, CAST(event_id % 371 AS INTEGER) AS figs, CAST(1.5 AS DOUBLE) AS minutes, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def a10_log_results(spark, sf):
     e = table(spark, sf, "events")
     line = F.format_string("%s rows %d/175 figs %d/371 (1.5 min)", "event_type", F.col("event_id") % 175, F.col("event_id") % 371)
@@ -51,7 +51,7 @@ def c01_c08_predicates(spark, sf):
     )
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS lines, length(text) > 0 AS complete FROM documents")
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS INTEGER) AS lines, length(text) > 0 AS complete FROM documents")
 def c03_c10_lines_and_completeness(spark, sf):
     from pagetally.functions.text import lines_of
 
@@ -208,9 +208,9 @@ def k01_k02_stratified_draw(spark, sf):
     return spark.createDataFrame(statistics.stratified_draw(f, ["0", "1", "2"], 20261001, exclude=["nobody"]), "stratum string, filing_id string")
 
 
-@query("SELECT p_partkey, 1 - pow(0.05, 1.0 / p_size) AS upper FROM part")
+@query("SELECT p_partkey, round(1 - pow(0.05, 1.0 / p_size), 9) AS upper FROM part")
 def k03_zero_error_bound(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", statistics.zero_error_bound(F.col("p_size")).alias("upper"))
+    return table(spark, sf, "part").select("p_partkey", F.round(statistics.zero_error_bound(F.col("p_size")), 9).alias("upper"))
 
 
 @query(
@@ -244,7 +244,7 @@ def l01_l04_cost(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cost.per_thousand(q * 1.5, q).alias("thousand"), cost.monthly_capacity(q).alias("capacity"), cost.in_series(q, q + 10).alias("both_engines"), cost.batch_price(F.lit(4.5), q, F.lit(1000)).alias("batch"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS configuration, CASE WHEN 2190000 <= p_size * 100000 THEN 2190000.0 END AS s1, CASE WHEN 821250 <= p_size * 100000 THEN 821250.0 END AS s2 FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS configuration, CASE WHEN 2190000 <= p_size * 100000 THEN CAST(2190000 AS DOUBLE) END AS s1, CASE WHEN 821250 <= p_size * 100000 THEN CAST(821250 AS DOUBLE) END AS s2 FROM part")
 def l05_break_even(spark, sf):
     c = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("configuration"), (F.col("p_size") * 100000).alias("capacity"))
     prices = spark.createDataFrame([("s1", 1.5), ("s2", 4.0)], "service string, price double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetally.operators import confidence, cost, facts, layout, matching, multiset, reconcile, selection, trees
 from pagetally.operators import statistics as own
-from pagetally.operators.tables import parse_tables, structure_flags, tables, year_headers
+from pagetally.operators.tables import count_relations, grid_values, parse_tables, relations, structure_flags, tables, year_headers
 
 
 def frame(spark, rows, schema):
@@ -100,6 +100,13 @@ def test_tables_html_and_bars():
     assert parse_tables("plain") == []
 
 
+def test_relations(spark):
+    assert count_relations([[None, 1000.0], [5.0, 2000.0], [None, 3000.5], [1.0]]) == 1
+    assert count_relations([[1.0, 3000.0], [2.0, 3000.0]]) == 0
+    page = "| a | 1,000 |\n| b | 2,000 |\n| total | 3,000 |\n\n| c | 5 |"
+    assert frame(spark, [(page,), (None,)], "t string").select(relations(grid_values(tables(F.col("t")))).alias("n")).collect() == [(1,), (0,)]
+
+
 def test_structure_flags(spark):
     lost = "2023 2024\n" + "\n".join(f"| r{i} | {1000 + i} | |" for i in range(6))
     fine = "2023 2024\n" + "\n".join(f"| r{i} | {1000 + i} | {2000 + i} |" for i in range(6))
