@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
@@ -196,13 +197,17 @@ def count_relations(table: list[list[float | None]], tolerance: float = 1.0, lon
 
 
 @F.pandas_udf(T.LongType())
-def relations(values: pd.Series) -> pd.Series:
-    """Relations of all of a page's tables, given as arrays of rows of values."""
-    clean = lambda v: None if v is None or v != v else float(v)
-    return values.map(lambda ts: 0 if ts is None else sum(count_relations([[clean(v) for v in row] for row in t]) for t in ts))
+def _relations(values: pd.Series) -> pd.Series:
+    clean = lambda v: v if isinstance(v, int | float) else None
+    return values.map(lambda ts: 0 if ts is None else sum(count_relations([[clean(v) for v in row] for row in t]) for t in json.loads(ts)))
+
+
+def relations(values: Column) -> Column:
+    """Relations of all of a page's tables, given as arrays of rows of values. They go over as JSON: Arrow's
+    conversion of arrays nested three deep to pandas is not reliable for empty ones."""
+    return _relations(F.to_json(values))
 
 
 def grid_values(grids: Column) -> Column:
-    """Tables of cells as tables of figures; NaN where a cell has none."""
-    value = lambda c: F.coalesce(cell_value(c), F.lit(float("nan")))
-    return F.transform(grids, lambda t: F.transform(t, lambda r: F.transform(r, value)))
+    """Tables of cells as tables of figures; null where a cell has none."""
+    return F.transform(grids, lambda t: F.transform(t, lambda r: F.transform(r, cell_value)))
