@@ -124,3 +124,17 @@ def test_pipeline_stages(spark, tmp_path):
     items = [re.sub(r"\W+", " ", r.text).lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     last = spark.read.parquet(str(tmp_path / "benchmark_decontamination")).collect()
     assert not any(i in re.sub(r"\W+", " ", r.text).lower() for r in last for i in items)
+
+
+@pytest.mark.parametrize("with_rows", [True, False])
+def test_stages_take_awkward_documents(spark, tmp_path, with_rows):
+    import corpus_pipeline as pipeline
+
+    docs = awkward(spark, with_rows)
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    near = spark.read.parquet(str(tmp_path / "minhash_near_dedup"))
+    kept = [r.doc_id for r in near.collect()]
+    assert sorted(k for k in kept if k is not None) == ([1, 2, 3, 4, 6, 7, 7, 9, 10] if with_rows else []) and kept.count(None) == 2 * with_rows
+    assert (docs.count() > 0) == with_rows
