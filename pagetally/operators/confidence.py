@@ -21,10 +21,9 @@ def tier(p: Column, anchored: Column, suspect: Column, agreed: Column) -> Column
 def sweep(records: DataFrame, thresholds: Sequence[float] = (0.99, 0.95, 0.90, 0.80)) -> DataFrame:
     """(threshold, flagged_correct, flagged_wrong): share of correct and number of wrong values below it, among
     values with a probability; null without correct ones."""
-    spark = records.sparkSession
-    at = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
     below = floor_probability(F.col("p_min")) < F.col("threshold")
-    known = records.where("p_min IS NOT NULL").crossJoin(at)
+    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    known = records.where("p_min IS NOT NULL").select("p_min", "correct", at)
     share = F.count_if(below & F.col("correct")) / F.nullif(F.count_if("correct"), F.lit(0))
     return known.groupBy("threshold").agg(share.alias("flagged_correct"), F.count_if(below & ~F.col("correct")).alias("flagged_wrong"))
 

@@ -32,9 +32,9 @@ def batch_price(rate: Column, pages_per_minute: Column, pages: Column, start_min
 def break_even(configurations: DataFrame, prices: DataFrame, services: Sequence[str], monthly: float = 3285.0) -> DataFrame:
     """(configuration, one column for each service): pages a month from which an own machine is cheaper, null
     above its capacity. configurations: configuration, capacity; prices: service, price (for 1,000 pages)."""
-    at = F.round(monthly / F.col("price") * 1000)
-    grid = configurations.crossJoin(F.broadcast(prices)).withColumn("pages", F.when(at <= F.col("capacity"), at))
-    return grid.groupBy("configuration").pivot("service", list(services)).agg(F.first("pages"))
+    known = {r.service: r.price for r in prices.where(F.col("service").isin(*services)).collect()}  # a row for each service
+    at = lambda s: F.round(F.lit(monthly) / F.lit(known.get(s)).cast("double") * 1000)
+    return configurations.select("configuration", *[F.when(at(s) <= F.col("capacity"), at(s)).alias(s) for s in services])
 
 
 def run_cost(timing: DataFrame, run: str = "run") -> DataFrame:

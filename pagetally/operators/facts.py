@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_SYSTEMS = 1000  # names that are put into the plan
+
 # A checked figure's verdicts and their groups.
 VERDICT_GROUP = {
     "correct": "complete",
@@ -22,8 +24,11 @@ VERDICT_GROUP = {
 
 def on_common_base(eligible: DataFrame, outcomes: DataFrame, cell: Sequence[str], system: str = "system") -> DataFrame:
     """Every eligible cell for every system: (cell, system, outcome); a cell without outcome is missing."""
-    systems = outcomes.select(system).distinct()  # a handful
-    grid = eligible.select(*cell).distinct().crossJoin(F.broadcast(systems))
+    names = [r[0] for r in outcomes.select(system).distinct().limit(MOST_SYSTEMS + 1).collect()]
+    if len(names) > MOST_SYSTEMS:
+        raise ValueError(f"more than {MOST_SYSTEMS} systems: is {system} the right column?")
+    all_systems = F.array(*map(F.lit, names)) if names else F.array().cast(f"array<{dict(outcomes.dtypes)[system]}>")
+    grid = eligible.select(*cell).distinct().withColumn(system, F.explode(all_systems))
     return grid.join(outcomes, [*cell, system], "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
 
 
