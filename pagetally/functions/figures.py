@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions.text import western_digits
 
+# What counts as a number, a year token (2010-2029), and a loose one.
 NUMBER = r"-?\(?\d[\d,]*\.?\d*\)?"
 YEAR = r"(?<![\d٠-٩])(?:20[12]\d|٢٠[١٢][٠-٩])(?![\d٠-٩])"
 LOOSE_YEAR = r"(?<![\d٠-٩])(?:20[12]\d|[٠-٩]{4})(?![\d٠-٩])"

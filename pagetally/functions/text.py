@@ -77,41 +77,43 @@ def decode(c: Column, names: dict[str, str]) -> Column:
 
 def first_of(c: Column, needles: list[tuple[str, str]], default: str) -> Column:
     """The class of the first needle that the lower-cased text contains."""
-    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(default)
-    for needle, name in reversed(needles):
-        out = F.when(F.contains(low, F.lit(needle)), F.lit(name)).otherwise(out)
-    return out
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return _first([(F.contains(low, F.lit(needle)), name) for needle, name in needles], default)
 
 
 def page_format(c: Column) -> Column:
     return first_of(c, [("scanned", "scanned"), ("images", "images")], "text layer")
 
 
+# Words in the class names of layout detectors, and in those of stored blocks.
+PICTURE_WORDS = ["picture", "figure", "image", "seal", "chart", "signature"]
+TEXT_WORDS = ["text", "title", "section", "caption", "list", "footnote", "formula", "abstract", "content", "reference"]
+FOOTER_NAMES = ["number", "page_number", "pagefooter"]
+TEXT_BLOCKS = ["Text", "Section-header", "Caption", "List-item", "Footnote", "Title"]
+
+
 def detector_label(c: Column) -> Column:
-    """Layout classes of detectors, in seven names' order of precedence."""
+    """One of six layout classes for a detector's class name; the first that fits."""
     low = F.lower(c)
-    has = lambda *words: low.rlike("|".join(words))
-    return (
-        F.when(has("table"), "table")
-        .when(has("header") & ~has("section", "paragraph"), "header")
-        .when(has("footer") | low.isin("number", "page_number", "pagefooter"), "footer")
-        .when(has("picture", "figure", "image", "seal", "chart", "signature"), "picture")
-        .when(has("text", "title", "section", "caption", "list", "footnote", "formula", "abstract", "content", "reference"), "text")
-        .otherwise("other")
-    )
+    has = lambda words: low.rlike("|".join(words))
+    page_header = has(["header"]) & ~has(["section", "paragraph"])
+    page_footer = has(["footer"]) | low.isin(FOOTER_NAMES)
+    ordered = [(has(["table"]), "table"), (page_header, "header"), (page_footer, "footer"), (has(PICTURE_WORDS), "picture"), (has(TEXT_WORDS), "text")]
+    return _first(ordered, "other")
 
 
 def block_label(c: Column) -> Column:
-    """Layout classes of blocks in stored outputs; these rules differ from a detector's."""
+    """The same classes for a stored block's category, whose spelling is fixed; these rules differ."""
     low = F.lower(c)
-    return (
-        F.when(F.contains(low, F.lit("table")), "table")
-        .when(F.contains(low, F.lit("page-header")), "header")
-        .when(F.contains(low, F.lit("page-footer")), "footer")
-        .when(F.contains(low, F.lit("picture")), "picture")
-        .when(c.isin("Text", "Section-header", "Caption", "List-item", "Footnote", "Title"), "text")
-        .otherwise("other")
-    )
+    ordered = [(F.contains(low, F.lit(part)), name) for part, name in (("table", "table"), ("page-header", "header"), ("page-footer", "footer"), ("picture", "picture"))]
+    return _first([*ordered, (c.isin(TEXT_BLOCKS), "text")], "other")
+
+
+def _first(ordered: list[tuple[Column, str]], default: str) -> Column:
+    out = F.lit(default)
+    for test, name in reversed(ordered):
+        out = F.when(test, F.lit(name)).otherwise(out)
+    return out
 
 
 def lines_of(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pagetally.functions.text import strip_tags
 
+# The form of positioned divisions, and of a block in a list.
 BLOCK = "struct<bbox: array<double>, category: string, text: string>"
 DIV = r'(?s)<div\s+data-bbox="(\d+)\s+(\d+)\s+(\d+)\s+(\d+)"\s+data-label="([^"]+)">(.*?)</div>'
 # Label spellings of one producer and their common form.

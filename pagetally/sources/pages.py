@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# <run>/<filing>_p<page>.md
+# Fixed value: <run>/<filing>_p<page>.md
 PATH = r"(?:^|/)([^/]+)/([^/]+)_p(\d+)\.[a-z]+$"
 CELLS = "map<string, double>"
 ROWS = f"array<struct<id: string, label: string, kind: string, sum_of: array<string>, values: {CELLS}>>"
@@ -69,6 +69,7 @@ def read_retries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(RETRIES).json(path, multiLine=True)
 
 
+# Fixed value: a status line.
 LOG = r"(\S+) rows (\d+)/(\d+) figs (\d+)/(\d+) \(([\d.]+) min\)"
 
 

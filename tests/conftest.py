@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 import tempfile
 
@@ -11,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    folder = tempfile.mkdtemp(prefix="ckpt")
     s = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
@@ -18,12 +20,13 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ckpt"))
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
