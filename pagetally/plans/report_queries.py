@@ -153,6 +153,16 @@ def h10_tree_similarity(spark, sf):
     return n.select("n_nationkey", trees.tree_similarity(truth, output).alias("teds"), trees.tree_similarity(truth, output, texts=False).alias("teds_s"))
 
 
+@query()
+def h11_grid_similarity(spark, sf):
+    from pagetally.operators.grids import grits
+
+    n = table(spark, sf, "nation")
+    truth = F.array(F.array("n_name", F.col("n_nationkey").cast("string")), F.array(F.col("n_regionkey").cast("string"), F.lit("")))
+    output = F.array(F.array(F.reverse("n_name"), F.col("n_nationkey").cast("string")))
+    return n.select("n_nationkey", grits(truth, output).alias("grits"))
+
+
 @query("WITH s AS (SELECT l_returnflag AS run, l_suppkey, avg(l_quantity) AS score FROM lineitem GROUP BY 1, 2), b AS (SELECT l_suppkey, score AS base FROM s WHERE run = 'N') SELECT run, count(*) FILTER (score < base) AS worse, count(*) AS units FROM s JOIN b USING (l_suppkey) WHERE run <> 'N' GROUP BY 1")
 def h12_worse_units(spark, sf):
     s = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("run"), "l_suppkey").agg(F.avg("l_quantity").alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetally.operators import confidence, cost, facts, layout, matching, multiset, reconcile, selection, trees
 from pagetally.operators import statistics as own
+from pagetally.operators.grids import grid_similarity, grits
 from pagetally.operators.tables import count_relations, grid_values, parse_tables, relations, structure_flags, tables, year_headers
 
 
@@ -257,6 +258,16 @@ def test_tree_similarity():
     assert trees.teds(a, table(("x", "q"), ("1", "2")), texts=False) == 1.0
 
 
+def test_grid_similarity(spark):
+    a = [["x", "y"], ["1", "2"], ["3", "4"]]
+    assert grid_similarity(a, a) == 1.0 and grid_similarity([], []) == 1.0 and grid_similarity(a, []) == 0.0
+    assert grid_similarity(a, [a[0], a[2]]) == pytest.approx(2 * 4 / 10)
+    assert grid_similarity(a, [r[1:] for r in a]) == pytest.approx(2 * 3 / 9)
+    assert grid_similarity([["ab"]], [["ac"]]) == pytest.approx(0.5)
+    rows = frame(spark, [(a, a), (a, None)], "t array<array<string>>, o array<array<string>>")
+    assert [r.g for r in rows.select(grits(F.col("t"), F.col("o")).alias("g")).collect()] == [1.0, None]
+
+
 def test_near_misses(spark):
     missing = frame(spark, [("g", 1234.0), ("g", 99.0)], "g string, value double")
     output = frame(spark, [("g", 1284.0), ("g", 1234.0), ("g", 12345.0), ("h", 1235.0)], "g string, value double")
