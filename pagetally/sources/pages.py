@@ -53,6 +53,28 @@ def truth_cells(truth: DataFrame) -> DataFrame:
     return truth_rows(truth).select("filing_id", "stmt_no", "row_id", F.explode("values").alias("col", "value"))
 
 
+def markdown_truth(texts: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """(key, table_no, row_no, label, figs) of reference tables kept as Markdown: a row's first cell is its
+    label, the figures of the others its values; rows without figures are headings and go."""
+    from pagetally.functions.figures import figures
+    from pagetally.operators.tables import tables
+
+    t = texts.select(*key, F.posexplode(tables(F.col(text))).alias("table_no", "t"))
+    r = t.select(*key, "table_no", F.posexplode("t").alias("row_no", "r"))
+    values = F.flatten(F.transform(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), figures))
+    return r.select(*key, "table_no", "row_no", F.get("r", 0).alias("label"), values.alias("figs")).where(F.size("figs") > 0)
+
+
+def shares_of_work(pages: DataFrame, key: str, workers: int) -> DataFrame:
+    """Pages with the ``worker`` (0 to workers - 1) that takes each; the same page always falls to the same."""
+    return pages.withColumn("worker", F.pmod(F.xxhash64(key), F.lit(workers)).cast("int"))
+
+
+def finished_cleanly(timing: DataFrame, page: str) -> bool:
+    """Whether a trial page ended by itself and without error: the gate before a whole run."""
+    return not timing.where((F.col("page") == page) & (F.col("finish") == "stop") & ~F.coalesce("error", F.lit(False))).isEmpty()
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """The CSV of filings, all strings; the byte order mark goes from the first column's name."""
     df = spark.read.csv(path, header=True, encoding="UTF-8")

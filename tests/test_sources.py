@@ -45,6 +45,16 @@ def test_logs(spark, tmp_path):
     assert tuple(pages.log_results(lines).first()) == ("x", 3, 175, 4, 371, 1.5)
 
 
+def test_markdown_truth_and_work(spark):
+    text = "# Income\n| item | 2024 |\n|---|---|\n| sales | (1,234) |\n| heading | |\n\n| x | 5 | 6 |"
+    rows = pages.markdown_truth(spark.createDataFrame([("d", text)], "doc string, text string"), ["doc"]).collect()
+    assert [(r.table_no, r.row_no, r.label, r.figs) for r in rows] == [(0, 0, "item", [2024.0]), (0, 1, "sales", [-1234.0]), (1, 0, "x", [5.0, 6.0])]
+    shares = pages.shares_of_work(spark.range(100).select(F.col("id").cast("string").alias("page")), "page", 4)
+    assert {r.worker for r in shares.collect()} == {0, 1, 2, 3}
+    log = spark.createDataFrame([("p", "stop", None), ("q", "length", False), ("r", "stop", True)], "page string, finish string, error boolean")
+    assert [pages.finished_cleanly(log, k) for k in "pqrs"] == [True, False, False, False]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", 1234), (None, 1)], "k string, n int")
     assert pages.markdown(df) == "| k | n |\n| --- | --- |\n| a | 1,234 |\n|  | 1 |"
