@@ -16,10 +16,13 @@ def contained(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str
     """(group, row, found): some single line holds all the row's values with their multiplicities.
     rows: group, row, value, n; lines: group, line, value, n. An equi-join on values and a count of
     those satisfied: relational division without comparing every row with every line."""
-    need = rows.groupBy(*group, row).agg(F.count(F.lit(1)).alias("need"))
-    hit = rows.join(lines.withColumnRenamed("n", "have"), [*group, "value"]).where("have >= n").groupBy(*group, row, line).agg(F.count(F.lit(1)).alias("got"))
-    full = hit.join(need, [*group, row]).where("got = need").select(*group, row).distinct().withColumn("found", F.lit(True))
-    return need.join(full, [*group, row], "left").select(*group, row, F.coalesce("found", F.lit(False)).alias("found"))
+    pattern = lambda df, by: df.groupBy(*group, by).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("pattern"))
+    wanted, given = pattern(rows, row), pattern(lines, line)
+    # Rows and lines with the same multiset behave alike: compare each multiset of a group once.
+    spread = lambda df, name, n: df.select(*group, "pattern").distinct().select(*group, F.col("pattern").alias(name), F.explode("pattern").alias("p")).select(*group, name, "p.value", F.col("p.n").alias(n))
+    hit = spread(wanted, "need", "n").join(spread(given, "line", "have"), [*group, "value"]).where("have >= n").groupBy(*group, "need", "line").agg(F.count(F.lit(1)).alias("got"))
+    full = hit.where(F.col("got") == F.size("need")).select(*group, F.col("need").alias("pattern")).distinct().withColumn("found", F.lit(True))
+    return wanted.join(full, [*group, "pattern"], "left").select(*group, row, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def closest_line(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
