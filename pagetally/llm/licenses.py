@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words are what stands between these
 
 # Fixed values: (label, template, key phrase). The first three are the base phrases.
 BASE = [
@@ -45,7 +45,7 @@ FURTHER = [
 
 def words_of(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def _literal(words: list[str]) -> Column:
