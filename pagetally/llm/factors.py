@@ -1,11 +1,11 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 Every text is both reference and target: its blocks of eight words at content-selected places form
-the reference index, and a text is parsed greedily against all of it. A factor is a longest run of
-words all of whose passages of ``window`` words occur earlier in the reference; a run goes on over
-a change of the reference text as long as the passage at that boundary occurs earlier, too, which
-is checked by the passage's own fingerprint. Factors of at least ``window`` words are duplicate
-spans. ``repeats`` has the engine and the results defined for unusual rows.
+the reference index. A factor is a longest run of words all of whose passages of ``window`` words
+occur earlier in the reference; it may go on over a change of the reference text, which is why it is
+not parsed with one pointer but found from the index: the passages around each indexed block are
+looked up by their own fingerprints, boundaries included, and runs of those that occur earlier are
+the duplicate spans. ``repeats`` has the engine and the results defined for unusual rows.
 """
 
 from __future__ import annotations
