@@ -34,6 +34,17 @@ def test_held_out_accuracy_and_no_leak(spark, documents):
     assert {r.doc_id: r.score for r in toxicity(documents, flipped).collect()} == {k: r.score for k, r in out.items()}
 
 
+def test_sampled_classes_keep_their_share(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    empty = spark.createDataFrame([(-1, "")], "doc_id bigint, text string")
+    docs = documents.select("doc_id", "text").union(empty)
+    logit = {}
+    for sample in (4000, 20):
+        p = toxicity(docs, labels, sample=sample).where("doc_id = -1").first().score
+        logit[sample] = np.log(p / (1 - p))
+    assert abs(logit[20] - logit[4000]) < 1
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1), (6, 1), (9, 0), (9, 1)], "doc_id bigint, toxic int")
     rows = toxicity(awkward(spark), labels, carry=["text", "score"]).columns
