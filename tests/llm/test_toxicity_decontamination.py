@@ -3,11 +3,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagetally.llm.decontam import align, contaminated, seeds_needed
-from pagetally.llm.toxicity import language_model, restore, suspicious, toxicity, trim
+from pagetally.llm.toxicity import Tokens, _decoder, language_model, restore, suspicious, toxicity, trim
 from tests.llm.helpers import awkward
 
 
@@ -24,6 +25,24 @@ def test_restoring_distorted_words(spark, documents):
     assert trim("the###") == "the" and not suspicious("plain") and not suspicious("2024")
 
 
+def decoded(texts, model):
+    """The distinct tokens of each text, plain and restored."""
+    tokens = Tokens(pa.array(texts, pa.string()), _decoder(model))
+    stop = np.cumsum(tokens.size)
+    return {tokens.raw[b - n : b].tobytes().decode() for b, n in zip(stop, tokens.size, strict=True)}
+
+
+def test_restoring_whatever_the_length(spark, documents):
+    more = spark.createDataFrame([("you idiot and moron are stupid, worthless losers " * 50,)], "text string")
+    model = language_model(documents.select("text").union(more))
+    assert "stupid" in decoded(["st" + "u" * 40 + "pid"], model)
+    assert any("idiotidiot" in t for t in decoded([" ".join("idiot" * 120)], model))
+    assert any("idiot" in t and "stupid" in t for t in decoded([".".join("youstupididiotandmoron")], model))
+    long = "i.d.i.o.t" * 60_000
+    assert "idiotidiot" in restore(long, model) and len(restore(long, model)) > 200_000
+    assert trim("--the" + "#" * 100_000) == "the"
+
+
 def test_held_out_accuracy_and_no_leak(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = {r.doc_id: r for r in toxicity(documents, labels).collect()}
