@@ -43,6 +43,17 @@ def test_restoring_whatever_the_length(spark, documents):
     assert trim("--the" + "#" * 100_000) == "the"
 
 
+def test_restoring_what_symbols_and_other_letters_hide(spark, documents):
+    more = spark.createDataFrame([("you idiot and moron are stupid, blöd, worthless losers " * 50,)], "text string")
+    model = language_model(documents.select("text").union(more))
+    for seen, meant in {"b l ö d": "blöd", "B L Ö D": "blöd", "id-iot": "idiot", "stu_pid": "stupid", "mo.ron": "moron", "blÖÖÖd": "blöd", "id–iot": "idiot"}.items():
+        assert meant in decoded([seen], model)
+    assert {"id-iot", "idiot"} <= decoded(["id-iot,"], model) and decoded(["plain"], model) == {"plain"}
+    for seen, meant in {"приввввет": "привет", "за-мок": "замок", "ξέρωωω": "ξέρω", "żżżółw": "żółw", "Ψ": "Ψ"}.items():
+        assert restore(seen, model) == meant
+    assert {"за-мок", "замок"} == decoded(["за-мок"], model)
+
+
 def test_held_out_accuracy_and_no_leak(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = {r.doc_id: r for r in toxicity(documents, labels).collect()}
