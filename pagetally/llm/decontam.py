@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word and n-gram seeds, then Smith-Waterman alignment.
 
-A test item of m words that a passage copies with at least ``identity`` of its words keeps at least
-``t`` of its n-grams, as each changed word breaks n of them (the q-gram lemma). So one of the
-item's rarest T - t + 1 n-grams (of T) must occur in the passage, whatever was changed: these are
-the seeds, rarity being counted over all training texts. A text that holds a seed is a candidate
-for the item where t of the item's n-grams lie near one diagonal; there the words are aligned
-locally (match 2, mismatch and gap -1), and the share of the item's words that the best alignment
-matches is the score.
+A text copies an item of m words if the best local alignment of their words (match 2, mismatch and
+gap -1) matches at least ``identity`` of the m words. Such an alignment misses (1 - identity) * m
+of the item's words at most, so one of the rarest floor((1 - identity) * m) + 1 must occur in the
+text, whatever was changed, left out or inserted: these are the seeds, rarity being counted over
+all training texts. The alignment has fewer than 3 m words of the text, so a text that holds a seed
+is a candidate where, within 3 m words of it, words of the item occur that make up ``identity`` of
+its length; there the words are aligned.
 
 The items' index is broadcast in blocks of at most ``limit`` bytes, each with its own pass over the
 texts; texts are never shuffled, and a text that a third of the corpus shares costs each row the
@@ -45,37 +45,59 @@ class Items:
         self.n, self.identity, self.ids = n, identity, ids
         self.words, self.first = words.hash, words.first
         self.length = words.count
-        self.need = np.maximum(1, np.ceil((self.length - n + 1) - n * (1 - identity) * self.length - 1e-9)).astype(np.int64)
+        self.need = np.ceil(identity * self.length - 1e-9).astype(np.int64)  # words that an alignment matches
         at = np.flatnonzero(fit)
         self.grams, inverse = np.unique(grams[at], return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         self.item, self.offset = words.doc[at][order], words.place()[at][order]
         self.posting = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(self.grams)))]
-        self.rare = np.ones(len(self.item), bool)
-        self.map = np.zeros(1 << BITS, bool)
-        self.map[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.map = _map(self.grams)
+        long = self.length >= n
+        place = np.flatnonzero(long[words.doc])
+        self.terms, self.term = np.unique(words.hash[place], return_inverse=True)  # the items' words
+        self.owner = words.doc[place]
+        self.term_map = _map(self.terms)
+        # each item's distinct words and how often it has them, ordered by item and word
+        self.pairs, self.times = np.unique(self.owner * len(self.terms) + self.term, return_counts=True)
+        self.seed_item, self.seed_posting = np.zeros(0, np.int64), np.zeros(len(self.terms) + 1, np.int64)
 
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.words, self.first, self.grams, self.item, self.offset, self.posting, self.rare, self.map))
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h, grams found there)"""
-        if not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        near = np.flatnonzero(self.map[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-        g = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
-        ok = self.grams[g] == h[near]
-        return near[ok], g[ok]
+        return _look_up(h, self.grams, self.map)
 
     def choose_seeds(self, frequency: np.ndarray) -> None:
-        """Of each item's n-grams the rarest that one of must survive."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.posting))
-        order = np.lexsort((self.offset, frequency[gram], self.item))
-        item = self.item[order]
+        """Of each item's words the rarest that one of must be matched."""
+        order = np.lexsort((self.term, frequency[self.term], self.owner))
+        item, term = self.owner[order], self.term[order]
         rank = np.arange(len(order)) - np.searchsorted(item, item)
-        total = np.bincount(self.item, minlength=len(self.length))
-        self.rare = np.zeros(len(order), bool)
-        self.rare[order] = rank < (total - self.need + 1)[item]
+        seed = np.unique((term * len(self.length) + item)[rank <= (self.length - self.need)[item]])
+        self.seed_item = seed % max(1, len(self.length))
+        self.seed_posting = np.searchsorted(seed // max(1, len(self.length)), np.arange(len(self.terms) + 1))
+        self.term = self.owner = np.zeros(0, np.int64)  # not needed any more
+
+
+def _map(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITS, bool)
+    out[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return out
+
+
+def _look_up(h: np.ndarray, keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.flatnonzero(some[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+    g = np.minimum(np.searchsorted(keys, h[near]), len(keys) - 1)
+    ok = keys[g] == h[near]
+    return near[ok], g[ok]
+
+
+def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the ranges of ``count`` values from ``first`` on."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -106,54 +128,47 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best & (unit - 1), *at
 
 
-def _candidates(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """(text, item) -> windows of words to align."""
-    h, _ = words.windows(index.n)
-    at, gram = index.look_up(h)
-    fit = words.fits(index.n)[at]
-    at, gram = at[fit], gram[fit]
-    if not len(at):
-        return {}
-    k = np.diff(index.posting)[gram]
-    row = np.repeat(np.arange(len(at)), k)
-    post = np.repeat(index.posting[gram] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-    text, item = words.doc[at][row], index.item[post]
-    diagonal = at[row] - words.first[text] - index.offset[post]
-    pair = text.astype(np.int64) * len(index.length) + item
-    seeded = np.unique(pair[index.rare[post]])
-    keep = seeded[np.minimum(np.searchsorted(seeded, pair), len(seeded) - 1)] == pair if len(seeded) else np.zeros(len(pair), bool)
-    pair, diagonal, item, text = pair[keep], diagonal[keep], item[keep], text[keep]
-    order = np.lexsort((diagonal, pair))
-    pair, diagonal, item, text = pair[order], diagonal[order], item[order], text[order]
-    slack = np.ceil((1 - index.identity) * index.length).astype(np.int64) + 1
-    last = np.arange(len(pair)) + index.need[item] - 1
-    inside = last < len(pair)
-    last = np.minimum(last, len(pair) - 1)
-    ok = inside & (pair[last] == pair) & (diagonal[last] - diagonal <= 2 * slack[item])
+def _copies(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(text, item) -> windows of words that may match ``identity`` of the item's words."""
+    at, term = _look_up(words.hash, index.terms, index.term_map)
     out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for i in np.flatnonzero(ok).tolist():
-        t, q = int(text[i]), int(item[i])
-        a = max(0, int(diagonal[i] - slack[q]))
-        b = min(int(words.count[t]), int(diagonal[last[i]] + index.length[q] + slack[q]))
-        spans = out[t, q]
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-        else:
-            spans.append((a, b))
+    if not len(at):
+        return out
+    row, post = _expand(index.seed_posting[term], np.diff(index.seed_posting)[term])
+    item = index.seed_item[post]
+    place, text = at[row], words.doc[at][row]
+    order = np.lexsort((place, item, text))
+    place, item, text = place[order], item[order], text[order]
+    reach = 3 * index.length[item]
+    a, b = np.maximum(words.first[text], place - reach), np.minimum(words.first[text + 1], place + reach + 1)
+    fresh = np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (a[1:] > b[:-1])] if len(a) else np.zeros(0, bool)
+    begin = np.flatnonzero(fresh)  # windows that overlap are one
+    a, b, item, text = a[begin], b[np.r_[begin[1:], len(b)] - 1] if len(b) else b, item[begin], text[begin]
+    low, high = np.searchsorted(at, a), np.searchsorted(at, b)
+    ends = np.cumsum(high - low)
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(ends // (1 << 20))) + 1):
+        window, k = _expand(low[part], (high - low)[part])
+        key = item[part][window] * len(index.terms) + term[k]
+        hit = np.minimum(np.searchsorted(index.pairs, key), len(index.pairs) - 1)
+        ok = index.pairs[hit] == key
+        seen = np.unique(window[ok] * len(index.pairs) + hit[ok])  # each of the item's words once for a window
+        have = np.bincount(seen // len(index.pairs), weights=index.times[seen % len(index.pairs)], minlength=len(part))
+        for i in part[have >= index.need[item[part]]].tolist():
+            first = int(words.first[text[i]])
+            out[int(text[i]), int(item[i])].append((int(a[i]) - first, int(b[i]) - first))
     return out
 
 
 def _count(index):
     def run(batches):
-        held = index.value
-        total = np.zeros(len(held.grams), np.int64)
+        terms, some_terms = index.value
+        total = np.zeros(len(terms), np.int64)
         for batch in slices(batches, 0):
             words = Words(*joined(batch.column(0), GAP), lower=True, gaps=NO_WORD)
-            h, _ = words.windows(held.n)
-            at, gram = held.look_up(h)
-            total += np.bincount(gram[words.fits(held.n)[at]], minlength=len(total))
+            _, term = _look_up(words.hash, terms, some_terms)
+            total += np.bincount(term, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["gram", "times"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["term", "times"])
 
     return run
 
@@ -164,14 +179,14 @@ def _find(index, types):
         for batch in slices(batches):
             words = Words(*joined(batch.column(1), GAP), lower=True, gaps=NO_WORD)
             rows = []
-            for (t, q), spans in _candidates(held, words).items():
+            for (t, q), spans in _copies(held, words).items():
                 item = held.words[held.first[q] : held.first[q + 1]]
                 best = (0, 0, 0)
                 for a, b in spans:
                     n, s, e = align(item, words.hash[words.first[t] + a : words.first[t] + b])
                     if n > best[0]:
                         best = (n, a + s, a + e)
-                if best[0] >= held.identity * len(item) - 1e-9:
+                if best[0] >= held.need[q]:
                     rows.append((t, held.ids[q], best[0] / len(item), *best))
             if rows:
                 t, q, score, n, s, e = zip(*rows, strict=True)
@@ -192,13 +207,13 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float
 
     def flush():
         index = Items(ids, block, n, identity)
-        sent = spark.sparkContext.broadcast(index)
-        got = texts.select("text").mapInArrow(_count(sent), "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times")).collect()  # a row for each n-gram of the block at most
-        frequency = np.zeros(len(index.grams), np.int64)
+        sent = spark.sparkContext.broadcast((index.terms, index.term_map))
+        got = texts.select("text").mapInArrow(_count(sent), "term bigint, times bigint").groupBy("term").agg(F.sum("times").alias("times")).collect()  # a row for each word of the block at most
+        frequency = np.zeros(len(index.terms), np.int64)
         for r in got:
-            frequency[r.gram] = r.times
+            frequency[r.term] = r.times
         index.choose_seeds(frequency)
-        assert index.nbytes() <= 16 * limit + (1 << (BITS + 1))
+        assert index.nbytes() <= 64 * limit + (1 << (BITS + 2))
         sent = spark.sparkContext.broadcast(index)
         out.append(texts.mapInArrow(_find(sent, types), schema))
 
@@ -220,5 +235,5 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float
 
 
 def seeds_needed(m: int, n: int, identity: float) -> int:
-    """n-grams of an item of m words that survive when (1 - identity) * m words change."""
+    """n-grams of an item of m words that survive when (1 - identity) * m words change and none are inserted."""
     return max(1, math.ceil((m - n + 1) - n * (1 - identity) * m - 1e-9))

@@ -131,6 +131,38 @@ def test_edited_copies_are_found_and_others_not(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} == want
 
 
+def test_copies_with_insertions_and_short_items(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    noise = lambda: [rnd.choice(words) for _ in range(rnd.randint(0, 150))]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(40))) for k in range(10)] + [(10, "ka kb kc kd ke"), (11, "la lb lc ld le")]
+    docs = []
+    for k in range(10):
+        copy = items[k][1].split()
+        for at in range(5, 37, 10):
+            copy[at] = "edited"
+        for at in range(38, 3, -5):
+            copy.insert(at, "inserted")
+        docs.append((k, " ".join(noise() + copy + noise())))
+    docs += [(10, "ka kb other kd ke"), (11, "la new lb new lc new ld"), (12, "la lb other"), (13, " ".join(noise()))]
+    got = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in got} == {(k, k, 0.9) for k in range(10)} | {(10, 10, 0.8), (11, 11, 0.8)}
+
+
+def test_every_good_alignment_is_found(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    items = [[rnd.choice(words) for _ in range(rnd.randint(3, 25))] for _ in range(25)]
+    texts = []
+    for k in range(150):
+        copy = [w for w in rnd.choice(items) for w in ([w] if rnd.random() < 0.85 else rnd.choice([[], ["x"], [w, "y"], ["z", w, "z"]]))]
+        texts.append([rnd.choice(words) for _ in range(rnd.randint(0, 40))] + copy + [rnd.choice(words) for _ in range(rnd.randint(0, 40))])
+    want = {(t, q) for t, text in enumerate(texts) for q, item in enumerate(items) if smith_waterman(item, text) >= 0.8 * len(item) - 1e-9}
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], f"{name} bigint, text string")
+    got = contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.score >= 0.8 - 1e-9} == want and len(want) > 50
+
+
 def test_seed_bound():
     for m in range(3, 80):
         changed = int(0.2 * m + 1e-9)
