@@ -8,6 +8,12 @@ all training texts. The alignment has fewer than 3 m words of the text, so a tex
 is a candidate where, within 3 m words of it, words of the item occur that make up ``identity`` of
 its length; there the words are aligned.
 
+A text also copies an item if it holds an excerpt: an alignment with ``excerpt`` matched words or
+more, at least ``identity`` of whose columns match. Between its changes enough of the item's n-grams
+survive near one diagonal (the q-gram lemma); where they do, alignments of each number of changes
+are tried. The score is always the share of the item's words that the best alignment matches, so an
+excerpt can have a score below ``identity``.
+
 The items' index is broadcast in blocks of at most ``limit`` bytes, each with its own pass over the
 texts; texts are never shuffled, and a text that a third of the corpus shares costs each row the
 same.
@@ -38,7 +44,7 @@ BITS = 20
 class Items:
     """Words and n-grams of a block of test items."""
 
-    def __init__(self, ids: list, texts: list[str | None], n: int, identity: float):
+    def __init__(self, ids: list, texts: list[str | None], n: int, identity: float, excerpt: int):
         words = Words(*joined(pa.array(texts, pa.string()), GAP), lower=True, gaps=NO_WORD)
         grams, _ = words.windows(n)
         fit = words.fits(n)
@@ -46,6 +52,8 @@ class Items:
         self.words, self.first = words.hash, words.first
         self.length = words.count
         self.need = np.ceil(identity * self.length - 1e-9).astype(np.int64)  # words that an alignment matches
+        self.excerpt, self.changes, self.most = excerpt, *allowed(excerpt, identity)
+        self.grams_left = max(1, excerpt - (n - 1) * (self.changes + 1))
         at = np.flatnonzero(fit)
         self.grams, inverse = np.unique(grams[at], return_inverse=True)
         order = np.argsort(inverse, kind="stable")
@@ -100,6 +108,33 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def allowed(excerpt: int, identity: float) -> tuple[int, int]:
+    """Changes among ``excerpt`` matched words; changes up to which longer excerpts are to be tried, because
+    those with more hold ``excerpt`` matched words in a row with no more changes than the first number."""
+    rate = (1 - identity) / identity
+    few = math.floor(excerpt * rate + 1e-9)
+    parts = math.floor((excerpt - 1) * rate / (few + 1 - excerpt * rate) + 1e-9) + 1
+    return few, max(few, math.floor((excerpt * parts - 1) * rate + 1e-9))
+
+
+def has_excerpt(item: np.ndarray, text: np.ndarray, excerpt: int, identity: float) -> bool:
+    """Whether an alignment has ``excerpt`` matches or more, and ``identity`` of its columns match."""
+    _, most = allowed(excerpt, identity)
+    enough = np.maximum(excerpt, np.ceil(np.arange(most + 1) * identity / max(1 - identity, 1e-12) - 1e-9))
+    row = np.zeros((most + 1, len(text) + 1), np.int64)  # most matches with so many changes at most
+    for word in item:
+        new = np.zeros_like(row)
+        new[:, 1:] = np.where(text == word, row[:, :-1] + 1, 0)
+        for e in range(1, most + 1):
+            np.maximum(new[e], row[e - 1], out=new[e])
+            np.maximum(new[e, 1:], row[e - 1, :-1], out=new[e, 1:])
+            np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])
+        row = new
+        if (row.max(1) >= enough).any():
+            return True
+    return False
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(matched words, start, stop in text) of the best local alignment; match 2, mismatch and gap -1."""
     unit = 1 << 20
@@ -159,6 +194,35 @@ def _copies(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int,
     return out
 
 
+def _excerpts(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(text, item) -> windows of words that may hold an excerpt of the item."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    h, _ = words.windows(index.n)
+    at, gram = index.look_up(h)
+    fit = words.fits(index.n)[at]
+    at, gram = at[fit], gram[fit]
+    row, post = _expand(index.posting[gram], np.diff(index.posting)[gram])
+    text, item = words.doc[at][row], index.item[post]
+    diagonal = at[row] - words.first[text] - index.offset[post]
+    order = np.lexsort((diagonal, item, text))
+    text, item, diagonal = text[order], item[order], diagonal[order]
+    last = np.arange(len(text)) + index.grams_left - 1
+    inside = last < len(text)
+    last = np.minimum(last, len(text) - 1)
+    drift = 2 * (index.changes + 1)
+    ok = inside & (text[last] == text) & (item[last] == item) & (diagonal[last] - diagonal <= drift)
+    for i in np.flatnonzero(ok).tolist():
+        t, q = int(text[i]), int(item[i])
+        a = max(0, int(diagonal[i]) - index.most)
+        b = min(int(words.count[t]), int(diagonal[last[i]] + index.length[q]) + index.most)
+        spans = out[t, q]
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return out
+
+
 def _count(index):
     def run(batches):
         terms, some_terms = index.value
@@ -179,14 +243,16 @@ def _find(index, types):
         for batch in slices(batches):
             words = Words(*joined(batch.column(1), GAP), lower=True, gaps=NO_WORD)
             rows = []
-            for (t, q), spans in _copies(held, words).items():
+            copies, excerpts = _copies(held, words), _excerpts(held, words)
+            for t, q in sorted(copies.keys() | excerpts.keys()):
                 item = held.words[held.first[q] : held.first[q + 1]]
+                text = words.hash[words.first[t] : words.first[t + 1]]
                 best = (0, 0, 0)
-                for a, b in spans:
-                    n, s, e = align(item, words.hash[words.first[t] + a : words.first[t] + b])
+                for a, b in copies.get((t, q), []) + excerpts.get((t, q), []):
+                    n, s, e = align(item, text[a:b])
                     if n > best[0]:
                         best = (n, a + s, a + e)
-                if best[0] >= held.need[q]:
+                if best[0] >= held.need[q] or any(has_excerpt(item, text[a:b], held.excerpt, held.identity) for a, b in excerpts.get((t, q), [])):
                     rows.append((t, held.ids[q], best[0] / len(item), *best))
             if rows:
                 t, q, score, n, s, e = zip(*rows, strict=True)
@@ -195,8 +261,8 @@ def _find(index, types):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20) -> DataFrame:
-    """(id_col, item_col, score, matched, start_word, stop_word): each text's best copy of each item, score at least ``identity``."""
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
+    """(id_col, item_col, score, matched, start_word, stop_word): each text's best copy of each item, or excerpt of so many words."""
     spark = docs.sparkSession
     tune(spark)
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
@@ -206,7 +272,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float
     out, ids, block, size = [], [], [], 0
 
     def flush():
-        index = Items(ids, block, n, identity)
+        index = Items(ids, block, n, identity, excerpt)
         sent = spark.sparkContext.broadcast((index.terms, index.term_map))
         got = texts.select("text").mapInArrow(_count(sent), "term bigint, times bigint").groupBy("term").agg(F.sum("times").alias("times")).collect()  # a row for each word of the block at most
         frequency = np.zeros(len(index.terms), np.int64)

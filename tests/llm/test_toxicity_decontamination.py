@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagetally.llm.decontam import align, contaminated, seeds_needed
+from pagetally.llm.decontam import align, contaminated, has_excerpt, seeds_needed
 from pagetally.llm.toxicity import Tokens, _decoder, language_model, restore, suspicious, toxicity, trim
 from tests.llm.helpers import awkward
 
@@ -163,6 +163,44 @@ def test_every_good_alignment_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in got if r.score >= 0.8 - 1e-9} == want and len(want) > 50
 
 
+def test_excerpts_are_found(spark):
+    words = [f"w{i}" for i in range(459)]
+    items = [(1, " ".join(words[:59])), (2, " ".join(words[59:]))]
+    cut = words[200:216]
+    cut[3], cut[8], cut[12] = "edited", "edited", "edited"
+    docs = [(1, words[7:52]), (2, words[100:400]), (3, words[100:113]), (4, words[100:112]), (5, cut), (6, cut[:15]), (7, words[70:82] + ["x"] * 20 + words[82:94])]
+    got = contaminated(spark.createDataFrame([(k, "a b c " + " ".join(t) + " d e f") for k, t in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in got} == {(1, 1, 45), (2, 2, 300), (3, 2, 13), (5, 2, 13)}
+
+
+def test_excerpt_rule():
+    rnd = random.Random(5)
+
+    def plain(a, b):
+        """By trying each number of changes from each start."""
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best = {(i, j): {0: 0}}
+                for x in range(i, len(a) + 1):
+                    for y in range(j, len(b) + 1):
+                        here = best.setdefault((x, y), {})
+                        for dx, dy in ((1, 1), (1, 0), (0, 1)):
+                            for e, m in best.get((x - dx, y - dy), {}).items():
+                                same = dx and dy and a[x - 1] == b[y - 1]
+                                here[e + (not same)] = max(here.get(e + (not same), 0), m + bool(same))
+                        if any(m >= 4 and m >= 0.8 * (m + e) - 1e-9 for e, m in here.items()):
+                            return True
+        return False
+
+    seen = set()
+    for _ in range(60):
+        a = [rnd.randrange(9) for _ in range(9)]
+        b = [w for w in a for w in ([w] if rnd.random() < 0.6 else rnd.choice([[], [9], [w, 9]]))]
+        seen.add(plain(a, b))
+        assert has_excerpt(np.array(a), np.array(b), 4, 0.8) == plain(a, b)
+    assert seen == {True, False}
+
+
 def test_seed_bound():
     for m in range(3, 80):
         changed = int(0.2 * m + 1e-9)
