@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.llm.common import checkpointed, tune
-from pagetally.llm.decontam import contaminated
+from pagetally.llm.decontam import decontaminated
 from pagetally.llm.packing import pack
 from pagetally.llm.setsketch import near_duplicates
 from pagetally.llm.suffixes import suffix_duplicates
@@ -36,9 +36,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    leaks = checkpointed(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a copy or an excerpt of a benchmark item, decided for each row."""
+    return decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

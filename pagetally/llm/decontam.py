@@ -237,23 +237,27 @@ def _count(index):
     return run
 
 
+def _hits(held: Items, words: Words):
+    """(text, item, (matched words, start, stop)) of all copies and excerpts."""
+    copies, excerpts = _copies(held, words), _excerpts(held, words)
+    for t, q in sorted(copies.keys() | excerpts.keys()):
+        item = held.words[held.first[q] : held.first[q + 1]]
+        text = words.hash[words.first[t] : words.first[t + 1]]
+        best = (0, 0, 0)
+        for a, b in copies.get((t, q), []) + excerpts.get((t, q), []):
+            n, s, e = align(item, text[a:b])
+            if n > best[0]:
+                best = (n, a + s, a + e)
+        if best[0] >= held.need[q] or any(has_excerpt(item, text[a:b], held.excerpt, held.identity) for a, b in excerpts.get((t, q), [])):
+            yield t, q, best
+
+
 def _find(index, types):
     def run(batches):
         held = index.value
         for batch in slices(batches):
             words = Words(*joined(batch.column(1), GAP), lower=True, gaps=NO_WORD)
-            rows = []
-            copies, excerpts = _copies(held, words), _excerpts(held, words)
-            for t, q in sorted(copies.keys() | excerpts.keys()):
-                item = held.words[held.first[q] : held.first[q + 1]]
-                text = words.hash[words.first[t] : words.first[t + 1]]
-                best = (0, 0, 0)
-                for a, b in copies.get((t, q), []) + excerpts.get((t, q), []):
-                    n, s, e = align(item, text[a:b])
-                    if n > best[0]:
-                        best = (n, a + s, a + e)
-                if best[0] >= held.need[q] or any(has_excerpt(item, text[a:b], held.excerpt, held.identity) for a, b in excerpts.get((t, q), [])):
-                    rows.append((t, held.ids[q], best[0] / len(item), *best))
+            rows = [(t, held.ids[q], best[0] / int(held.length[q]), *best) for t, q, best in _hits(held, words)]
             if rows:
                 t, q, score, n, s, e = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column(0).take(pa.array(t)), pa.array(q, types), pa.array(score), *[pa.array(x, pa.int64()) for x in (n, s, e)]], names=["a", "b", "score", "matched", "start_word", "stop_word"])
@@ -261,17 +265,25 @@ def _find(index, types):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
-    """(id_col, item_col, score, matched, start_word, stop_word): each text's best copy of each item, or excerpt of so many words."""
-    spark = docs.sparkSession
-    tune(spark)
-    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"a {kinds[0]}, b {kinds[1]}, score double, matched bigint, start_word bigint, stop_word bigint"
-    texts = docs.select(F.col(id_col).alias("a"), F.col(text_col).cast("string").alias("text"))
+def _keep(index, column: int):
+    def run(batches):
+        held = index.value
+        for batch in slices(batches, column):
+            words = Words(*joined(batch.column(column), GAP), lower=True, gaps=NO_WORD)
+            clean = np.ones(batch.num_rows, bool)
+            clean[[t for t, _, _ in _hits(held, words)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _indices(texts: DataFrame, items: DataFrame, n: int, identity: float, excerpt: int, item_col: str, item_text: str, limit: int):
+    """The items' index, broadcast in blocks of ``limit`` bytes of text; one empty block without items."""
+    spark = texts.sparkSession
     arrow = items.select(F.col(item_col), F.col(item_text).cast("string")).toLocalIterator()  # a block at a time on the driver
-    out, ids, block, size = [], [], [], 0
+    ids, block, size = [], [], 0
 
-    def flush():
+    def made():
         index = Items(ids, block, n, identity, excerpt)
         sent = spark.sparkContext.broadcast((index.terms, index.term_map))
         got = texts.select("text").mapInArrow(_count(sent), "term bigint, times bigint").groupBy("term").agg(F.sum("times").alias("times")).collect()  # a row for each word of the block at most
@@ -280,26 +292,46 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float
             frequency[r.term] = r.times
         index.choose_seeds(frequency)
         assert index.nbytes() <= 64 * limit + (1 << (BITS + 2))
-        sent = spark.sparkContext.broadcast(index)
-        out.append(texts.mapInArrow(_find(sent, types), schema))
-
-    import pyspark.sql.pandas.types as arrow_types
+        return spark.sparkContext.broadcast(index)
 
-    types = arrow_types.to_arrow_type(items.schema[item_col].dataType)
+    some = False
     for item, text in arrow:
         ids.append(item), block.append(text)
         size += len(text or "") + 16
         if size > limit:
-            flush()
-            ids, block, size = [], [], 0
-    if ids or not out:
-        flush()
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
+            yield made()
+            some, ids, block, size = True, [], [], 0
+    if ids or not some:
+        yield made()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
+    """(id_col, item_col, score, matched, start_word, stop_word): each text's best copy of each item, or excerpt of so many words."""
+    tune(docs.sparkSession)
+    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    schema = f"a {kinds[0]}, b {kinds[1]}, score double, matched bigint, start_word bigint, stop_word bigint"
+    texts = docs.select(F.col(id_col).alias("a"), F.col(text_col).cast("string").alias("text"))
+
+    import pyspark.sql.pandas.types as arrow_types
+
+    types = arrow_types.to_arrow_type(items.schema[item_col].dataType)
+    found = None
+    for sent in _indices(texts, items, n, identity, excerpt, item_col, item_text, limit):
+        more = texts.mapInArrow(_find(sent, types), schema)
+        found = more if found is None else found.union(more)
     return found.select(F.col("a").alias(id_col), F.col("b").alias(item_col), "score", "matched", "start_word", "stop_word")
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
+    """The rows of docs, with or without id, whose string ``text_col`` holds no copy and no excerpt of an item."""
+    tune(docs.sparkSession)
+    texts = docs.select(F.col(text_col).alias("text"))
+    out = docs
+    for sent in _indices(texts, items, n, identity, excerpt, item_col, item_text, limit):
+        out = out.mapInArrow(_keep(sent, docs.columns.index(text_col)), docs.schema)
+    return out
+
+
 def seeds_needed(m: int, n: int, identity: float) -> int:
     """n-grams of an item of m words that survive when (1 - identity) * m words change and none are inserted."""
     return max(1, math.ceil((m - n + 1) - n * (1 - identity) * m - 1e-9))

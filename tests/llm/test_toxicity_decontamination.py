@@ -201,6 +201,18 @@ def test_excerpt_rule():
     assert seen == {True, False}
 
 
+def test_leaks_without_id_leave_the_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (1, f"before {item} after"), (None, "clean words"), (2, "clean words"), (3, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = pipeline.drop_contaminated(spark, docs, sf)
+    assert got.schema == docs.schema
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(None, "clean words"), (2, "clean words"), (3, None)}
+
+
 def test_seed_bound():
     for m in range(3, 80):
         changed = int(0.2 * m + 1e-9)
