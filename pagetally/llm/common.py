@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -28,24 +29,38 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``, which all executors
+    share. Only a local session may do without the setting: its threads share the driver's temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagetally"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="pagetally")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where each text of a string or binary column begins and ends, whatever the width of its offsets."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    off = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    return off[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    """Views have no offsets: they become strings of wide offsets."""
+    return column.cast(pa.large_binary()) if "view" in str(column.type) else column
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOB) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each come to about ``most`` bytes."""
     for batch in batches:
         column = batch.column(text)
         if not batch.num_rows:
             continue
-        size = np.zeros(batch.num_rows, np.int64)
-        if column.type == pa.string() or column.type == pa.binary():
-            off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            size = np.diff(off)
+        size = np.diff(_offsets(_plain(column)))
         part = np.cumsum(size) // most
         cut = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
@@ -61,7 +76,8 @@ def blobs(batches: Iterator[pa.RecordBatch], mark: int) -> Iterator[tuple[pa.Arr
 
 def joined(column: pa.Array, mark: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(column)
-    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    column = _plain(column)
+    off = _offsets(column)
     size = np.diff(off)
     if column.null_count:
         size[np.asarray(column.is_null())] = 0
@@ -84,12 +100,10 @@ def joined(column: pa.Array, mark: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 # -- fingerprints --------------------------------------------------------------------------
-_rng = np.random.default_rng(20240611)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_Q1 = np.uint64(0xD1342543DE82EF95)
-_Q2 = np.uint64(0xAF251AF3B0F025B5)
+_STEP = np.uint64(0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+LONG = 64  # bytes from which on a word is hashed by itself
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +129,29 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits for the bytes of each word. Eight bytes at a time go through a mixing function, which is one to
+    one in the bytes; words of LONG bytes and more are hashed by BLAKE2b. Two seeds give independent values."""
+    size = end - start
+    h = mix(size.astype(np.uint64), seed + 40)
+    if not len(size):
+        return h
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, at = np.flatnonzero(size < LONG), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        part = eight[start[live] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[live] = mix((h[live] ^ part) * _STEP, seed + 40)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
 class Words:
     """The words of a blob (texts with a gap byte after each): byte ranges, fingerprints, documents."""
 
@@ -128,19 +165,16 @@ class Words:
         before[1:] = gap[:-1]
         self.start = np.flatnonzero(before & ~gap)
         self.end = np.flatnonzero(gap & ~before)  # each text ends with a gap
-        power, inverse = powers(_P, len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        self.hash = word_hashes(data, self.start, self.end)
         begins = np.r_[0, ends[:-1] + 1] if len(ends) else np.zeros(0, np.int64)
         self.first = np.r_[np.searchsorted(self.start, begins), len(self.start)]  # of each document
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(ends)), self.count)
 
     def windows(self, k: int, double: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Fingerprint of the k words from each position on (those that run over a document's end mean nothing)."""
-        return roll(self.hash, k, _Q1), roll(mix(self.hash, 7), k, _Q2) if double else None
+        """Fingerprint of the k words from each position on (those that run over a document's end mean nothing).
+        The second one comes from words hashed another way, so both together have 128 bits."""
+        return roll(self.hash, k, 0), roll(word_hashes(self.data, self.start, self.end, 1), k, 1) if double else None
 
     def fits(self, k: int) -> np.ndarray:
         """Whether k words from each position lie in one document."""
@@ -150,28 +184,13 @@ class Words:
         return np.arange(len(self.hash)) - self.first[self.doc]
 
 
-def roll(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
-    n = len(h)
-    power, inverse = powers(base, n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(h * power[:n], out=total[1:])
-    stop = np.minimum(np.arange(n) + k, n)
-    return mix((total[stop] - total[:-1]) * inverse[:n])
-
-
-def minimisers(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the (leftmost) smallest value of some run of ``width`` neighbours."""
-    n = len(h)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n <= width:
-        return np.array([int(np.argmin(h))])
-    # van Herk: running minima of value and place over blocks, from both sides
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    chosen = np.zeros(n, bool)
-    step = max(1, (1 << 22) // width)
-    for a in range(0, len(view), step):
-        part = view[a : a + step]
-        chosen[a + np.arange(len(part)) + part.argmin(1)] = True
-    return np.flatnonzero(chosen)
+def roll(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Fingerprints of k neighbours by doubling: two halves, which overlap where k is no power of two, are mixed."""
+    out, size = mix(h, seed + 50), 1
+    while size < k:
+        step = min(size, k - size)
+        other = np.zeros_like(out)
+        other[: max(0, len(out) - step)] = out[step:]
+        out = mix(out * _STEP + other, seed + 50)
+        size += step
+    return out

@@ -1,21 +1,246 @@
 """Substring deduplication with a sparse suffix array.
 
-Of all suffixes only those that begin at a minimiser are retained: in every passage of ``window``
-words the place with the smallest fingerprint of ``prefix`` words. With ``prefix`` = 26 and
-``window`` = 50 a retained suffix starts in the first 25 words of every passage, and two equal
-passages retain suffixes that agree in their first 26 words. The suffixes are sorted by that prefix
-(its fingerprint is the sort key, so equal prefixes are neighbours), neighbours are compared, and
-suffixes that agree with a neighbour are extended to the left and the right, passage by passage.
-``repeats`` has the engine and the results defined for unusual rows.
+Of all suffixes those are retained that begin at a minimiser: in every passage of ``window`` words
+the place with the smallest fingerprint of ``prefix`` words. Equal passages retain suffixes at equal
+places, which agree in their first ``prefix`` words.
+
+1. *Retain.* Suffixes are grouped by the fingerprint of their prefix; one whose prefix no other suffix
+   has cannot lie in a repeated passage and goes. A task sends a prefix about once (``Seen``).
+2. *Sort.* Each suffix that is left becomes a record: prefix, the words after it up to ``window``
+   words, and the words before it, nearest first (40 bits a word). Records are sorted by
+   prefix, words after it, words before it, and place, by ranges that also split a prefix that very
+   many texts share. (Words compare by their hash values: any order of words serves.) Records that
+   agree wholly with one the task knows are repeats and are not sent.
+3. *Compare and extend.* Neighbours in that order share the longest prefixes. Their common
+   length to the right and to the left, counted word by word, gives the passages that the later of
+   the two repeats; no other suffix agrees further to the right than a neighbour, so passages that
+   reach beyond are unique.
+4. *Rest.* A text that agrees further to the left need not be a neighbour. Passages that the
+   neighbours leave open are looked up by a fingerprint of 128 bits, made from the record.
+5. *Removal.* Spans are merged and cut, up to the next word that is kept; all else stays as it is.
+
+Texts are shuffled once, by id; both looks at them reuse that exchange.
+
+Defined results: null and empty texts have no words, and texts with fewer words than ``window`` lose
+nothing; a text of any length is taken whole (one that exceeds a slice is a slice of its own); of equal
+passages the one with the smallest (id, start) stays; equal rows (same id and text) count as one text and
+each gets the same result; of different texts under one id each is cut at the places found for that id;
+a row without id is returned as it is and is not compared; further columns are ignored unless carried,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pagetally.llm.common import Words, joined, mix, slices, tune
+from pagetally.llm.passages import GAP, ROWS, Seen, anchors, asked, cut, ids_of, texts_of
+
+CODE = 5  # bytes of a word in a record
+RECORD = "key bigint, after binary, before binary, id bigint, at int, own bigint, sure bigint"
+
+
+def _retain(window: int, prefix: int, memory: int):
+    """live = 0: a suffix to be compared; 1: one whose prefix the task knows to repeat."""
+
+    def run(batches):
+        seen = Seen(memory)
+        for batch in slices(batches):
+            ids, there = ids_of(batch.column(0))
+            words = Words(*joined(batch.column(1), GAP))
+            h, _ = words.windows(prefix)
+            starts = np.flatnonzero(words.fits(window) & there[words.doc])
+            chosen = np.unique(anchors(h, starts, window - prefix + 1))
+            key, doc, at = h[chosen], ids[words.doc[chosen]], words.place()[chosen]
+            send, again, _, _, tell_id, tell_at = seen.resolve(key, np.zeros(len(key), np.uint64), doc, at)
+            live_id, live_at = np.r_[doc[again], tell_id], np.r_[at[again], tell_at]
+            columns = [
+                np.r_[key[send].view(np.int64), mix(live_id.astype(np.uint64), 2).view(np.int64)],
+                np.r_[doc[send], live_id],
+                np.r_[at[send], live_at].astype(np.int32),
+                np.repeat(np.array([0, 1], np.int8), [len(send), len(live_id)]),
+            ]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["key", "id", "at", "live"])
+
+    return run
+
+
+def _codes(words: Words) -> np.ndarray:
+    """(words + 1, CODE) bytes of each word's hash, never all zero; the last row, zero, stands for no word."""
+    wide = np.ascontiguousarray(words.hash.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :CODE] | np.array([0] * (CODE - 1) + [1], np.uint8)
+    return np.concatenate([wide, np.zeros((1, CODE), np.uint8)])
+
+
+def _fold(key: np.ndarray, blob: np.ndarray, seed: int) -> np.ndarray:
+    """A fingerprint of the key and each row of bytes."""
+    pad = -blob.shape[1] % 8
+    wide = np.ascontiguousarray(np.pad(blob, ((0, 0), (0, pad)))).view(np.uint64)
+    h = mix(key, seed)
+    for j in range(wide.shape[1]):
+        h = mix((h ^ wide[:, j]) * np.uint64(0xD1342543DE82EF95), seed)
+    return h
+
+
+def _records(window: int, prefix: int, memory: int):
+    """One record for each live suffix. ``own``: bit a is set where the passage that begins a words before the
+    suffix has it as its minimiser; ``sure``: those of them that repeat for sure (then nothing else is needed)."""
+    side = window - prefix
+
+    def run(batches):
+        seen = Seen(memory)
+        for batch in slices(batches):
+            rows = np.flatnonzero(np.asarray(batch.column(2).is_valid()))
+            if not len(rows):
+                continue
+            batch = batch.take(pa.array(rows))
+            ids, _ = ids_of(batch.column(0))
+            words = Words(*joined(batch.column(1), GAP))
+            held = batch.column(2)
+            row = np.repeat(np.arange(len(rows)), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            live = words.first[row] + held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            live = np.unique(live[live < words.first[row + 1]])
+            h, _ = words.windows(prefix)
+            starts = np.flatnonzero(words.fits(window))
+            anchor = anchors(h, starts, side + 1)
+            own = np.zeros(len(words.hash), np.int64)
+            np.bitwise_or.at(own, anchor, np.int64(1) << (anchor - starts))
+            live = live[own[live] != 0]
+            if not len(live):
+                continue
+            code, none = _codes(words), len(words.hash)
+            doc = words.doc[live]
+            after = live[:, None] + prefix + np.arange(side)
+            after = np.where(after < words.first[doc + 1][:, None], after, none)
+            before = live[:, None] - 1 - np.arange(side)
+            before = np.where(before >= words.first[doc][:, None], before, none)
+            after, before = code[after].reshape(len(live), -1), code[before].reshape(len(live), -1)
+            key, own = h[live], own[live]
+            both = np.concatenate([after, before], 1)
+            f1, f2 = (_fold(key, both, s) for s in (60, 61))
+            number, at = ids[doc], words.place()[live]
+            send, again, *_ = seen.resolve(f1, f2, number, at)
+            size = side * CODE
+            blob = lambda x, pick: pa.array(list(map(bytes, x[pick])), pa.binary())
+            for pick, known in ((send, False), (again, True)):
+                empty = pa.array([b""] * len(pick), pa.binary())
+                columns = [
+                    pa.array(mix(number[pick].astype(np.uint64), 3).view(np.int64) if known else key[pick].view(np.int64)),
+                    empty if known else blob(after, pick),
+                    empty if known else blob(before, pick),
+                    pa.array(number[pick]),
+                    pa.array(at[pick].astype(np.int32)),
+                    pa.array(own[pick]),
+                    pa.array(own[pick] if known else np.zeros(len(pick), np.int64)),
+                ]
+                assert known or all(len(x) == size for x in columns[1].slice(0, 1).to_pylist())
+                yield pa.record_batch(columns, names=["key", "after", "before", "id", "at", "own", "sure"])
+
+    return run
+
+
+def _agree(x: np.ndarray, y: np.ndarray, side: int) -> np.ndarray:
+    """Words from the first on that two rows of codes have in common."""
+    same = ((x == y).reshape(len(x), side, CODE).all(2)) & (x.reshape(len(x), side, CODE) != 0).any(2)
+    return np.where(same.all(1), side, same.argmin(1))
+
+
+def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bits low to high inclusive; none if low > high."""
+    one = np.int64(1)
+    return np.where(low <= high, (one << (np.maximum(high, 0) + 1)) - (one << np.minimum(low, 62)), 0)
+
+
+def _neighbours(window: int, prefix: int, memory: int):
+    """Records in suffix order -> rows for ``cut``."""
+    side = window - prefix
+
+    def work(seen, table: pa.Table, first: bool, last: bool):
+        """All records but the first and the last, which are there as neighbours (unless an end is an end of the partition)."""
+        table = table.combine_chunks()
+        key = table["key"].to_numpy().astype(np.int64)
+        doc, at, own, known = (table[c].to_numpy().astype(np.int64) for c in ("id", "at", "own", "sure"))
+        n = len(key)
+        real = known == 0
+        flat = lambda name: np.frombuffer(b"".join(b if len(b) else bytes(side * CODE) for b in table[name].to_pylist()), np.uint8).reshape(n, side * CODE)
+        after, before = flat("after"), flat("before")
+        same = real[1:] & real[:-1] & (key[1:] == key[:-1])
+        right, left = np.full(n - 1, -1), np.full(n - 1, -1)
+        pick = np.flatnonzero(same)
+        right[pick], left[pick] = _agree(after[pick + 1], after[pick], side), _agree(before[pick + 1], before[pick], side)
+        shared = np.where(same, _between(side - right, left), 0)
+        later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] > at[:-1])
+        earlier = (doc[1:] < doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] < at[:-1])
+        sure = known.copy()
+        sure[1:] |= np.where(later, shared, 0)
+        sure[:-1] |= np.where(earlier, shared, 0)
+        far = np.full(n, -1)  # how far to the right any other suffix agrees; unknown at the ends of a partition
+        far[1:] = np.maximum(far[1:], right)
+        far[:-1] = np.maximum(far[:-1], right)
+        if first:
+            far[0] = side
+        if last:
+            far[-1] = side
+        use = np.arange(0 if first else 1, n if last else n - 1)
+        sure = (sure & own)[use]
+        ask = np.where(far >= 0, own & _between(side - far, np.full(n, side)), 0)[use] & ~sure
+        ask[~real[use]] = 0
+        bits = np.arange(side + 1)
+        i, a = np.nonzero((sure[:, None] >> bits) & 1)
+        sure_doc, sure_at = doc[use][i], at[use][i] - a
+        i, a = np.nonzero((ask[:, None] >> bits) & 1)
+        f = [_passages(key[use].view(np.uint64), after[use], before[use], i, a, side, s) for s in (62, 63)]
+        return asked(seen, f[0], f[1], doc[use][i], at[use][i] - a, sure_doc, sure_at)
+
+    def run(batches):
+        seen = Seen(memory)
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows > 2:
+                yield work(seen, held, first, False)
+                first, held = False, held.slice(held.num_rows - 2)
+        if held is not None:
+            yield work(seen, held, first, True)
+
+    return run
+
 
-from pagetally.llm.repeats import remove_repeats
+def _passages(key: np.ndarray, after: np.ndarray, before: np.ndarray, i: np.ndarray, a: np.ndarray, side: int, seed: int) -> np.ndarray:
+    """Fingerprint of the passage that begins a words before suffix i, for parallel arrays i and a."""
+    some, back = np.unique(i, return_inverse=True)
+    ends = []
+    for x, salt in ((before, 1), (after, 2)):
+        wide = np.zeros((len(some), side, 8), np.uint8)
+        wide[:, :, :CODE] = x[some].reshape(len(some), side, CODE)
+        word = wide.reshape(len(some), side * 8).view(np.uint64)
+        h = np.empty((len(some), side + 1), np.uint64)
+        h[:, 0] = mix(key[some], seed + salt)
+        for j in range(side):
+            h[:, j + 1] = mix((h[:, j] ^ word[:, j]) * np.uint64(0xD1342543DE82EF95), seed + salt)
+        ends.append(h)
+    return mix(ends[0][back, a] * np.uint64(0x9E3779B97F4A7C15) + ends[1][back, side - a] + a.astype(np.uint64), seed)
 
 
-def suffix_duplicates(docs: DataFrame, window: int = 50, prefix: int = 26, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id_col, n_words, n_removed, spans, kept[, carried columns]): kept is the text without its spans."""
-    return remove_repeats(docs, window, prefix, id_col, text_col, keep_layout=True, carry=carry)
+def suffix_duplicates(docs: DataFrame, window: int = 50, prefix: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, memory: int = 18) -> DataFrame:
+    """(id_col, n_words, n_removed, spans, kept[, carried columns]): kept is the text without its spans.
+    A task remembers 2 ** ``memory`` prefixes, records or passages; that bounds its memory and changes no result."""
+    tune(docs.sparkSession)
+    carry = carry or []
+    prefix = prefix or (window + 2) // 2
+    if not 0 < window - prefix < 62:
+        raise ValueError("the prefix must be shorter than the window, by less than 62 words")
+    base = texts_of(docs, id_col, text_col, carry)
+    suffixes = texts_of(docs, id_col, text_col).mapInArrow(_retain(window, prefix, memory), "key bigint, id bigint, at int, live tinyint")
+    live = suffixes.select("id", "at", "live", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("same")).where("live = 1 OR same > 1")
+    marked = live.groupBy("id").agg(F.collect_list("at").alias("places"))
+    records = base.join(marked, "id", "left").select("id", "text", "places").mapInArrow(_records(window, prefix, memory), RECORD)
+    order = ["key", "after", "before", "id", "at"]
+    found = records.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, prefix, memory), ROWS)
+    return cut(docs, base, found, window, True, id_col, carry)

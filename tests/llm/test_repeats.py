@@ -1,14 +1,18 @@
 import hashlib
+import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from pagetally.llm import common
 from pagetally.llm.factors import factor_duplicates
 from pagetally.llm.suffixes import suffix_duplicates
 from tests.llm.helpers import WORD, awkward, random_texts, removed
 
 
-def held_against_brute_force(spark, operator, window, partitions):
-    texts = {k * 3: t for k, t in enumerate(random_texts(150, seed=window))}
+def held_against_brute_force(spark, operator, window, partitions, texts=None):
+    texts = texts or {k * 3: t for k, t in enumerate(random_texts(150, seed=window))}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").orderBy(F.hash("doc_id")).repartition(partitions)
     want = removed(texts, window)
     seen = 0
@@ -22,20 +26,94 @@ def held_against_brute_force(spark, operator, window, partitions):
 
 
 def test_factors_remove_what_repeats(spark):
-    held_against_brute_force(spark, lambda d, w: factor_duplicates(d, w, block=8), 20, 1)
-    held_against_brute_force(spark, lambda d, w: factor_duplicates(d, w, block=8), 20, 7)
+    held_against_brute_force(spark, factor_duplicates, 20, 1)
+    held_against_brute_force(spark, factor_duplicates, 20, 7)
 
 
 def test_suffixes_remove_what_repeats(spark):
-    held_against_brute_force(spark, lambda d, w: suffix_duplicates(d, w), 50, 5)
+    held_against_brute_force(spark, suffix_duplicates, 50, 5)
 
 
-def test_batches_do_not_matter(spark, monkeypatch):
-    from pagetally.llm import common
+def patchwork(n, seed, pieces=6, longest=45):
+    """Texts put together from parts of few sources, so that passages over a seam occur in third texts."""
+    rnd = random.Random(seed)
+    sources = [[f"{c}{i}" for i in range(120)] for c in "abc"] + [["x", "y"] * 40]
+    out = {}
+    for k in range(n):
+        words = []
+        for _ in range(rnd.randint(1, pieces)):
+            source = rnd.choice(sources)
+            at = rnd.randrange(0, len(source), 5)
+            words += source[at : at + rnd.randint(3, longest)]
+        out[k] = " ".join(words)
+    return out
 
-    monkeypatch.setattr(common, "BLOB", 2000)
-    monkeypatch.setattr(common.slices, "__defaults__", (1, 2000))
-    held_against_brute_force(spark, lambda d, w: factor_duplicates(d, w, block=8), 20, 2)
+
+@pytest.mark.parametrize("window", [7, 20, 50])
+def test_seams(spark, window):
+    for operator in (factor_duplicates, suffix_duplicates):
+        held_against_brute_force(spark, operator, window, 3, patchwork(250, window, longest=2 * window))
+
+
+def test_a_forgetful_memory_does_not_matter(spark):
+    for operator, window in ((factor_duplicates, 20), (suffix_duplicates, 50)):
+        held_against_brute_force(spark, lambda d, w, f=operator: f(d, w, memory=3), window, 2)
+
+
+def test_one_passage_in_very_many_texts(spark):
+    rnd = random.Random(5)
+    common_words = [f"c{i}" for i in range(60)]
+    texts = {}
+    for k in range(600):
+        begin, stop = rnd.randint(0, 12), 60 - rnd.randint(0, 12)
+        texts[k] = " ".join([*(f"l{k % 7}{i}" for i in range(rnd.randint(0, 9))), *common_words[begin:stop], *(f"r{k % 11}{i}" for i in range(rnd.randint(0, 9)))])
+    for operator, window in ((factor_duplicates, 20), (suffix_duplicates, 50)):
+        held_against_brute_force(spark, operator, window, 9, texts)
+
+
+def test_long_texts(spark):
+    """Texts above a slice (2 MiB), one of them with a word of a megabyte."""
+    rnd = random.Random(6)
+    long = " ".join(str(rnd.randrange(10**6)) for _ in range(400_000))
+    part = " ".join(long.split(" ")[200_000:200_100])
+    texts = [(1, long), (2, "x" * (1 << 20) + " " + part), (3, part + " " + "x" * (1 << 20)), (4, long)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    for operator, window in ((factor_duplicates, 20), (suffix_duplicates, 50)):
+        got = {r.doc_id: (r.n_words, r.n_removed) for r in operator(df, window).select("doc_id", "n_words", "n_removed").collect()}
+        assert got == {1: (400_000, 0), 2: (101, 100), 3: (101, 100), 4: (400_000, 400_000)}
+
+
+def thue_morse(n, swap, words="ab"):
+    return [words[bin(i).count("1") % 2 ^ swap] for i in range(n)]
+
+
+def test_hashes_tell_regular_words_apart():
+    """Sequences in which any polynomial modulo a power of two collides."""
+    for n in (8, 16, 63, 64, 1024, 4096):
+        data, ends = common.joined(pa.array(["".join(thue_morse(n, 0)) + " " + "".join(thue_morse(n, 1))]), 0x20)
+        for seed in (0, 1):
+            words = common.Words(data, ends)
+            h = common.word_hashes(words.data, words.start, words.end, seed)
+            assert h[0] != h[1]
+    data, ends = common.joined(pa.array([" ".join(thue_morse(64, 0)), " ".join(thue_morse(64, 1))]), 0x20)
+    h1, h2 = common.Words(data, ends).windows(64, double=True)
+    assert h1[0] != h1[64] and h2[0] != h2[64]
+
+
+def test_wide_offsets_and_views():
+    for kind in (pa.string(), pa.large_string(), pa.string_view()):
+        column = pa.array(["zz", "abc", None, "de"], kind).slice(1)
+        data, ends = common.joined(column, 0x20)
+        assert data.tobytes() == b"abc  de " and ends.tolist() == [3, 4, 7]
+
+
+def test_batches_do_not_matter(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for operator, window in ((factor_duplicates, 20), (suffix_duplicates, 50)):
+            held_against_brute_force(spark, operator, window, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_layout_is_kept(spark):
