@@ -8,7 +8,8 @@ probability close to the Jaccard similarity for b near 1.
 1. Texts with equal sets form a class, represented by its smallest id.
 2. Registers are banded; the classes of a bucket are proposed to its smallest member, so a bucket
    gives as many candidates as it has members, never all pairs.
-3. Classes connected by proposals form an area. The sets of an area of at most ``block`` elements
+3. Classes connected by proposals form an area. The sets of an area of at most ``block`` elements (each
+   member counts for MEMBER more, so that very many short texts are no small area)
    come together in one task, which compares a member with those not yet connected to it.
 4. In a larger area each proposal is verified where it stands. Where these links leave the area in
    several components, every member outside the largest is compared with every member in blocks of
@@ -21,9 +22,11 @@ equal registers; what is not far below the threshold is verified on the full set
 With 32 bands of 4 registers a pair at 0.8 shares no bucket with probability 5e-8.
 
 Defined results: a text without words (null, empty) has an empty set, is linked with nothing and is
-kept; one with fewer words than a shingle is one shingle; equal rows count as one text and each
-gets the same result; a row without id is kept and not compared; further columns are ignored; an
-empty table gives an empty result.
+kept; one with fewer words than a shingle is one shingle; a text of any length is taken whole; a
+similarity of exactly ``percent`` links; equal rows count as one text and each gets the same result; of
+different texts under one id the smallest (by its bytes) is compared with texts that are not equal, and each
+row has its own n_shingles; a row without id is kept and not compared; further columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2)
 _MUL = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 1_000_000  # set elements in a block of the exhaustive comparison
+MEMBER = 64  # elements that a member counts for besides its own
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +251,7 @@ def _large_areas(proposed: DataFrame, sets: DataFrame, percent: int, m: int, blo
     links = checkpointed(pairs.mapInArrow(_verify(percent, m, 0.25), "u bigint, v bigint"))
     linked = connected_components(links)
     places = checkpointed(sets.select("id", "n", "area").join(linked, "id", "left").select("id", "n", "area", F.coalesce("component", "id").alias("component")))
-    by_part = places.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    by_part = places.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + MEMBER).alias("n"))
     area = by_part.groupBy("area").agg(F.max(F.struct("k", "component", "n")).alias("top"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     area = area.select("area", F.col("top.component").alias("main"), F.ceil(F.col("all_n") / block).cast("int").alias("mb"), F.ceil((F.col("all_n") - F.col("top.n")) / block).cast("int").alias("ob"))
     split = places.join(area, "area").join(sets.select("id", "elements"), "id")
@@ -265,21 +269,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = checkpointed(texts.mapInArrow(_sketch(shingle, bands, rows), "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"))
-    classes = sketches.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("class"), F.first("bands").alias("bands"))
+    # the checkpoint lets adaptive execution split a set that very many texts have where it is joined below
+    classes = checkpointed(sketches.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("class"), F.first("bands").alias("bands")))
     keys = classes.select("class", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "least")
     proposed = checkpointed(keys.join(buckets, "key").where("class <> least").select(F.col("least").alias("u"), F.col("class").alias("v")).distinct())
     concerned = proposed.select(F.col("u").alias("id")).union(proposed.select(F.col("v").alias("id"))).distinct()
     areas = concerned.join(connected_components(proposed), "id", "left").select("id", F.coalesce("component", "id").alias("area"))
-    sets = texts.join(areas, "id").dropDuplicates(["id"]).select("id", "text", "area").mapInArrow(_sets(shingle, bands * rows), "id bigint, area bigint, n bigint, sketch binary, elements array<bigint>")
+    sets = texts.join(areas, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("area").alias("area")).select("id", "text", "area").mapInArrow(_sets(shingle, bands * rows), "id bigint, area bigint, n bigint, sketch binary, elements array<bigint>")
     sets = checkpointed(sets)
-    size = sets.groupBy("area").agg(F.sum("n").alias("all_n"))
+    size = sets.groupBy("area").agg(F.sum(F.col("n") + MEMBER).alias("all_n"))
     small = sets.join(size.where(F.col("all_n") <= block).select("area"), "area")
     found = small.groupBy("area").applyInArrow(_resolve(percent, bands * rows, 0.25), "u bigint, v bigint").select(F.col("u").alias("class"), F.col("v").alias("component"))
     large = size.where(F.col("all_n") > block).select("area")
     if not large.isEmpty():
         found = found.union(_large_areas(proposed, sets.join(large, "area"), percent, bands * rows, block).select(F.col("id").alias("class"), "component"))
-    named = sketches.join(classes.select("f1", "f2", "class"), ["f1", "f2"], "left").select(F.col("id"), "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    out = named.join(found, "class", "left")
+    named = sketches.where("n > 0").select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "class"), ["f1", "f2"], "left").select("id", "n", "class")
+    empty = sketches.where("n = 0").select("id", "n", "id", F.lit(None).cast("bigint"))
+    out = named.join(found, "class", "left").select("id", "n", "class", "component").union(empty.toDF("id", "n", "class", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
