@@ -19,8 +19,9 @@ texts; texts are never shuffled, and a text that a third of the corpus shares co
 same.
 
 Defined results: words are runs of ASCII letters and digits and of all non-ASCII characters, compared with
-A-Z lower-cased; a null or empty text, or an item with
-fewer than n words, matches nothing; equal items each get their rows, as do equal texts; rows
+A-Z lower-cased; a null or empty text, or an item without words, matches nothing; an item with
+fewer than n words matches a text that has just these words; a text of any length is taken whole, and a long item
+too; of equally good alignments the one that ends first in the item, then in the text, counts; equal items each get their rows, as do equal texts; rows
 without id are compared like others; further columns are ignored; no texts or no items give an
 empty result.
 """
@@ -67,6 +68,9 @@ class Items:
         self.term_map = _map(self.terms)
         # each item's distinct words and how often it has them, ordered by item and word
         self.pairs, self.times = np.unique(self.owner * len(self.terms) + self.term, return_counts=True)
+        self.short = defaultdict(list)  # items below n words, by their words
+        for q in np.flatnonzero((self.length > 0) & ~long).tolist():
+            self.short[tuple(words.hash[words.first[q] : words.first[q + 1]].tolist())].append(q)
         self.seed_item, self.seed_posting = np.zeros(0, np.int64), np.zeros(len(self.terms) + 1, np.int64)
 
     def nbytes(self) -> int:
@@ -239,6 +243,10 @@ def _count(index):
 
 def _hits(held: Items, words: Words):
     """(text, item, (matched words, start, stop)) of all copies and excerpts."""
+    for t in np.flatnonzero((words.count > 0) & (words.count < held.n)).tolist() if held.short else []:
+        n = int(words.count[t])
+        for q in held.short.get(tuple(words.hash[words.first[t] : words.first[t + 1]].tolist()), []):
+            yield t, q, (n, 0, n)
     copies, excerpts = _copies(held, words), _excerpts(held, words)
     for t, q in sorted(copies.keys() | excerpts.keys()):
         item = held.words[held.first[q] : held.first[q + 1]]
@@ -286,12 +294,13 @@ def _indices(texts: DataFrame, items: DataFrame, n: int, identity: float, excerp
     def made():
         index = Items(ids, block, n, identity, excerpt)
         sent = spark.sparkContext.broadcast((index.terms, index.term_map))
-        got = texts.select("text").mapInArrow(_count(sent), "term bigint, times bigint").groupBy("term").agg(F.sum("times").alias("times")).collect()  # a row for each word of the block at most
+        got = texts.select("text").mapInArrow(_count(sent), "term bigint, times bigint").groupBy("term").agg(F.sum("times").alias("times")).toArrow()  # two numbers for each word of the block at most
         frequency = np.zeros(len(index.terms), np.int64)
-        for r in got:
-            frequency[r.term] = r.times
+        frequency[got["term"].to_numpy()] = got["times"].to_numpy()
+        sent.destroy()
         index.choose_seeds(frequency)
-        assert index.nbytes() <= 64 * limit + (1 << (BITS + 2))
+        if index.nbytes() > 64 * limit + (1 << (BITS + 2)):
+            raise ValueError(f"the index of a block of items takes {index.nbytes()} bytes; lower limit ({limit})")
         return spark.sparkContext.broadcast(index)
 
     some = False
