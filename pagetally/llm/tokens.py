@@ -7,11 +7,18 @@
   chunks, every chunk's map from entry state to exit state is worked out for all chunks at once,
   the maps are composed by a parallel prefix scan, and a last pass with the known entry states
   emits the boundaries. A text of any length therefore costs its bytes and no more.
-* the *word machine*, built lazily: one transition per distinct pre-token, annotated with the ids
-  (hence the number) that byte-pair merging emits for it. Missing transitions are compiled in bulk
-  by rank-ordered merging over arrays.
-
-A document's count is the sum of the annotations its path takes.
+* the *word machine*, a deterministic transducer over the bytes of a pre-token, whose transitions are
+  annotated with token counts. In byte-pair encoding a token sequence is the encoding of its bytes if
+  and only if each two neighbours are (``apart``), so the encoding of every beginning of a word is the
+  encoding of a shorter beginning and one more token, and which token that is depends on the last
+  tokens of the beginnings before it. A state is the longest end of what was read that begins some
+  token, with the last token and the relative count of the beginnings inside it: all that later
+  tokens can reach back to. So there are finitely many states, whatever the length of a word. A
+  transition's annotation is by how much the encoding grows. Transitions are compiled when they are
+  first taken; beyond ``STATES_KEPT`` states the machine is begun anew, which bounds its memory.
+
+A document's count is the sum of the annotations its path takes. (``encode``, which gives the ids that packing
+needs, merges the distinct pre-tokens of a batch in rank order, all at once.)
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings inside a text
 count as the special token; rows are independent, so ties, repeated rows and any number of
@@ -126,6 +133,9 @@ class Tokenizer:
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self._hash_pairs(left << 20 | right, np.array([vocab[a + b] for a, b in merges], np.int64))
         self.classes = np.frombuffer(zlib.decompress(classes or packed_classes(path)), np.uint8)
+        self.rank = {(int(a), int(b)): (k, int(c)) for k, (a, b, c) in enumerate(zip(left, right, (vocab[x + y] for x, y in merges), strict=True))}
+        self.bytes_of = {i: bytes(alphabet[ch] for ch in t) for t, i in vocab.items() if all(ch in alphabet for ch in t)}
+        self.word_machine: WordMachine | None = None
         self.words: dict[bytes, int] = {}
         self._reset()
 
@@ -331,11 +341,132 @@ class Tokenizer:
 
     def count(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each text, without separators."""
-        starts, word = self.transitions(data)
-        total = np.cumsum(self.n[word].astype(np.int64))[np.searchsorted(starts, ends)]
+        if self.word_machine is None:
+            self.word_machine = WordMachine(self)
+        starts = self.boundaries(data)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()  # equal words take equal paths
+        each = np.array(self.word_machine.count(coded.dictionary.to_pylist()), np.int64)
+        total = np.cumsum(each[coded.indices.to_numpy()])[np.searchsorted(starts, ends)]
         return np.diff(total, prepend=0) - 1
 
 
+class WordMachine:
+    """The lazily compiled transducer; see the module's docstring."""
+
+    STATES_KEPT = 150_000
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.rank, self.bytes_of = tokenizer.rank, tokenizer.bytes_of
+        self.byte_id = tokenizer.byte_id.tolist()
+        self.fixed = {bytes([SEPARATOR]): 1} | dict.fromkeys(tokenizer.special, 1)
+        special = set(tokenizer.special.values())
+        # tokens that merging can make; others never end a word's beginning
+        self.split: dict[int, tuple[int, int, int]] = {}  # rank of a token's last merge, and what it merges
+        self.token = {}
+        for i, b in self.bytes_of.items():
+            if i not in special and self.merged(b, i) == [i]:
+                self.token[b] = i
+        born = lambda i: self.split[i][0] if i in self.split else -1
+        # what a merge joins was made by earlier merges, so pairs are merged in the order of their ranks
+        if not all(max(born(a), born(b)) < rank for rank, a, b in self.split.values()):
+            raise ValueError("only vocabularies whose merges come after those of their parts are compiled")
+        self.begins = {b[:k] for b in self.token for k in range(1, len(b) + 1)}
+        self.edges: list[dict[int, list]] = [{}, {}]
+        self.reset()
+
+    def reset(self) -> None:
+        self.states = [(b"", (-1,), (0,))]  # end of what was read, last tokens and counts of the beginnings inside it
+        self.number = {self.states[0]: 0}
+        self.next: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> (state, tokens more)
+        self.known: dict[bytes, int] = dict(self.fixed)
+
+    def merged(self, text: bytes, of: int) -> list[int]:
+        """Byte-pair merging by rank, of the leftmost of equal pairs; the last merge is kept as the split of ``of``."""
+        ids = [self.byte_id[b] for b in text]
+        while len(ids) > 1:
+            found = [(self.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
+            if not found:
+                break
+            rank, i = min(found)
+            if len(ids) == 2:
+                self.split[of] = rank, ids[0], ids[1]
+            ids[i : i + 2] = [self.rank[ids[i], ids[i + 1]][1]]
+        return ids
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """What stands at a token's left (0) or right (1) end while it is merged: (id, made at rank, used at rank)."""
+        out = self.edges[side].get(token)
+        if out is None:
+            out, part, used = [], token, 1 << 60
+            while True:
+                rank, *parts = self.split.get(part, (-1, None, None))
+                out.append((part, rank, used))
+                if rank < 0:
+                    break
+                part, used = parts[side], rank
+            self.edges[side][token] = out
+        return out
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side are the encoding of their bytes; a = -1 is a word's beginning. They are
+        unless some merge joins both while it is its turn: of pairs of equal rank the left one comes first."""
+        if a < 0:
+            return True
+        get = self.rank.get
+        for x, made, used in self.edge(a, 1):
+            for y, also_made, also_used in self.edge(b, 0):
+                pair = get((x, y))
+                if pair is not None and made < pair[0] < used and also_made < pair[0] <= also_used:
+                    return False
+        return True
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        end, last, count = self.states[state]
+        end += bytes([byte])
+        # positions of the beginnings: last[k] belongs to the one that ends k bytes into ``end``
+        for k in range(len(end)):
+            token = self.token.get(end[k:])
+            if token is not None and self.apart(last[k], token):
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        more = count[k] + 1
+        last, count = (*last, token), (*(c - more for c in count), 0)
+        cut = next(k for k in range(len(end) + 1) if k == len(end) or end[k:] in self.begins)
+        key = (end[cut:], last[cut:], count[cut:])
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
+        self.next[state << 8 | byte] = to, more
+        return to, more
+
+    def count(self, words: list[bytes]) -> list[int]:
+        if len(self.states) > self.STATES_KEPT:
+            self.reset()
+        out = []
+        for word in words:
+            n = self.known.get(word)
+            if n is None:
+                state = n = 0
+                for byte in word:
+                    state, more = self.next.get(state << 8 | byte) or self.compile(state, byte)
+                    n += more
+                    if len(self.states) > 2 * self.STATES_KEPT:  # within one very long word, too
+                        key, held = self.states[state], n
+                        self.reset()
+                        state = self.number.setdefault(key, len(self.states))
+                        if state == len(self.states):
+                            self.states.append(key)
+                        n = held
+                if len(word) <= 64:
+                    self.known[word] = n
+            out.append(n)
+        return out
+
+
 @lru_cache(maxsize=2)
 def compile_tokenizer(path: str, classes: bytes | None = None) -> Tokenizer:
     return Tokenizer(path, classes)
