@@ -1,9 +1,11 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The corpus is its own reference. In every passage of ``window`` words the ``block`` words with the
-smallest fingerprint are a reference block; because the choice depends on the passage's words only,
-equal passages hold equal blocks at equal places. Blocks begin at most ``window - block + 1`` words
-apart, which is no more than their length, so the blocks inside a passage cover it without gaps.
+The corpus is its own reference. Every passage of ``window`` words chooses one of its blocks of ``block``
+words as a reference block: where its smallest run of a few words stands, modulo the number of its blocks
+(mod-sampling, which takes fewer blocks than the smallest block itself would). Because the choice depends on the
+passage's words only, equal passages hold equal blocks at equal places. Blocks begin at most
+``window - block + 1`` words apart, which is no more than their length, so the blocks inside a passage cover
+it without gaps.
 
 1. *Index.* Every block of every text is indexed with its place (id, word). Each gets a pointer to
    the earliest place of its words in the corpus; where a task already knows an earlier place of the
@@ -41,6 +43,14 @@ from pagetally.llm.common import Words, joined, mix, slices, tune
 from pagetally.llm.passages import GAP, ROWS, Seen, anchors, asked, cut, ids_of, texts_of
 
 
+def _blocks(words: Words, starts: np.ndarray, window: int, block: int) -> np.ndarray:
+    """The place of each passage's reference block."""
+    choices = window - block + 1
+    run = 1 + (block - 1) % choices  # as long as a block, less a multiple of the number of choices
+    h, _ = words.windows(run)
+    return starts + (anchors(h, starts, window - run + 1) - starts) % choices
+
+
 def _chain(row: np.ndarray, at: np.ndarray, source: np.ndarray, there: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of each factor's first block, words of the factor) of blocks ordered by row and place."""
     if not len(row):
@@ -62,7 +72,7 @@ def _index(window: int, block: int, memory: int):
             words = Words(*joined(batch.column(1), GAP))
             h, _ = words.windows(block)
             starts = np.flatnonzero(words.fits(window) & there[words.doc])
-            chosen = np.unique(anchors(h, starts, window - block + 1))
+            chosen = np.unique(_blocks(words, starts, window, block))
             key, doc, at = h[chosen], ids[words.doc[chosen]], words.place()[chosen]
             send, again, source, place, tell_id, tell_at = seen.resolve(key, np.zeros(len(key), np.uint64), doc, at)
             order = np.argsort(chosen[again], kind="stable")
@@ -118,8 +128,7 @@ def _parse(window: int, block: int, memory: int):
             f_row, f_begin, length = np.r_[f_row, row[near]], np.r_[f_begin, begin[near]], np.r_[length, n[near]]
             sure = _ranges(size, f_begin, np.minimum(f_begin + length - window + 1, words.first[f_row + 1] - window + 1))
             starts = np.flatnonzero(words.fits(window))
-            h, _ = words.windows(block)
-            open_ = starts[repeats[anchors(h, starts, window - block + 1)] & ~sure[starts]]
+            open_ = starts[repeats[_blocks(words, starts, window, block)] & ~sure[starts]]
             f1, f2 = words.windows(window, double=True)
             place = words.place()
             known = np.flatnonzero(sure)
