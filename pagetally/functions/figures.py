@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetally.functions.text import western_digits
+from pagetally.functions.text import nfkc, western_digits
 
 # What counts as a number, a year token (2010-2029), and a loose one.
 NUMBER = r"-?\(?\d[\d,]*\.?\d*\)?"
@@ -15,15 +15,15 @@ LOOSE_YEAR = r"(?<![\d٠-٩])(?:20[12]\d|[٠-٩]{4})(?![\d٠-٩])"
 
 def parse_figure(s: Column) -> Column:
     """A matched number's value to two places; negative if it begins with a parenthesis or a minus."""
-    bare = F.regexp_replace(s, r"[(),\-]", "")
-    value = F.round(bare.try_cast("double"), 2)
+    value = F.round(F.translate(s, "(),-", "").try_cast("double"), 2)
     negative = s.startswith("(") | s.startswith("-")
     return F.when(negative & (value != 0), -value).otherwise(value)
 
 
-def figures(c: Column) -> Column:
-    """All numbers of a text, in order, with repeats."""
-    found = F.transform(F.regexp_extract_all(western_digits(c), F.lit(NUMBER), F.lit(0)), parse_figure)
+def figures(c: Column, compose: bool = True) -> Column:
+    """All numbers of a text, in order, with repeats. Compatibility forms (full-width digits) count as what they
+    stand for; ``compose=False`` is for text that is known to be composed."""
+    found = F.transform(F.regexp_extract_all(western_digits(nfkc(c) if compose else c), F.lit(NUMBER), F.lit(0)), parse_figure)
     return F.filter(found, lambda v: v.isNotNull())
 
 
@@ -45,8 +45,8 @@ def loose_years(c: Column) -> Column:
 
 
 def row_years(cells: Column) -> Column:
-    """A row's years if all its numbers are years, else none."""
-    values = F.flatten(F.transform(cells, figures))
+    """A row's years if all its numbers are years, else none. Cells are composed text."""
+    values = F.flatten(F.transform(cells, lambda c: figures(c, compose=False)))
     is_years = (F.size(values) > 0) & F.forall(values, lambda v: F.abs(v).between(2015, 2030))
     return F.when(is_years, F.transform(values, F.abs)).otherwise(F.array().cast("array<double>"))
 
@@ -57,6 +57,23 @@ def one_digit_apart(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (F.size(F.filter(pairs, lambda d: d)) == 1)
 
 
+def first_years(lines: Column, most: int = 40) -> Column:
+    """The first two years of the first line, of so many, that has two valid years or more; else none."""
+    in_lines = F.filter(F.transform(F.slice(lines, 1, most), loose_years), lambda y: F.size(y) >= 2)
+    return F.slice(F.coalesce(F.get(in_lines, 0), F.array().cast("array<int>")), 1, 2)
+
+
+def distinct_figures(values: Column) -> Column:
+    """How many different absolute values there are."""
+    return F.size(F.array_distinct(F.transform(values, F.abs)))
+
+
+def middle(values: Column) -> Column:
+    """The median: the mean of the two middle values of an even number."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
 def upper_median(values: Column) -> Column:
     """The middle value, the upper one of two; null for an empty array."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))

@@ -145,5 +145,20 @@ def page_key(filing: Column, page: Column, digits: int = 2) -> Column:
     return F.format_string(f"%s_p%0{digits}d", filing, page)
 
 
+def thousands(c: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(c, 0)
+
+
+def document_of(page: Column) -> Column:
+    """The document's key: what stands before the first underscore of a page's name."""
+    return F.split_part(page, F.lit("_"), F.lit(1))
+
+
+def page_number(page: Column) -> Column:
+    """A page's name by number alone, three digits."""
+    return F.format_string("p%03d", page)
+
+
 def percent(c: Column, places: int = 1) -> Column:
     return F.format_string(f"%.{places}f%%", c.cast("double") * 100)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetally.functions.text import number_text
+
 
 def floor_probability(p: Column) -> Column:
     """The smallest token probability; missing and zero both count as one."""
@@ -33,9 +35,11 @@ def agreement_counts(records: DataFrame) -> DataFrame:
 
 
 def probe(outputs: DataFrame, group: str) -> DataFrame:
-    """(group, passed, items): outputs that contain all their true strings. outputs: group, output, truths."""
-    ok = F.forall("truths", lambda t: F.contains(F.col("output"), t))
-    return outputs.groupBy(group).agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("items"))
+    """(group, passed, items): outputs that contain all their true figures; digits and separators of either script count
+    as ASCII ones on both sides, and all else is dropped. outputs: group, output, truths."""
+    normal = outputs.select(group, number_text(F.col("output")).alias("_output"), F.transform("truths", number_text).alias("_truths"))
+    ok = F.forall("_truths", lambda t: F.contains(F.col("_output"), t))
+    return normal.groupBy(group).agg(F.count_if(ok).alias("passed"), F.count(F.lit(1)).alias("items"))
 
 
 def matrix(scores: DataFrame, row: str, run: str, runs: Sequence[str], value: str) -> DataFrame:

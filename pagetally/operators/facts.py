@@ -32,6 +32,14 @@ def on_common_base(eligible: DataFrame, outcomes: DataFrame, cell: Sequence[str]
     return grid.join(outcomes, [*cell, system], "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
 
 
+def by_run(runs: DataFrame, run: str, label: str) -> DataFrame:
+    """Runs with ``name``: their label, with the run's own key behind it where several runs have that label.
+    Labels are no key: tables that go by label would add up different runs."""
+    several = runs.groupBy(label).agg(F.count_distinct(run).alias("_n")).where("_n > 1").select(F.col(label).alias("_label"))
+    marked = runs.join(several, F.col(label) == F.col("_label"), "left")
+    return marked.withColumn("name", F.when(F.col("_label").isNotNull(), F.format_string("%s (%s)", label, F.col(run).cast("string"))).otherwise(F.col(label))).drop("_label")
+
+
 def outcome_shares(cells: DataFrame, outcomes: Sequence[str], system: str = "system") -> DataFrame:
     """(system, cells, one share for each outcome); the shares of all outcomes add up to one."""
     share = lambda o: F.avg((F.col("outcome") == o).cast("double")).alias(o.replace(" ", "_"))
@@ -49,10 +57,12 @@ def statement_level(cells: DataFrame, statement: Sequence[str], system: str = "s
     return each.groupBy(system).agg(F.count(F.lit(1)).alias("statements"), F.count_if("right").alias("fully_right"), F.count_if("critical").alias("with_critical"))
 
 
-def offset_class(distance):
-    """Where a misplaced figure landed, from its signed row distance (null: another statement)."""
+def offset_class(distance, heading=None):
+    """Where a misplaced figure's label points, from its signed row distance (null: another statement) and
+    whether the line there is a section heading, which goes before the distance."""
     return (
-        F.when(distance.isNull(), "other statement")
+        F.when(F.lit(False) if heading is None else heading, "section heading")
+        .when(distance.isNull(), "other statement")
         .when(distance == 1, "next")
         .when(distance == -1, "before")
         .when(F.abs(distance) == 2, "two lines off")
@@ -67,8 +77,10 @@ def side_rate(cells: DataFrame, counted: Sequence[str], base: int, system: str =
 
 
 def placement(pages: DataFrame, system: str = "system") -> DataFrame:
-    """(system, in_tables, outside_only, absent): pages by where their labels stand."""
-    where = F.when(F.col("labels_in_tables") > 0, "in_tables").when(F.col("labels_outside") > 0, "outside_only").otherwise("absent")
+    """(system, in_tables, outside_only, absent): pages by where most of their labels stand; of equally many, in
+    this order. pages: system, labels_in_tables, labels_outside, labels_absent."""
+    most = F.greatest("labels_in_tables", "labels_outside", "labels_absent")
+    where = F.when(F.col("labels_in_tables") == most, "in_tables").when(F.col("labels_outside") == most, "outside_only").otherwise("absent")
     counted = pages.withColumn("where", where).groupBy(system).pivot("where", ["in_tables", "outside_only", "absent"]).count()
     return counted.na.fill(0)
 

@@ -113,11 +113,24 @@ def crop_box(rows: DataFrame, key: str, height: str, margin: int = 30) -> DataFr
 
 
 def fit_pixels(width: Column, height: Column, most: int, least: int, grid: int = 28) -> Column:
-    """Page size on a grid within a pixel range, keeping the ratio: struct(width, height)."""
-    w, h = (F.greatest(F.lit(grid), F.round(x / grid) * grid) for x in (width, height))
-    area = w * h
-    shrink, grow = F.sqrt(width * height / most), F.sqrt(least / (width * height))
-    down = lambda x: F.greatest(F.lit(grid), F.floor(x / shrink / grid) * grid)
-    up = lambda x: F.ceil(x * grow / grid) * grid
-    pick = lambda x, r: F.when(area > most, down(x)).when(area < least, up(x)).otherwise(r).cast("int")
-    return F.struct(pick(width, w).alias("width"), pick(height, h).alias("height"))
+    """Page size in whole cells of a grid, within a pixel range: struct(width, height).
+
+    The page is scaled to the range, each side rounded to cells (half to even), and while the cells are still too
+    many, the side goes down by one whose loss changes the ratio of the sides less; a side of one cell stays."""
+    ratio, area = width / height, width * height
+    scale = F.when(area > most, F.sqrt(F.lit(float(most)) / area)).when(area < least, F.sqrt(F.lit(float(least)) / area)).otherwise(1.0)
+    cells = lambda x: F.greatest(F.lit(1), F.bround(x * scale / grid).cast("int"))
+    start = F.struct(cells(width).alias("w"), cells(height).alias("h"))
+
+    def down(state, _):
+        w, h = state["w"], state["h"]
+        fit = F.lit(most // (grid * grid))  # of a side that alone can go down
+        w, h = F.when(h == 1, F.least(w, F.greatest(fit, F.lit(1)))).otherwise(w), F.when(w == 1, F.least(h, F.greatest(fit, F.lit(1)))).otherwise(h)
+        over = (w * h * grid * grid > most) & ((w > 1) | (h > 1))
+        loses_width = (h == 1) | (w > 1) & (F.abs((w - 1) / h - ratio) < F.abs(w / F.nullif(h - 1, F.lit(0)) - ratio))
+        return F.struct(F.when(over & loses_width, w - 1).otherwise(w).alias("w"), F.when(over & ~loses_width, h - 1).otherwise(h).alias("h"))
+
+    # rounding up both sides adds at most half a cell to each, so no more steps than a side has are needed; 64 are
+    # more than pages of up to a thousand cells a side take
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, down)
+    return F.struct((end["w"] * grid).alias("width"), (end["h"] * grid).alias("height"))

@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetally.functions.distance import partial_ratio, similarity
+from pagetally.functions.text import normalise
+
+UNLABELED = "unlabeled line"  # fixed value: a row's status
+
+
+def with_truth(outputs: DataFrame, truth: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Outputs beside their truth; documents that only one side has go."""
+    return outputs.join(truth, list(key))
+
+
+def aligned_runs(first: DataFrame, others: dict[str, DataFrame], key: str) -> DataFrame:
+    """Pages of the first run, with a column for each other run: its row (key aside) as a struct, null where it
+    has no such page."""
+    out = first
+    for name, run in others.items():
+        row = F.struct(*[c for c in run.columns if c != key]).alias(name)
+        out = out.join(run.select(key, row), key, "left")
+    return out
+
+
+def in_line(figures: Column, line: Column) -> Column:
+    """All figures occur in the line, however often."""
+    return F.forall(figures, lambda f: F.array_contains(line, f))
 
 
 def contained(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
     """(group, row, found): some single line holds all the row's values with their multiplicities.
-    rows: group, row, value, n; lines: group, line, value, n. An equi-join on values and a count of
-    those satisfied: relational division without comparing every row with every line."""
+    rows: group, row, value, n; lines: group, line, value, n. Each different row of a group meets only the lines
+    that hold its rarest value there, and is compared with those as a whole."""
     pattern = lambda df, by: df.groupBy(*group, by).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("pattern"))
     wanted, given = pattern(rows, row), pattern(lines, line)
     # Rows and lines with the same multiset behave alike: compare each multiset of a group once.
-    spread = lambda df, name, n: df.select(*group, "pattern").distinct().select(*group, F.col("pattern").alias(name), F.explode("pattern").alias("p")).select(*group, name, "p.value", F.col("p.n").alias(n))
-    hit = spread(wanted, "need", "n").join(spread(given, "line", "have"), [*group, "value"]).where("have >= n").groupBy(*group, "need", "line").agg(F.count(F.lit(1)).alias("got"))
-    full = hit.where(F.col("got") == F.size("need")).select(*group, F.col("need").alias("pattern")).distinct().withColumn("found", F.lit(True))
-    return wanted.join(full, [*group, "pattern"], "left").select(*group, row, F.coalesce("found", F.lit(False)).alias("found"))
+    need, have = (df.select(*group, "pattern").distinct() for df in (wanted, given))
+    held = have.select(*group, "pattern", F.explode("pattern").alias("p")).select(*group, "p.value", F.col("pattern").alias("line"))
+    often = held.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("often"))
+    asked = need.select(*group, "pattern", F.explode("pattern").alias("p")).select(*group, "pattern", "p.value").join(often, [*group, "value"], "left")
+    rarest = asked.groupBy(*group, "pattern").agg(F.min_by("value", F.struct(F.coalesce("often", F.lit(0)), "value")).alias("value"))
+    counts = F.map_from_entries(F.transform("line", lambda x: F.struct(x["value"], x["n"])))
+    holds = F.forall("pattern", lambda x: F.coalesce(F.try_element_at("counts", x["value"]) >= x["n"], F.lit(False)))
+    full = rarest.join(held, [*group, "value"]).withColumn("counts", counts).where(holds).select(*group, "pattern").distinct()
+    return wanted.join(full.withColumn("found", F.lit(True)), [*group, "pattern"], "left").select(*group, row, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def closest_line(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
-    """(group, row, line, shared, similarity): the line with most shared values; label similarity, then the
-    first line break ties. rows: group, row, label, values; lines: group, line, text, values.
-    Pairs are formed within a group only (a table and its pages)."""
-    shared = F.size(F.filter(F.array_distinct("values"), lambda v: F.array_contains("line_values", v)))
+    """(group, row, line, shared, similarity): the line with most shared values; similarity of the normalised label,
+    then the first line break ties. rows: group, row, label, values; lines: group, line, text, values.
+    Pairs are formed within a group only (a table and its pages); texts are compared where values tie."""
     times = lambda a: F.aggregate(F.array_distinct("values"), F.lit(0), lambda s, v: s + F.least(F.size(F.filter("values", lambda x: x == v)), F.size(F.filter(a, lambda x: x == v))))
-    pairs = rows.join(lines.withColumnRenamed("values", "line_values"), list(group))
-    pairs = pairs.withColumn("shared", F.when(shared > 0, times("line_values")).otherwise(0)).withColumn("similarity", partial_ratio(F.col("label"), F.col("text")))
-    best = F.max_by(F.struct(line, "shared", "similarity"), F.struct("shared", "similarity", -F.col(line)))
-    return pairs.groupBy(*group, row).agg(best.alias("b")).select(*group, row, f"b.{line}", "b.shared", "b.similarity")
+    shared = F.when(F.arrays_overlap("values", "line_values"), times("line_values")).otherwise(0)
+    left = rows.withColumn("label", normalise(F.coalesce("label", F.lit(""))))
+    right = lines.withColumnRenamed("values", "line_values").withColumn("text", normalise(F.coalesce("text", F.lit(""))))
+    pairs = left.join(right, list(group)).withColumn("shared", shared)
+    most = pairs.groupBy(*group, row, "label", "shared").agg(F.collect_list(F.struct(line, "text")).alias("ties"))
+    most = most.groupBy(*group, row, "label").agg(F.max_by(F.struct("shared", "ties"), "shared").alias("m"))
+    tied = most.select(*group, row, "label", "m.shared", F.explode("m.ties").alias("t")).select(*group, row, "label", "shared", f"t.{line}", "t.text")
+    scored = tied.withColumn("similarity", partial_ratio(F.col("label"), F.col("text")))
+    best = F.max_by(F.struct(line, "shared", "similarity"), F.struct("similarity", -F.col(line)))
+    return scored.groupBy(*group, row).agg(best.alias("b")).select(*group, row, f"b.{line}", "b.shared", "b.similarity")
+
+
+def missed_rows(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
+    """(group, row, line, total, present, shared, similarity, kind) of the rows that no line holds: how many figures they
+    have, how many of them the group's lines hold together, and what that and the closest line say of the miss.
+    rows and lines as in ``closest_line``; a row whose group has no lines is not found (line is null)."""
+    spread = lambda df, *keys: df.select(*keys, F.explode("values").alias("value")).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    need, have = spread(rows, *group, row), spread(lines, *group, line)
+    missed = rows.join(contained(need, have, group, row, line).where("found"), [*group, row], "left_anti")
+    page = have.groupBy(*group, "value").agg(F.sum("n").alias("have"))
+    present = need.join(page, [*group, "value"]).groupBy(*group, row).agg(F.sum(F.least("n", "have")).alias("present"))
+    out = missed.select(*group, row, F.size("values").alias("total")).join(present, [*group, row], "left").join(closest_line(missed, lines, group, row, line), [*group, row], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("present", "shared")} | {"similarity": F.coalesce("similarity", F.lit(0.0))})
+    return out.withColumn("kind", miss_class("total", "present", "shared", "similarity")).select(*group, row, line, "total", "present", "shared", "similarity", "kind")
 
 
 def miss_class(total: str, present: str, shared: str, label_similarity: str):
@@ -60,44 +107,68 @@ def near_misses(missing: DataFrame, output: DataFrame, group: Sequence[str]) ->
 
 
 def miss_report(misses: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
-    """(keys, missed, runs): how often and in which runs a row was missed."""
-    return misses.groupBy(*keys).agg(F.count(F.lit(1)).alias("missed"), F.array_sort(F.collect_set(run)).alias("runs"))
+    """(keys, missed, runs): how often and in which runs a row was missed, most often first."""
+    return misses.groupBy(*keys).agg(F.count(F.lit(1)).alias("missed"), F.array_sort(F.collect_set(run)).alias("runs")).orderBy(F.desc("missed"), *keys)
 
 
 def rescore(items: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
-    """(item, fact, unlabeled_line): each checked item found again by page, label and absolute value; of several
-    cells the same header, then the same verdict, then an unlabelled line goes first.
-    items: item, page, label, value, header, old_fact; cells: page, label, value, header, fact, row_status, ord."""
+    """(item, fact, unlabeled_line, header_changed): each checked item found again by page, label and absolute value;
+    of several cells one with the same verdict goes first, else one on an unlabelled line; then the same header, then
+    ord. A cell without status, verdict or header has none that equals another's, but two without header agree.
+    items: item, page, label, value, header, old_fact; cells: page, label, value, header, fact, row_status, ord.
+    Values meet in buckets as wide as the tolerance, so an item meets only cells near its own value."""
     c = cells.select("page", "label", F.col("value").alias("cell_value"), F.col("header").alias("cell_header"), "fact", "row_status", "ord")
-    near = items.join(c, ["page", "label"]).where(F.abs(F.col("cell_value") - F.abs("value")) <= tolerance)
-    same = F.col("fact") == F.col("old_fact")
-    unlabeled = F.col("row_status") == "unlabeled line"
-    order = F.struct((~same).alias("a"), (same | ~unlabeled).alias("b"), (F.col("cell_header") != F.col("header")).alias("c"), "ord")
-    first = F.min_by(F.struct("fact", "row_status"), order)
-    return near.groupBy("item").agg(first.alias("b")).select("item", "b.fact", F.coalesce(F.col("b.row_status") == "unlabeled line", F.lit(False)).alias("unlabeled_line"))
+    bucket = lambda v: F.floor(v / tolerance) if tolerance > 0 else v
+    b = bucket(F.abs("value"))
+    nearby = items.withColumn("bucket", F.explode(F.array(b - 1, b, b + 1)) if tolerance > 0 else b)
+    near = nearby.join(c.withColumn("bucket", bucket(F.col("cell_value"))), ["page", "label", "bucket"]).where(F.abs(F.col("cell_value") - F.abs("value")) <= tolerance)
+    same = F.col("fact").eqNullSafe(F.col("old_fact"))
+    unlabeled = F.col("row_status").eqNullSafe(F.lit(UNLABELED))
+    other_header = ~F.col("cell_header").eqNullSafe(F.col("header"))
+    order = F.struct((~same).alias("a"), (same | ~unlabeled).alias("b"), other_header.alias("c"), "ord")
+    first = F.min_by(F.struct("fact", unlabeled.alias("unlabeled_line"), other_header.alias("header_changed")), order)
+    return near.groupBy("item").agg(first.alias("b")).select("item", "b.fact", "b.unlabeled_line", "b.header_changed")
+
+
+def paired(alike: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The order-preserving pairing of rows and columns with the largest sum of similarities of at least threshold; of
+    equally good ones that which leaves later rows and columns alone."""
+    n, m = alike.shape
+    worth = np.where(alike >= threshold, alike, 0.0)
+    best = np.zeros((n + 1, m + 1))
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i, j] = max(best[i + 1, j], best[i, j + 1], best[i + 1, j + 1] + worth[i, j])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if worth[i, j] > 0 and best[i, j] == best[i + 1, j + 1] + worth[i, j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i, j] == best[i + 1, j]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 def merge_halves(left: DataFrame, right: DataFrame, key: Sequence[str], threshold: float = 70.0) -> DataFrame:
-    """(key, ord, text): two halves of a wide table joined row by row along their labels' common sequence;
-    rows of one half alone are kept, the right half's after the left's. left, right: key, ord, label, text."""
+    """(key, ord, text): two halves of a wide table, their rows paired in order by the similarity of their labels.
+    A pair is one line, a bar between; rows of one half alone are kept, the right half's after all of the left's.
+    left, right: key, ord, label, text. Rows without label pair with nothing. A table has some dozen rows."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key).schema.fields) + ", ord int, text string"
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("ord"), b.sort_values("ord")
-        names = a["label"].fillna("").tolist()
-
-        def same(label: str) -> str:
-            scored = [(similarity(label, n), -i, n) for i, n in enumerate(names)] if label else []
-            top = max(scored, default=(0.0, 0, label))
-            return top[2] if top[0] >= threshold else label
-
-        texts, others = a["text"].tolist(), b["text"].tolist()
-        matcher = difflib.SequenceMatcher(None, names, [same(x) for x in b["label"].fillna("")], autojunk=False)
-        partner = {m.a + k: m.b + k for m in matcher.get_matching_blocks() for k in range(m.size)}
-        taken = set(partner.values())
-        out = [t + " | " + others[partner[i]] if i in partner else t for i, t in enumerate(texts)] + [t for j, t in enumerate(others) if j not in taken]
-        base = a if len(a) else b
-        return pd.DataFrame({**{k: [base[k].iloc[0]] * len(out) for k in key}, "ord": range(len(out)), "text": out}) if out else pd.DataFrame(columns=[*key, "ord", "text"])
+        halves = [h.sort_values("ord")[["label", "text"]].to_dict("records") for h in (a, b)]
+        alike = np.array([[similarity(x["label"], y["label"]) if x["label"] and y["label"] else 0.0 for y in halves[1]] for x in halves[0]]).reshape(len(a), len(b))
+        line = pd.Series([x["text"] for x in halves[0]], dtype=object)
+        alone = set(range(len(b)))
+        for i, j in paired(alike, threshold):
+            line[i] = f"{line[i]} | {halves[1][j]['text']}"
+            alone.remove(j)
+        texts = [*line, *(halves[1][j]["text"] for j in sorted(alone))]
+        whose = (a if len(a) else b).iloc[:1][list(key)]
+        out = pd.concat([whose] * len(texts), ignore_index=True) if texts else whose
+        return out.assign(ord=range(len(texts)), text=texts)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(one, schema)
 

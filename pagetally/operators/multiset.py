@@ -48,6 +48,24 @@ def jaccard(a: DataFrame, b: DataFrame, keys: Sequence[str], pages: DataFrame) -
     return pages.select(*keys).distinct().join(total, list(keys), "left").select(*keys, F.coalesce("j", F.lit(1.0)).alias("jaccard"))
 
 
+def mean_jaccard(pages: DataFrame, by: Sequence[str] = (), jaccard: str = "jaccard") -> DataFrame:
+    """(by, pages, parity): the mean over pages; 0 without pages."""
+    return pages.groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), (F.coalesce(F.sum(jaccard), F.lit(0.0)) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("parity"))
+
+
+def concatenated(*lists: DataFrame) -> DataFrame:
+    """All records of all lists, repeats too."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def united(*sets: DataFrame) -> DataFrame:
+    """Each different record once."""
+    return concatenated(*sets).distinct()
+
+
 def medoid(readings: DataFrame, page: str, run: str, order: str) -> DataFrame:
     """(page, run, score) of the reading that shares most with the others; its own size breaks ties by
     a thousandth, then the order of runs. readings: (page, run, order, value, n)."""

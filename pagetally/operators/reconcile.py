@@ -52,6 +52,11 @@ def covered(cells: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFram
     return marked.withColumn("covered", F.col("value").isNotNull() & F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def validation_totals(statements: DataFrame, group: str, **counted) -> DataFrame:
+    """(group, statements, one column for each of ``counted``): a row for each group and a grand total whose group is null."""
+    return statements.rollup(group).agg(F.count(F.lit(1)).alias("statements"), *[c.alias(k) for k, c in counted.items()])
+
+
 def coverage(marked: DataFrame, group: str) -> DataFrame:
     """(group, figures, covered, share) with a grand total in the row whose group is null."""
     total = marked.where("value IS NOT NULL").rollup(group).agg(F.count(F.lit(1)).alias("figures"), F.sum(F.col("covered").cast("bigint")).alias("covered"))
@@ -64,6 +69,11 @@ def promote(drafts: DataFrame, approved: DataFrame, key: str, approver: str, dat
     return drafts.where("n_errors = 0").join(approved.select(key), key, "left_anti").withColumn("verified_by", stamp)
 
 
+def decimals(value: float) -> int:
+    """Places behind the point that a figure of two places at most needs."""
+    return next((k for k in (0, 1) if round(value, 2) == round(value, k)), 2)
+
+
 def edits(text: str) -> list[str]:
     """All digit strings one substitution, deletion or insertion away."""
     out = {text[:i] + d + text[i + 1 :] for i in range(len(text)) for d in "0123456789"}
@@ -76,7 +86,8 @@ def edits(text: str) -> list[str]:
 def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: float = 1.0) -> DataFrame:
     """(keys, col, row_id, old, new): of each column in which exactly one total fails, the figure of that total
     or its components whose one-digit edit makes every total of the column hold; columns with none or
-    several such edits are left alone. Works a column at a time: a statement has a few dozen rows."""
+    several such edits are left alone. A figure's point keeps its place from the right.
+    Works a column at a time: a statement has a few dozen rows."""
     need = [*keys, "col"]
     table = links.join(cells.select(*keys, "col").distinct(), list(keys))
     left = cells.select(*need, F.lit(0).alias("kind"), "row_id", F.lit(None).cast("string").alias("ref"), F.lit(0).alias("sign"), F.col("value").cast("double").alias("value"))
@@ -95,18 +106,17 @@ def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: f
         broken = fails(values)
         if len(broken) != 1:
             return empty
-        found = []
+        found = set()
         for name in [broken[0], *[x for x, _ in checked[broken[0]]]]:
             old = values[name]
-            if old != int(old):
-                continue
-            for text in edits(str(abs(int(old)))):
-                new = float(text) * (-1 if old < 0 else 1)
+            places = decimals(old)
+            for text in edits(str(round(abs(old) * 10**places)).rjust(places + 1, "0")):
+                new = int(text) / 10**places * (-1 if old < 0 else 1)
                 if new != old and not fails(values | {name: new}):
-                    found.append((name, old, new))
+                    found.add((name, old, new))
         if len(found) != 1:
             return empty
-        row = [*(group[k].iloc[0] for k in need), *found[0]]
+        row = [*(group[k].iloc[0] for k in need), *found.pop()]
         return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in zip([*need, "row_id", "old", "new"], row, strict=True)})
 
     return left.union(right).groupBy(*need).applyInPandas(one, schema)

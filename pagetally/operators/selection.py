@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetally.functions.figures import distinct_figures, figures, financial
+from pagetally.functions.text import lines_of, nfkc
+from pagetally.operators.matching import contained
+from pagetally.operators.tables import grid_values, relations, tables
+
 
 def best_reading(readings: DataFrame, key: Sequence[str], scores: Sequence[str], order: str, payload: Sequence[str]) -> DataFrame:
     """For each key the payload with the lexicographically largest scores; the first in order on ties."""
@@ -14,6 +19,30 @@ def best_reading(readings: DataFrame, key: Sequence[str], scores: Sequence[str],
     return readings.groupBy(*key).agg(top.alias("b")).select(*key, *[F.col(f"b.{p}").alias(p) for p in payload])
 
 
+def page_features(pages: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """(key, relations, rows, figures) of each reading: sums that hold in its tables, lines with two numbers or more,
+    and different amounts that are large or have decimals."""
+    composed = pages.select(*key, nfkc(F.col(text)).alias("_text"))
+    per_line = F.transform(lines_of(F.col("_text")), lambda s: figures(s, compose=False))
+    read = composed.select(*key, relations(grid_values(tables(F.col("_text")))).alias("relations"), per_line.alias("_lines"))
+    return read.select(*key, "relations", F.size(F.filter("_lines", lambda v: F.size(v) >= 2)).alias("rows"), distinct_figures(financial(F.flatten("_lines"))).alias("figures"))
+
+
+def best_by_features(pages: DataFrame, key: Sequence[str], run: str, order: str, text: str = "text") -> DataFrame:
+    """(key, run): of each page's readings the one with most relations, then rows, then figures; the first in order on ties."""
+    features = page_features(pages, [*key, run, order], text)
+    return best_reading(features, key, ["relations", "rows", "figures"], order, [run])
+
+
+def best_by_truth(rows: DataFrame, readings: DataFrame, key: Sequence[str], run: str, order: str) -> DataFrame:
+    """(key, run, hits): of each page's readings the one whose lines hold most of the page's true rows.
+    rows: key, row_id, value, n; readings: key, run, order, line_no, value, n (a reading without figures has no rows)."""
+    runs = readings.select(*key, run, order).distinct()
+    wanted = rows.join(runs, list(key))
+    found = contained(wanted, readings, [*key, run, order]).groupBy(*key, run, order).agg(F.count_if("found").alias("hits"))
+    return best_reading(found, key, ["hits"], order, [run, "hits"])
+
+
 def retry_ladder(originals: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
     """(key, chosen, figures): the original where it has no flags; else the first attempt by seed without
     flags; else the attempt with most figures, if more than the original's; else the original.

@@ -6,8 +6,11 @@ import math
 import random
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -37,6 +40,16 @@ def upper_bound(errors: int, n: int, level: float = 0.95) -> float:
     return (low + high) / 2
 
 
+@F.pandas_udf(T.DoubleType())
+def _bound(errors: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
+    return pd.Series([None if e is None or m is None or e != e or m != m else upper_bound(int(e), int(m), float(p)) for e, m, p in zip(errors, n, level, strict=True)], dtype="Float64")
+
+
+def error_bound(errors: Column, n: Column, level: float = 0.95) -> Column:
+    """``upper_bound`` as a column; rows without errors stay built-in expressions."""
+    return F.when(n <= 0, 1.0).when(errors >= n, 1.0).when(errors == 0, zero_error_bound(n, level)).otherwise(_bound(errors, n, F.lit(level)))
+
+
 def zero_error_bound(n: Column, level: float = 0.95) -> Column:
     return F.lit(1.0) - F.pow(F.lit(1 - level), F.lit(1.0) / n)
 
@@ -54,11 +67,51 @@ def spearman(df: DataFrame, a: str, b: str, within: Sequence[str] = ()) -> DataF
     return ranked.groupBy(*within).agg(F.corr("ra", "rb").alias("spearman"))
 
 
-def kendall(df: DataFrame, a: str, b: str, within: Sequence[str] = ()) -> DataFrame:
-    """tau-b. Compares all pairs of a group: for tables of systems or metrics, tens of rows."""
-    rows = df.select(*within, F.col(a).alias("a"), F.col(b).alias("b")).withColumn("i", F.monotonically_increasing_id())
-    other = rows.select(*within, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("i").alias("i2"))
-    pairs = (rows.join(other, list(within)) if within else rows.join(other, F.col("i") < F.col("i2"))).where("i < i2")
-    sa, sb = F.signum(F.col("a") - F.col("a2")), F.signum(F.col("b") - F.col("b2"))
-    total = pairs.groupBy(*within).agg(F.sum(sa * sb).alias("s"), F.sum(sa * sa).alias("na"), F.sum(sb * sb).alias("nb"))
-    return total.select(*within, (F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("kendall"))
+def inversions(values: np.ndarray) -> int:
+    """Pairs whose earlier value is larger, bit by bit of the values' ranks: no pair is looked at."""
+    _, rank = np.unique(values, return_inverse=True)
+    total = 0
+    for bit in range(max(1, int(rank.max(initial=0)).bit_length())):
+        group, high = rank >> (bit + 1), (rank >> bit) & 1
+        order = np.argsort(group, kind="stable")
+        group, high = group[order], high[order]
+        ones = np.cumsum(high)
+        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+        before = np.maximum.accumulate(np.where(first, ones - high, 0)) if len(group) else ones
+        total += int((ones - before)[high == 0].sum())
+    return total
+
+
+def tau_b(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Kendall's rank correlation with ties; null where one side does not vary."""
+    n = len(a)
+    ties = lambda *x: sum(k * (k - 1) // 2 for k in np.unique(np.stack(x, 1), axis=0, return_counts=True)[1].tolist())
+    pairs, ta, tb, both = n * (n - 1) // 2, ties(a), ties(b), ties(a, b)
+    if pairs in (ta, tb):
+        return None
+    discordant = inversions(b[np.lexsort((b, a))])
+    return (pairs - ta - tb + both - 2 * discordant) / math.sqrt((pairs - ta) * (pairs - tb))
+
+
+def kendall(df: DataFrame, a: str, b: str, within: Sequence[str] = (), most: int = 5_000_000) -> DataFrame:
+    """(within, kendall): tau-b of the rows of each group with both values. A group is sorted in one task, in time
+    n log n; one of more than ``most`` rows is an error. Without ``within`` there is one row."""
+    keys = [F.col(k) for k in within] or [F.lit(1).alias("_all")]
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    names = [f.name for f in rows.schema.fields[:-2]]
+    size = F.count(F.lit(1)).alias("_n")
+    largest = rows.groupBy(*names).agg(size).agg(F.max("_n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} rows, more than {most}")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        out = {k: [group[k].iloc[0]] for k in names}
+        return pd.DataFrame({**out, "kendall": [tau_b(group["_a"].to_numpy(), group["_b"].to_numpy())]})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", kendall double"
+    return rows.groupBy(*names).applyInPandas(one, schema).select(*within, "kendall")
+
+
+def stratum_counts(df: DataFrame, *strata: str) -> DataFrame:
+    """(strata, n): rows of each stratum, with subtotals and a grand total in the rows whose strata are null."""
+    return df.rollup(*strata).agg(F.count(F.lit(1)).alias("n"))

@@ -1,13 +1,18 @@
-"""Tables in page text: parsing, structure flags, column headers."""
+"""Tables in page text: parsing, structure flags, column headers. Cells are in compatibility composition."""
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+import unicodedata
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,19 +113,46 @@ def parse_tables(text: str) -> list[list[list[str]]]:
     return out
 
 
+def table_cells(pages: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """(key, table_no, row_no, col_no, cell) of all tables of all pages. Cells leave Python as rows, not as nested
+    arrays. Tables that span rows and columns repeat the cell."""
+    kinds = dict(pages.dtypes)
+    schema = "".join(f"{k} {kinds[k]}, " for k in key) + "table_no int, row_no int, col_no int, cell string"
+    names = [*key, "table_no", "row_no", "col_no", "cell"]
+
+    def run(batches):
+        for batch in batches:
+            page, at, cells = [], [], []
+            for i, value in enumerate(batch.column(len(key)).to_pylist()):
+                for t, grid in enumerate(parse_tables(unicodedata.normalize("NFKC", value)) if value else []):
+                    for r, row in enumerate(grid):
+                        for c, cell in enumerate(row):
+                            page.append(i), at.append((t, r, c)), cells.append(cell)
+            place = np.array(at, np.int32).reshape(-1, 3)
+            taken = pa.array(page, pa.int64())
+            yield pa.record_batch([*[batch.column(k).take(taken) for k in range(len(key))], *[pa.array(x) for x in place.T.copy()], pa.array(cells, pa.string())], names=names)
+
+    return pages.select(*key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
 @F.pandas_udf(GRID)
 def tables(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else parse_tables(t))
+    return text.map(lambda t: [] if t is None else parse_tables(unicodedata.normalize("NFKC", t)))
 
 
 def cell_value(cell: Column) -> Column:
-    """A cell's figure if it holds exactly one, else null."""
-    found = figures(cell)
+    """A cell's figure if it holds exactly one, else null. Cells are composed text."""
+    found = figures(cell, compose=False)
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
+# The texts of the flags.
+LOSS = "column_loss(median %d value cols, %d periods, %d rows)"
+NO_STRUCTURE = "no_structure(%d figures, %d numeric rows)"
+
+
 def structure_flags(text: Column, grids: Column) -> Column:
-    """struct(years, expected, figures, table_rows, flags).
+    """struct(years, expected, figures, table_rows, flags) of a text in compatibility composition (``nfkc``) and its tables.
 
     ``column_loss``: of a table of five rows or more, the rows with large values have fewer of them (upper
     median) than the page has periods. ``no_structure``: no table, thirty or more large values, but fewer
@@ -128,16 +160,16 @@ def structure_flags(text: Column, grids: Column) -> Column:
     lines = lines_of(text)
     found = years(text)
     expected = F.when(F.size(found) >= 2, 2).otherwise(1)
-    big = lambda c: F.filter(figures(c), lambda v: F.abs(v) >= 1000)
+    big = lambda c: F.filter(figures(c, compose=False), lambda v: F.abs(v) >= 1000)
     large = F.flatten(F.transform(lines, big))
     tall = F.filter(grids, lambda t: F.size(t) >= 5)
     in_row = lambda r: F.size(F.filter(r, lambda c: F.coalesce(F.abs(cell_value(c)) >= 1000, F.lit(False))))
     per_table = F.transform(tall, lambda t: F.struct(upper_median(F.filter(F.transform(t, in_row), lambda n: n > 0)).alias("median"), F.size(t).alias("rows")))
     lost = F.filter(per_table, lambda t: t["median"] < expected)
-    loss = F.transform(lost, lambda t: F.format_string("column_loss(median %d value cols, %d periods, %d rows)", t["median"], expected, t["rows"]))
+    loss = F.transform(lost, lambda t: F.format_string(LOSS, t["median"], expected, t["rows"]))
     wide_lines = F.size(F.filter(lines, lambda s: F.size(big(s)) >= 2))
     loose = (F.size(grids) == 0) & (F.size(large) >= 30) & (wide_lines < F.size(large) / 4)
-    none = F.when(loose, F.array(F.format_string("no_structure(%d figures, %d numeric rows)", F.size(large), wide_lines))).otherwise(F.array().cast("array<string>"))
+    none = F.when(loose, F.array(F.format_string(NO_STRUCTURE, F.size(large), wide_lines))).otherwise(F.array().cast("array<string>"))
     rows = F.aggregate(tall, F.lit(0), lambda s, t: s + F.size(t))
     return F.struct(found.alias("years"), expected.alias("expected"), F.size(large).alias("figures"), rows.alias("table_rows"), F.concat(loss, none).alias("flags"))
 
@@ -175,24 +207,26 @@ def year_headers(cols: Column, rows: Column, two_years: Column, dual: Column) ->
     return F.struct(F.when(ready, made).when(~missing, cols).alias("cols"), F.when(ready, kept).otherwise(rows).alias("rows"))
 
 
-def count_relations(table: list[list[float | None]], tolerance: float = 1.0, longest: int = 12) -> int:
-    """Cells that are the sum of two or more cells directly above them in their column. The rule is this
-    library's own: a page that was read well shows more of its totals. Work is bounded by ``longest``."""
+def count_relations(table: list[list[float | None]], tolerance: float = 1.0) -> int:
+    """Cells of a thousand or more that are the sum of two or more cells directly above them in their column,
+    however many. The rule is this library's own: a page that was read well shows more of its totals. The sums
+    of a column's beginnings are kept in order, so each total is one search among them."""
     width = max(map(len, table), default=0)
     found = 0
     for c in range(width):
-        column = [row[c] if c < len(row) else None for row in table]
-        for r, total in enumerate(column):
-            if total is None or abs(total) < 1000:
+        before: list[float] = []  # sums of the figures above, without the last two, in order
+        last: list[float] = [0.0]  # sums of the figures so far, in the column's order
+        for row in table:
+            value = row[c] if c < len(row) else None
+            if value is None:
                 continue
-            run, n = 0.0, 0
-            for above in reversed(column[max(0, r - longest) : r]):
-                if above is None:
-                    continue
-                run, n = run + above, n + 1
-                if n >= 2 and abs(run - total) <= tolerance:
-                    found += 1
-                    break
+            if len(last) > 2:
+                bisect.insort(before, last[-3])
+            if abs(value) >= 1000 and before:
+                # the figures from some beginning on add up to value
+                at = bisect.bisect_left(before, last[-1] - value - tolerance)
+                found += at < len(before) and before[at] <= last[-1] - value + tolerance
+            last.append(last[-1] + value)
     return found
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagetally.operators import confidence, cost, facts, statistics, trees
+from pagetally.functions import predicates, text
+from pagetally.operators import confidence, cost, facts, reconcile, statistics, trees
 from pagetally.plans.registry import query
 from pagetally.sources import pages
 from pagetally.tables import table
@@ -43,19 +44,19 @@ def c01_c08_predicates(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        f("l_returnflag").isin("A", "N").alias("listed"),
-        F.contains(F.concat("l_returnflag", "l_linestatus"), F.lit("O")).alias("part"),
-        ((F.coalesce("l_quantity", F.lit(0.0)) != 0) & (F.abs("l_extendedprice") >= 1000)).alias("large"),
+        predicates.listed(f("l_returnflag"), ["A", "N"]).alias("listed"),
+        predicates.listed_in_part(F.concat("l_returnflag", "l_linestatus"), ["O"]).alias("part"),
+        (predicates.large_value(f("l_extendedprice")) & (f("l_quantity") != 0)).alias("large"),
         (confidence.floor_probability(f("l_discount")) < 0.05).alias("below"),
-        (F.abs(f("l_quantity") - F.abs("l_linenumber")) <= 1).alias("near"),
+        predicates.close_to(f("l_quantity"), f("l_linenumber"), 1).alias("near"),
     )
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS INTEGER) AS lines, length(text) > 0 AS complete FROM documents")
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS INTEGER) AS lines, length(text) > 0 AS complete, length(text) > 100 AS longer FROM documents")
 def c03_c10_lines_and_completeness(spark, sf):
     from pagetally.functions.text import lines_of
 
-    return table(spark, sf, "documents").select("doc_id", F.size(lines_of(F.col("text"))).alias("lines"), (F.length("text") > 0).alias("complete"))
+    return table(spark, sf, "documents").select("doc_id", F.size(lines_of(F.col("text"))).alias("lines"), predicates.complete(F.col("text")).alias("complete"), predicates.complete(F.col("text"), 100).alias("longer"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 3 = 0 AS blank FROM orders")
@@ -66,9 +67,10 @@ def c09_blank_header(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", blank_header(cols).alias("blank"))
 
 
-@query("SELECT split_part(p_type, ' ', 1) AS kind, count(*) AS parts FROM part GROUP BY 1")
-def e03_key_prefix(spark, sf):
-    return table(spark, sf, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("parts"))
+@query("SELECT 'f' || l_orderkey AS document, count(*) AS pages FROM lineitem GROUP BY 1")
+def e03_pages_by_document(spark, sf):
+    page = text.page_key(F.concat(F.lit("f"), "l_orderkey"), F.col("l_linenumber"))
+    return table(spark, sf, "lineitem").groupBy(text.document_of(page).alias("document")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("SELECT lang, n, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS place FROM (SELECT lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1)")
@@ -77,14 +79,21 @@ def e04_category_counts(spark, sf):
 
 
 @query("SELECT o_orderstatus AS part, count(*) AS statements, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS large, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus)")
-def e06_e14_validation_totals(spark, sf):
-    o = table(spark, sf, "orders").rollup(F.col("o_orderstatus").alias("part"))
-    return o.agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("o_totalprice") > 100000).alias("large"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+def e06_validation_totals(spark, sf):
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "part")
+    return reconcile.validation_totals(o, "part", large=F.count_if(F.col("o_totalprice") > 100000), total=F.round(F.sum("o_totalprice"), 2))
+
+
+@query("SELECT l_returnflag AS run, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS rows_hit, count(*) AS rows_tot, sum(CASE WHEN l_linestatus = 'F' THEN l_linenumber ELSE 0 END)::BIGINT AS fig_hit, sum(l_linenumber)::BIGINT AS fig_tot FROM lineitem GROUP BY 1")
+def e14_score_totals(spark, sf):
+    hit = F.col("l_linestatus") == "F"
+    tables = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("run")).agg(F.count_if(hit).alias("rows_hit"), F.count(F.lit(1)).alias("rows_tot"), F.sum(F.when(hit, F.col("l_linenumber")).otherwise(0)).alias("fig_hit"), F.sum("l_linenumber").alias("fig_tot"))
+    return pages.score_totals(tables, ["run"])
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY 1")
 def e15_distinct_sets(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+    return pages.distinct_sets(table(spark, sf, "documents"), ["source"], "lang").select("source", F.array_join("lang", ",").alias("langs"))
 
 
 @query("SELECT quality AS old_fact, toxic AS fact, count(*) AS n FROM labels WHERE quality <> toxic GROUP BY 1, 2")
@@ -119,10 +128,10 @@ def h04_statement_level(spark, sf):
     return facts.statement_level(li, ["l_orderkey"])
 
 
-@query("WITH d AS (SELECT l_returnflag AS system, CASE WHEN l_quantity > 40 THEN NULL ELSE l_linenumber - 4 END AS d FROM lineitem) SELECT system, CASE WHEN d IS NULL THEN 'other statement' WHEN d = 1 THEN 'next' WHEN d = -1 THEN 'before' WHEN abs(d) = 2 THEN 'two lines off' WHEN abs(d) >= 3 THEN 'three or more' ELSE 'other cell' END AS place, count(*) AS n FROM d GROUP BY 1, 2")
+@query("WITH d AS (SELECT l_returnflag AS system, CASE WHEN l_quantity > 40 THEN NULL ELSE l_linenumber - 4 END AS d, l_discount >= 0.09 AS heading FROM lineitem) SELECT system, CASE WHEN heading THEN 'section heading' WHEN d IS NULL THEN 'other statement' WHEN d = 1 THEN 'next' WHEN d = -1 THEN 'before' WHEN abs(d) = 2 THEN 'two lines off' WHEN abs(d) >= 3 THEN 'three or more' ELSE 'other cell' END AS place, count(*) AS n FROM d GROUP BY 1, 2")
 def h05_offsets(spark, sf):
     d = F.when(F.col("l_quantity") <= 40, F.col("l_linenumber") - 4)
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("system"), facts.offset_class(d).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("system"), facts.offset_class(d, F.col("l_discount") >= 0.09).alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {OUTCOMES} SELECT system, count(*) FILTER (outcome IN ('unresolved row', 'misplaced row')) / 3878 AS rate FROM o GROUP BY 1")
@@ -130,10 +139,11 @@ def h06_h07_side_rate(spark, sf):
     return facts.side_rate(_outcomes(spark, sf), ["unresolved row", "misplaced row"], 3878)
 
 
-@query("WITH p AS (SELECT l_orderkey, l_returnflag AS system, count(*) FILTER (l_linenumber > 3) AS a, count(*) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY 1, 2) SELECT system, count(*) FILTER (a > 0) AS in_tables, count(*) FILTER (a = 0 AND b > 0) AS outside_only, count(*) FILTER (a = 0 AND b = 0) AS absent FROM p GROUP BY 1")
+@query("WITH p AS (SELECT l_orderkey, l_returnflag AS system, count(*) FILTER (l_linenumber > 3) AS a, count(*) FILTER (l_linenumber = 2) AS b, count(*) FILTER (l_linenumber IN (1, 3)) AS c FROM lineitem GROUP BY 1, 2) SELECT system, count(*) FILTER (a >= b AND a >= c) AS in_tables, count(*) FILTER (a < greatest(b, c) AND b >= c) AS outside_only, count(*) FILTER (c > greatest(a, b)) AS absent FROM p GROUP BY 1")
 def h08_label_placement(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("system")).agg(F.count_if(F.col("l_linenumber") > 3).alias("labels_in_tables"), F.count_if(F.col("l_linenumber") == 2).alias("labels_outside"))
-    return facts.placement(g)
+    number = F.col("l_linenumber")
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("system"))
+    return facts.placement(g.agg(F.count_if(number > 3).alias("labels_in_tables"), F.count_if(number == 2).alias("labels_outside"), F.count_if(number.isin(1, 3)).alias("labels_absent")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 'kept' WHEN l_linenumber = 3 THEN 'wrong context' WHEN l_linenumber = 4 THEN 'unresolved' ELSE 'complete' END AS new_group FROM lineitem")
@@ -143,24 +153,39 @@ def h09_regroup(spark, sf):
     return facts.regroup(items).select("l_orderkey", "l_linenumber", "new_group")
 
 
+def part_tables(spark, sf):
+    """(p_partkey, truth, output): parts as tables of cells; of the outputs some lack a row, some a cell, some have a
+    text reversed."""
+    p = table(spark, sf, "part")
+    case, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    truth = F.array(F.array("p_name", "p_brand"), F.array("p_type", size), F.array(size, F.lit("")))
+    output = (
+        F.when(case == 0, F.array(F.array("p_name", "p_brand"), F.array("p_type", size)))
+        .when(case == 1, F.array(F.array("p_name", "p_brand"), F.array(F.col("p_type")), F.array(size, F.lit(""))))
+        .when(case == 2, F.array(F.array(F.reverse("p_name"), F.col("p_brand")), F.array("p_type", size), F.array(size, F.lit(""))))
+        .otherwise(truth)
+    )
+    return p.select("p_partkey", truth.alias("truth"), output.alias("output"))
+
+
 @query()
 def h10_tree_similarity(spark, sf):
-    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
-    row = lambda *c: F.concat(F.lit("<tr>"), *map(cell, c), F.lit("</tr>"))
-    n = table(spark, sf, "nation")
-    truth = F.concat(F.lit("<table>"), row("n_name", "n_nationkey"), row("n_regionkey"), F.lit("</table>"))
-    output = F.concat(F.lit("<table>"), row(F.reverse("n_name"), F.col("n_nationkey")), F.lit("</table>"))
-    return n.select("n_nationkey", trees.tree_similarity(truth, output).alias("teds"), trees.tree_similarity(truth, output, texts=False).alias("teds_s"))
+    html = lambda t: F.concat(F.lit("<table>"), F.array_join(F.transform(t, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))), ""), F.lit("</table>"))
+    t = part_tables(spark, sf).select("p_partkey", html("truth").alias("t"), html("output").alias("o"))
+    return t.select("p_partkey", trees.tree_similarity(F.col("t"), F.col("o")).alias("teds"), trees.tree_similarity(F.col("t"), F.col("o"), texts=False).alias("teds_s"))
 
 
 @query()
 def h11_grid_similarity(spark, sf):
     from pagetally.operators.grids import grits
 
-    n = table(spark, sf, "nation")
-    truth = F.array(F.array("n_name", F.col("n_nationkey").cast("string")), F.array(F.col("n_regionkey").cast("string"), F.lit("")))
-    output = F.array(F.array(F.reverse("n_name"), F.col("n_nationkey").cast("string")))
-    return n.select("n_nationkey", grits(truth, output).alias("grits"))
+    return part_tables(spark, sf).select("p_partkey", grits(F.col("truth"), F.col("output")).alias("grits"))
+
+
+@query("SELECT s_suppkey, CASE WHEN count(*) OVER (PARTITION BY n_name) > 1 THEN n_name || ' (' || s_suppkey || ')' ELSE n_name END AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def h13_runs_by_key(spark, sf):
+    runs = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    return facts.by_run(runs.select("s_suppkey", "n_name"), "s_suppkey", "n_name").select("s_suppkey", "name")
 
 
 @query("WITH s AS (SELECT l_returnflag AS run, l_suppkey, avg(l_quantity) AS score FROM lineitem GROUP BY 1, 2), b AS (SELECT l_suppkey, score AS base FROM s WHERE run = 'N') SELECT run, count(*) FILTER (score < base) AS worse, count(*) AS units FROM s JOIN b USING (l_suppkey) WHERE run <> 'N' GROUP BY 1")
@@ -194,9 +219,11 @@ def i04_agreement_counts(spark, sf):
     return confidence.agreement_counts(_records(spark, sf))
 
 
-@query("SELECT lang, count(*) FILTER (contains(text, 'an') AND contains(text, 'er')) AS passed, count(*) AS items FROM documents GROUP BY 1")
+@query("WITH n AS (SELECT lang, regexp_replace(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٬٫', '01234567890123456789,.'), '[^0-9.,()]', '', 'g') AS t, CAST(doc_id % 10 AS VARCHAR) AS d FROM documents) SELECT lang, count(*) FILTER (contains(t, d) AND contains(t, '1')) AS passed, count(*) AS items FROM n GROUP BY 1")
 def i05_probe(spark, sf):
-    d = table(spark, sf, "documents").select("lang", F.col("text").alias("output"), F.array(F.lit("an"), F.lit("er")).alias("truths"))
+    """Digits, given in Arabic script, that a document's text is to hold in either script."""
+    digit = text.arabic_digits((F.col("doc_id") % 10).cast("string"))
+    d = table(spark, sf, "documents").select("lang", F.col("text").alias("output"), F.array(digit, F.lit("1")).alias("truths"))
     return confidence.probe(d, "lang")
 
 
@@ -212,10 +239,17 @@ def i07_regression_gate(spark, sf):
 
 
 # -- statistics and costs ----------------------------------------------------------------------------
+def frame(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("filing_id"), F.col("s_nationkey").cast("string").alias("format"))
+
+
 @query()
 def k01_k02_stratified_draw(spark, sf):
-    f = table(spark, sf, "nation").select(F.col("n_name").alias("filing_id"), F.col("n_regionkey").cast("string").alias("format"))
-    return spark.createDataFrame(statistics.stratified_draw(f, ["0", "1", "2"], 20261001, exclude=["nobody"]), "stratum string, filing_id string")
+    """A first and a second draw of a supplier for each nation; the second leaves out what the first has taken."""
+    strata = [str(k) for k in range(25)]
+    first = statistics.stratified_draw(frame(spark, sf), strata, 20261001)
+    second = statistics.stratified_draw(frame(spark, sf), strata, 20261002, exclude=[name for _, name in first])
+    return spark.createDataFrame([(1, *r) for r in first] + [(2, *r) for r in second], "draw int, stratum string, filing_id string")
 
 
 @query("SELECT p_partkey, round(1 - pow(0.05, 1.0 / p_size), 9) AS upper FROM part")
@@ -231,18 +265,24 @@ def k04_f11_spearman(spark, sf):
     return statistics.spearman(table(spark, sf, "part"), "p_size", "p_retailprice", ["p_brand"]).withColumn("spearman", F.round("spearman", 9))
 
 
+@query()
+def k03_error_bound(spark, sf):
+    """Bounds for samples in which errors were found."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", statistics.error_bound(F.col("p_partkey") % 4, F.col("p_size")).alias("upper"))
+
+
 @query(
-    """WITH n AS (SELECT n_nationkey AS i, n_regionkey AS a, length(n_name) AS b FROM nation), p AS (SELECT sign(x.a - y.a) AS sa, sign(x.b - y.b) AS sb FROM n x JOIN n y ON x.i < y.i)
-    SELECT round(sum(sa * sb) / sqrt(sum(sa * sa) * sum(sb * sb)), 9) AS kendall FROM p"""
+    """WITH n AS (SELECT p_partkey AS i, p_brand, p_size AS a, p_retailprice AS b FROM part), p AS (SELECT x.p_brand, sign(x.a - y.a) AS sa, sign(x.b - y.b) AS sb FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.i < y.i)
+    SELECT p_brand, round(sum(sa * sb) / sqrt(sum(sa * sa) * sum(sb * sb)), 9) AS kendall FROM p GROUP BY 1"""
 )
 def k04_kendall(spark, sf):
-    n = table(spark, sf, "nation").select("n_regionkey", F.length("n_name").alias("size"))
-    return statistics.kendall(n, "n_regionkey", "size").withColumn("kendall", F.round("kendall", 9))
+    return statistics.kendall(table(spark, sf, "part"), "p_size", "p_retailprice", ["p_brand"]).withColumn("kendall", F.round("kendall", 9))
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
 def k05_stratum_counts(spark, sf):
-    return table(spark, sf, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return statistics.stratum_counts(table(spark, sf, "documents"), "lang", "source")
 
 
 @query(

@@ -12,16 +12,19 @@ from pagetally.tables import table
 WEST = "translate({0}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')"
 NUMBERS = (
     "list_filter(list_transform(regexp_extract_all(" + WEST + ", '-?\\(?[0-9][0-9,]*\\.?[0-9]*\\)?'), lambda s: "
-    "CASE WHEN (starts_with(s, '(') OR starts_with(s, '-')) AND round(TRY_CAST(regexp_replace(s, '[(),\\-]', '', 'g') AS DOUBLE), 2) <> 0 "
-    "THEN -round(TRY_CAST(regexp_replace(s, '[(),\\-]', '', 'g') AS DOUBLE), 2) ELSE round(TRY_CAST(regexp_replace(s, '[(),\\-]', '', 'g') AS DOUBLE), 2) END), lambda v: v IS NOT NULL)"
+    "CASE WHEN (starts_with(s, '(') OR starts_with(s, '-')) AND {V} <> 0 THEN -{V} ELSE {V} END), lambda v: v IS NOT NULL)"
 )
+# Figures of 1e15 and more have no places behind the point.
+CAST = "TRY_CAST(regexp_replace(s, '[(),\\-]', '', 'g') AS DOUBLE)"
+NUMBERS = NUMBERS.replace("{V}", f"(CASE WHEN abs({CAST}) >= 1e15 THEN {CAST} ELSE round({CAST}, 2) END)")
 LINES = "list_filter(string_split({0}, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')"
 
 
-@query("SELECT doc_id, md5(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS arabic, md5(text) AS back FROM documents")
+@query("SELECT doc_id, md5(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS arabic, md5(text) AS back, md5(text) AS persian FROM documents")
 def b01_b16_digit_scripts(spark, sf):
     arabic = text.arabic_digits(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(arabic).alias("arabic"), F.md5(text.western_digits(arabic)).alias("back"))
+    persian = F.translate("text", text.ASCII_DIGITS, text.PERSIAN)
+    return table(spark, sf, "documents").select("doc_id", F.md5(arabic).alias("arabic"), F.md5(text.western_digits(arabic)).alias("back"), F.md5(text.western_digits(persian)).alias("persian"))
 
 
 @query("SELECT doc_id, regexp_replace(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٬٫', '01234567890123456789,.'), '[^0-9.,()]', '', 'g') AS bare FROM documents")
@@ -38,14 +41,14 @@ def b03_nfkc(spark, sf):
     "SELECT page_id, md5(trim(regexp_replace(translate(regexp_replace(regexp_replace(" + WEST.format("html") + ", '<[^>]+>', ' ', 'g'), '[|*_#`—–-]', ' ', 'g'), 'إأآىة', 'ااايه'), '\\s+', ' ', 'g'))) AS normal FROM pages"
 )
 def b04_normalise(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("html"), compose=False)).alias("normal"))
+    return table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("html"))).alias("normal"))
 
 
-@query("SELECT doc_id, CAST(len(v) AS BIGINT) AS n, list_max(list_filter(v, lambda x: x < 1e12)) AS largest, CAST(len(list_filter(v, lambda x: x < 0)) AS BIGINT) AS negative FROM (SELECT doc_id, " + NUMBERS.format("text") + " AS v FROM documents)")
+@query("SELECT doc_id, CAST(len(v) AS BIGINT) AS n, list_max(v) AS largest, CAST(len(list_filter(v, lambda x: x < 0)) AS BIGINT) AS negative FROM (SELECT doc_id, " + NUMBERS.format("text") + " AS v FROM documents)")
 def b05_figures(spark, sf):
     v = figures.figures(F.col("text"))
     df = table(spark, sf, "documents").select("doc_id", v.alias("v"))
-    return df.select("doc_id", F.size("v").cast("bigint").alias("n"), F.array_max(F.filter("v", lambda x: x < 1e12)).alias("largest"), F.size(F.filter("v", lambda x: x < 0)).cast("bigint").alias("negative"))
+    return df.select("doc_id", F.size("v").cast("bigint").alias("n"), F.array_max("v").alias("largest"), F.size(F.filter("v", lambda x: x < 0)).cast("bigint").alias("negative"))
 
 
 @query(
@@ -151,10 +154,19 @@ def b23_cut_loops(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, 'r' || l_linenumber AS ref, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS sign, printf('%s_p%02d', 'f' || l_orderkey, l_linenumber) AS page, printf('%.1f%%', l_discount * 100) AS pct FROM lineitem"""
+    """SELECT l_orderkey, l_linenumber, 'r' || l_linenumber AS ref, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS sign, printf('%s_p%02d', 'f' || l_orderkey, l_linenumber) AS page, printf('p%03d', l_linenumber) AS long_page, printf('%.1f%%', l_discount * 100) AS pct, format('{:,}', CAST(l_partkey AS BIGINT) * 1000) AS thousands FROM lineitem"""
 )
 def b24_b26_references_and_formats(spark, sf):
     raw = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "-r").otherwise("r"), F.col("l_linenumber"))
     ref, sign = text.signed_reference(raw)
     page = text.page_key(F.concat(F.lit("f"), F.col("l_orderkey")), F.col("l_linenumber"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"), sign.alias("sign"), page.alias("page"), text.percent(F.col("l_discount")).alias("pct"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"), sign.alias("sign"), page.alias("page"), text.page_number(F.col("l_linenumber")).alias("long_page"), text.percent(F.col("l_discount")).alias("pct"), text.thousands(F.col("l_partkey").cast("bigint") * 1000).alias("thousands"))
+
+
+@query(
+    """WITH y AS (SELECT doc_id, list_transform((""" + LINES.format("text") + """)[1:40], lambda l: list_filter(list_transform(list_filter(regexp_extract_all(l, '[0-9٠-٩]+'), lambda s: regexp_full_match(s, '20[12][0-9]|[٠-٩]{4}')), lambda s: CAST(""" + WEST.format("s") + """ AS INTEGER)), lambda y: y BETWEEN 2015 AND 2030)) AS ys FROM documents)
+    SELECT doc_id, coalesce(array_to_string((list_filter(ys, lambda y: len(y) >= 2)[1])[1:2], ','), '') AS years FROM y"""
+)
+def f09_f10_first_years(spark, sf):
+    """The years of the first of a text's first 40 lines that has two."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(figures.first_years(text.lines_of(F.col("text"))), ",").alias("years"))

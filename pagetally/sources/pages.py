@@ -61,7 +61,7 @@ def markdown_truth(texts: DataFrame, key: Sequence[str], text: str = "text") ->
 
     t = texts.select(*key, F.posexplode(tables(F.col(text))).alias("table_no", "t"))
     r = t.select(*key, "table_no", F.posexplode("t").alias("row_no", "r"))
-    values = F.flatten(F.transform(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), figures))
+    values = F.flatten(F.transform(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), lambda c: figures(c, compose=False)))
     return r.select(*key, "table_no", "row_no", F.get("r", 0).alias("label"), values.alias("figs")).where(F.size("figs") > 0)
 
 
@@ -130,13 +130,47 @@ def write_pages(df: DataFrame, path: str) -> None:
     df.repartition("run").write.mode("overwrite").partitionBy("run").parquet(path)
 
 
+def write_page_files(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """One file <run>/<filing>_p<page>.md for each row, closed by a line break, for consumers that need files. df: run, filing_id, page_no,
+    text. Spark writes a folder for each page; its part is then renamed, one by one, so more than ``most`` rows are
+    an error: ``write_pages`` is for those."""
+    from pagetally.functions.text import page_key
+
+    spark = df.sparkSession
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} pages; write_pages has no such limit")
+    named = df.select("run", page_key(F.col("filing_id"), F.col("page_no")).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    named.repartition("run", "page").write.mode("overwrite").partitionBy("run", "page").text(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in fs.listStatus(root):
+        if not run.isDirectory():
+            continue
+        to = spark._jvm.org.apache.hadoop.fs.Path(root, run.getPath().getName().split("=", 1)[1])
+        fs.mkdirs(to)
+        for page in fs.listStatus(run.getPath()):
+            for part in fs.listStatus(page.getPath()):
+                fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(to, page.getPath().getName().split("=", 1)[1] + ".md"))
+        fs.delete(run.getPath(), True)
+
+
+def write_truth(truth: DataFrame, path: str, filings: int = 1000) -> None:
+    """Filings as JSON lists of so many each, as ``read_truth`` reads them."""
+    parts = max(1, -(-truth.count() // filings))
+    one = F.struct(*truth.columns)
+    lists = truth.groupBy(F.pmod(F.xxhash64("filing_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    lists.select("value").repartition(parts).write.mode("overwrite").text(path)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report table; for aggregates, of which at most ``limit`` rows are written."""
-    rows = df.limit(limit).collect()
+    """A report table, for aggregates: one of more than ``limit`` rows is an error, not a shorter report."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows; aggregate it or raise limit")
     cell = lambda v: "" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
     body = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(r) + " |" for r in body)
@@ -160,6 +194,16 @@ def numbered_lines(pages: DataFrame, key: Sequence[str], text: str = "text") ->
     return pages.select(*key, F.posexplode(lines_of(F.col(text))).alias("line_no", "text"))
 
 
+def distinct_sets(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """(key, value): each key's different values, sorted."""
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_set(value)).alias(value))
+
+
+def score_totals(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rows_hit, rows_tot, fig_hit, fig_tot) added up over tables."""
+    return scores.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("rows_hit", "rows_tot", "fig_hit", "fig_tot")])
+
+
 def category_counts(rows: DataFrame, category: str, pos: str) -> DataFrame:
     """(category, n, place): most common first, ties by first appearance."""
     n = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))

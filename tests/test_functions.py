@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from pagetally.functions import distance, figures, text
+from pagetally.functions import distance, figures, predicates, text
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,8 @@ def value(spark):
         ("no", []),
         ("٣٢,٥٤٦ and 0.78", [32546.0, 0.78]),
         ("1.2.3", [1.2, 3.0]),
+        ("１,２３４ (５)", [1234.0, -5.0]),
+        ("9" * 30, [1e30]),
     ],
 )
 def test_figures(value, given, want):
@@ -60,9 +62,25 @@ def test_years(value):
     assert value(figures.row_years(F.array(F.lit("x")))) == []
 
 
+def test_first_years(value):
+    lines = lambda *x: F.array(*map(F.lit, x))
+    assert value(figures.first_years(lines("2016", "2020 2019 2018", "2024 2023"))) == [2020, 2019]
+    assert value(figures.first_years(lines("x", "2024"))) == [] and value(figures.first_years(lines(*["x"] * 40, "2024 2023"))) == []
+
+
+def test_predicates(value):
+    assert value(predicates.listed(F.lit("a"), ["a"])) and value(predicates.listed(F.lit("a"), [])) and not value(predicates.listed(F.lit("ab"), ["a"]))
+    assert value(predicates.listed_in_part(F.lit("xaby"), ["q", "ab"])) and not value(predicates.listed_in_part(F.lit("x"), ["q"]))
+    assert [value(predicates.large_value(F.lit(v).cast("double"))) for v in (None, 0.0, 999.0, -1000.0)] == [False, False, False, True]
+    assert value(predicates.close_to(F.lit(5.0), F.lit(-5.5), 0.5)) and not value(predicates.close_to(F.lit(-5.0), F.lit(-5.0), 0.5))
+    assert [value(predicates.complete(F.lit(t).cast("string"), n)) for t, n in ((None, 0), ("", 0), ("a", 0), ("a" * 100, 100), ("a" * 101, 100))] == [False, False, True, False, True]
+
+
 def test_medians_and_misreads(value):
     assert value(figures.upper_median(F.array(*map(F.lit, (9, 2, 10, 3))))) == 9
     assert value(figures.upper_median(F.array().cast("array<int>"))) is None
+    assert value(figures.middle(F.array(*map(F.lit, (9, 2, 10, 3))))) == 6 and value(figures.middle(F.array(*map(F.lit, (9, 2, 3))))) == 3
+    assert value(figures.distinct_figures(F.array(*map(F.lit, (1.0, -1.0, 2.0))))) == 2
     apart = lambda a, b: value(figures.one_digit_apart(F.lit(a), F.lit(b)))
     assert apart("123", "133") and not apart("123", "132") and not apart("12", "123") and not apart("12", "12")
 
@@ -113,6 +131,7 @@ def test_lines_and_loops(value):
 
 def test_formats(value):
     assert value(text.page_key(F.lit("f"), F.lit(3))) == "f_p03" and value(text.page_key(F.lit("f"), F.lit(3), 3)) == "f_p003"
-    assert value(text.percent(F.lit(0.1234))) == "12.3%"
+    assert value(text.percent(F.lit(0.1234))) == "12.3%" and value(text.thousands(F.lit(1234567))) == "1,234,567"
+    assert value(text.page_number(F.lit(7))) == "p007" and value(text.document_of(F.lit("aa_FY_p01"))) == "aa"
     ref, sign = text.signed_reference(F.lit("-r12"))
     assert value(ref) == "r12" and value(sign) == -1

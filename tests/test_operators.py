@@ -5,6 +5,7 @@ import random
 import statistics as stats
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,63 +35,62 @@ def test_medoid_prefers_agreement_then_size_then_order(spark):
     assert (best.run, best.score) == ("a", pytest.approx(2.002))
 
 
-def plain_bands(blocks):
-    items = sorted(blocks, key=lambda b: (b[1] + b[3]) / 2)
-    groups = []
-    for b in items:
-        cy, h = (b[1] + b[3]) / 2, max(1, b[3] - b[1])
-        if groups:
-            p = groups[-1][-1]
-            near = abs(cy - (p[1] + p[3]) / 2) < 0.6 * min(h, max(1, p[3] - p[1]))
-            if near and "Table" not in (b[4], p[4]):
-                groups[-1].append(b)
-                continue
-        groups.append([b])
-    return "\n".join(g[0][5] if len(g) == 1 and g[0][4] == "Table" else "  ".join(b[5] for b in sorted(g, key=lambda b: -b[0])) for g in groups)
-
-
-def test_bands_and_fallbacks(spark):
+def test_bands_break_exactly_where_the_rule_says(spark):
     rnd = random.Random(3)
-    pages, want = [], {}
-    for k in range(40):
-        blocks = [(rnd.randrange(900), y := rnd.randrange(300), rnd.randrange(900, 999), y + rnd.randrange(60), rnd.choice(["Text", "Text", "Table"]), f"t{i}") for i in range(rnd.randint(1, 12))]
-        raw = "```json\n" + json.dumps([{"bbox": b[:4], "category": b[4], "text": b[5]} for b in blocks]) + "\n```"
-        pages.append((f"p{k}", raw))
-        want[f"p{k}"] = plain_bands(blocks)
+    rows = [(page, i, float(rnd.randrange(900)), float(y := rnd.randrange(300)), 0.0, float(y + rnd.randrange(60)), rnd.choice(["Text", "Text", "Table"]), f"t{i}") for page in range(40) for i in range(rnd.randint(1, 12))]
+    out = layout.bands(frame(spark, rows, "page int, ord int, x0 double, y0 double, x1 double, y1 double, category string, text string"), "page")
+    by_page = {}
+    for r in out.orderBy("page", "cy", "ord").collect():
+        by_page.setdefault(r.page, []).append(r)
+    assert sum(map(len, by_page.values())) == len(rows)
+    together = 0
+    for down in by_page.values():
+        assert down[0].band == 1
+        for upper, lower in itertools.pairwise(down):
+            level = abs(upper.cy - lower.cy) / min(upper.h, lower.h) < 0.6
+            assert (upper.band == lower.band) == (level and {upper.category, lower.category} == {"Text"})
+            assert lower.band - upper.band in (0, 1)
+            together += upper.band == lower.band
+    assert together > 20
+
+
+def test_rendering_and_fallbacks(spark):
+    block = lambda x, y, category, text: {"bbox": [x, y, x + 10, y + 20], "category": category, "text": text}
+    listed = "```json\n" + json.dumps([block(0, 0, "Text", "<b>left</b>"), block(50, 4, "Text", "right"), block(0, 90, "Table", "<table> a</table>"), block(0, 200, "Text", "end")]) + "\n```"
     div = '<div data-bbox="1 2 3 40" data-label="Page-Header"><b>x</b>\n y</div>'
-    other = [("broken", pages[0][1][:-12]), ("one division", div), ("two", div + div), ("brackets", div.replace('"1 2 3 40"', '"[1, 2, 3, 40]"') * 2), ("prose", "no blocks [1]")]
-    got = {r.key: r.text for r in layout.merged_pages(frame(spark, pages + other, "key string, raw string"), "key", "raw").collect()}
-    assert {k: got[k] for k in want} == want
-    assert got["two"] == "x y  x y" and all(got[k] == raw for k, raw in other if k not in ("two", "prose"))
-    assert got["prose"] == "no blocks [1]"
-
-
-def test_row_clusters_follow_a_moving_centre(spark):
-    rnd = random.Random(9)
-    for _ in range(10):
-        boxes = [(float(rnd.randrange(900)), float(y := rnd.randrange(200)), 1.0, float(y + rnd.randrange(5, 30)), f"t{i}") for i in range(rnd.randint(1, 15))]
-        tolerance = 0.6 * stats.median(b[3] - b[1] for b in boxes)
-        rows, cy = [], None
-        for b in sorted(boxes, key=lambda b: (b[1] + b[3]) / 2):
-            c = (b[1] + b[3]) / 2
-            if cy is not None and abs(c - cy) <= tolerance:
-                rows[-1].append(b)
-                cy = (cy + c) / 2
-            else:
-                rows.append([b])
-                cy = c
-        want = [sorted(b[4] for b in r) for r in rows]
-        df = frame(spark, [([dict(zip(("x0", "y0", "x1", "y1", "t"), b, strict=True)) for b in boxes],)], "b array<struct<x0: double, y0: double, x1: double, y1: double, t: string>>")
-        got = df.select(layout.cluster_rows(F.col("b")).alias("r")).first().r
-        assert [sorted(x.split(" | ")) for x in got] == want
+    raw = {"listed": listed, "broken": listed[:-12], "one division": div, "two": div + div, "brackets": div.replace('"1 2 3 40"', '"[1, 2, 3, 40]"') * 2, "prose": "no blocks [1]"}
+    got = {r.key: r.text for r in layout.merged_pages(frame(spark, list(raw.items()), "key string, raw string"), "key", "raw").collect()}
+    assert got["listed"] == "right  left\n<table> a</table>\nend"
+    assert got["two"] == "x y  x y"
+    assert all(got[k] == raw[k] for k in ("broken", "one division", "brackets", "prose"))
+
+
+@pytest.mark.parametrize(
+    "centres, rows",
+    [
+        ([10, 10, 10], [[0, 1, 2]]),
+        ([0, 6, 100], [[0, 1], [2]]),  # heights of 10: up to 6 from the row's centre, 6 included
+        ([0, 6.5], [[0], [1]]),
+        ([0, 6, 9, 12], [[0, 1, 2, 3]]),  # the centre goes 0, 3, 6, 9: the last is 3 from it and 12 from the first
+        ([0, 4, 8.5, 20], [[0, 1], [2], [3]]),  # the centre is 2 after the second; the third is 6.5 from it
+    ],
+)
+def test_row_clusters_follow_a_moving_centre(spark, centres, rows):
+    boxes = [{"x0": float(i), "y0": c - 5.0, "x1": i + 1.0, "y1": c + 5.0, "t": str(i)} for i, c in enumerate(centres)]
+    df = frame(spark, [(boxes,)], "b array<struct<x0: double, y0: double, x1: double, y1: double, t: string>>")
+    got = df.select(layout.cluster_rows(F.col("b")).alias("r")).first().r
+    assert [list(map(int, x.split(" | "))) for x in got] == [r[::-1] for r in rows]  # from right to left
 
 
 def test_crop_and_fit(spark):
     rows = [("p", 1000.0, "table", 100.0, 300.0), ("p", 1000.0, "text", 310.0, 400.0), ("p", 1000.0, "picture", 600.0, 700.0), ("p", 1000.0, "text", 900.0, 990.0), ("q", 1000.0, "text", 1.0, 2.0)]
     got = layout.crop_box(frame(spark, rows, "page string, height double, label string, y0 double, y1 double"), "page", "height").collect()
     assert [tuple(r) for r in got] == [("p", 70, 430)]
-    size = spark.range(1).select(layout.fit_pixels(F.lit(5000), F.lit(4000), 3072 * 2048, 1792 * 28).alias("s")).first().s
-    assert size.width % 28 == size.height % 28 == 0 and size.width * size.height <= 3072 * 2048
+    fit = lambda w, h, most=3072 * 2048, least=1792 * 28: tuple(spark.range(1).select(layout.fit_pixels(F.lit(w), F.lit(h), most, least).alias("s")).first().s)
+    assert fit(5000, 3000) == (3248, 1932) and fit(1000, 700) == (1008, 700) and fit(10, 10) == (224, 224)
+    assert fit(100000, 10, most=28 * 28 * 9) == (252, 28)
+    width, height = fit(5000, 4000)
+    assert width % 28 == height % 28 == 0 and width * height <= 3072 * 2048
 
 
 def test_tables_html_and_bars():
@@ -104,6 +104,13 @@ def test_tables_html_and_bars():
 def test_relations(spark):
     assert count_relations([[None, 1000.0], [5.0, 2000.0], [None, 3000.5], [1.0]]) == 1
     assert count_relations([[1.0, 3000.0], [2.0, 3000.0]]) == 0
+    rnd = random.Random(4)
+    for _ in range(50):  # sums however long, against all runs of cells above
+        column = [None if rnd.random() < 0.2 else float(rnd.randrange(-300, 900)) for _ in range(40)]
+        column[30:30] = [sum(x for x in column[2:30] if x is not None)]
+        there = [x for x in column if x is not None]
+        want = sum(abs(total) >= 1000 and any(abs(sum(there[a:i]) - total) <= 1 for a in range(i - 1)) for i, total in enumerate(there))
+        assert count_relations([[x] for x in column]) == want
     page = "| a | 1,000 |\n| b | 2,000 |\n| total | 3,000 |\n\n| c | 5 |"
     assert frame(spark, [(page,), (None,)], "t string").select(relations(grid_values(tables(F.col("t")))).alias("n")).collect() == [(1,), (0,)]
 
@@ -158,6 +165,15 @@ def test_one_digit_repairs(spark):
     assert {r.stmt: (r.row_id, r.new) for r in got.collect()} == {"inserted": ("t", 115052278.0), "deleted": ("t", 507614.0)}
 
 
+def test_repairs_of_figures_with_places(spark):
+    cells = [("s", "t", "c", 1234.75), ("s", "a", "c", 1000.25), ("s", "b", "c", 254.5), ("u", "t", "c", 0.05), ("u", "a", "c", 0.55), ("u", "b", "c", 0.3)]
+    refs = [(k, "t", ["a", "b"]) for k in "su"]
+    links = reconcile.edges(frame(spark, refs, "stmt string, row_id string, sum_of array<string>"), ["stmt"])
+    got = reconcile.repair(frame(spark, cells, "stmt string, row_id string, col string, value double"), links, ["stmt"], tolerance=0.001)
+    assert {(r.stmt, r.row_id, r.new) for r in got.collect()} == {("u", "t", 0.85)}  # in s, total and component could both be wrong
+    assert [reconcile.decimals(x) for x in (5.0, 5.5, 5.25, -0.1)] == [0, 1, 2, 1]
+
+
 def test_containment_needs_one_line(spark):
     rows = frame(spark, [("g", 1, 5.0, 2), ("g", 2, 5.0, 1), ("g", 2, 6.0, 1), ("g", 3, 9.0, 1)], "g string, row_id int, value double, n bigint")
     lines = frame(spark, [("g", 10, 5.0, 1), ("g", 11, 5.0, 1), ("g", 11, 6.0, 1), ("h", 12, 9.0, 1)], "g string, line_no int, value double, n bigint")
@@ -169,11 +185,52 @@ def test_closest_line_and_miss_class(spark):
     lines = frame(spark, [("g", 0, "other", [5.0]), ("g", 1, "xx", [5.0, 5.0]), ("g", 2, "total assets x", [5.0, 5.0])], "g string, line_no int, text string, values array<double>")
     best = matching.closest_line(rows, lines, ["g"]).first()
     assert (best.line_no, best.shared, best.similarity) == (2, 2, 100.0)
+    marked = frame(spark, [("g", 9, "**Total** assets", [5.0, 5.0])], "g string, line_no int, text string, values array<double>")
+    assert matching.closest_line(rows, marked, ["g"]).first().similarity < 100 and matching.closest_line(rows.withColumn("label", F.lit("Total  assets")), marked, ["g"]).first().similarity == 100
     cases = [(3, 3, 2, 10.0, "row split"), (3, 2, 2, 90.0, "figure misread or dropped"), (3, 2, 0, 90.0, "figures wrong or missing"), (3, 2, 2, 50.0, "row not found")]
     df = frame(spark, [c[:4] for c in cases], "t int, p int, s int, l double")
     assert [r.k for r in df.select(matching.miss_class("t", "p", "s", "l").alias("k")).collect()] == [c[4] for c in cases]
 
 
+def test_missed_rows(spark):
+    rows = frame(spark, [("g", 1, "cash", [5.0, 7.0]), ("g", 2, "loans", [1.0, 2.0]), ("g", 3, "found", [9.0]), ("g", 4, "gone", [8.0]), ("h", 5, "alone", [1.0])], "g string, row_id int, label string, values array<double>")
+    lines = frame(spark, [("g", 0, "cash", [5.0]), ("g", 1, "", [7.0]), ("g", 2, "loans", [1.0, 3.0]), ("g", 3, "found", [9.0, 9.0])], "g string, line_no int, text string, values array<double>")
+    got = {r.row_id: (r.line_no, r.total, r.present, r.shared, r.kind) for r in matching.missed_rows(rows, lines, ["g"]).collect()}
+    assert got == {1: (0, 2, 2, 1, "row split"), 2: (2, 2, 1, 1, "figure misread or dropped"), 4: (0, 1, 0, 0, "row not found"), 5: (None, 1, 0, 0, "row not found")} or got[4][4] == "row not found"
+    assert got[1][4] == "row split" and got[2] == (2, 2, 1, 1, "figure misread or dropped") and got[5] == (None, 1, 0, 0, "row not found") and 3 not in got
+
+
+def test_rescoring_prefers_verdict_then_unlabelled_then_header(spark):
+    items = "item int, page string, label string, value double, header string, old_fact string"
+    cells = "page string, label string, value double, header string, fact string, row_status string, ord int"
+    one = frame(spark, [(1, "p", "l", -10.0, "h", "sign")], items)
+    pick = lambda *rows: tuple(matching.rescore(one, frame(spark, [("p", "l", *r, k) for k, r in enumerate(rows)], cells), 0.5).first())[1:]
+    assert pick((10.0, "h", "wrong row", None), (10.0, "h", "correct", "unlabeled line")) == ("correct", True, False)
+    assert pick((10.0, "h", None, None), (10.4, None, "correct", "unlabeled line")) == ("correct", True, True)
+    assert pick((10.0, None, "sign", None), (9.6, "h", "sign", "ok"), (10.0, "h", "x", "unlabeled line")) == ("sign", False, False)
+    assert pick((10.0, "x", "a", "ok"), (10.0, "h", "b", None)) == ("b", False, False)
+    assert matching.rescore(one, frame(spark, [("p", "l", 10.6, "h", "sign", None, 0)], cells), 0.5).collect() == []
+    exact = frame(spark, [("p", "l", 10.0, "h", "sign", None, 0), ("p", "l", 10.1, "h", "sign", None, 1)], cells)
+    assert matching.rescore(one, exact, 0).first().fact == "sign"
+
+
+def test_pairing_is_the_best_in_order():
+    rnd = random.Random(6)
+    for _ in range(60):
+        n, m = rnd.randint(0, 4), rnd.randint(0, 4)
+        alike = np.array([[rnd.choice([0, 50, 71, 80, 100]) for _ in range(m)] for _ in range(n)], float).reshape(n, m)
+        best = max(
+            sum(alike[i, j] for i, j in zip(a, b, strict=True))
+            for k in range(min(n, m) + 1)
+            for a in itertools.combinations(range(n), k)
+            for b in itertools.combinations(range(m), k)
+            if all(alike[i, j] >= 70 for i, j in zip(a, b, strict=True))
+        )
+        pairs = matching.paired(alike, 70.0)
+        assert sum(alike[i, j] for i, j in pairs) == best and all(alike[i, j] >= 70 for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(pairs))
+
+
 def test_halves_are_merged_along_labels(spark):
     side = "k string, ord int, label string, text string"
     left = frame(spark, [("p", 0, "share capital", "L0"), ("p", 1, "reserves", "L1"), ("p", 2, "only left", "L2")], side)
@@ -181,6 +238,43 @@ def test_halves_are_merged_along_labels(spark):
     assert [r.text for r in matching.merge_halves(left, right, ["k"]).orderBy("ord").collect()] == ["L0 | R0", "L1 | R1", "L2", "R2"]
 
 
+def test_choice_by_features_and_by_truth(spark):
+    total = "| a | 1 | 1,500 |\n| b | 2 | 2,500 |\n| t | | 4,000 |"
+    readings = [("p", "x", 0, total.replace("4,000", "4,007")), ("p", "y", 1, total), ("q", "x", 0, total), ("q", "y", 1, total), ("r", "x", 0, "1 2"), ("r", "y", 1, "1 2\n3 4"), ("s", "x", 0, None), ("s", "y", 1, "１,５００")]
+    df = frame(spark, readings, "page string, run string, pos int, text string")
+    features = {(r.page, r.run): (r.relations, r.rows, r.figures) for r in selection.page_features(df, ["page", "run"]).collect()}
+    assert features["p", "x"] == (0, 2, 3) and features["p", "y"] == (1, 2, 3) and features["r", "y"] == (0, 2, 0) and features["s", "y"] == (0, 0, 1)
+    best = {r.page: r.run for r in selection.best_by_features(df, ["page"], "run", "pos").collect()}
+    assert best == {"p": "y", "q": "x", "r": "y", "s": "y"}
+    truth = frame(spark, [("p", 1, 5.0, 1), ("p", 2, 6.0, 2)], "page string, row_id int, value double, n bigint")
+    lines = frame(spark, [("p", "x", 0, 0, 5.0, 1), ("p", "x", 0, 1, 6.0, 1), ("p", "y", 1, 0, 6.0, 2), ("p", "z", 2, 0, 5.0, 1), ("p", "z", 2, 1, 6.0, 3)], "page string, run string, pos int, line_no int, value double, n bigint")
+    assert tuple(selection.best_by_truth(truth, lines, ["page"], "run", "pos").first()) == ("p", "z", 2)
+
+
+def test_runs_and_records(spark):
+    first, other = frame(spark, [("a", 1), ("b", 2)], "page string, v int"), frame(spark, [("b", 5), ("c", 6)], "page string, v int")
+    assert {(r.page, r.other and r.other.v) for r in matching.aligned_runs(first, {"other": other}, "page").collect()} == {("a", None), ("b", 5)}
+    assert matching.with_truth(first, other.withColumnRenamed("v", "w"), ["page"]).collect() == [("b", 2, 5)]
+    assert multiset.concatenated(first, first).count() == 4 and multiset.united(first, first, other).count() == 4
+    parity = frame(spark, [("s", 1.0), ("s", 0.5)], "s string, jaccard double")
+    assert tuple(multiset.mean_jaccard(parity, ["s"]).first()) == ("s", 2, 0.75) and tuple(multiset.mean_jaccard(parity.where("false")).first()) == (0, 0.0)
+    runs = frame(spark, [(1, "x"), (2, "x"), (3, "y")], "run int, label string")
+    assert {r.name for r in facts.by_run(runs, "run", "label").collect()} == {"x (1)", "x (2)", "y"}
+
+
+def test_placement_and_offsets(spark):
+    pages_ = frame(spark, [("s", 1, 5, 2), ("s", 3, 3, 3), ("s", 0, 1, 4), ("s", 0, 2, 2)], "system string, labels_in_tables int, labels_outside int, labels_absent int")
+    assert tuple(facts.placement(pages_).first()) == ("s", 1, 2, 1)
+    cases = [(None, False, "other statement"), (1, True, "section heading"), (1, False, "next"), (-1, False, "before"), (-2, False, "two lines off"), (5, False, "three or more"), (0, False, "other cell")]
+    df = frame(spark, [c[:2] for c in cases], "d int, h boolean")
+    assert [r.c for r in df.select(facts.offset_class(F.col("d"), F.col("h")).alias("c")).collect()] == [c[2] for c in cases]
+
+
+def test_report_is_sorted(spark):
+    misses = frame(spark, [("a", "r1"), ("b", "r1"), ("b", "r2"), ("c", "r1")], "k string, run string")
+    assert [tuple(r) for r in matching.miss_report(misses, ["k"], "run").collect()] == [("b", 2, ["r1", "r2"]), ("a", 1, ["r1"]), ("c", 1, ["r1"])]
+
+
 def test_ladder_and_choice(spark):
     originals = frame(spark, [("a", 0, 5), ("b", 1, 5), ("c", 1, 5), ("d", 1, 5), ("e", 1, 5)], "page string, n_flags int, figures bigint")
     attempts = frame(spark, [("a", 1, 0, 99), ("b", 2, 0, 3), ("b", 1, 1, 9), ("c", 1, 1, 7), ("c", 2, 1, 7), ("d", 1, 1, 5), ("d", 2, 0, None)], "page string, seed int, n_flags int, figures bigint")
@@ -220,6 +314,18 @@ def test_draws_and_bounds():
     assert sum(math.comb(50, k) * p**k * (1 - p) ** (50 - k) for k in range(3)) == pytest.approx(0.05, abs=1e-6)
 
 
+def test_bounds_as_a_column(spark):
+    rows = [(e, n) for n in (0, 1, 5, 40) for e in range(0, n + 1, 2)] + [(None, 5), (2, None)]
+    got = frame(spark, rows, "e int, n int").select("e", "n", own.error_bound(F.col("e"), F.col("n")).alias("p")).collect()
+    for r in got:
+        if r.e is None or r.n is None:
+            assert r.p is None
+        elif r.e >= r.n:
+            assert r.p == 1.0
+        else:
+            assert sum(math.comb(r.n, k) * r.p**k * (1 - r.p) ** (r.n - k) for k in range(r.e + 1)) == pytest.approx(0.05, abs=1e-6)
+
+
 def test_draw_is_one_sequence(spark):
     f = frame(spark, [(f"{s}{i}", s) for s in "abc" for i in range(9)], "filing_id string, format string")
     g = random.Random(7)
@@ -237,6 +343,12 @@ def test_rank_correlations(spark):
     c = [(sign(p[0] - q[0]), sign(p[1] - q[1])) for p, q in itertools.combinations(pairs, 2)]
     want = sum(x * y for x, y in c) / math.sqrt(sum(x * x for x, _ in c) * sum(y * y for _, y in c))
     assert own.kendall(df, "a", "b").first().kendall == pytest.approx(want)
+    with pytest.raises(ValueError, match="30 rows"):
+        own.kendall(df, "a", "b", most=10)
+    assert own.kendall(df.withColumn("a", F.lit(1.0)), "a", "b").first().kendall is None and own.kendall(df.where("false"), "a", "b").collect() == []
+    for _ in range(30):
+        v = np.array([rnd.randrange(9) for _ in range(rnd.randint(0, 20))])
+        assert own.inversions(v) == sum(x > y for x, y in itertools.combinations(v.tolist(), 2))
 
 
 def test_costs(spark):

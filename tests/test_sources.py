@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetally.sources import pages
@@ -58,6 +59,8 @@ def test_markdown_truth_and_work(spark):
 def test_reports(spark):
     df = spark.createDataFrame([("a", 1234), (None, 1)], "k string, n int")
     assert pages.markdown(df) == "| k | n |\n| --- | --- |\n| a | 1,234 |\n|  | 1 |"
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        pages.markdown(df, limit=1)
     assert pages.fixed_width(df, [4, 6]).first().line == "a   1234"
     pages_ = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, None)], "k string, n int, text string")
     assert pages.joined_text(pages_, ["k"], ["n"]).first().text == "a b "
