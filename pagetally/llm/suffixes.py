@@ -87,7 +87,8 @@ def _fold(key: np.ndarray, blob: np.ndarray, seed: int) -> np.ndarray:
 
 def _records(window: int, prefix: int, memory: int):
     """One record for each live suffix. ``own``: bit a is set where the passage that begins a words before the
-    suffix has it as its minimiser; ``sure``: those of them that repeat for sure (then nothing else is needed)."""
+    suffix has it as its minimiser. Records that the task knows become rows (id, at, sure): so many passages from
+    there on repeat for sure."""
     side = window - prefix
 
     def run(batches):
@@ -123,21 +124,23 @@ def _records(window: int, prefix: int, memory: int):
             f1, f2 = (_fold(key, both, s) for s in (60, 61))
             number, at = ids[doc], words.place()[live]
             send, again, *_ = seen.resolve(f1, f2, number, at)
-            size = side * CODE
-            blob = lambda x, pick: pa.array(list(map(bytes, x[pick])), pa.binary())
-            for pick, known in ((send, False), (again, True)):
-                empty = pa.array([b""] * len(pick), pa.binary())
-                columns = [
-                    pa.array(mix(number[pick].astype(np.uint64), 3).view(np.int64) if known else key[pick].view(np.int64)),
-                    empty if known else blob(after, pick),
-                    empty if known else blob(before, pick),
-                    pa.array(number[pick]),
-                    pa.array(at[pick].astype(np.int32)),
-                    pa.array(own[pick]),
-                    pa.array(own[pick] if known else np.zeros(len(pick), np.int64)),
-                ]
-                assert known or all(len(x) == size for x in columns[1].slice(0, 1).to_pylist())
-                yield pa.record_batch(columns, names=["key", "after", "before", "id", "at", "own", "sure"])
+            row, a = np.nonzero((own[again][:, None] >> np.arange(side + 1)) & 1)
+            known = np.unique(live[again][row] - a)
+            begin = np.flatnonzero(np.r_[True, (known[1:] != known[:-1] + 1) | (words.doc[known[1:]] != words.doc[known[:-1]])]) if len(known) else known
+            n = np.diff(np.r_[begin, len(known)])
+            known_id, known_at = ids[words.doc[known[begin]]], words.place()[known[begin]]
+            blob = lambda x: pa.array([*map(bytes, x[send]), *[b""] * len(n)], pa.binary())
+            none = np.zeros(len(send), np.int64)
+            columns = [
+                pa.array(np.r_[key[send], mix(known_id.astype(np.uint64), 3) + mix(known_at.astype(np.uint64), 4)].view(np.int64)),
+                blob(after),
+                blob(before),
+                pa.array(np.r_[number[send], known_id]),
+                pa.array(np.r_[at[send], known_at].astype(np.int32)),
+                pa.array(np.r_[own[send], np.zeros(len(n), np.int64)]),
+                pa.array(np.r_[none, n]),
+            ]
+            yield pa.record_batch(columns, names=["key", "after", "before", "id", "at", "own", "sure"])
 
     return run
 
@@ -174,7 +177,7 @@ def _neighbours(window: int, prefix: int, memory: int):
         shared = np.where(same, _between(side - right, left), 0)
         later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] > at[:-1])
         earlier = (doc[1:] < doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] < at[:-1])
-        sure = known.copy()
+        sure = np.zeros(n, np.int64)
         sure[1:] |= np.where(later, shared, 0)
         sure[:-1] |= np.where(earlier, shared, 0)
         far = np.full(n, -1)  # how far to the right any other suffix agrees; unknown at the ends of a partition
@@ -190,7 +193,9 @@ def _neighbours(window: int, prefix: int, memory: int):
         ask[~real[use]] = 0
         bits = np.arange(side + 1)
         i, a = np.nonzero((sure[:, None] >> bits) & 1)
-        sure_doc, sure_at = doc[use][i], at[use][i] - a
+        more = use[~real[use]]
+        row, step = np.repeat(more, known[more]), np.arange(known[more].sum()) - np.repeat(np.cumsum(known[more]) - known[more], known[more])
+        sure_doc, sure_at = np.r_[doc[use][i], doc[row]], np.r_[at[use][i] - a, at[row] + step]
         i, a = np.nonzero((ask[:, None] >> bits) & 1)
         f = [_passages(key[use].view(np.uint64), after[use], before[use], i, a, side, s) for s in (62, 63)]
         return asked(seen, f[0], f[1], doc[use][i], at[use][i] - a, sure_doc, sure_at)
