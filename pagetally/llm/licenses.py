@@ -1,21 +1,30 @@
 """Licence scan with a positional rare-token index. DataFrame functions only.
 
-A template is a run of words with a key phrase that must be present word for word. The index posts
-each template under the word of its key phrase with the highest inverse document frequency in the
-corpus, with that word's place in the template. A file's words are looked up in the index: an entry
-at file position p for template place q proposes the template at p - q; the key phrase is verified
-there, and the share of the template's words that stand at their relative positions is the match's
-strength. Everything but the frequency count (one row for each index word) is local to the row, so
-nothing is shuffled and no group can grow.
+Templates are rows (label, text, key, base): a run of words, and a key phrase inside it that must be present word
+for word. Any number of them can be given; how large their index is is checked before it is broadcast.
+
+1. *Index.* Of each template's words the ``rare`` with the highest inverse document frequency in the
+   corpus are posted with their places in the template (ties: smaller word, then smaller place).
+2. *Look-up.* A posted word at file position p for template place q proposes the template at p - q. The
+   postings of a template are intersected by relative position: ``agree`` of them must stand where the template
+   has them. So one of the rarest ``rare - agree + 1`` is among them, and only these are looked up.
+3. *Verify.* The key phrase must stand at its place. The share of the template's words that stand at their
+   relative positions is the match's strength; the strongest gives the score.
+
+A hit carries the words around it, as many as the longest template has on either side, so what is joined is
+bounded by the templates and not by the text; hits are combined before they are shuffled, so a text sends one row.
 
 Defined results: a null, empty or wordless text has no words, no places, null positions, empty
-labels and score 0; overlapping places all count; equal positions are one place for each phrase;
-repeated rows each get their row; further columns are ignored; an empty table gives an empty result.
+labels and score 0; a text of any length is taken whole; overlapping places all count; equal positions are
+one place for each phrase; repeated rows, also under one id, each get their row, and a row without id gets one;
+further columns are ignored, whatever their names; an empty table gives an empty result; a template whose key
+phrase is not in its text is an error.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +50,8 @@ FURTHER = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
+TEMPLATES = [(*t, True) for t in BASE] + [(*t, False) for t in FURTHER]
+ENTRY = "word: string, place: int, rank: int, label: string, base: boolean, words: array<string>, key: array<string>, key_at: int, agree: int, posts: array<struct<word: string, place: int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -48,63 +59,58 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def _literal(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
-
-
-def document_frequency(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def document_frequency(words: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """Rows that hold each word. words: a column ``words``; the result has a row for each word of the vocabulary at most."""
-    found = words.select(F.explode(F.array_intersect("words", _literal(vocabulary))).alias("w")).groupBy("w").count().collect()
+    held = F.array_distinct(F.filter("words", lambda w: w.isin(list(vocabulary))))
+    found = words.select(F.explode(held).alias("w")).groupBy("w").count().collect()
     return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in found}
 
 
-def _index(templates, frequency: dict[str, int]) -> list[tuple[str, list[str], int, list[str], str, int]]:
-    """(label, template words, key phrase's place, its words, rarest word, that word's place in the template)."""
+def postings(templates: Sequence[tuple[str, str, str, bool]], frequency: dict[str, int], rare: int, agree: int) -> list[dict]:
+    """The index: an entry for each word that is looked up, with its template."""
     out = []
-    for label, text, key in templates:
+    for label, text, key, base in templates:
         words, phrase = text.split(" "), key.split(" ")
-        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        rarest = min(phrase, key=lambda w: (frequency[w], w))
-        out.append((label, words, at, phrase, rarest, at + phrase.index(rarest)))
+        at = next((i for i in range(len(words)) if words[i : i + len(phrase)] == phrase), None)
+        if at is None:
+            raise ValueError(f"the key phrase {key!r} is not in its template")
+        places = sorted(range(len(words)), key=lambda i: (frequency[words[i]], words[i], i))[:rare]
+        enough = min(agree, len(places))
+        posts = [{"word": words[i], "place": i} for i in places]
+        for rank in range(len(places) - enough + 1):
+            out.append(dict(posts[rank], rank=rank, label=label, base=base, words=words, key=phrase, key_at=at, agree=enough, posts=posts))
     return out
 
 
-def _places(entry) -> Column:
-    """Starts of the key phrase that the index proposes and the words confirm, in order."""
-    _, _, at, phrase, rarest, place = entry
-    n, inside = len(phrase), place - at
-    proposed = F.transform(F.filter("seeds", lambda s: s["w"] == rarest), lambda s: s["i"] - inside)
-    return F.filter(proposed, lambda p: (p >= 0) & (F.slice("words", F.greatest(p, F.lit(0)) + 1, n) == _literal(phrase)))
-
-
-def _share(entry, places: Column) -> Column:
-    """The largest share of the template's words at their places, over the confirmed places."""
-    _, words, at, *_ = entry
-    found = lambda p: reduce(lambda a, b: a + b, [F.when(F.get("words", F.when(p - at + k >= 0, p - at + k)) == w, 1).otherwise(0) for k, w in enumerate(words)])
-    return F.coalesce(F.array_max(F.transform(places, lambda p: found(p) / len(words))), F.lit(0.0))
-
-
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str, str, bool]] = TEMPLATES, rare: int = 3, agree: int = 2, limit: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
-    with_words = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
-    vocabulary = sorted({w for _, _, key in BASE + FURTHER for w in key.split(" ")})
-    frequency = document_frequency(with_words, vocabulary)
-    base, further = _index(BASE, frequency), _index(FURTHER, frequency)
-    entries = base + further
-    rare = sorted({e[4] for e in entries})
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    none = F.array().cast("array<struct<i:int,w:string>>")
-    rows = with_words.withColumn("seeds", F.when(F.arrays_overlap("words", _literal(rare)), F.filter(numbered, lambda s: s["w"].isin(rare))).otherwise(none))
-    rows = rows.select(id_col, "words", "seeds", *[_places(e).alias(f"p{k}") for k, e in enumerate(entries)])
-    places = F.flatten(F.array(*[F.col(f"p{k}") for k in range(len(base))]))
-    label = lambda of: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, e[0]) for k, e in enumerate(of)])))), ",")
-    return rows.select(
-        id_col,
-        F.size("words").cast("bigint").alias("n_words"),
-        F.size(places).cast("bigint").alias("n_base"),
-        F.array_min(places).cast("bigint").alias("first_word"),
-        F.array_max(places).cast("bigint").alias("last_word"),
-        label(base).alias("base_labels"),
-        label(entries).alias("labels"),
-        F.greatest(*[_share(e, F.col(f"p{k}")) for k, e in enumerate(entries)]).alias("score"),
-    )
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    vocabulary = sorted({w for _, text, *_ in templates for w in text.split(" ")})
+    index = postings(templates, document_frequency(texts, vocabulary), rare, agree)
+    written = json.dumps(index)
+    if len(written) > limit:
+        raise ValueError(f"the index of {len(templates)} templates takes {len(written)} bytes, more than limit ({limit})")
+    entries = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(written), f"array<struct<{ENTRY}>>")))
+    looked_up = sorted({e["word"] for e in index})
+    longest = max(len(e["words"]) for e in index)
+    numbers = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    seeds = F.filter(numbers, lambda i: F.get("words", i).isin(looked_up))
+    around = lambda p: F.greatest(p - longest + 1, F.lit(0))
+    hits = F.transform(seeds, lambda p: F.struct(p.alias("p"), F.get("words", p).alias("seed"), around(p).alias("since"), F.slice("words", around(p) + 1, p - around(p) + longest).alias("near")))
+    rows = texts.select("row", "id", F.size("words").alias("n"), F.explode_outer(hits).alias("h")).select("row", "id", "n", "h.*")
+    joined = rows.join(F.broadcast(entries), F.col("seed") == F.col("word"), "left")
+    start = F.col("p") - F.col("place")
+    at = lambda k: F.get("near", F.when(start + k >= F.col("since"), start + k - F.col("since")))
+    agreeing = F.size(F.filter("posts", lambda x: at(x["place"]) == x["word"]))
+    sooner = F.exists(F.slice("posts", 1, F.coalesce("rank", F.lit(0))), lambda x: at(x["place"]) == x["word"])  # a rarer word has proposed it
+    key = start + F.col("key_at")
+    phrase = F.when(key >= F.col("since"), F.slice("near", F.greatest(key - F.col("since"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
+    ok = F.coalesce((agreeing >= F.col("agree")) & ~sooner & phrase, F.lit(False))
+    share = F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: at(k) == F.get("words", k))) / F.size("words")
+    checked = joined.select("row", "id", "n", "label", "base", key.alias("key_at"), ok.alias("ok"), F.when(phrase, share).alias("share"))
+    good, base = F.col("ok"), F.col("ok") & F.col("base")
+    found = checked.select("row", "id", "n", F.when(good, F.col("label")).alias("label"), F.when(base, F.col("key_at")).alias("place"), F.when(base, F.col("label")).alias("base_label"), F.when(good, F.col("share")).alias("share"))
+    named = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return found.groupBy("row", "id", "n").agg(
+        F.count("place").alias("n_base"), F.min("place").cast("bigint").alias("first_word"), F.max("place").cast("bigint").alias("last_word"), named("base_label").alias("base_labels"), named("label").alias("labels"), F.coalesce(F.max("share"), F.lit(0.0)).alias("score")
+    ).select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -73,26 +73,31 @@ FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagetally.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), rare=3, agree=2)
 
 
 def _license_sql() -> str:
-    from pagetally.llm.licenses import BASE, FURTHER
+    from pagetally.llm.licenses import TEMPLATES
 
     rows = []
-    for n, (label, text, key) in enumerate(BASE + FURTHER):
+    for n, (label, text, key, base) in enumerate(TEMPLATES):
         words, phrase = text.split(" "), key.split(" ")
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        rows.append(f"({n < len(BASE)}, '{label}', {words}, {phrase}, {at})")
+        rows.append(f"({n}, {base}, '{label}', {words}, {phrase}, {at})")
     return f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
-), t(base, label, tw, ph, place) AS (VALUES {", ".join(rows)}
+), t(no, base, label, tw, ph, place) AS (VALUES {", ".join(rows)}
+), f AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) GROUP BY word
+), tp AS (SELECT no, unnest(range(0, len(tw))) AS k, unnest(tw) AS word FROM t
+), ranked AS (SELECT no, k, tp.word, row_number() OVER (PARTITION BY no ORDER BY coalesce(n, 0), tp.word, k) AS r FROM tp LEFT JOIN f USING (word)
+), post AS (SELECT no, list({{'k': k, 'word': word}}) AS posts FROM ranked WHERE r <= 3 GROUP BY no
 ), hit AS (
-  SELECT doc_id, w, base, label, tw, place, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1] = ph[1] AND w[i + 1 : i + len(ph)] = ph)) AS p
-  FROM d, t WHERE list_has_all(w, ph)
+  SELECT doc_id, w, base, label, tw, place, posts, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1] = ph[1] AND w[i + 1 : i + len(ph)] = ph)) AS p
+  FROM d, t JOIN post USING (no) WHERE list_has_all(w, ph)
 ), scored AS (
   SELECT doc_id, base, label, p, len(list_filter(range(0, len(tw)), lambda k: p - place + k >= 0 AND w[p - place + k + 1] = tw[k + 1])) / len(tw) AS share FROM hit
+  WHERE len(list_filter(posts, lambda x: p - place + x.k >= 0 AND w[p - place + x.k + 1] = x.word)) >= least(2, len(posts))
 ), agg AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
          coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
