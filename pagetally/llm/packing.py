@@ -13,8 +13,9 @@ Each partition packs what it reads: there is no shuffle, the pool is bounded, an
 redone alone. ``sequence_id`` holds the partition in its upper bits.
 
 Defined results: a null or empty text is the single id 0; a document with several pieces has one
-row for each; repeated rows are packed as often as they occur; no rows give no rows; further
-columns are ignored.
+row for each, and one of any length as many as it takes; repeated rows, and rows without id, are packed as often as
+they occur; of remainders of one length the last to come is taken first (which of them goes into a window is no
+promise: it depends on how rows are dealt); no rows give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

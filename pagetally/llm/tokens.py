@@ -21,7 +21,7 @@ A document's count is the sum of the annotations its path takes. (``encode``, wh
 needs, merges the distinct pre-tokens of a batch in rank order, all at once.)
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings inside a text
-count as the special token; rows are independent, so ties, repeated rows and any number of
+count as the special token; a text of any length, and a word of any length, is counted whole; rows are independent, so ties, repeated rows and any number of
 further columns do not matter (only ``id_col`` and ``text_col`` are read); an empty table gives
 an empty result.
 """

@@ -8,7 +8,7 @@ import pytest
 
 from pagetally.llm.common import joined
 from pagetally.llm.packing import Packer, least_slack, pack
-from pagetally.llm.tokens import SEPARATOR, compile_tokenizer, token_counts
+from pagetally.llm.tokens import SEPARATOR, WordMachine, compile_tokenizer, token_counts
 from tests.llm.helpers import awkward, random_texts
 
 P = pytest.importorskip("public_tokenizers")
@@ -41,12 +41,46 @@ def test_ids_are_the_librarys(library):
 def test_counts_over_chunks_and_cache_resets(library):
     machine = compile_tokenizer(PATH)
     texts = random_texts(200)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     machine.CACHE, before = 10, machine.CACHE
     try:
         data, ends = joined(pa.array(texts), SEPARATOR)
-        assert machine.count(data, ends).tolist() == [len(x) for x in library.encode_batch(texts, add_special_tokens=False)]
+        ids, upto = machine.encode(data, ends)
+        assert np.split(ids, upto)[0].tolist() == [*want[0], 0] and len(ids) == sum(map(len, want)) + len(texts)
     finally:
         machine.CACHE = before
+    for kept in (150_000, 40, 5):
+        machine.word_machine = WordMachine(machine)
+        machine.word_machine.STATES_KEPT = kept
+        for part in (texts[:100], texts[100:]):
+            data, ends = joined(pa.array(part), SEPARATOR)
+            assert machine.count(data, ends).tolist() == [len(x) for x in library.encode_batch(part, add_special_tokens=False)]
+        assert kept > 40 or len(machine.word_machine.states) <= 2 * kept + 300
+    machine.word_machine = None
+
+
+def test_counts_are_on_the_transitions(library):
+    """Counts of words of any make and length are sums along paths through few states."""
+    rnd = random.Random(11)
+    texts = odd_texts() + ["a" * 5000, "ab" * 4000, "".join(rnd.choice("abcdefgh") for _ in range(20_000)), "".join(rnd.choice("éü漢字abc'") for _ in range(3000)), "x" * (3 << 20)]
+    machine = WordMachine(compile_tokenizer(PATH))
+    for text in texts[-5:]:
+        word = text.encode()
+        assert machine.count([word]) == [len(compile_tokenizer(PATH)._merge([word])[0])]
+    assert len(machine.states) < 30_000
+    data, ends = joined(pa.array(texts), SEPARATOR)
+    assert compile_tokenizer(PATH).count(data, ends).tolist() == [len(x) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_texts(spark, library):
+    """A text above a slice (2 MiB) and the empty text around it."""
+    long = "some words and 123 numbers. " * 90_000
+    df = spark.createDataFrame([(1, ""), (2, long), (3, None)], "doc_id bigint, text string")
+    n = len(library.encode(long, add_special_tokens=False).ids)
+    assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts(df, PATH).collect()} == {(1, 0, 0), (2, len(long), n), (3, 0, 0)}
+    rows = pack(df, PATH).collect()
+    assert check_layout(rows, {2: [*library.encode(long, add_special_tokens=False).ids, 0]}) == 0
+    assert {r.doc_id: r.doc_tokens for r in rows} == {1: 1, 2: n + 1, 3: 1}
 
 
 def test_token_counts_of_awkward_rows(spark, library):

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetally.llm.decontam import align, contaminated, has_excerpt, seeds_needed
-from pagetally.llm.toxicity import Tokens, _decoder, language_model, restore, suspicious, toxicity, trim
-from tests.llm.helpers import awkward
+from pagetally.llm.toxicity import CODE, LEET, LETTERS, REPEAT, SEPARATORS, SKIP, SUBSTITUTE, Tokens, _decoder, language_model, restore, suspicious, toxicity, trim
+from tests.llm.helpers import LOWER, WORD, awkward, components, removed, shingles
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,51 @@ def test_restoring_distorted_words(spark, documents):
     assert trim("the###") == "the" and not suspicious("plain") and not suspicious("2024")
 
 
+def test_restoring_against_every_path(spark, documents):
+    """The best word under channel and model, by trying each reading of each character."""
+    model = language_model(documents.select("text"))
+    rnd = random.Random(2)
+
+    def every(token):
+        paths = [((0, 0), 0.0, "")]
+        for ch in token:
+            new = []
+            for (a, b), score, text in paths:
+                options = ([(CODE[ch], 0.0)] if ch in CODE and ch != " " else []) + [(CODE[c], SUBSTITUTE) for c in LEET.get(ch, "")]
+                new += [((b, c), score + cost + float(model[a, b, c]), text + LETTERS[c]) for c, cost in options]
+                if ch in SEPARATORS or not options:
+                    new.append(((a, b), score + SKIP, text))
+                new += [((a, b), score + REPEAT + cost, text) for c, cost in options if c == b][:1]
+            paths = new
+        return max(score + float(model[a, b, 0]) for (a, b), score, _ in paths), {text for (a, b), score, text in paths}
+
+    def worth(token, word):
+        best = {}
+        for (a, b), score, text in _all(token):
+            best[text] = max(best.get(text, -1e9), score + float(model[a, b, 0]))
+        return best[word]
+
+    def _all(token):
+        paths = [((0, 0), 0.0, "")]
+        for ch in token:
+            options = ([(CODE[ch], 0.0)] if ch in CODE and ch != " " else []) + [(CODE[c], SUBSTITUTE) for c in LEET.get(ch, "")]
+            new = []
+            for (a, b), score, text in paths:
+                new += [((b, c), score + cost + float(model[a, b, c]), text + LETTERS[c]) for c, cost in options]
+                if ch in SEPARATORS or not options:
+                    new.append(((a, b), score + SKIP, text))
+                if any(c == b for c, _ in options):
+                    new.append(((a, b), score + REPEAT + min(cost for c, cost in options if c == b), text))
+            paths = new
+        return paths
+
+    for _ in range(200):
+        token = "".join(rnd.choice("abdeiost0134571!.-$") for _ in range(rnd.randint(3, 8)))
+        top, words = every(token)
+        word = restore(token, model)
+        assert word in words and worth(token, word) == pytest.approx(top, abs=1e-4)
+
+
 def decoded(texts, model):
     """The distinct tokens of each text, plain and restored."""
     tokens = Tokens(pa.array(texts, pa.string()), _decoder(model))
@@ -60,6 +105,9 @@ def test_held_out_accuracy_and_no_leak(spark, documents):
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for k, r in out.items())
     held = [(out[r.doc_id].predicted, r.toxic) for r in labels.collect() if out[r.doc_id].held_out]
     assert np.mean([p == y for p, y in held]) > 0.9
+    toxic = [p for p, y in held if y == 1]
+    clean = [p for p, y in held if y == 0]
+    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.05  # most texts are clean, so accuracy alone says little
     flipped = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r.doc_id: r.score for r in toxicity(documents, flipped).collect()} == {k: r.score for k, r in out.items()}
 
@@ -220,9 +268,9 @@ def test_seed_bound():
 
 
 def test_awkward_decontamination(spark):
-    items = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, "x"), (None, "long words long words")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, "x"), (5, "ONE!"), (6, "c a"), (None, "long words long words")], "item_id bigint, text string")
     rows = {(r.doc_id, r.item_id) for r in contaminated(awkward(spark), items).collect()}
-    assert rows == {(None, 1), (7, None), (8, None)}
+    assert rows == {(None, 1), (7, None), (8, None), (4, 5), (5, 5)}  # short items match whole texts of their words
     assert contaminated(awkward(spark, False), items).collect() == []
     assert contaminated(awkward(spark), items.where(F.lit(False))).collect() == []
 
@@ -249,14 +297,72 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(i in re.sub(r"\W+", " ", r.text).lower() for r in last for i in items)
 
 
+def test_pipeline_against_plain_stages(spark, monkeypatch):
+    """All stages but the scores, which are taken as they come, by brute force over small documents."""
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = {r.doc_id for r in toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if r.doc_id not in toxic}
+    sets = {k: shingles(t, 5) for k, t in texts.items()}
+    near = lambda i, j: bool(sets[i]) and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    texts = {k: texts[k] for k, root in components(sorted(texts), near).items() if k == root}
+    gone = removed(texts, 50)
+    kept = {}
+    for k, t in texts.items():
+        spans = list(WORD.finditer(t or ""))
+        out, at = [], 0
+        for i, (m, g) in enumerate(zip(spans, gone[k], strict=True)):
+            if g and (i == 0 or not gone[k][i - 1]):
+                out.append((t or "")[at : m.start()])
+            if g:
+                at = spans[i + 1].start() if i + 1 < len(spans) else len(t or "")
+        kept[k] = "".join(out) + (t or "")[at:]
+    plain = lambda t: "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (t or "").translate(LOWER)).split()
+    items = [plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {}
+    for k, t in kept.items():
+        words = plain(t)
+        code = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        text = np.array([code[w] for w in words], np.int64)
+        hit = False
+        for item in items:
+            of = np.array([code.get(w, -1) for w in item], np.int64)
+            there = (of >= 0).sum()
+            hit |= bool(there >= 0.8 * len(item) and align(of, text)[0] >= 0.8 * len(item) - 1e-9 or there >= 13 and has_excerpt(of, text, 13, 0.8))
+        if not hit:
+            clean[k] = t
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in clean.items()}
+    rows = pipeline.run(spark, sf).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == want
+    held = {}
+    for r in rows:
+        held.setdefault(r.doc_id, []).append((r.start, r.length))
+    for k, pieces in held.items():
+        assert sum(n for _, n in pieces) == want[k] and all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False))
+    assert 20 < len(want) < docs.count()
+
+
 @pytest.mark.parametrize("with_rows", [True, False])
 def test_stages_take_awkward_documents(spark, tmp_path, with_rows):
     import corpus_pipeline as pipeline
 
     docs = awkward(spark, with_rows)
+    after = {}
     for name, stage in pipeline.STAGES:
         stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
+        after[name] = [tuple(r) for r in docs.collect()]
+    if with_rows:
+        assert len(after["toxicity"]) == 13 and all(r[2] == (None if r[0] == 4 else "en") for r in after["toxicity"])
+        cut_ = {r[0]: r[1] for r in after["suffix_array_dedup"]}
+        assert cut_[1] is None and cut_[2] == "" and cut_[3] == "   \n\t " and cut_[6] == "a b c" and cut_[10] == "ünï©ödé 漢字 🙂 text"
+        assert len(cut_[7].split()) < 200 and len(after["suffix_array_dedup"]) == len(after["minhash_near_dedup"]) == len(after["benchmark_decontamination"])
+        assert sorted(r[0] for r in after["packing"] if r[0] is not None) == [1, 2, 3, 4, 6, 7, 7, 9, 10]
     near = spark.read.parquet(str(tmp_path / "minhash_near_dedup"))
     kept = [r.doc_id for r in near.collect()]
     assert sorted(k for k in kept if k is not None) == ([1, 2, 3, 4, 6, 7, 7, 9, 10] if with_rows else []) and kept.count(None) == 2 * with_rows
