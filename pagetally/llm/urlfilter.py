@@ -5,7 +5,8 @@ suffixes of its host and all prefixes of its path that a rule could have; the li
 rules. Level 0 of the cascade encodes the listed keys; the corpus's key universe is run through it
 and what passes without being listed is encoded in level 1; listed keys that pass level 1 go to
 level 2, and so on until nothing passes wrongly. Over that universe membership is then exact, so
-no URL needs a join with the list.
+no URL needs a join with the list. The verdict of a rule that fits comes the same way: for each verdict but
+one a cascade over the listed keys encodes those that have it, so the plan does not grow with the list.
 
 The filters' bits come to a few for each listed key: level 0 takes its false-positive rate from
 the sizes of list and universe, so that what passes is about as much as is listed. The bits are
@@ -13,8 +14,10 @@ set by an aggregation; the driver gets the finished filters only, and their size
 they are broadcast inside the query.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; the
-method's own verdict for URLs without a rule is ``allow``; repeated rows each get their row;
-further columns are ignored; an empty table gives an empty result.
+method's own verdict for URLs without a rule is ``allow``; of two fitting rules of one length the one with the
+longer host wins, and of two rules for one host and path the one that comes first; a URL of any length is judged
+whole; repeated rows, and rows without id, each get their row; further columns are ignored, whatever their names;
+an empty table gives an empty result, and without rules every verdict is the method's own.
 """
 
 from __future__ import annotations
@@ -128,12 +131,17 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     keyed = rows.withColumn("keys", keys(F.col("host"), F.col("path"), lengths))
     universe = keyed.select(F.explode("keys").alias("key"))
-    listed = pages.sparkSession.createDataFrame([(h + p,) for h, p, _ in rules], "key string")
+    of: dict[str, str] = {}
+    for h, p, v in rules:
+        of.setdefault(h + p, v)
+    listed = pages.sparkSession.createDataFrame(list(of.items()), "key string, verdict string")
     cascade = build_cascade(universe, listed)
     hits = F.filter("keys", cascade.test) if cascade.levels else F.array().cast("array<string>")
     best = F.reduce(hits, F.lit(""), lambda a, k: F.when(F.length(k) > F.length(a), k).otherwise(a))
-    verdict = F.lit(default)
-    for h, p, v in rules:
-        verdict = F.when(F.col("rule") == h + p, F.lit(v)).otherwise(verdict)
+    verdicts = sorted(set(of.values()))
+    verdict = F.lit(verdicts[-1]) if verdicts else F.lit(default)
+    for v in verdicts[:-1]:
+        verdict = F.when(build_cascade(listed, listed.where(F.col("verdict") == v)).test(F.col("rule")), v).otherwise(verdict)
+    verdict = F.when(F.col("rule").isNull(), default).otherwise(verdict)
     out = keyed.withColumn("rule", F.nullif(best, F.lit("")))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"))

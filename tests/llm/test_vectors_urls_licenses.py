@@ -107,6 +107,25 @@ def test_url_rules(spark):
     assert filter_urls(df.where(F.lit(False)), URL_RULES).collect() == []
 
 
+def test_many_rules_and_ties(spark):
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choice("ab") for _ in range(3))
+    rules = [(".".join(name() for _ in range(rnd.randint(1, 2))), rnd.choice(["/", "/x/", "/xy/"]), rnd.choice(["allow", "block", "review"])) for _ in range(60)]
+    urls = [f"http://{'.'.join(name() for _ in range(rnd.randint(1, 4)))}{rnd.choice(['/', '/x/', '/xy/z', ''])}" for _ in range(400)]
+    first = {}
+    for h, p, v in rules:
+        first.setdefault(h + p, v)
+
+    def judged(url):
+        host, slash, path = url[7:].partition("/")
+        fit = [(len(h + p), len(h), h + p) for h, p, _ in rules if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        return (max(fit)[2], first[max(fit)[2]]) if fit else (None, "none")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in filter_urls(df, rules, default="none").collect()} == {k: judged(u) for k, u in enumerate(urls)}
+    assert {r.verdict for r in filter_urls(df, []).collect()} == {"allow"}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("xxhash64(key) % 40 = 0")
