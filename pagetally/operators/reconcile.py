@@ -106,13 +106,15 @@ def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: f
         broken = fails(values)
         if len(broken) != 1:
             return empty
+        gap = values[broken[0]] - sum(s * values[x] for x, s in checked[broken[0]])
         found = set()
         for name in [broken[0], *[x for x, _ in checked[broken[0]]]]:
             old = values[name]
             places = decimals(old)
+            slope = 1 if name == broken[0] else -sum(s for x, s in checked[broken[0]] if x == name)
             for text in edits(str(round(abs(old) * 10**places)).rjust(places + 1, "0")):
                 new = int(text) / 10**places * (-1 if old < 0 else 1)
-                if new != old and not fails(values | {name: new}):
+                if new != old and abs(gap + slope * (new - old)) <= tolerance + 1e-6 and not fails(values | {name: new}):
                     found.add((name, old, new))
         if len(found) != 1:
             return empty
