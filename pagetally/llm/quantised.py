@@ -169,8 +169,12 @@ class Index:
         if len(x) < 3:
             return far
         rng = np.random.default_rng(11)
-        alike = x @ sample.T
-        near = np.where(alike > 1 - 1e-6, -2, alike).argpartition(-min(8, len(sample) - 1), axis=1)[:, -min(8, len(sample) - 1) :]
+        few = min(8, len(sample) - 1)
+        near = np.empty((len(x), few), np.int64)
+        for a in range(0, len(x), 100):  # the whole table of similarities would be large
+            alike = x[a : a + 100] @ sample.T
+            alike[alike > 1 - 1e-6] = -2  # equal ones show no direction
+            near[a : a + 100] = alike.argpartition(-few, axis=1)[:, -few:]
         need = 0.0
         for partner in (rng.integers(0, len(sample), len(x)), near[np.arange(len(x)), rng.integers(0, near.shape[1], len(x))]):
             z = sample[partner]
