@@ -314,7 +314,7 @@ def _indices(texts: DataFrame, items: DataFrame, n: int, identity: float, excerp
         yield made()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 8 << 20, excerpt: int = 13) -> DataFrame:
     """(id_col, item_col, score, matched, start_word, stop_word): each text's best copy of each item, or excerpt of so many words."""
     tune(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
@@ -331,7 +331,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float
     return found.select(F.col("a").alias(id_col), F.col("b").alias(item_col), "score", "matched", "start_word", "stop_word")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 32 << 20, excerpt: int = 13) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = 3, identity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 8 << 20, excerpt: int = 13) -> DataFrame:
     """The rows of docs, with or without id, whose string ``text_col`` holds no copy and no excerpt of an item."""
     tune(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
