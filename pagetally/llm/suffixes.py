@@ -237,6 +237,7 @@ def suffix_duplicates(docs: DataFrame, window: int = 50, prefix: int | None = No
     """(id_col, n_words, n_removed, spans, kept[, carried columns]): kept is the text without its spans.
     A task remembers 2 ** ``memory`` prefixes, records or passages; that bounds its memory and changes no result."""
     tune(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "20")  # records are wide
     carry = carry or []
     prefix = prefix or (window + 2) // 2
     if not 0 < window - prefix < 62:
