@@ -355,7 +355,8 @@ class Tokenizer:
 class WordMachine:
     """The lazily compiled transducer; see the module's docstring."""
 
-    STATES_KEPT = 150_000
+    STATES_KEPT = 200_000
+    WORDS_KEPT = 400_000  # of their counts
 
     def __init__(self, tokenizer: Tokenizer):
         self.rank, self.bytes_of = tokenizer.rank, tokenizer.bytes_of
@@ -374,13 +375,14 @@ class WordMachine:
             raise ValueError("only vocabularies whose merges come after those of their parts are compiled")
         self.begins = {b[:k] for b in self.token for k in range(1, len(b) + 1)}
         self.edges: list[dict[int, list]] = [{}, {}]
+        self.known: dict[bytes, int] = dict(self.fixed)
         self.reset()
 
     def reset(self) -> None:
         self.states = [(b"", (-1,), (0,))]  # end of what was read, last tokens and counts of the beginnings inside it
         self.number = {self.states[0]: 0}
         self.next: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> (state, tokens more)
-        self.known: dict[bytes, int] = dict(self.fixed)
+        self.side_by_side: dict[int, bool] = {}
 
     def merged(self, text: bytes, of: int) -> list[int]:
         """Byte-pair merging by rank, of the leftmost of equal pairs; the last merge is kept as the split of ``of``."""
@@ -414,28 +416,31 @@ class WordMachine:
         unless some merge joins both while it is its turn: of pairs of equal rank the left one comes first."""
         if a < 0:
             return True
-        get = self.rank.get
-        for x, made, used in self.edge(a, 1):
-            for y, also_made, also_used in self.edge(b, 0):
-                pair = get((x, y))
-                if pair is not None and made < pair[0] < used and also_made < pair[0] <= also_used:
-                    return False
-        return True
+        out = self.side_by_side.get(a << 20 | b)
+        if out is None:
+            get = self.rank.get
+            out = self.side_by_side[a << 20 | b] = not any(
+                (pair := get((x, y))) is not None and made < pair[0] < used and also_made < pair[0] <= also_used for x, made, used in self.edge(a, 1) for y, also_made, also_used in self.edge(b, 0)
+            )
+        return out
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         end, last, count = self.states[state]
         end += bytes([byte])
         # positions of the beginnings: last[k] belongs to the one that ends k bytes into ``end``
+        get = self.token.get
         for k in range(len(end)):
-            token = self.token.get(end[k:])
+            token = get(end[k:])
             if token is not None and self.apart(last[k], token):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
         more = count[k] + 1
         last, count = (*last, token), (*(c - more for c in count), 0)
-        cut = next(k for k in range(len(end) + 1) if k == len(end) or end[k:] in self.begins)
-        key = (end[cut:], last[cut:], count[cut:])
+        cut = 0
+        while cut < len(end) and end[cut:] not in self.begins:
+            cut += 1
+        key = (end[cut:], last[cut:], count[cut:]) if cut else (end, last, count)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
@@ -446,17 +451,21 @@ class WordMachine:
     def count(self, words: list[bytes]) -> list[int]:
         if len(self.states) > self.STATES_KEPT:
             self.reset()
+        if len(self.known) > self.WORDS_KEPT:
+            self.known = dict(self.fixed)
         out = []
         for word in words:
             n = self.known.get(word)
             if n is None:
                 state = n = 0
+                take = self.next.get
                 for byte in word:
-                    state, more = self.next.get(state << 8 | byte) or self.compile(state, byte)
+                    state, more = take(state << 8 | byte) or self.compile(state, byte)
                     n += more
                     if len(self.states) > 2 * self.STATES_KEPT:  # within one very long word, too
                         key, held = self.states[state], n
                         self.reset()
+                        take = self.next.get
                         state = self.number.setdefault(key, len(self.states))
                         if state == len(self.states):
                             self.states.append(key)
