@@ -155,11 +155,11 @@ def write_page_files(df: DataFrame, path: str, most: int = 10_000) -> None:
 
 
 def write_truth(truth: DataFrame, path: str, filings: int = 1000) -> None:
-    """Filings as JSON lists of so many each, as ``read_truth`` reads them."""
+    """Filings as JSON lists of about so many each, a file for each list: ``read_truth`` reads a file's first value only."""
     parts = max(1, -(-truth.count() // filings))
     one = F.struct(*truth.columns)
     lists = truth.groupBy(F.pmod(F.xxhash64("filing_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    lists.select("value").repartition(parts).write.mode("overwrite").text(path)
+    lists.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

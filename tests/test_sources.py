@@ -30,6 +30,17 @@ def test_truth_and_precedence(spark, tmp_path):
     assert pages.truth_rows(truth).first().sum_of == ["r2", "-r3"]
 
 
+def test_truth_of_many_lists(spark, tmp_path):
+    """However the lists lie in partitions, every filing is read again."""
+    truth = spark.range(0, 400, 1, 8).selectExpr("concat('f', id) AS filing_id", "'x' AS annotator", "'' AS verified_by").withColumn("statements", F.array().cast(pages.TRUTH.split("statements ")[1]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages.write_truth(truth, str(tmp_path / "gt"), filings=10)
+        assert {r.filing_id for r in pages.read_truth(spark, [str(tmp_path / "gt")]).collect()} == {f"f{i}" for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_inventory_without_its_mark(spark, tmp_path):
     (tmp_path / "i.csv").write_text("﻿filing_id,entity\na,b\n", encoding="utf-8")
     assert pages.read_inventory(spark, str(tmp_path / "i.csv")).first().asDict() == {"filing_id": "a", "entity": "b"}
