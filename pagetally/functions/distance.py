@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -15,21 +17,31 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.lit(float("nan"))).otherwise(F.levenshtein(reference, hypothesis) / n)
 
 
-def _distance(a: list, b: list, substitution: int = 1) -> int:
-    """Edit distance of sequences by rows; the gap along the row is a running minimum."""
+def _distance(a: Sequence, b: Sequence, substitution: int = 1) -> int:
+    """Edit distance of sequences with substitutions at 1 or 2. A column of the table of distances is kept as bits of
+    integers (Myers; Hyyrö for 2, where the distance is that of the longest common subsequence)."""
     if not a or not b:
         return len(a) + len(b)
-    code: dict = {}
-    x = np.array([code.setdefault(t, len(code)) for t in a])
-    y = np.array([code.setdefault(t, len(code)) for t in b])
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, t in enumerate(x, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + np.where(y == t, 0, substitution), row[1:] + 1)
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    at: dict = {}
+    for i, t in enumerate(a):
+        at[t] = at.get(t, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    if substitution == 2:
+        open_ = every
+        for t in b:
+            if t in at:
+                hit = open_ & at[t]
+                open_ = (open_ + hit | open_ - hit) & every
+        return len(b) - len(a) + 2 * open_.bit_count()
+    up, down, last, found = every, 0, 1 << len(a) - 1, len(a)
+    for t in b:
+        same = at.get(t, 0)
+        across = ((same & up) + up ^ up) | same
+        right, left = down | ~(across | up) & every, up & across
+        found += (right & last > 0) - (left & last > 0)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(same | down | right)) & every, right & (same | down) & every
+    return found
 
 
 @F.pandas_udf(T.DoubleType())
@@ -59,7 +71,7 @@ def similarity(a: str, b: str) -> float:
     if a == b:
         return 100.0
     total = len(a) + len(b)
-    return 100.0 * (1 - _distance(list(a), list(b), 2) / total) if total else 100.0
+    return 100.0 * (1 - _distance(a, b, 2) / total) if total else 100.0
 
 
 def best_window(a: str, b: str) -> float:
@@ -75,14 +87,86 @@ def best_window(a: str, b: str) -> float:
     return best
 
 
+def _codes(texts: Sequence[str]) -> np.ndarray:
+    """Code points of texts of one length, a column for each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = next(k for k in (np.uint8, np.uint16, np.uint32) if points.max() <= np.iinfo(k).max)
+    return np.ascontiguousarray(points.reshape(len(texts), -1).T.astype(small))
+
+
+def _strands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tiskin's semi-local comparison of pairs of texts (columns of a and b, see ``_codes``): for each place of b the place
+    above a at which the strand that leaves there began, -1 for one that came from the left. The longest common
+    subsequence of a and b[i:j] leaves out as many of the j - i characters as strands before j began at i or later.
+    Cells of a diagonal do not depend on one another and are combed at once."""
+    n, m = len(a), len(b)
+    kind = next(k for k in (np.int8, np.int16, np.int32) if m <= np.iinfo(k).max)
+    down = np.repeat(np.arange(m, dtype=kind)[:, None], b.shape[1], axis=1)
+    across, backward = np.full(a.shape, -1, kind), np.ascontiguousarray(a[::-1])
+    for d in range(n + m - 1):
+        first, end = max(0, d - n + 1), min(m, d + 1)
+        rows, columns = slice(n - 1 - d + first, n - 1 - d + end), slice(first, end)
+        same, h, v = backward[rows] == b[columns], across[rows], down[columns]
+        low, high = np.minimum(h, v), np.maximum(h, v)
+        low, high = np.where(same, v, low), np.where(same, h, high)
+        across[rows], down[columns] = low, high
+    return down
+
+
+def _combed(a: Sequence[str], b: Sequence[str]) -> Iterator[tuple[list[int], int, np.ndarray]]:
+    """(numbers of the pairs, length of their a, their strands): pairs without empty texts, those of the same two lengths
+    together, in parts of bounded size."""
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x and y:
+            alike.setdefault((len(x), len(y)), []).append(i)
+    for (n, m), numbers in alike.items():
+        step = max(1, (1 << 17) // max(n, m))
+        for at in range(0, len(numbers), step):
+            part = numbers[at : at + step]
+            yield part, n, _strands(_codes([a[i] for i in part]), _codes([b[i] for i in part]))
+
+
+def similarities(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``similarity`` of many pairs."""
+    out = np.array([0.0 if len(x) + len(y) else 100.0 for x, y in zip(a, b, strict=True)])
+    for part, n, strands in _combed(a, b):
+        total = n + len(strands)
+        out[part] = 100.0 * (1 - (n - len(strands) + 2 * np.count_nonzero(strands >= 0, axis=0)) / total)
+    return out
+
+
+def best_windows(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``best_window`` of many pairs."""
+    short, long = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else ((), ())
+    out = np.array([100.0 if x in y and (x or not y) else 0.0 for x, y in zip(short, long, strict=True)])
+    todo = np.flatnonzero(out == 0)
+    for part, n, strands in _combed([short[i] for i in todo], [long[i] for i in todo]):
+        m, best = len(strands), np.zeros(len(part))
+        for at in range(1 - n, m):
+            i, j = max(0, at), min(m, at + n)
+            left_out = (strands[i:j] >= i).view(np.int8).sum(axis=0, dtype=strands.dtype)
+            np.maximum(best, 100.0 * (1 - (n - (j - i) + 2.0 * left_out) / (n + j - i)), out=best)
+        out[todo[part]] = best
+    return out
+
+
+def _of_pairs(score: Callable, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Scores of a batch's different pairs, put where they belong; null where a text is null."""
+    place: dict = {}
+    at = [None if x is None or y is None else place.setdefault((x, y), len(place)) for x, y in zip(a, b, strict=True)]
+    found = score([x for x, _ in place], [y for _, y in place]).tolist()
+    return pd.Series([None if i is None else found[i] for i in at], dtype="Float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
+    return _of_pairs(similarities, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else best_window(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
+    return _of_pairs(best_windows, a, b)
 
 
 def ratio(a: Column, b: Column) -> Column:

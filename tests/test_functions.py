@@ -114,6 +114,21 @@ def test_ratios(value):
     assert value(distance.ratio(F.lit("ab"), F.lit(None).cast("string"))) is None
 
 
+def test_similarities_of_many_pairs():
+    """A batch gets what each pair gets by a plain table of distances."""
+    rnd = random.Random(8)
+    word = lambda letters, most: "".join(rnd.choice(letters) for _ in range(rnd.randrange(most)))
+    pairs = [(word(x, 12), word(x, k)) for x in ("ab", "abcdef", "نص ab", "a😀b") for k in (3, 12, 30) for _ in range(25)] + [(word("ab", 150), word("ab", 300)) for _ in range(2)]
+    for (a, b), one, window in zip(pairs, distance.similarities(*zip(*pairs)), distance.best_windows(*zip(*pairs)), strict=True):
+        alike = lambda x, y: 100.0 * (1 - levenshtein(x, y, 2) / (len(x) + len(y))) if x or y else 100.0
+        assert one == pytest.approx(alike(a, b)) and distance._distance(a, b) == levenshtein(a, b)
+        if len(a) + len(b) < 50:
+            short, long = sorted((a, b), key=len)
+            assert window == pytest.approx(max(alike(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))) if short else 0.0 if long else 100.0)
+    assert len(distance.similarities([], [])) == len(distance.best_windows([], [])) == 0
+
+
+
 def test_classes(value):
     label = lambda s: (value(text.detector_label(F.lit(s))), value(text.block_label(F.lit(s))))
     assert label("Page-header") == ("header", "header") and label("Section-header") == ("text", "text")
