@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.functions.distance import partial_ratio, similarity
+from pagetally.functions.distance import partial_ratio, similarities
 from pagetally.functions.text import normalise
 
 UNLABELED = "unlabeled line"  # fixed value: a row's status
@@ -133,44 +133,65 @@ def rescore(items: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
 def paired(alike: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """The order-preserving pairing of rows and columns with the largest sum of similarities of at least threshold; of
     equally good ones that which leaves later rows and columns alone."""
+    worth = [[x if x >= threshold else 0.0 for x in row] for row in alike.tolist()]
     n, m = alike.shape
-    worth = np.where(alike >= threshold, alike, 0.0)
-    best = np.zeros((n + 1, m + 1))
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below, gain = best[i], best[i + 1], worth[i]
         for j in range(m - 1, -1, -1):
-            best[i, j] = max(best[i + 1, j], best[i, j + 1], best[i + 1, j + 1] + worth[i, j])
+            row[j] = max(below[j], row[j + 1], below[j + 1] + gain[j])
     out, i, j = [], 0, 0
     while i < n and j < m:
-        if worth[i, j] > 0 and best[i, j] == best[i + 1, j + 1] + worth[i, j]:
+        if worth[i][j] > 0 and best[i][j] == best[i + 1][j + 1] + worth[i][j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i, j] == best[i + 1, j]:
+        elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
             j += 1
     return out
 
 
+def _pairs_of_labels(threshold: float):
+    """Of each table's labels, left and right in order: for each left row the right row that it pairs with, or -1."""
+
+    @F.arrow_udf("array<int>")
+    def pairs(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = left.flatten().to_pylist(), right.flatten().to_pylist()
+        n, m = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right))
+        from_a, from_b = np.cumsum(n) - n, np.cumsum(m) - m
+        found = np.full(len(a), -1, np.int32)
+        # So many tables at a time that their pairs stay few; a table's pairs are its labels' product.
+        part = np.cumsum(n * m) // 500_000
+        for tables in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+            each = (n * m)[tables]
+            table = np.repeat(tables, each)
+            cell = np.arange(len(table)) - np.repeat(np.cumsum(each) - each, each)
+            x, y = (from_a[table] + cell // m[table]).tolist(), (from_b[table] + cell % m[table]).tolist()
+            # A row without label is like nothing.
+            labelled = [k for k, (i, j) in enumerate(zip(x, y, strict=True)) if a[i] and b[j]]
+            alike = np.zeros(len(table))
+            alike[labelled] = similarities([a[x[k]] for k in labelled], [b[y[k]] for k in labelled])
+            for t, grid in zip(tables.tolist(), np.split(alike, np.cumsum(each)[:-1]), strict=False):
+                for i, j in paired(grid.reshape(n[t], m[t]), threshold):
+                    found[from_a[t] + i] = j
+        return pa.ListArray.from_arrays(pa.array(np.append(from_a, len(a)), pa.int32()), pa.array(found))
+
+    return pairs
+
+
 def merge_halves(left: DataFrame, right: DataFrame, key: Sequence[str], threshold: float = 70.0) -> DataFrame:
     """(key, ord, text): two halves of a wide table, their rows paired in order by the similarity of their labels.
     A pair is one line, a bar between; rows of one half alone are kept, the right half's after all of the left's.
     left, right: key, ord, label, text. Rows without label pair with nothing. A table has some dozen rows."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key).schema.fields) + ", ord int, text string"
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        halves = [h.sort_values("ord")[["label", "text"]].to_dict("records") for h in (a, b)]
-        alike = np.array([[similarity(x["label"], y["label"]) if x["label"] and y["label"] else 0.0 for y in halves[1]] for x in halves[0]]).reshape(len(a), len(b))
-        line = pd.Series([x["text"] for x in halves[0]], dtype=object)
-        alone = set(range(len(b)))
-        for i, j in paired(alike, threshold):
-            line[i] = f"{line[i]} | {halves[1][j]['text']}"
-            alone.remove(j)
-        texts = [*line, *(halves[1][j]["text"] for j in sorted(alone))]
-        whose = (a if len(a) else b).iloc[:1][list(key)]
-        out = pd.concat([whose] * len(texts), ignore_index=True) if texts else whose
-        return out.assign(ord=range(len(texts)), text=texts)
-
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(one, schema)
+    sides = [df.select(*key, F.lit(side).alias("side"), F.struct("ord", "label", "text").alias("row")) for side, df in enumerate((left, right))]
+    held = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("row"))))
+    tables = sides[0].union(sides[1]).groupBy(*key).agg(held(0).alias("a"), held(1).alias("b"))
+    tables = tables.withColumn("pair", _pairs_of_labels(threshold)(F.col("a.label"), F.col("b.label")))
+    words = lambda row: F.coalesce(row["text"], F.lit(""))
+    both = lambda row, i: F.when(F.get("pair", i) >= 0, F.concat(words(row), F.lit(" | "), words(F.get("b", F.get("pair", i))))).otherwise(row["text"])
+    alone = F.transform(F.filter("b", lambda _, j: ~F.array_contains("pair", j)), lambda row: row["text"])
+    return tables.select(*key, F.posexplode(F.concat(F.transform("a", both), alone)).alias("ord", "text"))
 
 
 def fill_missing(outputs: DataFrame, source: DataFrame, key: str) -> DataFrame:

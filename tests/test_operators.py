@@ -238,6 +238,17 @@ def test_halves_are_merged_along_labels(spark):
     assert [r.text for r in matching.merge_halves(left, right, ["k"]).orderBy("ord").collect()] == ["L0 | R0", "L1 | R1", "L2", "R2"]
 
 
+def test_many_halves_at_once(spark):
+    """Tables of a batch do not mix, whichever half is missing; no table costs a call of its own."""
+    rows = lambda side, tables: frame(spark, [(t, o, f"row {o}", f"{side}{t}.{o}") for t in tables for o in range(t % 4 + 1)] + [(9000, 0, None, side)], "k int, ord int, label string, text string")
+    merged = matching.merge_halves(rows("L", range(3000)), rows("R", range(1000, 4000)), ["k"])
+    assert "FlatMapCoGroups" not in merged._jdf.queryExecution().toString()
+    got = {(r.k, r.ord): r.text for r in merged.collect()}
+    want = {(t, o): " | ".join(f"{s}{t}.{o}" for s, there in (("L", t < 3000), ("R", t >= 1000)) if there) for t in range(4000) for o in range(t % 4 + 1)}
+    assert got == want | {(9000, 0): "L", (9000, 1): "R"}
+
+
+
 def test_choice_by_features_and_by_truth(spark):
     total = "| a | 1 | 1,500 |\n| b | 2 | 2,500 |\n| t | | 4,000 |"
     readings = [("p", "x", 0, total.replace("4,000", "4,007")), ("p", "y", 1, total), ("q", "x", 0, total), ("q", "y", 1, total), ("r", "x", 0, "1 2"), ("r", "y", 1, "1 2\n3 4"), ("s", "x", 0, None), ("s", "y", 1, "１,５００")]
