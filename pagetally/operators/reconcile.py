@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor, isfinite
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,51 +76,85 @@ def decimals(value: float) -> int:
     return next((k for k in (0, 1) if round(value, 2) == round(value, k)), 2)
 
 
-def edits(text: str) -> list[str]:
-    """All digit strings one substitution, deletion or insertion away."""
-    out = {text[:i] + d + text[i + 1 :] for i in range(len(text)) for d in "0123456789"}
-    out |= {text[:i] + text[i + 1 :] for i in range(len(text)) if len(text) > 1}
-    out |= {text[:i] + d + text[i:] for i in range(len(text) + 1) for d in "0123456789"}
-    out.discard(text)
-    return sorted(out)
+def edits(figure: int, length: int, low: int, high: int) -> set[int]:
+    """The numbers from low to high (0 at least) that a figure of so many digits becomes by one substitution, deletion or
+    insertion of a digit. For each place the digits that lead there are computed, not tried."""
+    low, out = max(low, 0), set()
+
+    def digits(rest: int, step: int) -> None:
+        for d in range(max(0, -((rest - low) // step)), min(9, (high - rest) // step) + 1):
+            out.add(rest + d * step)
+
+    step = 1
+    for i in range(length + 1):
+        upper, lower = divmod(figure, step)
+        if i < length:
+            short = upper // 10 * step + lower
+            digits(short + upper // 10 * 9 * step, step)
+            if length > 1 and low <= short <= high:
+                out.add(short)
+        digits(upper * 10 * step + lower, step)
+        step *= 10
+    return out
+
+
+def _repaired(values: dict[str, float], links: dict[str, list[tuple[str, int]]], tolerance: float) -> tuple[str, float, float] | None:
+    """(row_id, old, new) of the one edit that mends a column's one failing total; links: total to (component, sign)."""
+    checked = {t: there for t, parts in links.items() if t in values and (there := [p for p in parts if p[0] in values])}
+    fails = lambda v: [t for t, parts in checked.items() if abs(v[t] - sum(s * v[x] for x, s in parts)) > tolerance]
+    broken = fails(values)
+    if len(broken) != 1:
+        return None
+    total = broken[0]
+    gap = values[total] - sum(s * values[x] for x, s in checked[total])
+    found = set()
+    for name in dict.fromkeys([total, *[x for x, _ in checked[total]]]):
+        old = values[name]
+        slope = 1 if name == total else -sum(s for x, s in checked[total] if x == name)
+        if not slope or not isfinite(old) or not isfinite(gap):
+            continue
+        places = decimals(old)
+        scale = 10**places
+        figure, sign = round(abs(old) * scale), -1 if old < 0 else 1
+        middle, reach = sign * (old - gap / slope) * scale, (tolerance + 1e-6) / abs(slope) * scale
+        for n in edits(figure, max(len(str(figure)), places + 1), floor(middle - reach) - 1, ceil(middle + reach) + 1):
+            new = n / scale * sign
+            if new != old and abs(gap + slope * (new - old)) <= tolerance + 1e-6 and not fails(values | {name: new}):
+                found.add((name, old, new))
+                if len(found) > 1:
+                    return None
+    return found.pop() if found else None
+
+
+def _repairs(tolerance: float):
+    """Of each column's cells and its statement's links: a list of the repair, or an empty one."""
+
+    @F.arrow_udf("array<struct<row_id: string, old: double, new: double>>")
+    def one(row_id: pa.Array, value: pa.Array, total: pa.Array, ref: pa.Array, sign: pa.Array) -> pa.Array:
+        cut = lambda a: np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        names, figures, totals, refs, signs = (a.flatten().to_pylist() for a in (row_id, value, total, ref, sign))
+        out, at, from_link = [], 0, 0
+        for end, to_link in zip(cut(row_id), cut(total), strict=True):
+            values = {k: v for k, v in zip(names[at:end], figures[at:end], strict=True) if v is not None and v == v}
+            links: dict[str, list] = {}
+            for t, x, s in zip(totals[from_link:to_link], refs[from_link:to_link], signs[from_link:to_link], strict=True):
+                links.setdefault(t, []).append((x, s))
+            mended = _repaired(values, links, tolerance)
+            out.append([dict(zip(("row_id", "old", "new"), mended, strict=True))] if mended else [])
+            at, from_link = end, to_link
+        return pa.array(out, pa.list_(pa.struct([("row_id", pa.string()), ("old", pa.float64()), ("new", pa.float64())])))
+
+    return one
 
 
 def repair(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: float = 1.0) -> DataFrame:
     """(keys, col, row_id, old, new): of each column in which exactly one total fails, the figure of that total
     or its components whose one-digit edit makes every total of the column hold; columns with none or
-    several such edits are left alone. A figure's point keeps its place from the right.
-    Works a column at a time: a statement has a few dozen rows."""
-    need = [*keys, "col"]
-    table = links.join(cells.select(*keys, "col").distinct(), list(keys))
-    left = cells.select(*need, F.lit(0).alias("kind"), "row_id", F.lit(None).cast("string").alias("ref"), F.lit(0).alias("sign"), F.col("value").cast("double").alias("value"))
-    right = table.select(*need, F.lit(1).alias("kind"), F.col("total").alias("row_id"), "ref", "sign", F.lit(None).cast("double").alias("value"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*need).schema.fields) + ", row_id string, old double, new double"
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        values = {r.row_id: r.value for r in group[group.kind == 0].itertuples() if r.value == r.value and r.value is not None}
-        sums: dict[str, list] = {}
-        for r in group[group.kind == 1].itertuples():
-            sums.setdefault(r.row_id, []).append((r.ref, r.sign))
-        checked = {t: [(x, s) for x, s in parts if x in values] for t, parts in sums.items() if t in values}
-        checked = {t: parts for t, parts in checked.items() if parts}
-        fails = lambda v: [t for t, parts in checked.items() if abs(v[t] - sum(s * v[x] for x, s in parts)) > tolerance]
-        empty = pd.DataFrame({k: pd.Series([], dtype=object) for k in [*need, "row_id", "old", "new"]})
-        broken = fails(values)
-        if len(broken) != 1:
-            return empty
-        gap = values[broken[0]] - sum(s * values[x] for x, s in checked[broken[0]])
-        found = set()
-        for name in [broken[0], *[x for x, _ in checked[broken[0]]]]:
-            old = values[name]
-            places = decimals(old)
-            slope = 1 if name == broken[0] else -sum(s for x, s in checked[broken[0]] if x == name)
-            for text in edits(str(round(abs(old) * 10**places)).rjust(places + 1, "0")):
-                new = int(text) / 10**places * (-1 if old < 0 else 1)
-                if new != old and abs(gap + slope * (new - old)) <= tolerance + 1e-6 and not fails(values | {name: new}):
-                    found.add((name, old, new))
-        if len(found) != 1:
-            return empty
-        row = [*(group[k].iloc[0] for k in need), *found.pop()]
-        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in zip([*need, "row_id", "old", "new"], row, strict=True)})
-
-    return left.union(right).groupBy(*need).applyInPandas(one, schema)
+    several such edits are left alone. A figure's point keeps its place from the right; one that is not finite has no edits.
+    Works on whole columns: a statement has a few dozen rows."""
+    listed = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
+    # Dealt by statement, columns and links meet without another exchange.
+    columns = cells.repartition(*keys).groupBy(*keys, "col").agg(listed(F.col("row_id").cast("string").alias("row_id"), F.col("value").cast("double").alias("value")).alias("c"))
+    wanted = links.groupBy(*keys).agg(listed(F.col("total").cast("string").alias("total"), F.col("ref").cast("string").alias("ref"), "sign").alias("l"))
+    mended = _repairs(tolerance)(*[F.col(c) for c in ("c.row_id", "c.value", "l.total", "l.ref", "l.sign")])
+    return columns.join(wanted, list(keys)).select(*keys, "col", F.inline(mended))

@@ -174,6 +174,29 @@ def test_repairs_of_figures_with_places(spark):
     assert [reconcile.decimals(x) for x in (5.0, 5.5, 5.25, -0.1)] == [0, 1, 2, 1]
 
 
+def test_edits_are_computed_not_tried():
+    """Those between two bounds, against every digit string one edit away."""
+    rnd = random.Random(3)
+    for _ in range(500):
+        figure = rnd.randrange(10 ** rnd.randrange(1, 7))
+        text = str(figure).rjust(rnd.randrange(1, 4), "0")
+        low = rnd.randrange(-50, 10**6)
+        high = low + rnd.randrange(10 ** rnd.randrange(1, 7))
+        near = {text[:i] + d + text[i + k :] for k in (0, 1) for i in range(len(text) + 1 - k) for d in "0123456789"} | {text[:i] + text[i + 1 :] for i in range(len(text)) if len(text) > 1}
+        assert reconcile.edits(figure, len(text), low, high) == {int(x) for x in near if low <= int(x) <= high}
+
+
+def test_repairs_of_several_columns(spark):
+    """Each column of a statement by itself, blanks and figures that are not finite left aside; no column costs a call of its own."""
+    cells = [(s, r, c, v) for s in range(500) for c, t in (("x", 700.0), ("y", 300.0), ("z", float("inf"))) for r, v in (("t", t), ("a", 100.0), ("b", 200.0), ("blank", None))]
+    links = reconcile.edges(frame(spark, [(s, "t", ["a", "b", "blank"]) for s in range(500)], "stmt int, row_id string, sum_of array<string>"), ["stmt"])
+    got = reconcile.repair(frame(spark, cells, "stmt int, row_id string, col string, value double"), links, ["stmt"], tolerance=0.0)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert got.collect() == []  # 700 is 100 + 600, 500 + 200 and 300 misread
+    one = reconcile.repair(frame(spark, [c if c[:3] != (7, "t", "y") else (7, "t", "y", 30.0) for c in cells], "stmt int, row_id string, col string, value double"), links, ["stmt"], tolerance=0.0)
+    assert [tuple(r) for r in one.collect()] == [(7, "y", "t", 30.0, 300.0)]
+
+
 def test_containment_needs_one_line(spark):
     rows = frame(spark, [("g", 1, 5.0, 2), ("g", 2, 5.0, 1), ("g", 2, 6.0, 1), ("g", 3, 9.0, 1)], "g string, row_id int, value double, n bigint")
     lines = frame(spark, [("g", 10, 5.0, 1), ("g", 11, 5.0, 1), ("g", 11, 6.0, 1), ("h", 12, 9.0, 1)], "g string, line_no int, value double, n bigint")
