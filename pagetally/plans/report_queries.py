@@ -8,7 +8,7 @@ from pagetally.functions import predicates, text
 from pagetally.operators import confidence, cost, facts, reconcile, statistics, trees
 from pagetally.plans.registry import query
 from pagetally.sources import pages
-from pagetally.tables import table
+from pagetally.tables import spread, table
 
 
 @query("SELECT name, rows, figs, minutes FROM (SELECT event_type AS name, CAST(event_id % 175 AS INTEGER) AS rows, CAST(event_id % 371 AS INTEGER) AS figs, CAST(1.5 AS DOUBLE) AS minutes, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
@@ -156,7 +156,7 @@ def h09_regroup(spark, sf):
 def part_tables(spark, sf):
     """(p_partkey, truth, output): parts as tables of cells; of the outputs some lack a row, some a cell, some have a
     text reversed."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     case, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     truth = F.array(F.array("p_name", "p_brand"), F.array("p_type", size), F.array(size, F.lit("")))
     output = (

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pagetally.operators import confidence, cost, facts, layout, matching, multiset, reconcile, selection, trees
 from pagetally.operators import statistics as own
 from pagetally.operators.grids import grid_similarity, grits
@@ -404,6 +405,30 @@ def test_tree_similarity():
     assert trees.teds(a, table(("x", "q"), ("1", "2")), texts=False) == 1.0
 
 
+def test_plain_tables_are_read_as_by_the_parser():
+    """Tags without attributes are split off by a pattern; anything else goes to the parser, with the same nodes."""
+
+    def parsed(html):
+        tree, out = trees._Tree(), []
+        tree.feed(html)
+        tree.close()
+        for node in [n for n in tree.root[2] if n[0] == "table"][:1]:
+            trees._postorder(node, out)
+        return out
+
+    rnd = random.Random(5)
+    odd = ["&amp;", "<", "<!-- c -->", "<TD>", "<td >", "<td colspan=2>", "<b>", "<script>", "</script>"]
+    pages = ["<table>" + "".join(rnd.choice(["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "x", " y > z "] + odd * (k % 2)) for _ in range(rnd.randrange(30))) for k in range(400)]
+    assert [trees._nodes(p) for p in pages] == [parsed(p) for p in pages]
+    assert sum("<" in "".join(trees.PLAIN.split(p)[::2]) for p in pages) > 50
+
+
+def test_tables_are_compared_in_many_tasks(spark, sf):
+    """Few bytes, much work: files alone would make one task."""
+    for name in ("h10_tree_similarity", "h11_grid_similarity"):
+        assert entry.queries()[name](spark, sf).rdd.getNumPartitions() >= 4
+
+
 def test_grid_similarity(spark):
     a = [["x", "y"], ["1", "2"], ["3", "4"]]
     assert grid_similarity(a, a) == 1.0 and grid_similarity([], []) == 1.0 and grid_similarity(a, []) == 0.0
