@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagetally.functions.distance import partial_ratio, similarities
+from pagetally.functions.distance import best_windows, similarities
 from pagetally.functions.text import normalise
 
 UNLABELED = "unlabeled line"  # fixed value: a row's status
@@ -53,35 +55,100 @@ def contained(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str
     return wanted.join(full.withColumn("found", F.lit(True)), [*group, "pattern"], "left").select(*group, row, F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def _counted(values: pa.ListArray, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, times) of each list's different values; nulls are left out."""
+    owner = np.repeat(np.arange(len(values)), pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
+    key, times = np.unique((owner * base + codes)[codes >= 0], return_counts=True)
+    return key // base, key % base, times
+
+
+def _against_lines(line_type: T.DataType, missed: bool, pairs: int = 1_000_000):
+    """Of each group's rows and lines, these in order: every row's closest line, and whether a line holds the whole row. With
+    ``missed`` texts are compared for rows that no line holds. So many pairs of row and line are looked at together."""
+    found_type = T.StructType([T.StructField("held", T.BooleanType()), T.StructField("line", line_type), T.StructField("total", T.IntegerType()), T.StructField("present", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+
+    @F.arrow_udf(T.ArrayType(found_type))
+    def closest(label: pa.Array, wanted: pa.Array, line: pa.Array, text: pa.Array, given: pa.Array) -> pa.Array:
+        n, m = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (label, line))
+        group, line_group = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+        labels, texts, lines, wanted, given = label.flatten().to_pylist(), text.flatten().to_pylist(), line.flatten(), wanted.flatten(), given.flatten()
+        figures = [x.flatten() for x in (wanted, given)]
+        if pa.types.is_floating(figures[0].type):
+            figures = [pc.add(x, 0.0) for x in figures]  # no negative zeros
+        coded = pa.concat_arrays(figures).dictionary_encode()
+        codes, base = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary) + 1
+        row, code, times = _counted(wanted, codes[: len(figures[0])], base)
+        in_line, line_code, line_times = _counted(given, codes[len(figures[0]) :], base)
+        total = pc.list_value_length(wanted)
+        size = pc.fill_null(total, 0).to_numpy(zero_copy_only=False)
+        # What the lines of a group hold, by value: each of a row's values meets just those.
+        where = line_group[in_line] * base + line_code
+        order = np.argsort(where, kind="stable")
+        where, in_line, line_times = where[order], in_line[order], line_times[order]
+        asked = group[row] * base + code
+        begin, end = np.searchsorted(where, asked), np.searchsorted(where, asked, "right")
+        held_before = np.append(0, np.cumsum(line_times))
+        present = np.bincount(row, np.minimum(times, held_before[end] - held_before[begin]), len(group)).astype(np.int64)
+        shared, at, alike, held = np.zeros(len(group), np.int32), np.full(len(group), -1), np.zeros(len(group)), np.zeros(len(group), bool)
+        each, first_line = m[group], (np.cumsum(m) - m)[group]
+        part = np.cumsum(each) // pairs
+        for rows in np.split(np.arange(len(group)), np.flatnonzero(np.diff(part)) + 1):
+            rows = rows[each[rows] > 0]
+            if not len(rows):
+                continue
+            start = np.cumsum(each[rows]) - each[rows]
+            offset = np.zeros(len(group), np.int64)
+            offset[rows] = start - first_line[rows]  # a row's pair with a line is at its offset and the line
+            mine = slice(np.searchsorted(row, rows[0]), np.searchsorted(row, rows[-1], "right"))
+            hits = end[mine] - begin[mine]
+            entry = np.repeat(np.arange(len(hits)), hits)
+            there = np.arange(len(entry)) + np.repeat(begin[mine] - (np.cumsum(hits) - hits), hits)
+            same = np.bincount(offset[row[mine][entry]] + in_line[there], np.minimum(times[mine][entry], line_times[there]), each[rows].sum()).astype(np.int32)
+            most = np.maximum.reduceat(same, start)
+            shared[rows], held[rows] = most, (most == size[rows]) & (most > 0)
+            tied = np.flatnonzero(same == np.repeat(most, each[rows]))
+            owner = np.repeat(rows, each[rows])[tied]
+            if missed:
+                tied, owner = tied[~held[owner]], owner[~held[owner]]
+            its_line = tied - offset[owner]
+            place: dict[tuple[str, str], int] = {}
+            which = [place.setdefault((labels[r], texts[k]), len(place)) for r, k in zip(owner.tolist(), its_line.tolist(), strict=True)]
+            score = best_windows([x for x, _ in place], [y for _, y in place])[which]
+            best = np.lexsort((its_line, -score, owner))
+            best = best[np.append(True, np.diff(owner[best]) > 0)[: len(best)]]
+            at[owner[best]], alike[owner[best]] = its_line[best], score[best]
+        columns = [pa.array(held), lines.take(pa.array(at, mask=at < 0)), total.cast(pa.int32()), pa.array(present), pa.array(shared), pa.array(alike)]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.StructArray.from_arrays(columns, found_type.names))
+
+    return closest
+
+
+def _rows_and_lines(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str, line: str, missed: bool) -> DataFrame:
+    """(group, row, f): every row and what ``_against_lines`` finds. Rows and lines of a group meet in one place."""
+    clean = lambda c: normalise(F.coalesce(c, F.lit(""))).alias(c)
+    left = rows.select(*group, F.struct(row, clean("label"), "values").alias("a"))
+    right = lines.dropna(subset=list(group)).select(*group, F.struct(line, clean("text"), "values").alias("b"))
+    met = left.unionByName(right, allowMissingColumns=True).groupBy(*group).agg(F.collect_list("a").alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
+    found = _against_lines(lines.schema[line].dataType, missed)(*[F.col(c) for c in ("a.label", "a.values", f"b.{line}", "b.text", "b.values")])
+    zipped = met.withColumn("f", found).select(*group, F.explode(F.arrays_zip(F.col(f"a.{row}").alias(row), F.col("f").alias("f"))).alias("z"))
+    return zipped.select(*group, F.col(f"z.{row}").alias(row), "z.f")
+
+
 def closest_line(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
     """(group, row, line, shared, similarity): the line with most shared values; similarity of the normalised label,
     then the first line break ties. rows: group, row, label, values; lines: group, line, text, values.
     Pairs are formed within a group only (a table and its pages); texts are compared where values tie."""
-    times = lambda a: F.aggregate(F.array_distinct("values"), F.lit(0), lambda s, v: s + F.least(F.size(F.filter("values", lambda x: x == v)), F.size(F.filter(a, lambda x: x == v))))
-    shared = F.when(F.arrays_overlap("values", "line_values"), times("line_values")).otherwise(0)
-    left = rows.withColumn("label", normalise(F.coalesce("label", F.lit(""))))
-    right = lines.withColumnRenamed("values", "line_values").withColumn("text", normalise(F.coalesce("text", F.lit(""))))
-    pairs = left.join(right, list(group)).withColumn("shared", shared)
-    most = pairs.groupBy(*group, row, "label", "shared").agg(F.collect_list(F.struct(line, "text")).alias("ties"))
-    most = most.groupBy(*group, row, "label").agg(F.max_by(F.struct("shared", "ties"), "shared").alias("m"))
-    tied = most.select(*group, row, "label", "m.shared", F.explode("m.ties").alias("t")).select(*group, row, "label", "shared", f"t.{line}", "t.text")
-    scored = tied.withColumn("similarity", partial_ratio(F.col("label"), F.col("text")))
-    best = F.max_by(F.struct(line, "shared", "similarity"), F.struct("similarity", -F.col(line)))
-    return scored.groupBy(*group, row).agg(best.alias("b")).select(*group, row, f"b.{line}", "b.shared", "b.similarity")
+    f = _rows_and_lines(rows, lines, group, row, line, False).where("f.line IS NOT NULL")
+    return f.select(*group, row, F.col("f.line").alias(line), "f.shared", "f.similarity")
 
 
 def missed_rows(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str = "row_id", line: str = "line_no") -> DataFrame:
     """(group, row, line, total, present, shared, similarity, kind) of the rows that no line holds: how many figures they
     have, how many of them the group's lines hold together, and what that and the closest line say of the miss.
     rows and lines as in ``closest_line``; a row whose group has no lines is not found (line is null)."""
-    spread = lambda df, *keys: df.select(*keys, F.explode("values").alias("value")).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    need, have = spread(rows, *group, row), spread(lines, *group, line)
-    missed = rows.join(contained(need, have, group, row, line).where("found"), [*group, row], "left_anti")
-    page = have.groupBy(*group, "value").agg(F.sum("n").alias("have"))
-    present = need.join(page, [*group, "value"]).groupBy(*group, row).agg(F.sum(F.least("n", "have")).alias("present"))
-    out = missed.select(*group, row, F.size("values").alias("total")).join(present, [*group, row], "left").join(closest_line(missed, lines, group, row, line), [*group, row], "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("present", "shared")} | {"similarity": F.coalesce("similarity", F.lit(0.0))})
-    return out.withColumn("kind", miss_class("total", "present", "shared", "similarity")).select(*group, row, line, "total", "present", "shared", "similarity", "kind")
+    f = _rows_and_lines(rows, lines, group, row, line, True).where("NOT f.held")
+    out = f.select(*group, row, F.col("f.line").alias(line), *[f"f.{c}" for c in ("total", "present", "shared", "similarity")])
+    return out.withColumn("kind", miss_class("total", "present", "shared", "similarity"))
 
 
 def miss_class(total: str, present: str, shared: str, label_similarity: str):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pagetally.functions.distance import best_window
 from pagetally.operators import confidence, cost, facts, layout, matching, multiset, reconcile, selection, trees
 from pagetally.operators import statistics as own
 from pagetally.operators.grids import grid_similarity, grits
@@ -224,6 +225,36 @@ def test_missed_rows(spark):
     assert got[1][4] == "row split" and got[2] == (2, 2, 1, 1, "figure misread or dropped") and got[5] == (None, 1, 0, 0, "row not found") and 3 not in got
 
 
+@pytest.mark.parametrize("pairs", [7, 1_000_000])
+def test_missed_rows_of_odd_figures(spark, monkeypatch, pairs):
+    """Nulls match nothing, zeros of either sign are one figure; groups may lack rows, lines or a name. However many pairs are
+    looked at together, each row meets every line of its group."""
+    real = matching._against_lines
+    monkeypatch.setattr(matching, "_against_lines", lambda kind, missed: real(kind, missed, pairs))
+    rnd = random.Random(11)
+    figs = lambda: rnd.choice([None] + 8 * [[rnd.choice([1.0, 2.0, 3.0, 4.0, -0.0, 0.0, None]) for _ in range(rnd.randrange(4))]])
+    words = lambda: rnd.choice([None, "", "?", "cash", "cash at bank", "total assets", "loans"])
+    groups = [None, *[f"g{i}" for i in range(80)]]
+    rows, lines = ([(g, i, words(), figs()) for g in groups for i in range(rnd.randrange(most))] for most in (5, 6))
+    frames = [frame(spark, data, f"g string, {k} int, {t} string, values array<double>") for data, k, t in ((rows, "row_id", "label"), (lines, "line_no", "text"))]
+    times = lambda values: Counter(x + 0.0 for x in values or [] if x is not None)
+    closest, missed = {}, {}
+    for g, row, label, values in rows:
+        need, page, best = times(values), Counter(), (0, 0.0, None)
+        for _, at, text, held in (x for x in lines if g is not None and x[0] == g):
+            page += times(held)
+            score = sum((need & times(held)).values()), best_window(label or "", text or "")
+            best = max(best, (*score, -at), key=lambda x: (x[2] is not None, x))
+        line = None if best[2] is None else -best[2]
+        if line is not None:
+            closest[g, row] = (line, *best[:2])
+        if not values or best[0] < len(values):
+            missed[g, row] = (line, None if values is None else len(values), sum((need & page).values()), *best[:2])
+    assert {(r.g, r.row_id): (r.line_no, r.shared, r.similarity) for r in matching.closest_line(*frames, ["g"]).collect()} == closest
+    got = matching.missed_rows(*frames, ["g"]).collect()
+    assert {(r.g, r.row_id): (r.line_no, r.total, r.present, r.shared, r.similarity) for r in got} == missed and len(got) == len(missed)
+
+
 def test_rescoring_prefers_verdict_then_unlabelled_then_header(spark):
     items = "item int, page string, label string, value double, header string, old_fact string"
     cells = "page string, label string, value double, header string, fact string, row_status string, ord int"
