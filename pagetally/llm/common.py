@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from pagetally.tables import checkpointed  # noqa: F401  (operators take it from here)
 
 BLOB = 2 << 20  # bytes of text that are worked on at once; a longer text is worked on alone
 
@@ -28,20 +29,6 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``, which all executors
-    share. Only a local session may do without the setting: its threads share the driver's temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="pagetally")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _offsets(column: pa.Array) -> np.ndarray:
     """Where each text of a string or binary column begins and ends, whatever the width of its offsets."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

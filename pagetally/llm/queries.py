@@ -215,3 +215,120 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagetally.llm.toxicity import toxicity
 
     return toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), sample=4000, threshold=0.3)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.merkle import fold, merkle_manifest, siblings
+
+    chars = F.col("n_chars").cast("decimal(20,0)")
+    later = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, chars + 1).otherwise(chars)
+    out = merkle_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], group="lang", fan=2, presented={"n_chars": later})
+    out = out.withColumn("folded_root", fold(F.col("presented_leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes (polynomial 0xEDB88320, reflected)."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2))::BIGINT)"
+    step = "list_reduce([xor(c, d)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(4294967295, list_reduce([4294967295] || {octets}, lambda c, d: {step}))"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode({value})) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(map(_field_sql, fields)) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS later FROM documents
+), l AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("later")} AS seen FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER () AS k FROM l
+), low(t, lvl, i, n, h) AS (
+  SELECT g, 0, pos, n, leaf FROM p
+  UNION ALL SELECT t, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY t, lvl, i // 2, n
+), high(t, lvl, i, n, h) AS (
+  SELECT -1, 0, t, count(*) OVER (), h FROM low WHERE n = 1
+  UNION ALL SELECT t, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY t, lvl, i // 2, n
+), nd AS (SELECT * FROM low UNION ALL SELECT * FROM high
+), up(k, g, t, lvl, i, h, proof) AS (
+  SELECT k, g, g, 0, pos, seen, '' FROM p
+  UNION ALL
+  SELECT k, g, CASE WHEN e.n > 1 THEN up.t ELSE -1 END, CASE WHEN e.n > 1 THEN up.lvl + 1 ELSE 0 END, CASE WHEN e.n > 1 THEN up.i // 2 ELSE g END,
+         CASE WHEN e.n = 1 THEN up.h WHEN s.h IS NULL THEN sha256(up.h) WHEN up.i % 2 = 0 THEN sha256(up.h || s.h) ELSE sha256(s.h || up.h) END,
+         CASE WHEN e.n = 1 THEN proof ELSE proof || coalesce(s.h, '') END
+  FROM up JOIN nd e ON e.t = up.t AND e.lvl = up.lvl AND e.i = up.i LEFT JOIN nd s ON s.t = up.t AND s.lvl = up.lvl AND s.i = xor(up.i, 1)
+  WHERE e.n > 1 OR up.t >= 0
+)
+SELECT doc_id, leaf, b.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = r.h AS verified
+FROM up JOIN nd r ON r.t = -1 AND up.t = -1 AND r.lvl = up.lvl AND r.n = 1 JOIN p USING (k) JOIN low b ON b.t = p.g AND b.n = 1
+"""
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.0, epochs=3, seed=2024)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op12_source_mixing"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), lv(level, last) AS (
+  SELECT CAST(0 AS DOUBLE), CAST(-1 AS DOUBLE)
+  UNION ALL
+  SELECT ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * source_size) FROM s WHERE 3 * source_size <= level * w), 0)) / (SELECT CAST(sum(w) AS DOUBLE) FROM s WHERE 3 * source_size > level * w), level
+  FROM lv WHERE level > last
+), t AS (
+  SELECT *, least(CAST(3 * source_size AS DOUBLE), (SELECT max(level) FROM lv) * w) AS target FROM s
+), u AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), v AS (SELECT *, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS rest FROM u
+), g AS (SELECT source, key, doc_id, size, count(*) AS m FROM d GROUP BY ALL
+), c AS (SELECT *, sum(size * m) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, size) AS upto FROM g)
+SELECT c.doc_id, c.size, v.source_size, v.target, CAST(v.whole * c.size + CASE WHEN upto <= rest THEN c.size WHEN upto - c.size * m < rest THEN (rest - (upto - c.size * m)) // m ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.key = d.key AND c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.size = d.size
+JOIN v ON v.source IS NOT DISTINCT FROM d.source
+"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagetally.llm.resampling import resample
+
+    out = resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=10, least=20, seed=2024, longest=1, buckets=10_000)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_FEATURES = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op13_importance_resampling"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_FEATURES} AS w FROM documents
+), o AS (SELECT k, f, count(*) AS n FROM (SELECT k, unnest(w) AS f FROM d) GROUP BY k, f
+), own AS (SELECT f, sum(n) AS n FROM o GROUP BY f
+), wanted AS (SELECT f, count(*) AS n FROM (SELECT unnest({_FEATURES}) AS f FROM benchmark) GROUP BY f
+), dict AS (SELECT f, {_crc32_sql("f")} % 10000 AS b FROM (SELECT f FROM own UNION SELECT f FROM wanted)
+), s AS (SELECT b, sum(n) AS n FROM own JOIN dict USING (f) GROUP BY b
+), t AS (SELECT b, sum(n) AS n FROM wanted JOIN dict USING (f) GROUP BY b
+), gain AS (
+  SELECT b, CAST(floor(1000.0::DOUBLE * ln(((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM own) + 10000)::DOUBLE) / ((s.n::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM wanted) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (b)
+), wt AS (SELECT k, sum(n * gain) AS weight FROM o JOIN dict USING (f) JOIN gain USING (b) GROUP BY k
+), x AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN wt USING (k)
+), y AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x
+), z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (n_features >= 20) OVER () AS able FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= able * 10 // 100 THEN r END AS rank FROM z
+"""
