@@ -29,7 +29,7 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
+def offsets(column: pa.Array) -> np.ndarray:
     """Where each text of a string or binary column begins and ends, whatever the width of its offsets."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     off = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
@@ -47,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOB) -
         column = batch.column(text)
         if not batch.num_rows:
             continue
-        size = np.diff(_offsets(_plain(column)))
+        size = np.diff(offsets(_plain(column)))
         part = np.cumsum(size) // most
         cut = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
@@ -64,7 +64,7 @@ def blobs(batches: Iterator[pa.RecordBatch], mark: int) -> Iterator[tuple[pa.Arr
 def joined(column: pa.Array, mark: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(column)
     column = _plain(column)
-    off = _offsets(column)
+    off = offsets(column)
     size = np.diff(off)
     if column.null_count:
         size[np.asarray(column.is_null())] = 0

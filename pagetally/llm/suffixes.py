@@ -6,17 +6,17 @@ places, which agree in their first ``prefix`` words.
 
 1. *Retain.* Suffixes are grouped by the fingerprint of their prefix; one whose prefix no other suffix
    has cannot lie in a repeated passage and goes. A task sends a prefix about once (``Seen``).
-2. *Sort.* Each suffix that is left becomes a record: prefix, the words after it up to ``window``
-   words, and the words before it, nearest first (40 bits a word). Records are sorted by
-   prefix, words after it, words before it, and place, by ranges that also split a prefix that very
-   many texts share. (Words compare by their hash values: any order of words serves.) Records that
-   agree wholly with one the task knows are repeats and are not sent.
+2. *Sort.* Each suffix that is left becomes a record: 128 bits of its prefix, the words after it up to ``window``
+   words, and the words before it, nearest first. Words are there as they are, with a blank after each (words of
+   ``LITERAL`` bytes and more by 128 bits in hex, which are as long as no word that is written out). Records are
+   sorted by prefix, words after it, words before it, and place, by ranges that also split a prefix that very
+   many texts share. Records that agree wholly with one the task knows, by 128 bits, are repeats and are not sent.
 3. *Compare and extend.* Neighbours in that order share the longest prefixes. Their common
-   length to the right and to the left, counted word by word, gives the passages that the later of
-   the two repeats; no other suffix agrees further to the right than a neighbour, so passages that
+   length to the right and to the left, counted in whole words that agree byte by byte, gives the passages that the
+   later of the two repeats; no other suffix agrees further to the right than a neighbour, so passages that
    reach beyond are unique.
 4. *Rest.* A text that agrees further to the left need not be a neighbour. Passages that the
-   neighbours leave open are looked up by a fingerprint of 128 bits, made from the record.
+   neighbours leave open are looked up by a fingerprint of 128 bits: two of 64, of words hashed in two ways.
 5. *Removal.* Spans are merged and cut, up to the next word that is kept; all else stays as it is.
 
 Texts are shuffled once, by id; both looks at them reuse that exchange.
@@ -31,17 +31,21 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagetally.llm.common import Words, joined, mix, slices, tune
+from pagetally.llm.common import Words, joined, mix, offsets, slices, tune, word_hashes
 from pagetally.llm.passages import GAP, ROWS, Seen, anchors, asked, cut, ids_of, texts_of
 
-CODE = 5  # bytes of a word in a record
-RECORD = "key bigint, after binary, before binary, id bigint, at int, own bigint, sure bigint"
+PART = 1 << 16  # records that are made at once
+LITERAL = 32  # bytes from which on a word is in a record by its digest
+RECORD = "key bigint, more bigint, after binary, before binary, id bigint, at int, own bigint, sure bigint"
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def _retain(window: int, prefix: int, memory: int):
@@ -69,19 +73,41 @@ def _retain(window: int, prefix: int, memory: int):
     return run
 
 
-def _codes(words: Words) -> np.ndarray:
-    """(words + 1, CODE) bytes of each word's hash, never all zero; the last row, zero, stands for no word."""
-    wide = np.ascontiguousarray(words.hash.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :CODE] | np.array([0] * (CODE - 1) + [1], np.uint8)
-    return np.concatenate([wide, np.zeros((1, CODE), np.uint8)])
-
-
-def _fold(key: np.ndarray, blob: np.ndarray, seed: int) -> np.ndarray:
-    """A fingerprint of the key and each row of bytes."""
-    pad = -blob.shape[1] % 8
-    wide = np.ascontiguousarray(np.pad(blob, ((0, 0), (0, pad)))).view(np.uint64)
-    h = mix(key, seed)
-    for j in range(wide.shape[1]):
-        h = mix((h ^ wide[:, j]) * np.uint64(0xD1342543DE82EF95), seed)
+def _written(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the words with a blank after each, where each begins)"""
+    size = words.end - words.start
+    length = np.minimum(size, LITERAL) + 1
+    off = np.r_[0, np.cumsum(length)]
+    data = words.data[np.repeat(words.start - off[:-1], length) + np.arange(off[-1])]  # each text ends with a gap
+    data[off[1:] - 1] = GAP
+    for i in np.flatnonzero(size >= LITERAL).tolist():
+        digest = hashlib.blake2b(words.data[words.start[i] : words.end[i]], digest_size=LITERAL // 2).hexdigest()
+        data[off[i] : off[i] + LITERAL] = np.frombuffer(digest.encode(), np.uint8)
+    return data, off
+
+
+def _backwards(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words, the last one first."""
+    length = np.diff(off)[::-1]
+    back = np.r_[0, np.cumsum(length)]
+    return data[np.repeat(off[:-1][::-1] - back[:-1], length) + np.arange(back[-1])], back
+
+
+def _pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray, empty: int) -> pa.Array:
+    """data[start:stop] of each pair, and so many empty ones."""
+    size = stop - start
+    out = np.r_[0, np.cumsum(size)]
+    flat = data[np.repeat(start - out[:-1], size) + np.arange(out[-1])]
+    ends = np.r_[out, np.full(empty, out[-1])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size) + empty, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+def _chain(first: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
+    """(rows, words + 1) fingerprints of the first values, then with one more word, two, and so on."""
+    h = np.empty((len(first), words.shape[1] + 1), np.uint64)
+    h[:, 0] = mix(first, seed)
+    for j in range(words.shape[1]):
+        h[:, j + 1] = mix((h[:, j] ^ words[:, j]) * _STEP, seed)
     return h
 
 
@@ -104,51 +130,79 @@ def _records(window: int, prefix: int, memory: int):
             row = np.repeat(np.arange(len(rows)), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             live = words.first[row] + held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             live = np.unique(live[live < words.first[row + 1]])
-            h, _ = words.windows(prefix)
+            h, h2 = words.windows(prefix, double=True)
             starts = np.flatnonzero(words.fits(window))
             anchor = anchors(h, starts, side + 1)
             own = np.zeros(len(words.hash), np.int64)
             np.bitwise_or.at(own, anchor, np.int64(1) << (anchor - starts))
             live = live[own[live] != 0]
-            if not len(live):
-                continue
-            code, none = _codes(words), len(words.hash)
-            doc = words.doc[live]
-            after = live[:, None] + prefix + np.arange(side)
-            after = np.where(after < words.first[doc + 1][:, None], after, none)
-            before = live[:, None] - 1 - np.arange(side)
-            before = np.where(before >= words.first[doc][:, None], before, none)
-            after, before = code[after].reshape(len(live), -1), code[before].reshape(len(live), -1)
-            key, own = h[live], own[live]
-            both = np.concatenate([after, before], 1)
-            f1, f2 = (_fold(key, both, s) for s in (60, 61))
-            number, at = ids[doc], words.place()[live]
-            send, again, *_ = seen.resolve(f1, f2, number, at)
-            row, a = np.nonzero((own[again][:, None] >> np.arange(side + 1)) & 1)
-            known = np.unique(live[again][row] - a)
-            begin = np.flatnonzero(np.r_[True, (known[1:] != known[:-1] + 1) | (words.doc[known[1:]] != words.doc[known[:-1]])]) if len(known) else known
-            n = np.diff(np.r_[begin, len(known)])
-            known_id, known_at = ids[words.doc[known[begin]]], words.place()[known[begin]]
-            blob = lambda x: pa.array([*map(bytes, x[send]), *[b""] * len(n)], pa.binary())
-            none = np.zeros(len(send), np.int64)
-            columns = [
-                pa.array(np.r_[key[send], mix(known_id.astype(np.uint64), 3) + mix(known_at.astype(np.uint64), 4)].view(np.int64)),
-                blob(after),
-                blob(before),
-                pa.array(np.r_[number[send], known_id]),
-                pa.array(np.r_[at[send], known_at].astype(np.int32)),
-                pa.array(np.r_[own[send], np.zeros(len(n), np.int64)]),
-                pa.array(np.r_[none, n]),
-            ]
-            yield pa.record_batch(columns, names=["key", "after", "before", "id", "at", "own", "sure"])
+            second = word_hashes(words.data, words.start, words.end, 1)
+            hashes = [np.r_[x, np.uint64(0)] for x in (words.hash, second)]  # 0 where a text has no more words
+            data, off = _written(words)
+            back, back_off = _backwards(data, off)
+            last = len(words.hash)
+            for part in np.array_split(live, len(live) // PART + 1):
+                doc, key, more, mine = words.doc[part], h[part], h2[part], own[part]
+                stop = np.minimum(part + window, words.first[doc + 1])
+                begin = np.maximum(part - side, words.first[doc])
+                after = part[:, None] + prefix + np.arange(side)
+                before = part[:, None] - 1 - np.arange(side)
+                around = np.concatenate([np.where(after < stop[:, None], after, last), np.where(before >= begin[:, None], before, last)], 1)
+                f1, f2 = (_chain(k, w[around], s)[:, -1] for k, w, s in ((key, hashes[0], 60), (more, hashes[1], 61)))
+                number, at = ids[doc], words.place()[part]
+                send, again, *_ = seen.resolve(f1, f2, number, at)
+                row, a = np.nonzero((mine[again][:, None] >> np.arange(side + 1)) & 1)
+                known = np.unique(part[again][row] - a)
+                head = np.flatnonzero(np.r_[True, (known[1:] != known[:-1] + 1) | (words.doc[known[1:]] != words.doc[known[:-1]])]) if len(known) else known
+                n = np.diff(np.r_[head, len(known)])
+                known_id, known_at = ids[words.doc[known[head]]], words.place()[known[head]]
+                sent = part[send]
+                columns = [
+                    pa.array(np.r_[key[send], mix(known_id.astype(np.uint64), 3) + mix(known_at.astype(np.uint64), 4)].view(np.int64)),
+                    pa.array(np.r_[more[send].view(np.int64), np.zeros(len(n), np.int64)]),
+                    _pieces(data, off[sent + prefix], off[stop[send]], len(n)),
+                    _pieces(back, back_off[last - sent], back_off[last - begin[send]], len(n)),
+                    pa.array(np.r_[number[send], known_id]),
+                    pa.array(np.r_[at[send], known_at].astype(np.int32)),
+                    pa.array(np.r_[mine[send], np.zeros(len(n), np.int64)]),
+                    pa.array(np.r_[np.zeros(len(send), np.int64), n]),
+                ]
+                yield pa.record_batch(columns, names=["key", "more", "after", "before", "id", "at", "own", "sure"])
 
     return run
 
 
-def _agree(x: np.ndarray, y: np.ndarray, side: int) -> np.ndarray:
-    """Words from the first on that two rows of codes have in common."""
-    same = ((x == y).reshape(len(x), side, CODE).all(2)) & (x.reshape(len(x), side, CODE) != 0).any(2)
-    return np.where(same.all(1), side, same.argmin(1))
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each row, with zeros up to the longest one; sizes)"""
+    off = offsets(column)
+    size = np.diff(off)
+    out = np.zeros((len(size), int(size.max(initial=0)) + 1), np.uint8)
+    if off[-1] > off[0]:
+        out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    return out, size
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words from the first on that two rows have in common: blanks before the first byte that differs."""
+    same = x == y
+    common = np.where(same.all(1), x.shape[1], same.argmin(1))
+    return ((x == GAP) & (np.arange(x.shape[1]) < common[:, None])).sum(1)
+
+
+def _hashes(rows: np.ndarray, size: np.ndarray, side: int) -> list[np.ndarray]:
+    """Two independent hashes of each row's words, a column for each word, 0 where there is none."""
+    data = np.r_[rows[np.arange(rows.shape[1]) < size[:, None]], np.zeros(8, np.uint8)]
+    blank = np.flatnonzero(data == GAP)
+    begin = np.r_[0, blank[:-1] + 1] if len(blank) else blank
+    stop = np.cumsum(size)
+    row = np.searchsorted(stop, blank, side="right")
+    place = np.arange(len(blank)) - np.searchsorted(row, row)
+    out = []
+    for seed in (0, 1):
+        h = np.zeros((len(rows), side), np.uint64)
+        h[row, place] = word_hashes(data, begin, blank, seed)
+        out.append(h)
+    return out
 
 
 def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -164,16 +218,15 @@ def _neighbours(window: int, prefix: int, memory: int):
     def work(seen, table: pa.Table, first: bool, last: bool):
         """All records but the first and the last, which are there as neighbours (unless an end is an end of the partition)."""
         table = table.combine_chunks()
-        key = table["key"].to_numpy().astype(np.int64)
+        key, more = (table[c].to_numpy().astype(np.int64) for c in ("key", "more"))
         doc, at, own, known = (table[c].to_numpy().astype(np.int64) for c in ("id", "at", "own", "sure"))
         n = len(key)
         real = known == 0
-        flat = lambda name: np.frombuffer(b"".join(b if len(b) else bytes(side * CODE) for b in table[name].to_pylist()), np.uint8).reshape(n, side * CODE)
-        after, before = flat("after"), flat("before")
-        same = real[1:] & real[:-1] & (key[1:] == key[:-1])
+        (after, after_size), (before, before_size) = (_rows(table[c].chunk(0) if n else pa.array([], pa.binary())) for c in ("after", "before"))
+        same = real[1:] & real[:-1] & (key[1:] == key[:-1]) & (more[1:] == more[:-1])
         right, left = np.full(n - 1, -1), np.full(n - 1, -1)
         pick = np.flatnonzero(same)
-        right[pick], left[pick] = _agree(after[pick + 1], after[pick], side), _agree(before[pick + 1], before[pick], side)
+        right[pick], left[pick] = _agree(after[pick + 1], after[pick]), _agree(before[pick + 1], before[pick])
         shared = np.where(same, _between(side - right, left), 0)
         later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] > at[:-1])
         earlier = (doc[1:] < doc[:-1]) | (doc[1:] == doc[:-1]) & (at[1:] < at[:-1])
@@ -193,11 +246,13 @@ def _neighbours(window: int, prefix: int, memory: int):
         ask[~real[use]] = 0
         bits = np.arange(side + 1)
         i, a = np.nonzero((sure[:, None] >> bits) & 1)
-        more = use[~real[use]]
-        row, step = np.repeat(more, known[more]), np.arange(known[more].sum()) - np.repeat(np.cumsum(known[more]) - known[more], known[more])
+        told = use[~real[use]]
+        row, step = np.repeat(told, known[told]), np.arange(known[told].sum()) - np.repeat(np.cumsum(known[told]) - known[told], known[told])
         sure_doc, sure_at = np.r_[doc[use][i], doc[row]], np.r_[at[use][i] - a, at[row] + step]
         i, a = np.nonzero((ask[:, None] >> bits) & 1)
-        f = [_passages(key[use].view(np.uint64), after[use], before[use], i, a, side, s) for s in (62, 63)]
+        some, back = np.unique(use[i], return_inverse=True)
+        ahead, behind = _hashes(after[some], after_size[some], side), _hashes(before[some], before_size[some], side)
+        f = [_passages(k[some].view(np.uint64), ahead[s], behind[s], back, a, side, 62 + s) for s, k in enumerate((key, more))]
         return asked(seen, f[0], f[1], doc[use][i], at[use][i] - a, sure_doc, sure_at)
 
     def run(batches):
@@ -217,20 +272,10 @@ def _neighbours(window: int, prefix: int, memory: int):
     return run
 
 
-def _passages(key: np.ndarray, after: np.ndarray, before: np.ndarray, i: np.ndarray, a: np.ndarray, side: int, seed: int) -> np.ndarray:
-    """Fingerprint of the passage that begins a words before suffix i, for parallel arrays i and a."""
-    some, back = np.unique(i, return_inverse=True)
-    ends = []
-    for x, salt in ((before, 1), (after, 2)):
-        wide = np.zeros((len(some), side, 8), np.uint8)
-        wide[:, :, :CODE] = x[some].reshape(len(some), side, CODE)
-        word = wide.reshape(len(some), side * 8).view(np.uint64)
-        h = np.empty((len(some), side + 1), np.uint64)
-        h[:, 0] = mix(key[some], seed + salt)
-        for j in range(side):
-            h[:, j + 1] = mix((h[:, j] ^ word[:, j]) * np.uint64(0xD1342543DE82EF95), seed + salt)
-        ends.append(h)
-    return mix(ends[0][back, a] * np.uint64(0x9E3779B97F4A7C15) + ends[1][back, side - a] + a.astype(np.uint64), seed)
+def _passages(key: np.ndarray, after: np.ndarray, before: np.ndarray, row: np.ndarray, a: np.ndarray, side: int, seed: int) -> np.ndarray:
+    """Fingerprint of the passage that begins a words before a row's suffix, for parallel arrays row and a."""
+    left, right = _chain(key, before, seed + 1), _chain(key, after, seed + 2)
+    return mix(left[row, a] * np.uint64(0x9E3779B97F4A7C15) + right[row, side - a] + a.astype(np.uint64), seed)
 
 
 def suffix_duplicates(docs: DataFrame, window: int = 50, prefix: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, memory: int = 18) -> DataFrame:
@@ -247,6 +292,6 @@ def suffix_duplicates(docs: DataFrame, window: int = 50, prefix: int | None = No
     live = suffixes.select("id", "at", "live", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("same")).where("live = 1 OR same > 1")
     marked = live.groupBy("id").agg(F.collect_list("at").alias("places"))
     records = base.join(marked, "id", "left").select("id", "text", "places").mapInArrow(_records(window, prefix, memory), RECORD)
-    order = ["key", "after", "before", "id", "at"]
+    order = ["key", "more", "after", "before", "id", "at"]
     found = records.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, prefix, memory), ROWS)
     return cut(docs, base, found, window, True, id_col, carry)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,50 @@ def test_hashes_tell_regular_words_apart():
     assert h1[0] != h1[64] and h2[0] != h2[64]
 
 
+def alike_words(bits: int, n: int = 4_000_000, most: int = 12) -> list[tuple[str, str]]:
+    """Different numbers whose hashes begin with the same bits, found by search."""
+    names = np.char.add("n", np.arange(n).astype(str))
+    data, ends = common.joined(pa.array([*names.tolist()]), 0x20)
+    words = common.Words(data, ends)
+    top = words.hash >> np.uint64(64 - bits)
+    order = np.argsort(top, kind="stable")
+    same = np.flatnonzero(top[order][1:] == top[order][:-1])[:most]
+    return [(str(names[order[i]]), str(names[order[i + 1]])) for i in same]
+
+
+def test_words_of_like_hashes_are_told_apart(spark):
+    """Texts of a window's length that differ in one word, whose hash agrees in 39 bits, at each place of the window."""
+    pairs = alike_words(39)
+    assert len(pairs) > 5
+    texts = []
+    for k in range(50):
+        x, y = pairs[k % len(pairs)]
+        for word in (x, y):
+            texts.append(" ".join([*(f"t{k}w{i}" for i in range(k)), word, *(f"t{k}w{i}" for i in range(k + 1, 50))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for operator, window in ((suffix_duplicates, 50), (factor_duplicates, 50)):
+        assert {r.n_removed for r in operator(df, window).collect()} == {0}
+    twice = [*enumerate(texts), *((1000 + k, t) for k, t in enumerate(texts))]
+    df = spark.createDataFrame(twice, "doc_id bigint, text string").repartition(5)
+    assert {(r.doc_id >= 1000, r.n_removed) for r in suffix_duplicates(df, 50).collect()} == {(False, 0), (True, 50)}
+
+
+def test_words_of_any_length_in_records(spark):
+    """Words of 30 to 34 bytes, some of them the digest of others, and bytes that sort before a blank."""
+    long = ["x" * n for n in range(29, 36)] + ["é" * 16, "é" * 15 + "x", "\x00", "\x00\x00", "a\x01"]
+    long += [hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in long]
+    rnd = random.Random(11)
+    source = [rnd.choice(long) for _ in range(400)]
+    texts = {}
+    for k in range(120):
+        at = rnd.randrange(300)
+        words = source[at : at + rnd.randint(40, 90)]
+        if rnd.random() < 0.5:
+            words[rnd.randrange(len(words))] = rnd.choice(long)
+        texts[k] = " ".join(words)
+    held_against_brute_force(spark, suffix_duplicates, 50, 4, texts)
+
+
 def test_wide_offsets_and_views():
     for kind in (pa.string(), pa.large_string(), pa.string_view()):
         column = pa.array(["zz", "abc", None, "de"], kind).slice(1)
