@@ -6,11 +6,11 @@ of the item's words at most, so one of the rarest floor((1 - identity) * m) + 1
 text, whatever was changed, left out or inserted: these are the seeds, rarity being counted over
 all training texts. The alignment has fewer than 3 m words of the text, so a text that holds a seed
 is a candidate where, within 3 m words of it, words of the item occur that make up ``identity`` of
-its length; there the words are aligned.
+its length; there the words are aligned, unless the whole item stands there word for word.
 
 A text also copies an item if it holds an excerpt: an alignment with ``excerpt`` matched words or
 more, at least ``identity`` of whose columns match. Between its changes enough of the item's n-grams
-survive near one diagonal (the q-gram lemma); where they do, alignments of each number of changes
+survive close together, near one diagonal (the q-gram lemma); where they do, alignments of each number of changes
 are tried. The score is always the share of the item's words that the best alignment matches, so an
 excerpt can have a score below ``identity``.
 
@@ -40,6 +40,8 @@ from pagetally.llm.common import NO_WORD, Words, joined, slices, tune
 
 GAP = 0x20
 BITS = 20
+PAIRS = 1 << 20  # hits that are looked at together
+PART = 1 << 16  # words of a text in which an excerpt is looked for at once, at least
 
 
 class Items:
@@ -58,8 +60,12 @@ class Items:
         at = np.flatnonzero(fit)
         self.grams, inverse = np.unique(grams[at], return_inverse=True)
         order = np.argsort(inverse, kind="stable")
-        self.item, self.offset = words.doc[at][order], words.place()[at][order]
-        self.posting = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(self.grams)))]
+        self.offset = words.place()[at][order]
+        item, gram = words.doc[at][order], inverse[order]
+        new = np.flatnonzero(np.r_[np.ones(min(1, len(gram)), bool), (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])])
+        # an item's places of one gram are together: pair p has offset[pair_first[p] : pair_first[p + 1]]
+        self.pair_item, self.pair_first = item[new], np.r_[new, len(gram)]
+        self.gram_pairs = np.searchsorted(gram[new], np.arange(len(self.grams) + 1))
         self.map = _map(self.grams)
         long = self.length >= n
         place = np.flatnonzero(long[words.doc])
@@ -123,7 +129,13 @@ def allowed(excerpt: int, identity: float) -> tuple[int, int]:
 
 def has_excerpt(item: np.ndarray, text: np.ndarray, excerpt: int, identity: float) -> bool:
     """Whether an alignment has ``excerpt`` matches or more, and ``identity`` of its columns match."""
-    _, most = allowed(excerpt, identity)
+    most = allowed(excerpt, identity)[1]
+    reach = len(item) + most + 1  # words of the text that an excerpt spans at most
+    part = max(PART, 4 * reach)
+    return any(_has_excerpt(item, text[a : a + part + reach], excerpt, identity, most) for a in range(0, max(1, len(text)), part))
+
+
+def _has_excerpt(item: np.ndarray, text: np.ndarray, excerpt: int, identity: float, most: int) -> bool:
     enough = np.maximum(excerpt, np.ceil(np.arange(most + 1) * identity / max(1 - identity, 1e-12) - 1e-9))
     row = np.zeros((most + 1, len(text) + 1), np.int64)  # most matches with so many changes at most
     for word in item:
@@ -139,10 +151,25 @@ def has_excerpt(item: np.ndarray, text: np.ndarray, excerpt: int, identity: floa
     return False
 
 
+def occurrence(item: np.ndarray, text: np.ndarray) -> int | None:
+    """Where the text first has the whole item, word for word."""
+    if not len(item) or len(item) > len(text):
+        return None
+    width = item.dtype.itemsize
+    words, all_words = item.tobytes(), text.astype(item.dtype, copy=False).tobytes()
+    at = all_words.find(words)
+    while at >= 0 and at % width:
+        at = all_words.find(words, at + 1)
+    return at // width if at >= 0 else None
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(matched words, start, stop in text) of the best local alignment; match 2, mismatch and gap -1."""
     unit = 1 << 20
     m, w = len(item), len(text)
+    whole = occurrence(item, text)
+    if whole is not None:
+        return m, whole, whole + m
     row = np.zeros(w + 1, np.int64)  # score * unit + matches
     begin = np.arange(w + 1)
     step = np.arange(w + 1) * unit
@@ -199,34 +226,72 @@ def _copies(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int,
 
 
 def _excerpts(index: Items, words: Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """(text, item) -> windows of words that may hold an excerpt of the item."""
+    """(text, item) -> windows of words that may hold an excerpt of the item.
+
+    An excerpt leaves ``grams_left`` n-grams of its item within few words of the text. Such places are found by
+    counting, a gram once for an item however often the item has it, in parts of about ``PAIRS`` hits; so memory
+    does not grow with the product of what a word repeats in the text and in the item."""
     out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     h, _ = words.windows(index.n)
     at, gram = index.look_up(h)
     fit = words.fits(index.n)[at]
     at, gram = at[fit], gram[fit]
-    row, post = _expand(index.posting[gram], np.diff(index.posting)[gram])
-    text, item = words.doc[at][row], index.item[post]
-    diagonal = at[row] - words.first[text] - index.offset[post]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
-    last = np.arange(len(text)) + index.grams_left - 1
-    inside = last < len(text)
-    last = np.minimum(last, len(text) - 1)
-    drift = 2 * (index.changes + 1)
-    ok = inside & (text[last] == text) & (item[last] == item) & (diagonal[last] - diagonal <= drift)
-    for i in np.flatnonzero(ok).tolist():
-        t, q = int(text[i]), int(item[i])
-        a = max(0, int(diagonal[i]) - index.most)
-        b = min(int(words.count[t]), int(diagonal[last[i]] + index.length[q]) + index.most)
-        spans = out[t, q]
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-        else:
-            spans.append((a, b))
+    total = np.cumsum(np.diff(index.gram_pairs)[gram])
+    begin = 0
+    while begin < len(at):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, side="right")))
+        far = int(np.searchsorted(at, at[stop - 1] + index.excerpt + index.changes - index.n, side="right"))
+        _dense(index, words, at[begin:far], gram[begin:far], int(at[stop - 1]), out)
+        begin = stop
+    for key, spans in out.items():
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out[key] = merged
     return out
 
 
+def _dense(index: Items, words: Words, at: np.ndarray, gram: np.ndarray, upto: int, out: dict) -> None:
+    """Windows around hits (places and their grams), of which those up to place ``upto`` begin an excerpt."""
+    row, pair = _expand(index.gram_pairs[gram], np.diff(index.gram_pairs)[gram])
+    place, item, text = at[row], index.pair_item[pair], words.doc[at[row]]
+    order = np.lexsort((place, item, text))
+    place, item, text, pair = place[order], item[order], text[order], pair[order]
+    last = np.arange(len(text)) + index.grams_left - 1
+    inside = (last < len(text)) & (place <= upto)
+    last = np.minimum(last, max(0, len(text) - 1))
+    near = index.excerpt + index.changes - index.n
+    ok = np.flatnonzero(inside & (text[last] == text) & (item[last] == item) & (place[last] - place <= near))
+    if not len(ok):
+        return
+    new = np.flatnonzero(np.r_[True, ok[1:] > last[ok[:-1]] + 1])
+    for lo, hi in zip(ok[new].tolist(), last[ok[np.r_[new[1:] - 1, len(ok) - 1]]].tolist(), strict=True):
+        for t, q, i, j in _groups(text, item, lo, hi + 1):
+            first, most = int(words.first[t]), int(index.most)
+            held = pair[i:j]
+            times = index.pair_first[held + 1] - index.pair_first[held]
+            if int(times.sum()) > PAIRS:  # the item repeats these grams: all of it may lie anywhere here
+                reach = int(index.length[q]) + most
+                spans = [(int(place[i]) - first - reach, int(place[j - 1]) - first + index.n + reach)]
+            else:
+                hit, k = _expand(index.pair_first[held], times)
+                diagonal = np.sort(place[i:j][hit] - first - index.offset[k])
+                far = np.arange(index.grams_left - 1, len(diagonal))
+                begin = np.flatnonzero(diagonal[far] - diagonal[: len(far)] <= 2 * (index.changes + 1))
+                spans = [(int(diagonal[x]) - most, int(diagonal[y]) + int(index.length[q]) + most) for x, y in zip(begin.tolist(), far[begin].tolist(), strict=True)]
+            out[t, q] += [(max(0, a), min(int(words.count[t]), b)) for a, b in spans]
+
+
+def _groups(text: np.ndarray, item: np.ndarray, lo: int, hi: int):
+    """(text, item, begin, stop) of each group in a range of rows sorted by both."""
+    edge = np.flatnonzero((text[lo + 1 : hi] != text[lo : hi - 1]) | (item[lo + 1 : hi] != item[lo : hi - 1])) + lo + 1
+    for i, j in zip([lo, *edge.tolist()], [*edge.tolist(), hi], strict=True):
+        yield int(text[i]), int(item[i]), i, j
+
+
 def _count(index):
     def run(batches):
         terms, some_terms = index.value
@@ -252,7 +317,7 @@ def _hits(held: Items, words: Words):
         item = held.words[held.first[q] : held.first[q + 1]]
         text = words.hash[words.first[t] : words.first[t + 1]]
         best = (0, 0, 0)
-        for a, b in copies.get((t, q), []) + excerpts.get((t, q), []):
+        for a, b in dict.fromkeys(copies.get((t, q), []) + excerpts.get((t, q), [])):
             n, s, e = align(item, text[a:b])
             if n > best[0]:
                 best = (n, a + s, a + e)

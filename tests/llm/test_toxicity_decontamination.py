@@ -222,6 +222,60 @@ def test_excerpts_are_found(spark):
     assert {(r.doc_id, r.item_id, r.matched) for r in got} == {(1, 1, 45), (2, 2, 300), (3, 2, 13), (5, 2, 13)}
 
 
+def test_repeated_words_need_little_memory():
+    import time
+    import tracemalloc
+
+    from pagetally.llm import common
+    from pagetally.llm.decontam import GAP, Items, _hits
+
+    for item, text, copies in ((500 * ["0"], 100_000, True), (1000 * ["0"], 1_000_000, True), (250 * ["0", "1"], 100_000, False), (250 * ["0"] + ["x"] + 249 * ["0"], 100_000, True)):
+        index = Items([1], [" ".join(item)], 3, 0.8, 13)
+        index.choose_seeds(np.ones(len(index.terms), np.int64))
+        data, ends = common.joined(pa.array(["0 " * text]), GAP)
+        tracemalloc.start()
+        began = time.time()
+        got = list(_hits(index, common.Words(data, ends, lower=True, gaps=common.NO_WORD)))
+        assert tracemalloc.get_traced_memory()[1] < 1e9 and time.time() - began < 120
+        tracemalloc.stop()
+        assert bool(got) == copies and (not copies or got[0][2][0] == item.count("0"))
+
+
+def test_periodic_texts_against_brute_force(spark):
+    rnd = random.Random(14)
+    some = lambda n: [rnd.choice("ab") for _ in range(n)]
+    items = [some(rnd.randint(3, 40)) for _ in range(6)] + [["0"] * 30, ["0", "1"] * 20, ["0"] * 14 + ["x"] * 30, ["|", "y"] * 9]
+    texts = [rnd.choice([some(60), ["0"] * rnd.randint(10, 80), ["1", "0"] * 30, ["y"] * 20, ["0"] * 13 + some(9) + ["x"] * rnd.randint(0, 14)]) + some(rnd.randint(0, 9)) for _ in range(40)]
+    want = set()
+    for t, text in enumerate(texts):
+        for q, item in enumerate(items):
+            item = [w for w in item if w != "|"]
+            n = smith_waterman(item, text)
+            code = {w: k for k, w in enumerate("ab01xy")}
+            if n >= 0.8 * len(item) - 1e-9 or has_excerpt(np.array([code[w] for w in item]), np.array([code[w] for w in text]), 13, 0.8):
+                want.add((t, q))
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], f"{name} bigint, text string")
+    import pagetally.llm.decontam as module
+
+    found = {(r.doc_id, r.item_id) for r in contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    assert found == want and 20 < len(want) < 400
+    index = module.Items(list(range(len(items))), [" ".join(i) for i in items], 3, 0.8, 13)
+    words = module.Words(*module.joined(pa.array([" ".join(t) for t in texts]), 32), lower=True, gaps=module.NO_WORD)
+    index.choose_seeds(np.ones(len(index.terms), np.int64))
+    kept, module.PAIRS = module.PAIRS, 40
+    try:
+        assert {(t, q) for t, q, _ in module._hits(index, words)} == want
+    finally:
+        module.PAIRS = kept
+
+
+def test_a_column_of_zeros_passes_the_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "0 " * 200_000, "en", "s", 1), (2, "clean words", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in pipeline.drop_contaminated(spark, docs, "/root/testdata/sf0.001").collect()} == {1, 2}
+
+
 def test_excerpt_rule():
     rnd = random.Random(5)
 
