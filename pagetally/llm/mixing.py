@@ -30,6 +30,7 @@ from pagetally.llm.common import checkpointed
 from pagetally.operators.ranks import ranked
 
 BITS, STEPS, KEY = 8, 4, 60  # of a key: looked at in a step; steps; all
+SMALL = 8 << 20
 
 
 def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -65,19 +66,26 @@ def targets(totals: DataFrame, weights: list[int], share: float, epochs: int) ->
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _boundaries(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _small(sources: DataFrame):
+    """How tables with a row for each source meet the documents: they are sent to all tasks if their names come to
+    ``SMALL`` bytes at most, at 100 bytes a row beside; more sources are joined by a shuffle, whose hot keys adaptive execution splits."""
+    row = sources.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 100).alias("bytes")).first()
+    return F.broadcast if (row.bytes or 0) <= SMALL else lambda table: table
+
+
+def _boundaries(rows: DataFrame, wanted: DataFrame, sent) -> DataFrame:
     """wanted (source, rest): words to take in the order of (key, id, size). The place where they end: (source,
     at_key, at_id, at_size, part), each row there giving ``part`` words; a source whose rest is 0 has no place."""
     state = wanted.where("rest > 0").select(F.col("source").alias("_s"), F.lit(0).cast("bigint").alias("prefix"), "rest")
     left = KEY
     for _ in range(STEPS):
         left -= BITS
-        here = rows.join(state, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("key", left + BITS) == F.col("prefix")))
+        here = rows.join(sent(state), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("key", left + BITS) == F.col("prefix")))
         sums = here.groupBy("source", F.shiftright("key", left).alias("cell"), "rest").agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         cells = sums.select("source", "cell", "rest", "size", upto.alias("upto")).where("upto >= rest AND upto - size < rest")
         state = checkpointed(cells.select(F.col("source").alias("_s"), F.col("cell").alias("prefix"), (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest")))
-    here = rows.join(state, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("key", left) == F.col("prefix")))
+    here = rows.join(sent(state), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("key", left) == F.col("prefix")))
     alike = here.groupBy("source", "key", "id", "size", "rest").agg(F.count(F.lit(1)).alias("m"))
     order = Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     last = alike.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(order)).where("upto >= rest AND upto - size * m < rest")
@@ -96,9 +104,10 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.0, epochs: int = 3
     plan = plan.withColumn("whole", whole)
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("bigint")
     plan = checkpointed(plan.withColumn("rest", rest))
-    ends = _boundaries(rows.where("size > 0"), plan.select("source", "rest"))
+    sent = _small(plan)
+    ends = _boundaries(rows.where("size > 0"), plan.select("source", "rest"), sent)
     plan = plan.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s")
     place, end = (F.struct(F.col(p + "key").alias("k"), F.col(p + "id").isNull().alias("none"), F.col(p + "id").alias("id"), F.col(p + "size").alias("size")) for p in ("", "at_"))
     more = F.when(F.col("at_key").isNull(), F.lit(0)).when(place < end, F.col("size")).when(place.eqNullSafe(end), F.col("part")).otherwise(F.lit(0))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    out = rows.join(sent(plan), F.col("source").eqNullSafe(F.col("_s")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + more).cast("bigint").alias("taken"))

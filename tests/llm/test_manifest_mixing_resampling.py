@@ -83,7 +83,9 @@ def test_water_level(spark):
     assert water_level(spark.createDataFrame([(1, 5)], "weight bigint, cap bigint"), 9.0) == math.inf
 
 
-def test_mix_meets_targets(spark):
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_mix_meets_targets(spark, monkeypatch, small):
+    monkeypatch.setattr("pagetally.llm.mixing.SMALL", small)
     rnd = random.Random(3)
     sizes = {"a": 700, "b": 40, "c": 90, "d": 3, None: 60}
     rows = [(k, g, " ".join(["w"] * rnd.randint(0, 60))) for k, g in enumerate(g for g, n in sizes.items() for _ in range(n))]
