@@ -75,8 +75,14 @@ def similarity(a: str, b: str) -> float:
 
 
 def best_window(a: str, b: str) -> float:
-    """The shorter text's similarity with the best window of its length in the longer, ends included."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    """The shorter text's similarity with the best window of its length in the longer, ends included. Of texts of
+    one length either may be the shorter one: the larger value counts, so the order of arguments does not matter."""
+    if len(a) == len(b):
+        return max(_best_window(a, b), _best_window(b, a))
+    return _best_window(*sorted((a, b), key=len))
+
+
+def _best_window(short: str, long: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     if short in long:
@@ -138,6 +144,13 @@ def similarities(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
 
 def best_windows(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     """``best_window`` of many pairs."""
+    out = _best_windows(a, b)
+    equal = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if len(x) == len(y) and out[i] < 100]
+    out[equal] = np.maximum(out[equal], _best_windows([b[i] for i in equal], [a[i] for i in equal]))
+    return out
+
+
+def _best_windows(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     short, long = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else ((), ())
     out = np.array([100.0 if x in y and (x or not y) else 0.0 for x, y in zip(short, long, strict=True)])
     todo = np.flatnonzero(out == 0)

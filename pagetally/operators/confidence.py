@@ -16,14 +16,17 @@ def floor_probability(p: Column) -> Column:
 
 
 def tier(p: Column, anchored: Column, suspect: Column, agreed: Column) -> Column:
+    """LOW, MEDIUM or HIGH; a mark that is null counts as not set."""
+    anchored, suspect, agreed = (F.coalesce(c, F.lit(False)) for c in (anchored, suspect, agreed))
     low = suspect | (~agreed & ~anchored) | (floor_probability(p) < 0.95)
     return F.when(low, "LOW").when(anchored & agreed, "HIGH").otherwise("MEDIUM")
 
 
 def sweep(records: DataFrame, thresholds: Sequence[float] = (0.99, 0.95, 0.90, 0.80)) -> DataFrame:
     """(threshold, flagged_correct, flagged_wrong): share of correct and number of wrong values below it, among
-    values with a probability; null without correct ones."""
-    below = floor_probability(F.col("p_min")) < F.col("threshold")
+    values with a probability; null without correct ones. A correct value is compared as it is, so one of 0 is flagged;
+    a wrong value's 0 counts as one, as in ``floor_probability``."""
+    below = F.when(F.col("correct"), F.col("p_min")).otherwise(floor_probability(F.col("p_min"))) < F.col("threshold")
     at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     known = records.where("p_min IS NOT NULL").select("p_min", "correct", at)
     share = F.count_if(below & F.col("correct")) / F.nullif(F.count_if("correct"), F.lit(0))

@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagetally.operators.ranks import ranked
+from pagetally.tables import checkpointed
+
 
 def stratified_draw(filings: DataFrame, strata: Sequence[str], seed, key: str = "filing_id", stratum: str = "format", exclude: Iterable[str] = ()) -> list[tuple[str, str]]:
-    """One filing for each stratum, from a single seeded generator that goes through the strata in order.
-    The frame (one row a filing) is collected; drawing is sequential by definition."""
-    taken = set(exclude)
-    frame: dict[str, list[str]] = {}
-    for r in filings.select(key, stratum).distinct().collect():
-        if r[0] not in taken:
-            frame.setdefault(r[1], []).append(r[0])
+    """(stratum, filing): one filing for each stratum that has one, from a single seeded generator that goes through the strata
+    in order. Filings are ranked by key within their stratum over all tasks; the driver gets the strata's counts, draws a
+    rank for each, and fetches the filings of these ranks. ``strata`` and ``exclude`` are lists that a person gives."""
+    left = filings.select(F.col(key).alias("key"), F.col(stratum).alias("stratum")).where(F.col(stratum).isin(list(strata)) & F.col(key).isNotNull()).distinct()
+    taken = list(exclude)
+    left = left.where(~F.col("key").isin(taken)) if taken else left
+    placed = checkpointed(ranked(left, ["stratum"], [F.col("key").asc()]))
+    sizes = dict(placed.groupBy("stratum").agg(F.max("total")).collect())
     generator = random.Random(seed)
-    return [(s, generator.choice(sorted(frame[s]))) for s in strata if frame.get(s)]
+    drawn = [(s, generator.choice(range(sizes[s]))) for s in strata if s in sizes]
+    wanted = F.create_map(*[F.lit(x) for pair in drawn for x in pair]) if drawn else None
+    found = dict(placed.where(F.col("rank") == F.element_at(wanted, F.col("stratum"))).select("stratum", "key").collect()) if drawn else {}
+    return [(s, found[s]) for s, _ in drawn]
 
 
 def upper_bound(errors: int, n: int, level: float = 0.95) -> float:

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pagetally.functions.figures import figures, row_years, upper_median, years
 from pagetally.functions.text import lines_of
 
+# What HTML takes larger spans for.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 GRID = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
 
 
@@ -41,7 +43,7 @@ class _Grid(HTMLParser):
             elif tag in ("td", "th"):
                 self._cell(t)
                 span = {k: int(v) for k, v in attrs if k in ("rowspan", "colspan") and v and v.isdigit()}
-                t["cell"] = ([], max(1, min(span.get("colspan", 1), 1000)), max(1, min(span.get("rowspan", 1), 1000)))
+                t["cell"] = ([], max(1, min(span.get("colspan", 1), MOST_COLUMNS)), max(1, min(span.get("rowspan", 1), MOST_ROWS)))
                 if t["row"] is None:
                     t["row"] = []
             elif tag == "br" and t["cell"]:

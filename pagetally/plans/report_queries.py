@@ -197,19 +197,19 @@ def h12_worse_units(spark, sf):
 # -- confidence ------------------------------------------------------------------------------------
 def _records(spark, sf):
     f = F.col
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(f("l_linenumber") < 7, 1 - f("l_discount")).alias("p_min"), (f("l_returnflag") != "R").alias("correct"), (f("l_quantity") > 10).alias("anchored"), (f("l_tax") > 0.07).alias("suspect"), (f("l_linestatus") == "O").alias("agreed"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(f("l_linenumber") == 6, 0.0).when(f("l_linenumber") < 7, 1 - f("l_discount")).alias("p_min"), (f("l_returnflag") != "R").alias("correct"), (f("l_quantity") > 10).alias("anchored"), (f("l_tax") > 0.07).alias("suspect"), F.when(f("l_linenumber") != 5, f("l_linestatus") == "O").alias("agreed"))
 
 
-RECORDS = "r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN 1 - l_discount END AS p_min, l_returnflag <> 'R' AS correct, l_quantity > 10 AS anchored, l_tax > 0.07 AS suspect, l_linestatus = 'O' AS agreed FROM lineitem)"
+RECORDS = "r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 6 THEN 0 WHEN l_linenumber < 7 THEN 1 - l_discount END AS p_min, l_returnflag <> 'R' AS correct, l_quantity > 10 AS anchored, l_tax > 0.07 AS suspect, CASE WHEN l_linenumber <> 5 THEN l_linestatus = 'O' END AS agreed FROM lineitem)"
 
 
-@query(f"WITH {RECORDS} SELECT l_orderkey, l_linenumber, CASE WHEN suspect OR (NOT agreed AND NOT anchored) OR coalesce(nullif(p_min, 0), 1) < 0.95 THEN 'LOW' WHEN anchored AND agreed THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM r")
+@query(f"WITH {RECORDS} SELECT l_orderkey, l_linenumber, CASE WHEN suspect OR (NOT coalesce(agreed, false) AND NOT anchored) OR coalesce(nullif(p_min, 0), 1) < 0.95 THEN 'LOW' WHEN anchored AND agreed THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM r")
 def i02_c07_tiers(spark, sf):
     r = _records(spark, sf)
     return r.select("l_orderkey", "l_linenumber", confidence.tier(*map(F.col, ("p_min", "anchored", "suspect", "agreed"))).alias("tier"))
 
 
-@query(f"WITH {RECORDS}, t(threshold) AS (VALUES (0.99::DOUBLE), (0.95::DOUBLE), (0.9::DOUBLE), (0.8::DOUBLE)) SELECT threshold, count(*) FILTER (coalesce(nullif(p_min, 0), 1) < threshold AND correct) / count(*) FILTER (correct) AS flagged_correct, count(*) FILTER (coalesce(nullif(p_min, 0), 1) < threshold AND NOT correct) AS flagged_wrong FROM r, t WHERE p_min IS NOT NULL GROUP BY 1")
+@query(f"WITH {RECORDS}, t(threshold) AS (VALUES (0.99::DOUBLE), (0.95::DOUBLE), (0.9::DOUBLE), (0.8::DOUBLE)) SELECT threshold, count(*) FILTER (p_min < threshold AND correct) / count(*) FILTER (correct) AS flagged_correct, count(*) FILTER (coalesce(nullif(p_min, 0), 1) < threshold AND NOT correct) AS flagged_wrong FROM r, t WHERE p_min IS NOT NULL GROUP BY 1")
 def i03_threshold_sweep(spark, sf):
     return confidence.sweep(_records(spark, sf))
 

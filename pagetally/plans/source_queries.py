@@ -25,11 +25,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query("SELECT 'benchmark' AS run, 'b' || (item_id // 50) AS filing_id, CAST(item_id % 50 AS INTEGER) AS page_no, coalesce(text, '') || chr(10) AS text FROM benchmark")
 def a01_page_files(spark, sf):
-    """Test items as one file each, read back by their names."""
+    """Test items as one file each, read back by their names; other files beside them are not read."""
     path = scratch(spark, "a01")
     item = F.col("item_id")
     one = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("run"), F.concat(F.lit("b"), F.floor(item / 50).cast("string")).alias("filing_id"), (item % 50).cast("int").alias("page_no"), "text")
     pages.write_page_files(one, path)
+    one.select(F.to_json(F.struct("filing_id", "page_no"))).write.mode("append").text(f"{path}/benchmark")  # logs beside the outputs
     return pages.read_outputs(spark, f"{path}/benchmark")
 
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pagetally.operators.ranks import ranked
 
 # Fixed value: <run>/<filing>_p<page>.md
 PATH = r"(?:^|/)([^/]+)/([^/]+)_p(\d+)\.[a-z]+$"
@@ -23,9 +24,10 @@ def path_parts(path: Column) -> list[Column]:
 
 
 def read_outputs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(run, filing_id, page_no, text), one row a file, read whole."""
-    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return raw.select(*path_parts(F.col("path")), F.col("value").alias("text"))
+    """(run, filing_id, page_no, text), one row an output file (.md or .mmd, named as ``PATH`` has it), read whole. Other
+    files of the folder (token logs, timings) are not read."""
+    raw = spark.read.option("pathGlobFilter", "*.{md,mmd}").text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return raw.where(F.col("path").rlike(PATH)).select(*path_parts(F.col("path")), F.col("value").alias("text"))
 
 
 def read_truth(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
@@ -205,6 +207,7 @@ def score_totals(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def category_counts(rows: DataFrame, category: str, pos: str) -> DataFrame:
-    """(category, n, place): most common first, ties by first appearance."""
+    """(category, n, place): most common first, ties by first appearance; places are counted over all tasks."""
     n = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).drop("first")
+    placed = ranked(n, [], [F.col("n").desc(), F.col("first").asc_nulls_first()])
+    return placed.select(category, "n", (F.col("rank") + 1).cast("int").alias("place"))

@@ -108,8 +108,10 @@ def test_ratios(value):
         want = 100 * (1 - levenshtein(a, b, 2) / total) if total else 100.0
         assert distance.similarity(a, b) == pytest.approx(want)
         short, long = sorted((a, b), key=len)
-        windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
-        assert distance.best_window(a, b) == pytest.approx(max(map(lambda w: distance.similarity(short, w), windows), default=0.0 if long else 100.0) if short else 0.0 if long else 100.0)
+        sides = [(short, long), (long, short)][: 1 + (len(a) == len(b))]  # of equal lengths either may be the shorter
+        windows = [distance.similarity(x, y[max(0, i) : i + len(x)]) for x, y in sides for i in range(1 - len(x), len(y))]
+        assert distance.best_window(a, b) == pytest.approx(max(windows) if short else 0.0 if long else 100.0) and distance.best_window(a, b) == distance.best_window(b, a)
+    assert distance.best_window("bcxx", "abcd") == distance.best_window("abcd", "bcxx") == pytest.approx(200 / 3)
     assert value(distance.partial_ratio(F.lit("assets"), F.lit("total assets 12"))) == 100.0
     assert value(distance.ratio(F.lit("ab"), F.lit(None).cast("string"))) is None
 
@@ -123,8 +125,8 @@ def test_similarities_of_many_pairs():
         alike = lambda x, y: 100.0 * (1 - levenshtein(x, y, 2) / (len(x) + len(y))) if x or y else 100.0
         assert one == pytest.approx(alike(a, b)) and distance._distance(a, b) == levenshtein(a, b)
         if len(a) + len(b) < 50:
-            short, long = sorted((a, b), key=len)
-            assert window == pytest.approx(max(alike(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))) if short else 0.0 if long else 100.0)
+            sides = [(x, y) for x, y in ((a, b), (b, a)) if len(x) <= len(y)]
+            assert window == pytest.approx(max(alike(x, y[max(0, i) : i + len(x)]) for x, y in sides for i in range(1 - len(x), len(y))) if a and b else 0.0 if a or b else 100.0)
     assert len(distance.similarities([], [])) == len(distance.best_windows([], [])) == 0
 
 

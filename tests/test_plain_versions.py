@@ -39,8 +39,8 @@ def test_ratios(run, rows):
     alike = lambda a, b: 100 * (1 - levenshtein(a, b, 2) / (len(a) + len(b)))
     for r in got:
         assert r.ratio == pytest.approx(alike(r.p_name, r.p_type))
-        short, long = sorted((r.p_name, r.p_type), key=len)
-        assert r.partial == pytest.approx(max(alike(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))))
+        pairs = [(x, y) for x, y in ((r.p_name, r.p_type), (r.p_type, r.p_name)) if len(x) <= len(y)]
+        assert r.partial == pytest.approx(max(alike(x, y[max(0, i) : i + len(x)]) for x, y in pairs for i in range(1 - len(x), len(y))))
 
 
 def test_missed_rows(spark, sf, run):

@@ -11,7 +11,11 @@ def test_outputs_and_sinks(spark, tmp_path):
     run = tmp_path / "in" / "sys_a_s0"
     run.mkdir(parents=True)
     (run / "some_co_FY2024_p07.md").write_text("line\nنص", encoding="utf-8")
-    got = pages.read_outputs(spark, str(run)).first()
+    (run / "some_co_FY2024_p08.mmd").write_text("more")
+    for side in ("some_co_FY2024_p07.tok.json", "_timing.jsonl", "notes.md", "some_co_FY2024_p09.txt"):
+        (run / side).write_text("{}")
+    assert {(r.filing_id, r.page_no) for r in pages.read_outputs(spark, str(run)).collect()} == {("some_co_FY2024", 7), ("some_co_FY2024", 8)}
+    got = pages.read_outputs(spark, str(run)).orderBy("page_no").first()
     assert (got.run, got.filing_id, got.page_no, got.text) == ("sys_a_s0", "some_co_FY2024", 7, "line\nنص")
     pages.write_pages(pages.read_outputs(spark, str(run)), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).first().run == "sys_a_s0"
