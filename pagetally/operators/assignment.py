@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagetally.functions.distance import ratio
+from pagetally.functions.distance import cer, ratio, wer
 from pagetally.functions.figures import loose_years
 from pagetally.functions.text import label_key
 
@@ -182,3 +182,15 @@ def outcomes(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: fl
     edges = edges.withColumn("weight", F.element_at(worth, F.col("outcome")).cast("bigint"))
     chosen = matched(edges, keys).join(edges.select(*keys, "left", "right", "outcome"), [*keys, "left", "right"]).select(*keys, "left", "outcome")
     return true.join(chosen, [*keys, "left"], "left").select(*order, F.coalesce("outcome", F.lit("misread or omitted")).alias("outcome"))
+
+
+def label_errors(truth: DataFrame, output: DataFrame, keys: Sequence[str], by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
+    """(by, labels, found, cer, wer): of the true rows' labels those that an output row states (``stated_rows``), and the mean
+    character and word error rates of these, on the labels as they are printed. ``by`` are some of the keys."""
+    named = lambda t, row: t.groupBy(*keys, row).agg(F.max("label").alias("label")).where(label_key(F.col("label")) != "")
+    states = stated_rows(truth, output, keys, alike)
+    printed = named(output, "out_row").withColumnRenamed("label", "printed")
+    met = named(truth, "row").join(states.join(printed, [*keys, "out_row"]), [*keys, "row"], "left")
+    there = F.col("printed").isNotNull()
+    rate = lambda f: F.avg(F.when(there, f(F.col("label"), F.coalesce("printed", F.lit("")))))
+    return met.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.count_if(there).alias("found"), rate(cer).alias("cer"), rate(wer).alias("wer"))

@@ -16,21 +16,28 @@ CHANCE = 0.01
 FOUND = T.ArrayType(T.StructType([T.StructField("axis", T.StringType()), T.StructField("target", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("minus", T.ArrayType(T.IntegerType()))]))
 
 
+def _few(values: np.ndarray, wanted: np.ndarray, begins: np.ndarray, tolerance: int, m: int) -> tuple[int, tuple[int, ...]] | None:
+    """For runs that begin at ``begins`` (nearest first) and what of each is to be subtracted, doubled: the first run, and
+    there the first m rows (two at most), whose sums meet it in every column within the tolerance. All runs at once."""
+    if m == 0:
+        hit = np.flatnonzero((np.abs(wanted) <= tolerance).all(1))
+        return (int(hit[0]), ()) if len(hit) else None
+    a, b = np.triu_indices(len(values), 1) if m == 2 else (np.arange(len(values)), None)
+    sums = 2 * (values[a] + values[b] if m == 2 else values)
+    at = np.argwhere((np.abs(sums[None] - wanted[:, None]) <= tolerance).all(-1) & (a[None] >= begins[:, None]))
+    if not len(at):
+        return None
+    run, k = at[0].tolist()
+    return run, (int(a[k]), int(b[k])) if m == 2 else (int(a[k]),)
+
+
 def _subset(values: np.ndarray, wanted: np.ndarray, tolerance: int, m: int) -> tuple[int, ...] | None:
-    """The first m rows (in lexicographic order) whose doubled sums meet ``wanted`` in every column within the tolerance.
-    Four rows are two pairs that meet in the middle: pairs' sums in order, and for each a range of the others."""
+    """The first three or four rows (in lexicographic order) whose doubled sums meet ``wanted`` in every column within the
+    tolerance. Four rows are two pairs that meet in the middle: pairs' sums in order, and for each a range of the others."""
     n = len(values)
     near = lambda sums: (np.abs(2 * sums - wanted) <= tolerance).all(-1)
-    if m == 0:
-        return () if near(np.zeros_like(wanted)) else None
-    if m == 1:
-        hit = np.flatnonzero(near(values))
-        return (int(hit[0]),) if len(hit) else None
     a, b = np.triu_indices(n, 1)
     pairs = values[a] + values[b]
-    if m == 2:
-        hit = np.flatnonzero(near(pairs))
-        return (int(a[hit[0]]), int(b[hit[0]])) if len(hit) else None
     if m == 3:
         p, k = np.nonzero(near(pairs[:, None, :] + values[None, :, :]) & (b[:, None] < np.arange(n)))
         return min(zip(a[p].tolist(), b[p].tolist(), k.tolist(), strict=True), default=None)
@@ -60,16 +67,22 @@ def _along(cells: np.ndarray, there: np.ndarray, tolerance: int, most_minus: int
         values, total = cells[np.ix_(rows, columns)], cells[target, columns]
         alone = float(np.prod(np.minimum(1.0, (2 * tolerance + 1) / (2.0 * biggest[columns] + 1))))
         after = np.cumsum(values[::-1], axis=0)  # of the last rows, one, two, ...
+        n = len(rows)
         for m in range(most_minus + 1):
+            lengths = [k for k in range(max(2, m + 1), n + 1) if comb(k, m) * n * alone < chance]
             hit = None
-            for length in range(max(2, m + 1), len(rows) + 1):
-                if comb(length, m) * len(rows) * alone < chance:
-                    hit = _subset(values[len(rows) - length :], after[length - 1] - total, tolerance, m)
-                if hit is not None:
-                    first = len(rows) - length
-                    yield target, int(rows[first]), [int(rows[first + k]) for k in hit]
-                    break
-            if hit is not None:
+            if lengths and m < 3:
+                run = np.array(lengths)
+                found = _few(values, after[run - 1] - total, n - run, tolerance, m)
+                hit = found and (lengths[found[0]], found[1])
+            elif lengths:
+                for length in lengths:
+                    rest = _subset(values[n - length :], after[length - 1] - total, tolerance, m)
+                    if rest is not None:
+                        hit = length, tuple(n - length + k for k in rest)
+                        break
+            if hit:
+                yield target, int(rows[n - hit[0]]), [int(rows[k]) for k in hit[1]]
                 break
 
 

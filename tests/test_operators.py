@@ -2,6 +2,7 @@ import itertools
 import json
 import math
 import random
+import time
 import statistics as stats
 from collections import Counter
 
@@ -436,6 +437,45 @@ def test_tree_similarity():
     assert trees.teds(a, table(("x", "q"), ("1", "2")), texts=False) == 1.0
 
 
+def test_end_tags_may_be_left_out():
+    full = "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>"
+    assert trees._nodes("<table><thead><tr><th>a<th>b<tbody><tr><td>1<td>2<tr><td>3</table>") == trees._nodes(full)
+    assert trees.teds("<table><tr><td>1<td>2</table>", "<table><tr><td>1</td><td>2</td></tr></table>") == 1.0
+    inner = "<table><tr><td>x<table><tr><td>1<td>2</table>y<td>z</table>"
+    assert [(x[0], x[1]) for x in trees._nodes(inner)] == [("td 1 1", "1"), ("td 1 1", "2"), ("tr", ""), ("table", ""), ("td 1 1", "xy"), ("td 1 1", "z"), ("tr", ""), ("table", "")]
+    assert trees._nodes("<table><tr><td>x<table></td></tr><tr><td>1</table>")[-1][0] == "table"
+    many = "<table><tr>" + "<td>c" * 1100 + "</table>"
+    assert len(trees._nodes(many)) == 1102 and trees.teds(many, many) == 1.0
+    deep = "<table><tr><td>" * 3000
+    assert len(trees._nodes(deep)) == 9000
+
+
+def test_large_trees_equal_small_ones():
+    rnd = random.Random(6)
+
+    def page():
+        tags = ["<table>", "</table>", "<tr>", "<tr>", "<td>", "<td>", "<td>", "<th>", "<td colspan=2>", "<tbody>", "<thead>", "abc", "ab", "b", ""]
+        return "<table>" + "".join(rnd.choice(tags) for _ in range(rnd.randrange(45)))
+
+    for _ in range(400):
+        a, b = trees._nodes(page()), trees._nodes(page())
+        for texts in (True, False):
+            assert trees.large_distance(a, b, texts) == pytest.approx(trees.small_distance(a, b, texts))
+
+
+def test_a_table_of_two_thousand_cells_in_time():
+    rnd = random.Random(7)
+    cells = [[str(rnd.randrange(10**6)) for _ in range(10)] for _ in range(200)]
+    html = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    other = [r[:] for r in cells if rnd.random() < 0.95]
+    other[7][3] = "x"
+    began = time.time()
+    score = trees.teds(html(cells), html(other))
+    gone = 11 * (200 - len(other))
+    assert score == pytest.approx(1 - (gone + 1) / 2201)
+    assert time.time() - began < 60
+
+
 def test_plain_tables_are_read_as_by_the_parser():
     """Tags without attributes are split off by a pattern; anything else goes to the parser, with the same nodes."""
 

@@ -14,8 +14,13 @@ from pagetally.operators import matching, reconcile
 from pagetally.operators import statistics as own
 from pagetally.operators.tables import count_relations, parse_tables
 from pagetally.operators.trees import _nodes
-from pagetally.plans import match_queries, report_queries
+from pagetally.functions import loops
+from pagetally.operators.assignment import heaviest
+from pagetally.plans import fact_queries, match_queries, report_queries
+from tests.test_assignment import plain_outcomes
 from tests.test_functions import levenshtein
+from tests.test_loops_nearest import naive
+from tests.test_relations import brute, exhaustive
 
 
 @pytest.fixture(scope="module")
@@ -254,3 +259,99 @@ def test_draws(run, rows):
 def test_error_bounds(run, rows):
     want = {k: own.upper_bound(k % 4, n) for k, n in rows("SELECT p_partkey, p_size FROM {part}")}
     assert {r.p_partkey: r.upper for r in run("k03_error_bound")} == pytest.approx(want)
+
+
+def _by_statement(spark, sf):
+    truth, output = (df.collect() for df in fact_queries.statements(spark, sf))
+    tables = defaultdict(lambda: ([], []))
+    for r in truth:
+        tables[r.system, r.stmt][0].append((r.row, r.label, r.col, r.value))
+    for r in output:
+        year = next((y for y in ("2024", "2023") if y in r.header), None)
+        tables[r.system, r.stmt][1].append((r.out_row, r.label, r.out_col, year, r.value))
+    return tables
+
+
+def test_outcomes_of_cells(spark, sf, run):
+    """Rows and figures matched by the plain rules; the matching itself is held against exhaustive search elsewhere."""
+    want = Counter()
+    for (system, stmt), (true, out) in _by_statement(spark, sf).items():
+        want.update((system, stmt, *r) for r in plain_outcomes([(i, t or "", c, v) for i, t, c, v in true], out, heaviest))
+    got = Counter((r.system, r.stmt, r.row, r.col, r.value, r.outcome) for r in run("h02_cell_outcomes"))
+    assert got == want and len({k[-1] for k in got}) >= 6
+    shares = {r.system: r for r in run("h02_h04_outcomes_by_system")}
+    for system, r in shares.items():
+        mine = {k: n for k, n in want.items() if k[0] == system}
+        total = sum(mine.values())
+        assert r.cells == total and r.complete == pytest.approx(sum(n for k, n in mine.items() if k[-1] == "complete") / total)
+        statements = defaultdict(set)
+        for k in mine:
+            statements[k[1]].add(k[-1])
+        assert r.statements == len(statements) and r.fully_right == sum(s == {"complete"} for s in statements.values())
+        assert r.with_critical == sum(bool(s & {"misplaced row", "misplaced column", "wrong sign"}) for s in statements.values())
+
+
+def test_errors_of_found_labels(spark, sf, run):
+    want = defaultdict(lambda: [0, [], []])
+    for (system, _), (true, out) in _by_statement(spark, sf).items():
+        t_rows = {r[0]: r[1] for r in true if r[1]}
+        o_rows = {r[0]: r[1][:-1] if r[0] % 3 == 1 else r[1] for r in out if r[1]}
+        values = lambda cells, row: {abs(c[-1]) for c in cells if c[0] == row}
+        edges = [(i, j, round(similarity(a, b) * 100) * 1024 + len(values(true, i) & values(out, j))) for i, a in t_rows.items() for j, b in o_rows.items() if similarity(a, b) >= 80]
+        want[system][0] += len(t_rows)
+        for i, j in heaviest(edges):
+            a, b = t_rows[i], o_rows[j]
+            want[system][1].append(levenshtein(a, b) / len(a))
+            want[system][2].append(levenshtein(a.split(), b.split()) / len(a.split()))
+    for r in run("h10_label_errors"):
+        n, chars, words = want[r.system]
+        assert (r.labels, r.found) == (n, len(chars))
+        assert r.cer == pytest.approx(sum(chars) / len(chars)) and r.wer == pytest.approx(sum(words) / len(words))
+
+
+def test_signed_relations(spark, sf, run):
+    got = defaultdict(list)
+    for r in run("g09_signed_relations"):
+        got[r.l_orderkey].append((r.axis, r.target, r.first, [int(m) for m in r.minus.split(",") if m]))
+    tables = {r.l_orderkey: r.t for r in fact_queries.signed_tables(spark, sf).collect()}
+    for k, t in tables.items():
+        if len(t) < 9:
+            assert sorted(got[k]) == sorted(exhaustive(t))
+    assert any(f[3] for found in got.values() for f in found)
+
+
+def test_repairs_over_totals(spark, sf, run):
+    cells, links = (df.collect() for df in fact_queries.subtotals(spark, sf))
+    values, parts = defaultdict(dict), defaultdict(lambda: defaultdict(list))
+    for r in cells:
+        if r.value is not None:
+            values[r.stmt][r.row_id] = r.value
+    for r in links:
+        parts[r.stmt][r.total].append((r.ref, r.sign))
+    got = defaultdict(list)
+    for r in run("g10_repairs_over_totals"):
+        got[r.stmt].append((r.row_id, r.old, r.new, r.mended))
+    checked = 0
+    for stmt, v in values.items():
+        if stmt % 3 and stmt % 7:
+            assert stmt not in got
+        elif len(v) < 7:
+            assert sorted(got[stmt]) == brute(v, parts[stmt], 0.5)
+            checked += 1
+    assert checked > 50 and {r[3] for rs in got.values() for r in rs} >= {1, 2}
+
+
+def test_loops_in_lines(spark, sf, run):
+    texts = {r.doc_id: r.text for r in fact_queries.looping(spark, sf).collect()}
+    cut = 0
+    for r in run("b23_loops_in_lines"):
+        t = texts[r.doc_id]
+        for got, times, least, by_words in ((r.by_words, 4, 0, True), (r.by_characters, 8, 40, False)):
+            items = t.split() if by_words else list(t)
+            if len(items) > 1500:
+                continue
+            kept = naive(items, times, least)
+            want = t if kept is None else loops.cut_text(t, kept, by_words)
+            cut += want != t
+            assert got == hashlib.md5(want.encode()).hexdigest()
+    assert cut > 50
