@@ -66,6 +66,37 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(r) == 0, F.lit(float("nan"))).when(small, F.levenshtein(coded(r), coded(h)) / F.size(r)).otherwise(_wer(reference, hypothesis))
 
 
+def distance_grid(a: Sequence[str], b: Sequence[str], substitution: int = 1) -> np.ndarray:
+    """``_distance`` of each of a and each of b. Texts of two lengths are compared at once: a place of the table of
+    distances is a step for all of their pairs."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    by: list[dict[int, list[int]]] = [{}, {}]
+    for side, texts in enumerate((a, b)):
+        for i, t in enumerate(texts):
+            by[side].setdefault(len(t), []).append(i)
+    for n, left in by[0].items():
+        for m, right in by[1].items():
+            if not n or not m or n * m > 2500 or len(left) * len(right) < 16:
+                for i in left:
+                    out[i, right] = [_distance(a[i], b[j], substitution) for j in right]
+                continue
+            code = lambda texts, which, k: np.frombuffer("".join(texts[i] for i in which).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
+            columns = code(b, right, m)
+            part = max(1, (1 << 22) // ((m + 1) * len(right)))
+            for at in range(0, len(left), part):
+                rows = code(a, left[at : at + part], n)
+                line = np.broadcast_to(np.arange(m + 1, dtype=np.int16)[:, None, None], (m + 1, len(rows), len(right))).copy()
+                for x in range(n):
+                    corner = line[0].copy()
+                    line[0] = x + 1
+                    for y in range(m):
+                        change = corner + substitution * (rows[:, x, None] != columns[None, :, y]).astype(np.int16)
+                        corner = line[y + 1].copy()
+                        np.minimum(np.minimum(corner, line[y]) + 1, change, out=line[y + 1])
+                out[np.ix_(left[at : at + part], right)] = line[m]
+    return out
+
+
 def similarity(a: str, b: str) -> float:
     """100 for equal texts, 0 for texts without a common character: 1 - indel / total length."""
     if a == b:

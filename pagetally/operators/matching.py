@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetally.functions.distance import best_windows, similarities
+from pagetally.functions.distance import best_windows, distance_grid, similarities
 from pagetally.functions.text import normalise
 
 UNLABELED = "unlabeled line"  # fixed value: a row's status
@@ -219,7 +219,53 @@ def paired(alike: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs_of_labels(threshold: float):
+def paired_sparsely(a: Sequence[str], b: Sequence[str], threshold: float, pairs: int = 500_000, most: int = 20_000_000) -> list[tuple[int, int]]:
+    """``paired`` for long tables: of the table of best sums only the places where labels are similar enough are kept.
+
+    From the last row up, so many pairs of labels at a time are compared, and a row of best sums follows from the row below
+    at once. A place (i, j) that is part of a best pairing is found again by its own best sum: the walk of ``paired`` leaves a
+    state (i, j) at the first row that pairs with j at that sum, or else at the last row that reaches it, with its
+    first column. Memory: 8 bytes for each column, and 24 for each place; more than ``most`` places raise."""
+    places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    below = np.zeros(len(b) + 1)
+    step, held = max(1, pairs // max(1, len(b))), 0
+    width = np.array([len(x or "") for x in b])
+    for stop in range(len(a), 0, -step):
+        first = max(0, stop - step)
+        total = np.array([len(x or "") for x in a[first:stop]])[:, None] + width[None, :]
+        alike = 100.0 * (1 - distance_grid([x or "" for x in a[first:stop]], [x or "" for x in b], 2) / np.maximum(total, 1))
+        alike[[not x for x in a[first:stop]]] = 0
+        alike[:, width == 0] = 0
+        for i in range(stop - 1, first - 1, -1):
+            worth = alike[i - first]
+            columns = np.flatnonzero(worth >= max(threshold, np.nextafter(0, 1)))
+            sums = below[columns + 1] + worth[columns]
+            held += len(columns)
+            if held > most:
+                raise ValueError(f"more than {most} pairs of similar labels in one table")
+            places.append((np.full(len(columns), i), columns, sums))
+            here = below.copy()
+            here[columns] = np.maximum(here[columns], sums)
+            below = np.maximum.accumulate(here[::-1])[::-1]
+    rows, columns, sums = (np.concatenate(x) if x else np.zeros(0) for x in zip(*places, strict=True)) if places else (np.zeros(0),) * 3
+    order = np.lexsort((columns, rows, sums))
+    rows, columns, sums = rows[order], columns[order], sums[order]
+    out, i, j, best = [], 0, 0, below[0]
+    while best > 0:
+        low, high = np.searchsorted(sums, best), np.searchsorted(sums, best, "right")
+        r, c = rows[low:high], columns[low:high]
+        ok = (r >= i) & (c >= j)
+        r, c = r[ok], c[ok]
+        straight = np.flatnonzero(c == j)
+        k = straight[0] if len(straight) else np.flatnonzero(r == r.max())[0]
+        out.append((int(r[k]), int(c[k])))
+        i, j = out[-1][0] + 1, out[-1][1] + 1
+        after = np.flatnonzero((rows >= i) & (columns >= j))
+        best = sums[after].max() if len(after) else 0.0
+    return out
+
+
+def _pairs_of_labels(threshold: float, pairs_at_once: int = 500_000):
     """Of each table's labels, left and right in order: for each left row the right row that it pairs with, or -1."""
 
     @F.arrow_udf("array<int>")
@@ -229,7 +275,12 @@ def _pairs_of_labels(threshold: float):
         from_a, from_b = np.cumsum(n) - n, np.cumsum(m) - m
         found = np.full(len(a), -1, np.int32)
         # So many tables at a time that their pairs stay few; a table's pairs are its labels' product.
-        part = np.cumsum(n * m) // 500_000
+        long = np.flatnonzero(n * m > pairs_at_once)
+        for t in long.tolist():
+            for i, j in paired_sparsely(a[from_a[t] : from_a[t] + n[t]], b[from_b[t] : from_b[t] + m[t]], threshold, pairs_at_once):
+                found[from_a[t] + i] = j
+        m[long] = 0
+        part = np.cumsum(n * m) // pairs_at_once
         for tables in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
             each = (n * m)[tables]
             table = np.repeat(tables, each)
@@ -250,7 +301,8 @@ def _pairs_of_labels(threshold: float):
 def merge_halves(left: DataFrame, right: DataFrame, key: Sequence[str], threshold: float = 70.0) -> DataFrame:
     """(key, ord, text): two halves of a wide table, their rows paired in order by the similarity of their labels.
     A pair is one line, a bar between; rows of one half alone are kept, the right half's after all of the left's.
-    left, right: key, ord, label, text. Rows without label pair with nothing. A table has some dozen rows."""
+    left, right: key, ord, label, text. Rows without label pair with nothing. A table of many rows is paired sparsely
+    (``paired_sparsely``), with the same result."""
     sides = [df.select(*key, F.lit(side).alias("side"), F.struct("ord", "label", "text").alias("row")) for side, df in enumerate((left, right))]
     held = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("row"))))
     tables = sides[0].union(sides[1]).groupBy(*key).agg(held(0).alias("a"), held(1).alias("b"))

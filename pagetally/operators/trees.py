@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetally.functions.distance import _distance
+from pagetally.functions.distance import _distance, distance_grid
 
 #: Pairs of nodes from which on trees are compared with arrays, and up to which (24 bytes each); beyond, an error.
 FEW_PAIRS, MOST_PAIRS = 900, 40_000_000
@@ -102,35 +102,6 @@ def _nodes(html: str) -> list:
     return out
 
 
-def _texts_apart(a: list[str], b: list[str]) -> np.ndarray:
-    """The distance of each pair of texts, by the longer one's length; texts of two lengths are compared at once."""
-    out = np.zeros((len(a), len(b)))
-    by = [{}, {}]
-    for side, texts in enumerate((a, b)):
-        for i, t in enumerate(texts):
-            by[side].setdefault(len(t), []).append(i)
-    for n, left in by[0].items():
-        for m, right in by[1].items():
-            if not n or not m or n * m > 2500 or len(left) * len(right) < 16:
-                for i in left:
-                    out[i, right] = [_distance(a[i], b[j]) / max(n, m, 1) for j in right]
-                continue
-            code = lambda texts, which, k: np.frombuffer("".join(texts[i] for i in which).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
-            columns = code(b, right, m)
-            part = max(1, (1 << 22) // ((m + 1) * len(right)))
-            for at in range(0, len(left), part):
-                rows = code(a, left[at : at + part], n)
-                line = np.broadcast_to(np.arange(m + 1, dtype=np.int16)[:, None, None], (m + 1, len(rows), len(right))).copy()
-                for x in range(n):
-                    corner = line[0].copy()
-                    line[0] = x + 1
-                    for y in range(m):
-                        differ = rows[:, x, None] != columns[None, :, y]
-                        corner, line[y + 1] = line[y + 1].copy(), np.minimum(np.minimum(line[y + 1], line[y]) + 1, corner + differ)
-                out[np.ix_(left[at : at + part], right)] = line[m] / max(n, m)
-    return out
-
-
 def _renames(a: list, b: list, texts: bool) -> np.ndarray:
     """What it costs to rename each node of a to each of b."""
     codes: dict[str, int] = {}
@@ -140,7 +111,9 @@ def _renames(a: list, b: list, texts: bool) -> np.ndarray:
         cells = [[i for i, x in enumerate(t) if x[0][:2] in ("td", "th")] for t in (a, b)]
         known = [{t: k for k, t in enumerate(dict.fromkeys(tree[i][1] for i in which))} for tree, which in zip((a, b), cells, strict=True)]
         if cells[0] and cells[1]:
-            apart = _texts_apart(list(known[0]), list(known[1]))
+            names = [list(k) for k in known]
+            longest = np.maximum.outer(*[[max(1, len(x)) for x in side] for side in names])
+            apart = distance_grid(*names) / longest
             place = [np.array([k[tree[i][1]] for i in which]) for k, tree, which in zip(known, (a, b), cells, strict=True)]
             at = np.ix_(cells[0], cells[1])
             out[at] = np.maximum(out[at], np.where(out[at] < 1, apart[np.ix_(*place)], 1.0))

@@ -105,3 +105,38 @@ def a08_markdown_report(spark, sf):
 @query("SELECT rtrim(rpad(s_name, 30, ' ') || rpad(CAST(s_nationkey AS VARCHAR), 4, ' ')) AS line FROM supplier")
 def a09_console_report(spark, sf):
     return pages.fixed_width(table(spark, sf, "supplier").select("s_name", "s_nationkey"), [30, 4])
+
+
+RUN_EVENTS = """e AS (
+  SELECT 'run' || o_custkey AS name, 0 AS kind, CAST(NULL AS INTEGER) AS rc, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS second FROM orders WHERE o_orderkey % 11 <> 0
+  UNION ALL SELECT 'run' || o_custkey, 1, CAST(o_orderkey % 3 AS INTEGER), CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 + CAST(floor(o_totalprice / 2) AS BIGINT) FROM orders WHERE o_orderkey % 7 <> 0)"""
+
+
+@query(
+    f"""WITH {RUN_EVENTS}, n AS (SELECT *, lead(kind) OVER w AS nk, lead(rc) OVER w AS nr, lead(second) OVER w AS ns, lag(kind) OVER w AS lk, lag(second) OVER w AS ls FROM e WINDOW w AS (PARTITION BY name ORDER BY second, kind, rc))
+    SELECT name, second AS started, CASE WHEN nk = 1 AND ns <= second + 86400 THEN ns END AS ended, CASE WHEN nk = 1 AND ns <= second + 86400 THEN nr END AS rc,
+           CASE WHEN NOT coalesce(nk = 1 AND ns <= second + 86400, false) THEN 'never ended' WHEN nr = 0 THEN 'finished' ELSE 'failed' END AS status FROM n WHERE kind = 0
+    UNION ALL SELECT name, NULL, second, rc, 'end without start' FROM n WHERE kind = 1 AND NOT coalesce(lk = 0 AND second <= ls + 86400, false)"""
+)
+def n01_run_queue(spark, sf):
+    """Orders as runs of their customers: their log is written in the queue's form and goes through the stateful stream. Some
+    have no START, some no END, some end too late. A last line lets the log go on until every run is decided. Its
+    files are in no order of time, so they are one trigger: lines of later triggers would be late."""
+    from pagetally.streaming.runqueue import paired_stream, queue_events, stream_queue
+
+    path = scratch(spark, "n01")
+    o = table(spark, sf, "orders").withColumn("begun", F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86400)
+    line = lambda kind, name, at: F.concat(F.lit(f"=== {kind}  "), name, F.lit("  "), F.from_unixtime(at, "yyyy-MM-dd HH:mm:ss"))
+    name = F.concat(F.lit("run"), "o_custkey")
+    starts = o.where("o_orderkey % 11 <> 0").select(F.col("begun").alias("at"), line("START", name, F.col("begun")).alias("value"))
+    over = (F.col("begun") + F.floor(F.col("o_totalprice") / 2)).cast("bigint")
+    code = F.concat(name, F.lit("  rc="), (F.col("o_orderkey") % 3).cast("string"))
+    ends = o.where("o_orderkey % 7 <> 0").select(over.alias("at"), line("END", code, over).alias("value"))
+    log = starts.union(ends)
+    log.select("value").write.text(f"{path}/log")
+    done = log.agg((F.max("at") + 10 * 86400).alias("at")).where("at IS NOT NULL").select(line("START", F.lit("ALL_DONE"), F.col("at")).alias("value"))
+    done.write.mode("append").text(f"{path}/log")
+    runs = paired_stream(queue_events(stream_queue(spark, f"{path}/log", files_per_trigger=1_000_000)), limit=86400, lateness="1 hour")
+    q = runs.writeStream.format("parquet").option("path", f"{path}/runs").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("name string, started bigint, ended bigint, rc int, status string").parquet(f"{path}/runs").where("name <> 'ALL_DONE'")
