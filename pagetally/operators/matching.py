@@ -123,12 +123,23 @@ def _against_lines(line_type: T.DataType, missed: bool, pairs: int = 1_000_000):
     return closest
 
 
+#: Pairs of a row and a line that one task compares; the rows of a group with more are split.
+TASK_PAIRS = 50_000_000
+
+
 def _rows_and_lines(rows: DataFrame, lines: DataFrame, group: Sequence[str], row: str, line: str, missed: bool) -> DataFrame:
-    """(group, row, f): every row and what ``_against_lines`` finds. Rows and lines of a group meet in one place."""
+    """(group, row, f): every row and what ``_against_lines`` finds. Rows and lines of a group meet in one place; the rows of a group
+    of more than ``TASK_PAIRS`` pairs are dealt over several, each of which has all of the group's lines."""
     clean = lambda c: normalise(F.coalesce(c, F.lit(""))).alias(c)
-    left = rows.select(*group, F.struct(row, clean("label"), "values").alias("a"))
-    right = lines.dropna(subset=list(group)).select(*group, F.struct(line, clean("text"), "values").alias("b"))
-    met = left.unionByName(right, allowMissingColumns=True).groupBy(*group).agg(F.collect_list("a").alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
+    held = lines.dropna(subset=list(group))
+    count = lambda df, name: df.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
+    pairs = count(rows, "_rows").join(count(held, "_lines"), list(group)).where(F.col("_rows") * F.col("_lines") > TASK_PAIRS)
+    large = pairs.select(*group, F.ceil(F.col("_rows") * F.col("_lines") / TASK_PAIRS).cast("int").alias("_parts"))  # few: each stands for so many pairs
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(row), F.col("_parts"))).otherwise(0).cast("int").alias("_part")
+    left = rows.join(large, list(group), "left").select(*group, part, F.struct(row, clean("label"), "values").alias("a"))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+    right = held.join(large, list(group), "left").select(*group, parts, F.struct(line, clean("text"), "values").alias("b"))
+    met = left.unionByName(right, allowMissingColumns=True).groupBy(*group, "_part").agg(F.collect_list("a").alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
     found = _against_lines(lines.schema[line].dataType, missed)(*[F.col(c) for c in ("a.label", "a.values", f"b.{line}", "b.text", "b.values")])
     zipped = met.withColumn("f", found).select(*group, F.explode(F.arrays_zip(F.col(f"a.{row}").alias(row), F.col("f").alias("f"))).alias("z"))
     return zipped.select(*group, F.col(f"z.{row}").alias(row), "z.f")

@@ -232,6 +232,7 @@ def test_missed_rows_of_odd_figures(spark, monkeypatch, pairs):
     looked at together, each row meets every line of its group."""
     real = matching._against_lines
     monkeypatch.setattr(matching, "_against_lines", lambda kind, missed: real(kind, missed, pairs))
+    monkeypatch.setattr(matching, "TASK_PAIRS", pairs)  # groups of more pairs are split
     rnd = random.Random(11)
     figs = lambda: rnd.choice([None] + 8 * [[rnd.choice([1.0, 2.0, 3.0, 4.0, -0.0, 0.0, None]) for _ in range(rnd.randrange(4))]])
     words = lambda: rnd.choice([None, "", "?", "cash", "cash at bank", "total assets", "loans"])
