@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pagetally.functions.loops import cut_tandem
 from pagetally.operators import assignment, facts, nearest
 from pagetally.operators.anchoring import anchored, repair_groups
+from pagetally.operators.confidence import tier
 from pagetally.operators.signed import relations_with_signs
 from pagetally.plans.match_queries import ORD
 from pagetally.plans.registry import query
@@ -165,8 +166,8 @@ def subtotals(spark, sf):
     return cells, parts.unionByName(both).distinct().withColumn("sign", F.lit(1))
 
 
-@query(
-    f"""WITH i AS (SELECT l_orderkey AS stmt, 'r' || {ORD} AS row_id, round(l_extendedprice) AS value, CASE WHEN l_linenumber % 2 = 1 THEN 'odd' ELSE 'even' END AS side FROM lineitem),
+#: (stmt, row_id, value, holding, failing, anchored, suspect) of ``subtotals``.
+ANCHORED = f"""WITH i AS (SELECT l_orderkey AS stmt, 'r' || {ORD} AS row_id, round(l_extendedprice) AS value, CASE WHEN l_linenumber % 2 = 1 THEN 'odd' ELSE 'even' END AS side FROM lineitem),
     s AS (SELECT stmt, sum(value) FILTER (side = 'odd') AS odd, sum(value) FILTER (side = 'even') AS even FROM i GROUP BY 1),
     c AS (SELECT stmt, row_id, value FROM i UNION ALL SELECT stmt, 'odd', odd + CASE WHEN stmt % 3 = 0 THEN 300 ELSE 0 END FROM s WHERE odd IS NOT NULL UNION ALL SELECT stmt, 'even', even FROM s WHERE even IS NOT NULL
           UNION ALL SELECT stmt, 'total', coalesce(odd, 0) + coalesce(even, 0) + CASE WHEN stmt % 7 = 0 THEN 1000 ELSE 0 END FROM s),
@@ -177,12 +178,26 @@ def subtotals(spark, sf):
     x AS (SELECT m.stmt, m.total FROM m JOIN e USING (stmt, row_id) WHERE NOT ok GROUP BY 1, 2 HAVING bool_and(holding > 0)),
     a AS (SELECT DISTINCT m.stmt, m.row_id FROM m JOIN x USING (stmt, total))
     SELECT e.stmt, e.row_id, e.value, holding, failing, holding > 0 AS anchored, failing > 0 AND (holding = 0 OR a.row_id IS NOT NULL) AS suspect FROM e LEFT JOIN a ON a.stmt = e.stmt AND a.row_id = e.row_id"""
-)
+
+
+@query(ANCHORED)
 def g10_anchored_figures(spark, sf):
     cells, links = subtotals(spark, sf)
     return anchored(cells, links, ["stmt"], 0.5).drop("col")
 
 
+@query(
+    f"""SELECT stmt, row_id, CASE WHEN suspect OR (NOT agreed AND NOT anchored) OR p < 0.95 THEN 'LOW' WHEN anchored AND agreed THEN 'HIGH' ELSE 'MEDIUM' END AS tier
+    FROM (SELECT *, 1 - CAST(value AS BIGINT) % 10 / 100.0 AS p, (CAST(value AS BIGINT) + stmt) % 4 <> 0 AS agreed FROM ({ANCHORED}))"""
+)
+def i02_tiers_from_relations(spark, sf):
+    """Confidence of every figure whose anchoring is found from the relations themselves."""
+    cells, links = subtotals(spark, sf)
+    whole = F.col("value").cast("bigint")
+    p, agreed = 1 - whole % 10 / 100, (whole + F.col("stmt")) % 4 != 0
+    return anchored(cells, links, ["stmt"], 0.5).select("stmt", "row_id", tier(p, F.col("anchored"), F.col("suspect"), agreed).alias("tier"))
+
+
 @query()
 def g10_repairs_over_totals(spark, sf):
     """Subtotals whose misprint fails their own sum and the total's: mended together where one digit does it."""

@@ -501,6 +501,25 @@ def test_tables_are_compared_in_many_tasks(spark, sf):
         assert entry.queries()[name](spark, sf).rdd.getNumPartitions() >= 4
 
 
+def test_large_grids_equal_small_ones(monkeypatch):
+    from pagetally.operators import grids as module
+
+    rnd = random.Random(9)
+    for k in range(60):
+        cell = lambda: rnd.choice(["", "x", "ab", "abc", "12,5", "b"])
+        a, b = ([[cell() for _ in range(w)] for _ in range(rnd.randint(1, 7))] for w in (rnd.randint(1, 5), rnd.randint(1, 5)))
+        monkeypatch.setattr(module, "FEW_CELLS", 10**9)
+        want = module.grid_similarity(a, b)
+        monkeypatch.setattr(module, "PART", rnd.choice([1, 1 << 23]))
+        assert a == b or module.large_grid_similarity(a, b) == pytest.approx(want)
+    rows = [[str(rnd.randrange(10**6)) for _ in range(10)] for _ in range(200)]
+    began = time.time()
+    monkeypatch.setattr(module, "FEW_CELLS", 2000)
+    monkeypatch.setattr(module, "PART", 1 << 23)
+    assert module.grid_similarity(rows, rows[:120] + rows[130:]) == pytest.approx(2 * 1900 / 3900)
+    assert time.time() - began < 60
+
+
 def test_grid_similarity(spark):
     a = [["x", "y"], ["1", "2"], ["3", "4"]]
     assert grid_similarity(a, a) == 1.0 and grid_similarity([], []) == 1.0 and grid_similarity(a, []) == 0.0
