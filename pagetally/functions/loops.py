@@ -3,11 +3,13 @@
 A run of period p is a stretch in which every element equals the one p places before. Runs that repeat ``times`` times
 or more are found octave by octave: one with a period from 2**k to 2**(k+1) holds, every (times - 2) * 2**k places, a place
 whose next 2**k elements stand again p places further on. So n / (times - 2) fingerprints are compared in an
-octave, n log n in all, and every hit is extended to both sides by comparing elements. All texts of a batch are
-looked at together, with different elements between them, which no run can cross."""
+octave, n log n in all, and every hit is extended to both sides by comparing elements. Periods below ``SHORT`` are found by
+comparing all elements with those so many places before. Several texts are looked at together, with different elements
+between them, which no run can cross."""
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\S+")
+SHORT = 8  # an octave begins here
+TOGETHER = 1 << 18  # characters of texts that are looked at together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,10 +46,22 @@ def _stretch(same, at: int, limit: int, step: int) -> int:
 def runs(x: np.ndarray, times: int, longest: int | None = None) -> list[tuple[int, int, int]]:
     """(begin, end, period) of maximal runs of ``times`` periods or more, each with its smallest period; ``longest``
     bounds the length of a run that can occur."""
-    n, found = len(x), []
-    held: list[tuple[int, int, int]] = []
+    n, spans = len(x), {}
+    for period in range(1, SHORT):
+        if times * period > n:
+            break
+        other = np.flatnonzero(np.r_[True, x[period:] != x[:-period], True])  # between these all are the same
+        many = np.flatnonzero(np.diff(other) > (times - 1) * period)
+        for i in many.tolist():  # a run of a shorter period is one of its multiples, too
+            spans.setdefault((int(other[i]), int(other[i + 1]) - 1 + period), period)
+    found = [(b, e, period) for (b, e), period in spans.items()]
+    known = sorted(found)  # runs that may cover a hit of a longer period, by their beginnings
+    begins = [r[0] for r in known]
     mark = _mixed(x.astype(np.uint64) + np.uint64(1))
-    k = 0
+    for k in range(SHORT.bit_length() - 1):
+        if n > 2 << k:
+            mark = _mixed(mark[: n - (2 << k) + 1] * _MIX + mark[1 << k : n - (1 << k) + 1])
+    k = SHORT.bit_length() - 1
     while times << k <= min(n, longest or n):
         width, step = 1 << k, (times - 2) << k
         q = np.arange(0, n - 2 * width + 1, step)
@@ -57,14 +73,17 @@ def runs(x: np.ndarray, times: int, longest: int | None = None) -> list[tuple[in
             hit = (mark[np.minimum(other, n - width)] == mark[part][:, None]) & inside
             for i, j in np.argwhere(hit).tolist():
                 at, period = int(part[i]), int(p[j])
-                if any(a <= at and at + period + width <= b and period % r == 0 for a, b, r in held[-4:]):
+                near = bisect.bisect_right(begins, at)
+                if any(at + period + width <= b and period % r == 0 for _, b, r in known[max(0, near - 4) : near]):
                     continue
                 same = lambda a, b, period=period: x[a:b] == x[a + period : b + period]
                 end = at + _stretch(same, at, n - period - at, 1)
                 begin = at - _stretch(same, at - 1, at, -1)
                 if end - begin + period >= times * period:
-                    held.append((begin, end + period, period))
-                    found.append(held[-1])
+                    found.append((begin, end + period, period))
+                    place = bisect.bisect_right(begins, begin)
+                    known.insert(place, found[-1])
+                    begins.insert(place, begin)
         if k + 1 < 63 and n > 2 * width:
             mark = _mixed(mark[: n - 2 * width + 1] * _MIX + mark[width : n - width + 1])
         k += 1
@@ -77,6 +96,17 @@ def runs(x: np.ndarray, times: int, longest: int | None = None) -> list[tuple[in
 
 def _cuts(texts: list[str], times: int, least: int, words: bool) -> list[int | None]:
     """For each text the number of elements that stay, None for all."""
+    out: list[int | None] = []
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= TOGETHER or i + 1 == len(texts):
+            out += _cuts_together(texts[first : i + 1], times, least, words)
+            first, size = i + 1, 0
+    return out
+
+
+def _cuts_together(texts: list[str], times: int, least: int, words: bool) -> list[int | None]:
     codes: dict[str, int] = {}
     parts, begins, at, longest = [], [], 0, 0
     for number, t in enumerate(texts):
