@@ -195,6 +195,120 @@ def _best_windows(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return out
 
 
+class Bigrams:
+    """The bigrams of texts as bits, for an upper bound of ``best_window``.
+
+    A common subsequence of k characters of the shorter text (n characters) and a window (w of them, at most n) keeps at
+    least 3k - 1 - n - w of the shorter text's bigrams: of k - 1 neighbours in the subsequence at most n - k stand apart in
+    the one and w - k in the other. With g bigrams of the shorter text that the longer one holds, no window is therefore more
+    similar than 2 (g + 1 + n) / (3n + g + 1). Bits that bigrams share only raise g."""
+
+    BITS = 512
+
+    def __init__(self, texts: Sequence[str]):
+        self.length = np.array([len(x) for x in texts], np.int64)
+        marks = np.zeros((len(texts), self.BITS // 64), np.uint64)
+        step = 1 << 14
+        for at in range(0, len(texts), step):
+            n = self.length[at : at + step]
+            point = np.frombuffer("".join(texts[at : at + step]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            both = np.flatnonzero(owner[1:] == owner[:-1])
+            bit = ((point[both] * np.uint64(0x9E3779B1) + point[both + 1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(self.BITS)
+            seen = np.zeros((len(n), self.BITS), bool)
+            seen[owner[both], bit.astype(np.int64)] = True
+            marks[at : at + step] = np.packbits(seen, axis=1).view(np.uint64)
+        self.marks = np.ascontiguousarray(marks.T)
+        self.repeats = np.maximum(self.length - 1, 0) - np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
+        self._part: tuple = (None, None, None, None)
+
+    def part(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marks, repeats, lengths) of those texts; the last ones asked for are kept, as many labels meet the same texts."""
+        if self._part[0] is not at:
+            self._part = (at, np.ascontiguousarray(self.marks[:, at]), self.repeats[at], self.length[at])
+        return self._part[1:]
+
+    def bounds(self, i: int, others: Bigrams, at: np.ndarray) -> np.ndarray:
+        """At least ``best_window`` of text i and each of those texts."""
+        marks, their_repeats, m = others.part(at)
+        n, common = self.length[i], np.zeros(len(at), np.int16)
+        for mine, theirs in zip(self.marks[:, i], marks, strict=True):
+            common += np.bitwise_count(mine & theirs)
+        repeats = np.where(m < n, their_repeats, np.where(m > n, self.repeats[i], np.maximum(self.repeats[i], their_repeats)))
+        held, short = common + repeats + 1, np.minimum(n, m)
+        return 100.0 * 2 * (held + short) / (3 * short + held) + 1e-9
+
+
+class Subsequences:
+    """Texts by columns of characters, for a closer bound of ``best_window``: a window has no longer subsequence in common
+    with a label than a stretch of the text around it. Stretches are half as long again as the label and begin at every half
+    of it; windows that an end of the text cuts short are seen through the beginnings that hold them, an eighth of the label
+    apart. Labels of more than 64 characters (a subsequence is the bits of one integer) and texts of more than ``LONG`` have
+    no bound."""
+
+    LONG = 1000
+
+    def __init__(self, texts: Sequence[str]):
+        length = np.array([len(x) if len(x) <= self.LONG else 0 for x in texts], np.int64)
+        order = np.argsort(-length, kind="stable")[: np.count_nonzero(length)]
+        self.rank = np.full(len(texts), -1)
+        self.rank[order] = np.arange(len(order))
+        self.length = length[order]
+        ordered = "".join([texts[i] for i in order])
+        points, codes = np.unique(np.frombuffer(ordered.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        self.number = {p: i for i, p in enumerate(points.tolist())}
+        start = np.repeat(np.cumsum(self.length) - self.length, self.length)
+        place = np.arange(len(codes)) - start
+        end = np.repeat(self.length, self.length) - 1 - place
+        self.columns = [np.split(codes[np.argsort(x, kind="stable")].astype(np.int32), np.cumsum(np.bincount(x))[:-1]) for x in (place, end)]
+
+    def _walk(self, label: str, mine: np.ndarray, first: int, stop: int, backward: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(t, length of the longest common subsequence of label and the characters from ``first`` to t) of these texts, longest
+        first, for t up to ``stop``; those that have ended keep theirs. Backward label and texts are read from their ends."""
+        kind = np.uint32 if len(label) <= 32 else np.uint64
+        masks = np.zeros(len(self.number), kind)
+        for i, x in enumerate(reversed(label) if backward else label):
+            if ord(x) in self.number:
+                masks[self.number[ord(x)]] |= kind(1 << i)
+        length, every = -self.length[mine], kind((1 << len(label)) - 1)
+        open_ = np.full(len(mine), every)
+        for t in range(first, stop):
+            here = open_[: np.searchsorted(length, -t)]
+            if len(here):
+                hit = here & masks.take(self.columns[backward][t].take(mine[: len(here)]))
+                here[:] = (here + hit | here - hit) & every
+            yield t + 1, open_
+
+    def bounds(self, label: str, at: np.ndarray) -> np.ndarray:
+        """At least ``best_window`` of the label and each of those texts."""
+        n, out = len(label), np.full(len(at), np.inf)
+        known = np.flatnonzero(self.rank[at] >= 0)
+        if not 0 < n <= 64 or not len(known):
+            return out
+        known = known[np.argsort(self.rank[at][known])]
+        mine = self.rank[at][known]
+        length, bound = self.length[mine], np.zeros(len(mine))
+        common = lambda open_: n - np.bitwise_count(open_).astype(np.int64)
+        longer = np.count_nonzero(length > n)
+        half, step = max(1, n // 2), max(1, n // 8)
+        for first in range(0, max(1, int(length[0]) - n), half):
+            count = np.count_nonzero(length > first + n) if first else longer
+            for t, open_ in self._walk(label, mine[:count], first, first + n + half):
+                if not first and t < n and (t % step == 0 or t == n - 1):
+                    np.maximum(bound[:count], 2 * common(open_) / (n + t - (t - 1) % step), out=bound[:count])
+            np.maximum(bound[:count], common(open_) / n, out=bound[:count])
+        for t, open_ in self._walk(label, mine[:longer], 0, n - 1, backward=True):
+            if t % step == 0 or t == n - 1:
+                np.maximum(bound[:longer], 2 * common(open_) / (n + t - (t - 1) % step), out=bound[:longer])
+        if longer < len(mine):
+            for _, open_ in self._walk(label, mine[longer:], 0, n):
+                pass
+            k = common(open_)
+            bound[longer:] = 2 * k / (np.minimum(length[longer:], n) + k)
+        out[known] = 100.0 * bound + 1e-9
+        return out
+
+
 def _of_pairs(score: Callable, a: pd.Series, b: pd.Series) -> pd.Series:
     """Scores of a batch's different pairs, put where they belong; null where a text is null."""
     place: dict = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetally.functions.distance import best_windows, distance_grid, similarities
+from pagetally.functions.distance import Bigrams, Subsequences, best_windows, distance_grid, similarities
 from pagetally.functions.text import normalise
 
 UNLABELED = "unlabeled line"  # fixed value: a row's status
@@ -62,9 +63,83 @@ def _counted(values: pa.ListArray, codes: np.ndarray, base: int) -> tuple[np.nda
     return key // base, key % base, times
 
 
-def _against_lines(line_type: T.DataType, missed: bool, pairs: int = 1_000_000):
+#: Rows that so many lines may win are compared with all of them; with more, bounds tell which lines can win.
+FEW_LINES = 64
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places of ranges."""
+    entry = np.repeat(np.arange(len(count)), count)
+    return entry, np.arange(len(entry)) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+class _Closest:
+    """The closest lines of rows, found so far: a row's line with the most similar text, the first of equal ones."""
+
+    def __init__(self, labels: list[str], texts: list[str], pairs: int):
+        self.labels, self.texts, self.pairs = labels, texts, pairs
+        self.at, self.alike = np.full(len(labels), -1), np.zeros(len(labels))
+
+    def _scores(self, owner: np.ndarray, line: np.ndarray) -> np.ndarray:
+        place: dict[tuple[str, str], int] = {}
+        which = [place.setdefault((self.labels[r], self.texts[k]), len(place)) for r, k in zip(owner.tolist(), line.tolist(), strict=True)]
+        return best_windows([x for x, _ in place], [y for _, y in place])[which]
+
+    def compare(self, owner: np.ndarray, line: np.ndarray) -> None:
+        """Takes these pairs as all that the owners have."""
+        if not len(owner):
+            return
+        score = self._scores(owner, line)
+        best = np.lexsort((line, -score, owner))
+        best = best[np.append(True, np.diff(owner[best]) > 0)]
+        self.at[owner[best]], self.alike[owner[best]] = line[best], score[best]
+
+    @cached_property
+    def _bigrams(self) -> tuple[Bigrams, Bigrams]:
+        return Bigrams(self.labels), Bigrams(self.texts)
+
+    @cached_property
+    def _text(self) -> np.ndarray:
+        """A number for each line's text."""
+        return pa.array(self.texts, pa.large_string()).dictionary_encode().indices.to_numpy()
+
+    def different(self, lines: np.ndarray) -> np.ndarray:
+        """The first lines of each text among lines in order."""
+        return np.sort(lines[np.unique(self._text[lines], return_index=True)[1]])
+
+    @cached_property
+    def _subsequences(self) -> Subsequences:
+        return Subsequences(self.texts)
+
+    def search(self, owners: list[int], lines: list[np.ndarray]) -> None:
+        """As ``compare`` of each owner and its different lines, without those that cannot win: whose bound by bigrams, or by
+        common subsequences if many are left, is below the similarity of the lines with the highest bounds."""
+        mine, theirs = self._bigrams
+        likely = np.array([at[mine.bounds(r, theirs, at).argmax()] for r, at in zip(owners, lines, strict=True)])
+        floor = self._scores(np.array(owners), likely)
+        waiting, held = [], 0
+        for k, (r, at) in enumerate(zip(owners, lines, strict=True)):
+            at = at[mine.bounds(r, theirs, at) >= floor[k]]
+            bound = self._subsequences.bounds(self.labels[r], at) if len(at) > FEW_LINES else np.full(len(at), np.inf)
+            near = bound >= floor[k]
+            waiting.append((r, at[near], bound[near]))
+            held += np.count_nonzero(near)
+            if held > self.pairs or k == len(owners) - 1:
+                self._settle(waiting)
+                waiting, held = [], 0
+
+    def _settle(self, waiting: list[tuple[int, np.ndarray, np.ndarray]], first: int = 4) -> None:
+        """Each owner's lines with the highest bounds, then those whose bound is no lower than the best of these."""
+        top = [at[np.argpartition(-bound, first)[:first]] if len(at) > first else at for _, at, bound in waiting]
+        pairs = lambda lines: (np.repeat([r for r, _, _ in waiting], [len(x) for x in lines]), np.concatenate(lines))
+        self.compare(*pairs(top))
+        self.compare(*pairs([at[bound >= self.alike[r]] for r, at, bound in waiting]))
+
+
+def _against_lines(line_type: T.DataType, missed: bool, pairs: int = 1_000_000, few: int = FEW_LINES):
     """Of each group's rows and lines, these in order: every row's closest line, and whether a line holds the whole row. With
-    ``missed`` texts are compared for rows that no line holds. So many pairs of row and line are looked at together."""
+    ``missed`` texts are compared for rows that no line holds. A row meets the lines that share a value with it; of those that
+    share most, or of all if none does, the text decides. So many pairs of row and line are looked at together."""
     found_type = T.StructType([T.StructField("held", T.BooleanType()), T.StructField("line", line_type), T.StructField("total", T.IntegerType()), T.StructField("present", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
 
     @F.arrow_udf(T.ArrayType(found_type))
@@ -89,34 +164,47 @@ def _against_lines(line_type: T.DataType, missed: bool, pairs: int = 1_000_000):
         begin, end = np.searchsorted(where, asked), np.searchsorted(where, asked, "right")
         held_before = np.append(0, np.cumsum(line_times))
         present = np.bincount(row, np.minimum(times, held_before[end] - held_before[begin]), len(group)).astype(np.int64)
-        shared, at, alike, held = np.zeros(len(group), np.int32), np.full(len(group), -1), np.zeros(len(group)), np.zeros(len(group), bool)
+        shared, held = np.zeros(len(group), np.int32), np.zeros(len(group), bool)
         each, first_line = m[group], (np.cumsum(m) - m)[group]
-        part = np.cumsum(each) // pairs
+        met = np.bincount(row, end - begin, len(group)).astype(np.int64)
+        alone = met == 0  # rows that share nothing
+        here = _Closest(labels, texts, pairs)
+        part = np.cumsum(np.where(alone & (each <= few), each, met)) // pairs
         for rows in np.split(np.arange(len(group)), np.flatnonzero(np.diff(part)) + 1):
-            rows = rows[each[rows] > 0]
             if not len(rows):
                 continue
-            start = np.cumsum(each[rows]) - each[rows]
-            offset = np.zeros(len(group), np.int64)
-            offset[rows] = start - first_line[rows]  # a row's pair with a line is at its offset and the line
             mine = slice(np.searchsorted(row, rows[0]), np.searchsorted(row, rows[-1], "right"))
-            hits = end[mine] - begin[mine]
-            entry = np.repeat(np.arange(len(hits)), hits)
-            there = np.arange(len(entry)) + np.repeat(begin[mine] - (np.cumsum(hits) - hits), hits)
-            same = np.bincount(offset[row[mine][entry]] + in_line[there], np.minimum(times[mine][entry], line_times[there]), each[rows].sum()).astype(np.int32)
-            most = np.maximum.reduceat(same, start)
-            shared[rows], held[rows] = most, (most == size[rows]) & (most > 0)
-            tied = np.flatnonzero(same == np.repeat(most, each[rows]))
-            owner = np.repeat(rows, each[rows])[tied]
+            entry, there = _ranges(begin[mine], (end - begin)[mine])
+            pair = row[mine][entry] * len(lines) + in_line[there]
+            order = np.argsort(pair, kind="stable")
+            pair, same = pair[order], np.minimum(times[mine][entry], line_times[there])[order]
+            first = np.flatnonzero(np.append(True, np.diff(pair) > 0)[: len(pair)])
+            pair, same = pair[first], np.add.reduceat(same, first) if len(first) else same
+            owner, its_line = pair // max(1, len(lines)), pair % max(1, len(lines))
+            np.maximum.at(shared, owner, same.astype(np.int32))
+            held[rows] = (shared[rows] == size[rows]) & (shared[rows] > 0)
+            tied = same == shared[owner]
             if missed:
-                tied, owner = tied[~held[owner]], owner[~held[owner]]
-            its_line = tied - offset[owner]
-            place: dict[tuple[str, str], int] = {}
-            which = [place.setdefault((labels[r], texts[k]), len(place)) for r, k in zip(owner.tolist(), its_line.tolist(), strict=True)]
-            score = best_windows([x for x, _ in place], [y for _, y in place])[which]
-            best = np.lexsort((its_line, -score, owner))
-            best = best[np.append(True, np.diff(owner[best]) > 0)[: len(best)]]
-            at[owner[best]], alike[owner[best]] = its_line[best], score[best]
+                tied &= ~held[owner]
+            owner, its_line = owner[tied], its_line[tied]
+            wide = np.bincount(owner - rows[0], minlength=len(rows))[owner - rows[0]] > few
+            begins = np.flatnonzero(np.append(True, np.diff(owner[wide]) > 0)[: wide.sum()])
+            if len(begins):
+                here.search(owner[wide][begins].tolist(), [here.different(x) for x in np.split(its_line[wide], begins[1:])])
+            rest = rows[alone[rows] & (each[rows] <= few)]
+            other, place = _ranges(first_line[rest], each[rest])
+            here.compare(np.append(owner[~wide], rest[other]), np.append(its_line[~wide], place))
+        # Rows that share nothing in groups of many lines: each label of a group once.
+        asked_for: dict[tuple[int, str], list[int]] = {}
+        for r in np.flatnonzero(alone & (each > few)).tolist():
+            asked_for.setdefault((int(group[r]), labels[r]), []).append(r)
+        if asked_for:
+            ends = np.cumsum(m)
+            of_group = {g: here.different(np.arange(ends[g] - m[g], ends[g])) for g in {g for g, _ in asked_for}}
+            here.search([rows[0] for rows in asked_for.values()], [of_group[g] for g, _ in asked_for])
+            for rows in asked_for.values():
+                here.at[rows], here.alike[rows] = here.at[rows[0]], here.alike[rows[0]]
+        at, alike = here.at, here.alike
         columns = [pa.array(held), lines.take(pa.array(at, mask=at < 0)), total.cast(pa.int32()), pa.array(present), pa.array(shared), pa.array(alike)]
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.StructArray.from_arrays(columns, found_type.names))
 
