@@ -113,6 +113,15 @@ def test_held_out_accuracy_and_no_leak(spark, documents):
     assert {r.doc_id: r.score for r in toxicity(documents, flipped).collect()} == {k: r.score for k, r in out.items()}
 
 
+def test_either_class_is_ranked_by_its_words(spark, documents):
+    """Held-out rows of label 1 score higher whichever class it is that words give away."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for marks in (labels, labels.withColumn("toxic", 1 - F.col("toxic"))):
+        score = {r.doc_id: r.score for r in toxicity(documents, marks).where("held_out").collect()}
+        one, none = ([score[r.doc_id] for r in marks.where(F.col("toxic") == y).collect() if r.doc_id in score] for y in (1, 0))
+        assert np.mean([(x > y) + (x == y) / 2 for x in one for y in none]) > 0.8
+
+
 def test_sampled_classes_keep_their_share(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     empty = spark.createDataFrame([(-1, "")], "doc_id bigint, text string")
