@@ -40,16 +40,31 @@ def upper_bound(errors: int, n: int, level: float = 0.95) -> float:
     if errors == 0:
         return 1 - (1 - level) ** (1 / n)
     low, high = errors / n, 1.0
+    ways = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(errors + 1)]
     for _ in range(200):
         p = (low + high) / 2
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(errors + 1))
+        if p in (low, high):  # no double lies between them
+            break
+        there, not_there = math.log(p), math.log1p(-p)
+        tail = sum(math.exp(w + k * there + (n - k) * not_there) for k, w in enumerate(ways))
         low, high = (p, high) if tail > 1 - level else (low, p)
     return (low + high) / 2
 
 
 @F.pandas_udf(T.DoubleType())
 def _bound(errors: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
-    return pd.Series([None if e is None or m is None or e != e or m != m else upper_bound(int(e), int(m), float(p)) for e, m, p in zip(errors, n, level, strict=True)], dtype="Float64")
+    """A row at a time, the batch's different ones once."""
+    known: dict = {}
+    out = []
+    for e, m, p in zip(errors, n, level, strict=True):
+        if e is None or m is None or e != e or m != m:
+            out.append(None)
+            continue
+        one = int(e), int(m), float(p)
+        if one not in known:
+            known[one] = upper_bound(*one)
+        out.append(known[one])
+    return pd.Series(out, dtype="Float64")
 
 
 def error_bound(errors: Column, n: Column, level: float = 0.95) -> Column:

@@ -7,6 +7,7 @@ import statistics as stats
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,13 @@ def test_draws_and_bounds():
     assert sum(math.comb(50, k) * p**k * (1 - p) ** (50 - k) for k in range(3)) == pytest.approx(0.05, abs=1e-6)
 
 
+def test_bounds_of_equal_rows_are_found_once(monkeypatch):
+    asked, found = [], own.upper_bound
+    monkeypatch.setattr(own, "upper_bound", lambda *x: asked.append(x) or found(*x))
+    got = own._bound.func(pd.Series([1, 2, None, 1] * 500), pd.Series([9, 9, 9, 9] * 500), pd.Series([0.95] * 2000))
+    assert len(asked) == 2 and got[:4].tolist()[:2] == [found(1, 9), found(2, 9)] and got.isna().sum() == 500
+
+
 def test_bounds_as_a_column(spark):
     rows = [(e, n) for n in (0, 1, 5, 40) for e in range(0, n + 1, 2)] + [(None, 5), (2, None)]
     got = frame(spark, rows, "e int, n int").select("e", "n", own.error_bound(F.col("e"), F.col("n")).alias("p")).collect()
