@@ -34,35 +34,46 @@ def _status(rc) -> str:
     return "finished" if rc == 0 else "failed"
 
 
+def _decided(begun, ready: list, seen: float, limit: int) -> tuple[list, int | None]:
+    """(runs, the START that stays open) of a name's events up to the watermark, in order."""
+    out = []
+    for second, kind, rc in ready:
+        if begun is not None and (kind == 0 or second > begun + limit):
+            out.append((begun, None, None, "never ended"))
+            begun = None
+        if kind == 0:
+            begun = second
+        elif begun is None:
+            out.append((None, second, rc, "end without start"))
+        else:
+            out.append((begun, second, rc, _status(rc)))
+            begun = None
+    if begun is not None and begun + limit < seen:
+        out.append((begun, None, None, "never ended"))
+        begun = None
+    return out, begun
+
+
 def _pair(limit: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"open": None, "later": []}
+        names = json.loads(state.get[0]) if state.exists else {}  # name: its open START, the events that wait
         for batch in batches:
-            held["later"] += [[int(s), int(k), None if r is None or r != r else int(r)] for s, k, r in zip(batch["second"], batch["kind"], batch["rc"], strict=True)]
+            for name, s, k, r in zip(*(batch[c].tolist() for c in ("name", "second", "kind", "rc")), strict=True):
+                names.setdefault(name, [None, []])[1].append([int(s), int(k), None if r is None or r != r else int(r)])
         seen = state.getCurrentWatermarkMs() / 1000
-        ready = sorted((e for e in held["later"] if e[0] <= seen), key=lambda e: (e[0], e[1], e[2] is not None, e[2] or 0))
-        held["later"] = [e for e in held["later"] if e[0] > seen]
-        out = []
-        for second, kind, rc in ready:
-            begun = held["open"]
-            if begun is not None and (kind == 0 or second > begun + limit):
-                out.append((key[0], begun, None, None, "never ended"))
-                held["open"] = begun = None
-            if kind == 0:
-                held["open"] = second
-            elif begun is None:
-                out.append((key[0], None, second, rc, "end without start"))
-            else:
-                out.append((key[0], begun, second, rc, _status(rc)))
-                held["open"] = None
-        if held["open"] is not None and held["open"] + limit < seen:
-            out.append((key[0], held["open"], None, None, "never ended"))
-            held["open"] = None
-        due = [e[0] for e in held["later"]] + ([held["open"] + limit] if held["open"] is not None else [])
-        if due:
+        out, held, due = [], {}, []
+        for name, (begun, later) in names.items():
+            ready = sorted((e for e in later if e[0] <= seen), key=lambda e: (e[0], e[1], e[2] is not None, e[2] or 0))
+            later = [e for e in later if e[0] > seen]
+            runs, begun = _decided(begun, ready, seen, limit)
+            out += [(name, *run) for run in runs]
+            if later or begun is not None:
+                held[name] = [begun, later]
+                due += [e[0] for e in later] + ([begun + limit] if begun is not None else [])
+        if held:
             state.update((json.dumps(held),))
             state.setTimeoutTimestamp(int(max(min(due), seen) * 1000) + 1)
-        else:
+        elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["name", "started", "ended", "rc", "status"]).astype({"started": "Int64", "ended": "Int64", "rc": "Int32"})
@@ -70,15 +81,17 @@ def _pair(limit: int):
     return step
 
 
-def paired_stream(events: DataFrame, limit: int = 86_400, lateness: str = "1 hour") -> DataFrame:
+def paired_stream(events: DataFrame, limit: int = 86_400, lateness: str = "1 hour", shares: int = 4096) -> DataFrame:
     """(name, started, ended, rc, status) of a stream of ``queue_events``, each run once.
 
     A START goes with the next event of its name if that is an END within ``limit`` seconds: "finished" with return code 0, else
     "failed". A START that another START follows, or nothing within the limit, has "never ended": a timer of the event time says
     so when the log has gone on that long. An END without an open START is an "end without start". Events wait until
     the watermark has passed them and are taken in order of time, at one time START first, then by return code; those later
-    than ``lateness`` are dropped. State: a name's open START and the events that wait."""
-    seen = events.withWatermark("at", lateness).groupBy("name")
+    than ``lateness`` are dropped. State: a name's open START and the events that wait. Names are kept in so many ``shares`` by
+their hash, each one state and one call of Python: a call for each name costs far more than its few events."""
+    share = F.pmod(F.xxhash64("name"), F.lit(shares)).cast("int")
+    seen = events.withWatermark("at", lateness).withColumn("share", share).groupBy("share")
     return seen.applyInPandasWithState(_pair(limit), RUNS, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -4,11 +4,12 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pagetally.functions.distance import _distance, distance_grid, similarity
 from pagetally.operators.matching import merge_halves, paired, paired_sparsely
-from pagetally.streaming.runqueue import paired_stream, paired_table, queue_events, stream_queue
+from pagetally.streaming.runqueue import _pair, paired_stream, paired_table, queue_events, stream_queue
 
 
 def test_stream_of_the_queue_equals_the_table(spark, tmp_path):
@@ -37,6 +38,38 @@ def test_stream_of_the_queue_equals_the_table(spark, tmp_path):
     assert got == want and {r[-1] for r in got} == {"finished", "failed", "never ended", "end without start"}
 
 
+class Held:
+    """A share's state without a stream."""
+
+    def __init__(self, watermark):
+        self.get, self.exists, self.watermark, self.timer = None, False, watermark, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, at):
+        self.timer = at
+
+
+def test_one_call_pairs_all_names_of_a_share():
+    step, state = _pair(100), Held(0)
+    events = [("a", 10, 0, None), ("b", 20, 0, None), ("a", 30, 1, 0.0), ("c", 40, 1, 2.0), ("b", 500, 1, 0.0)]
+    assert list(step((7,), iter([pd.DataFrame(events, columns=["name", "second", "kind", "rc"])]), state)) == [] and state.timer == 10_001
+    state.watermark = 200_000
+    (runs,) = step((7,), iter([]), state)
+    runs = runs.astype(object).where(runs.notna(), None)
+    assert sorted(map(tuple, runs.values.tolist()), key=str) == [("a", 10, 30, 0, "finished"), ("b", 20, None, None, "never ended"), ("c", None, 40, 2, "end without start")]
+    state.watermark = 600_000
+    (runs,) = step((7,), iter([]), state)
+    assert runs["status"].tolist() == ["end without start"] and not state.exists
+
+
 def test_distance_grids():
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abc😀ن") for _ in range(rnd.choice([0, 3, 3, 4, 5, 70])))
