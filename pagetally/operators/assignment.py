@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from pagetally.functions.distance import cer, ratio, wer
+from pagetally.functions.distance import cer, similarities, wer
 from pagetally.functions.figures import loose_years
 from pagetally.functions.text import label_key
 
@@ -93,8 +94,11 @@ def _heaviest(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 def heaviest(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(left, right) pairs of the heaviest matching of (left, right, weight), sorted; weights of 0 and less match nothing."""
+    edges = [e for e in edges if e[2] > 0]
+    if len({e[0] for e in edges}) == len(edges) == len({e[1] for e in edges}):
+        return sorted(e[:2] for e in edges)  # no two share an end
     out = []
-    for part in _components([e for e in edges if e[2] > 0]):
+    for part in _components(edges):
         if len(part) == 1:
             out.append(part[0][:2])
         else:
@@ -125,6 +129,98 @@ def matched(edges: DataFrame, keys: Sequence[str], most: int = MOST_EDGES) -> Da
     return found.select(*keys, F.inline(_matched(F.col("e.left"), F.col("e.right"), F.col("e.weight"))))
 
 
+def _gathered(truth: DataFrame, output: DataFrame, keys: Sequence[str], known: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, a_labels, a_keys, b, b_labels, b_keys, b_heads, b_periods): each group of truth in one row, its cells beside those of
+    its output. Grouping and join are by the group alone, so nothing is dealt out twice; each different label and header of a
+    group is looked at once. A group is a statement, of a few dozen rows."""
+    different = lambda c, part: F.array_distinct(F.filter(F.transform(c, lambda x: x[part]), lambda x: x.isNotNull()))
+    listed = lambda t, names, to: t.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias(to)).withColumn(f"{to}_labels", different(to, "label")).withColumn(f"{to}_keys", F.transform(f"{to}_labels", label_key))
+    a = listed(truth, ["row", "label", "value", *known], "a")
+    headed = [c for c in ("header", "out_col") if known]
+    b = listed(output, ["out_row", "label", "value", *headed], "b")
+    if known:
+        b = b.withColumn("b_heads", different("b", "header")).withColumn("b_periods", F.transform("b_heads", stated_period))
+    return a.join(b, list(keys), "left")
+
+
+def _size(value: float) -> float | str:
+    """A figure without its sign; all that are no number are alike."""
+    return abs(value) if value == value else "NaN"
+
+
+def _rows(rows: list, labels: list, values: list, of: dict) -> tuple[dict, dict]:
+    """(row: its label's key, the largest of several; row: its absolute figures) of rows whose label states something."""
+    named: dict = {}
+    figures: dict = {}
+    for row, label, value in zip(rows, labels, values, strict=True):
+        key = of.get(label, "")
+        if key > named.get(row, ""):
+            named[row] = key
+        if value is not None:
+            figures.setdefault(row, set()).add(_size(value))
+    return named, figures
+
+
+def _cut(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """The stretch of each row in a list column's flat values."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return zip([0, *ends], ends, strict=False)
+
+
+def _lists(column: pa.Array) -> dict[str, list]:
+    """The fields of a column of arrays of structs, flat."""
+    flat = column.flatten()
+    return {f.name: _values(flat.field(k)) for k, f in enumerate(flat.type)}
+
+
+def _values(flat: pa.Array) -> list:
+    """A column as a list, each different string made once."""
+    if pa.types.is_string(flat.type):
+        coded = flat.dictionary_encode()
+        words = [*coded.dictionary.to_pylist(), None]
+        return [words[k] for k in pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).tolist()]
+    return flat.to_pylist() if flat.null_count else flat.to_numpy(zero_copy_only=False).tolist()
+
+
+def _stated(a: pa.Array, x: dict[str, list], a_of: list[dict], b: pa.Array, y: dict[str, list], b_of: list[dict], alike: float) -> Iterator[list[tuple[int, int]]]:
+    """Each group's (row, out_row); labels of the whole batch are compared at once."""
+    groups = []
+    scores: dict[tuple[str, str], float] = {}
+    for (i, j), (k, m), of, out_of in zip(_cut(a), _cut(b), a_of, b_of, strict=False):
+        mine = _rows(x["row"][i:j], x["label"][i:j], x["value"][i:j], of)
+        theirs = _rows(y["out_row"][k:m], y["label"][k:m], y["value"][k:m], out_of)
+        groups.append((mine, theirs))
+        printed = set(theirs[0].values())
+        for one in set(mine[0].values()):
+            for other in printed:
+                scores[one, other] = 0.0
+    pairs = list(scores)
+    scores.update(zip(pairs, similarities([p for p, _ in pairs], [q for _, q in pairs]).tolist(), strict=True))
+    for (named, figures), (printed, out_figures) in groups:
+        by: dict[str, list] = {}
+        for out_row, key in printed.items():
+            by.setdefault(key, []).append(out_row)
+        near: dict[str, list] = {}
+        edges = []
+        for row, key in named.items():
+            if key not in near:
+                near[key] = [(out, math.floor(scores[key, other] * 100 + 0.5) * 1024) for other, outs in by.items() if scores[key, other] >= alike for out in outs]
+            here = figures.get(row, ())
+            edges += [(row, out, weight + (min(len(here & out_figures.get(out, _NONE)), 1023) if here else 0)) for out, weight in near[key]]
+            if len(edges) > MOST_EDGES:
+                raise ValueError(f"a group has more edges than can be matched: {len(edges)}")
+        yield heaviest(edges)
+
+
+_NONE: frozenset = frozenset()
+
+
+def _named(labels: pa.Array, keys: pa.Array) -> list[dict]:
+    """A dictionary of label and key for each group."""
+    name, key = _values(labels.flatten()), _values(keys.flatten())
+    return [dict(zip(name[i:j], key[i:j], strict=True)) for i, j in _cut(labels)]
+
+
 def stated_rows(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: float = 80.0) -> DataFrame:
     """(keys, row, out_row): which true row each output row states by its label.
 
@@ -132,14 +228,17 @@ def stated_rows(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike:
     may match if its labels' similarity is ``alike`` or more (labels compared by their keys; an empty label states
     nothing); it weighs that similarity, to a hundredth, and then the absolute values that both rows have (1,023 at
     most are told apart), so rows of one label are told apart by their figures."""
-    rows = lambda t, row: t.groupBy(*keys, row).agg(F.max(label_key(F.col("label"))).alias("label"), F.array_distinct(F.collect_list(F.abs("value"))).alias("figures"))
-    a = rows(truth, "row").withColumnRenamed("figures", "a_figures").withColumnRenamed("label", "a_label").where("a_label <> ''")
-    b = rows(output, "out_row").withColumnRenamed("figures", "b_figures").withColumnRenamed("label", "b_label").where("b_label <> ''")
-    pairs = a.join(b, list(keys)).withColumn("alike", ratio(F.col("a_label"), F.col("b_label"))).where(F.col("alike") >= alike)
-    shared = F.least(F.size(F.array_intersect("a_figures", "b_figures")), F.lit(1023))
-    weight = F.round(F.col("alike") * 100).cast("bigint") * 1024 + shared
-    edges = pairs.select(*keys, F.col("row").alias("left"), F.col("out_row").alias("right"), weight.alias("weight"))
-    return matched(edges, keys).withColumnsRenamed({"left": "row", "right": "out_row"})
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("row", T.LongType()), T.StructField("out_row", T.LongType())])))
+    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array) -> pa.Array:
+        found = _stated(a, _lists(a), _named(a_labels, a_keys), b, _lists(b), _named(b_labels, b_keys), alike)
+        return pa.array([[{"row": x, "out_row": y} for x, y in pairs] for pairs in found], pa.list_(pa.struct([("row", pa.int64()), ("out_row", pa.int64())])))
+
+    met = _gathered(truth, output, keys)
+    return met.select(*keys, F.inline(find(*[F.col(c) for c in GATHERED])))
+
+
+GATHERED = ["a", "a_labels", "a_keys", "b", "b_labels", "b_keys"]
 
 
 def stated_period(header: Column) -> Column:
@@ -161,36 +260,90 @@ def outcomes(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: fl
 
     Rows of one true (row, col) or output (out_row, out_col) given twice are cells of their own; a null value in the
     output answers nothing; a table without output has nothing but cells that are omitted."""
-    order = [*keys, "row", "col", "value"]
-    number = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("bigint")
-    true = truth.where("value IS NOT NULL").withColumn("left", number(["row", "col", "value"]))
-    states = stated_rows(truth, output, keys, alike).select(*keys, "out_row", F.col("row").alias("of_row"))
-    cells = output.where("value IS NOT NULL").select(*keys, "out_row", "out_col", F.col("value").alias("printed"), stated_period(F.col("header")).alias("of_col"))
-    cells = cells.withColumn("right", number(["out_row", "out_col", "printed"])).join(states, [*keys, "out_row"], "left")
-    met = true.withColumn("size", F.abs("value")).join(cells.withColumn("size", F.abs("printed")), [*keys, "size"])
-    same, none, no_col = F.col("of_row") == F.col("row"), F.col("of_row").isNull(), F.col("of_col").isNull()
-    kind = (
-        F.when(F.col("printed") != F.col("value"), "wrong sign")
-        .when(none, "unresolved row")
-        .when(~same, "misplaced row")
-        .when(no_col, "unresolved column")
-        .when(F.col("of_col") != F.col("col"), "misplaced column")
-        .otherwise("complete")
-    )
-    worth = F.create_map(*[F.lit(x) for pair in WORTH.items() for x in pair])
-    edges = met.select(*keys, "left", "right", kind.alias("outcome"))
-    edges = edges.withColumn("weight", F.element_at(worth, F.col("outcome")).cast("bigint"))
-    chosen = matched(edges, keys).join(edges.select(*keys, "left", "right", "outcome"), [*keys, "left", "right"]).select(*keys, "left", "outcome")
-    return true.join(chosen, [*keys, "left"], "left").select(*order, F.coalesce("outcome", F.lit("misread or omitted")).alias("outcome"))
+    kinds = {f.name: f.dataType for f in truth.schema.fields}
+    found_type = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("outcome", T.StringType())]))
+
+    @F.arrow_udf(found_type)
+    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array, heads: pa.Array, periods: pa.Array) -> pa.Array:
+        x, y = _lists(a), _lists(b)
+        stated = _stated(a, x, _named(a_labels, a_keys), b, y, _named(b_labels, b_keys), alike)
+        x_places, y_places = _places(x["row"], x["col"], x["value"]), _places(y["out_row"], y["out_col"], y["value"])
+        ends, at, outcome = [0], [], []
+        for (i, j), (k, m), period, pairs in zip(_cut(a), _cut(b), _named(heads, periods), stated, strict=False):
+            of_row = {out: row for row, out in pairs}
+            cells = [c for *_, c in sorted(y_places[k:m]) if y["value"][c] is not None]
+            true = [c for *_, c in sorted(x_places[i:j]) if x["value"][c] is not None]
+            by: dict = {}
+            for right, c in enumerate(cells):
+                by.setdefault(_size(y["value"][c]), []).append((right, c))
+            kind, edges = {}, []
+            for left, c in enumerate(true):
+                for right, d in by.get(_size(x["value"][c]), ()):
+                    name = _outcome(x["row"][c], x["col"][c], x["value"][c], y["value"][d], of_row.get(y["out_row"][d]), period.get(y["header"][d]))
+                    kind[left, right] = name
+                    edges.append((left, right, WORTH[name]))
+            if len(edges) > MOST_EDGES:
+                raise ValueError(f"a group has more edges than can be matched: {len(edges)}")
+            chosen = {left: kind[left, right] for left, right in heaviest(edges)}
+            at += [c - i for c in true]
+            outcome += [chosen.get(left, "misread or omitted") for left in range(len(true))]
+            ends.append(len(at))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(outcome, pa.string())], ["at", "outcome"]))
+
+    met = _gathered(truth, output, keys, ["col"]).withColumn("f", find(*[F.col(c) for c in [*GATHERED, "b_heads", "b_periods"]]))
+    cell = F.transform("f", lambda f: F.struct(F.get("a", f["at"]).alias("c"), f["outcome"].alias("outcome")))
+    return met.select(*keys, F.explode(cell).alias("z")).select(*keys, *[F.col(f"z.c.{c}").cast(kinds[c]).alias(c) for c in ("row", "col", "value")], "z.outcome")
+
+
+def _place(value) -> tuple:
+    """Order of values as in Spark: nulls first, what is no number last."""
+    return (0, 0) if value is None else (2, 0) if value != value else (1, value)
+
+
+def _places(*columns: list) -> list[tuple]:
+    """Rows as tuples in whose order they come, with their number last."""
+    if any(v is None or v != v for column in columns for v in column):
+        columns = [[_place(v) for v in column] for column in columns]
+    return list(zip(*columns, range(len(columns[0])), strict=True))
+
+
+def _outcome(row: int, col: str | None, value: float, printed: float, of_row: int | None, of_col: str | None) -> str:
+    if printed != value and (printed == printed or value == value):
+        return "wrong sign"
+    if of_row is None:
+        return "unresolved row"
+    if of_row != row:
+        return "misplaced row"
+    if of_col is None:
+        return "unresolved column"
+    return "misplaced column" if of_col != col else "complete"
 
 
 def label_errors(truth: DataFrame, output: DataFrame, keys: Sequence[str], by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
     """(by, labels, found, cer, wer): of the true rows' labels those that an output row states (``stated_rows``), and the mean
     character and word error rates of these, on the labels as they are printed. ``by`` are some of the keys."""
-    named = lambda t, row: t.groupBy(*keys, row).agg(F.max("label").alias("label")).where(label_key(F.col("label")) != "")
-    states = stated_rows(truth, output, keys, alike)
-    printed = named(output, "out_row").withColumnRenamed("label", "printed")
-    met = named(truth, "row").join(states.join(printed, [*keys, "out_row"]), [*keys, "row"], "left")
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("printed", T.StringType())])))
+    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array) -> pa.Array:
+        a_of, b_of = _named(a_labels, a_keys), _named(b_labels, b_keys)
+        x, y = _lists(a), _lists(b)
+        out = []
+        for (i, j), (k, m), of, out_of, pairs in zip(_cut(a), _cut(b), a_of, b_of, _stated(a, x, a_of, b, y, b_of, alike), strict=False):
+            there, printed = _last(x["row"][i:j], x["label"][i:j], of), _last(y["out_row"][k:m], y["label"][k:m], out_of)
+            states = dict(pairs)
+            out.append([{"label": label, "printed": printed.get(states.get(row))} for row, label in there.items()])
+        return pa.array(out, pa.list_(pa.struct([("label", pa.string()), ("printed", pa.string())])))
+
+    met = _gathered(truth, output, keys).select(*keys, F.inline(find(*[F.col(c) for c in GATHERED])))
     there = F.col("printed").isNotNull()
     rate = lambda f: F.avg(F.when(there, f(F.col("label"), F.coalesce("printed", F.lit("")))))
     return met.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.count_if(there).alias("found"), rate(cer).alias("cer"), rate(wer).alias("wer"))
+
+
+def _last(rows: list, labels: list, of: dict) -> dict:
+    """Each row's label, the last in order of several, of rows where that one states something."""
+    last: dict = {}
+    for row, label in zip(rows, labels, strict=True):
+        if label is not None and (row not in last or label > last[row]):
+            last[row] = label
+    return {row: label for row, label in last.items() if of[label]}

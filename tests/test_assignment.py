@@ -115,3 +115,13 @@ def test_outcomes_equal_exhaustive_assignment(spark):
     assert {r[-1] for r in got} == {*OUTCOMES, "misread or omitted"}
     assert {r.outcome for r in outcomes(t, o.where("false"), ["k"]).collect()} == {"misread or omitted"}
     assert outcomes(t.where("false"), o, ["k"]).collect() == []
+
+
+def test_outcomes_deal_rows_out_by_group_alone(spark):
+    """Each side once, however many steps follow."""
+    t = spark.createDataFrame([(1, 0, "cash", "2024", 5.0)], "k bigint, row bigint, label string, col string, value double")
+    o = spark.createDataFrame([(1, 0, "cash", 0, "Year 2024", 5.0)], "k bigint, out_row bigint, label string, out_col bigint, header string, value double")
+    found = outcomes(t.repartition(2), o.repartition(2), ["k"])
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "2024", 5.0, "complete")]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
