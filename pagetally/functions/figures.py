@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetally.functions.text import nfkc, western_digits
+from pagetally.functions.text import ARABIC_INDIC, ASCII_DIGITS, PERSIAN, nfkc, western_digits
 
 # What counts as a number, a year token (2010-2029), and a loose one.
 NUMBER = r"-?\(?\d[\d,]*\.?\d*\)?"
@@ -13,6 +16,16 @@ YEAR = r"(?<![\d٠-٩])(?:20[12]\d|٢٠[١٢][٠-٩])(?![\d٠-٩])"
 LOOSE_YEAR = r"(?<![\d٠-٩])(?:20[12]\d|[٠-٩]{4})(?![\d٠-٩])"
 
 
+@cache
+def composed_into_figures() -> str:
+    """A class of the characters whose compatibility composition may hold a character of a number: those below U+2000 that do, and
+    all from there on (few ranges, as every character is held against them). Text without them has the same numbers before
+    composition: what else it changes is no part of a number either way."""
+    part = set(ASCII_DIGITS + ARABIC_INDIC + PERSIAN + "(),.-")
+    found = [c for c in range(0x80, 0x2000) if chr(c) not in part and part & set(unicodedata.normalize("NFKC", chr(c)))]
+    return "[" + "".join(f"\\x{{{c:X}}}" for c in found) + r"\x{2000}-\x{10FFFF}]"
+
+
 def parse_figure(s: Column) -> Column:
     """A matched number's value to two places; negative if it begins with a parenthesis or a minus."""
     value = F.round(F.translate(s, "(),-", "").try_cast("double"), 2)
@@ -23,7 +36,8 @@ def parse_figure(s: Column) -> Column:
 def figures(c: Column, compose: bool = True) -> Column:
     """All numbers of a text, in order, with repeats. Compatibility forms (full-width digits) count as what they
     stand for; ``compose=False`` is for text that is known to be composed."""
-    found = F.transform(F.regexp_extract_all(western_digits(nfkc(c) if compose else c), F.lit(NUMBER), F.lit(0)), parse_figure)
+    composed = nfkc(c, composed_into_figures()) if compose else c
+    found = F.transform(F.regexp_extract_all(western_digits(composed), F.lit(NUMBER), F.lit(0)), parse_figure)
     return F.filter(found, lambda v: v.isNotNull())
 
 

@@ -35,9 +35,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def nfkc(c: Column) -> Column:
-    """Compatibility composition; pure ASCII text is its own and stays in the JVM's value."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+def nfkc(c: Column, changing: str = r"[^\x00-\x7F]") -> Column:
+    """Compatibility composition of text that holds a character of the class ``changing``; other text stays in the JVM: a function
+    under a condition is given all rows, so those that it is not for are null."""
+    held = c.rlike(changing)
+    return F.when(held, _nfkc(F.when(held, c))).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:

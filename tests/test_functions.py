@@ -152,3 +152,28 @@ def test_formats(value):
     assert value(text.page_number(F.lit(7))) == "p007" and value(text.document_of(F.lit("aa_FY_p01"))) == "aa"
     ref, sign = text.signed_reference(F.lit("-r12"))
     assert value(ref) == "r12" and value(sign) == -1
+
+
+def test_only_texts_with_changing_figures_leave_the_jvm(spark, monkeypatch):
+    """Composition is given no other text, and the figures are those of composed text."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from pagetally.functions import text
+    from pagetally.functions.figures import figures
+
+    rows = ["über 1,200 für 3", "１２３ und ½", "…5", "（7）", "x²", "٣٤", "é 1.5", None]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        if x is not None and unicodedata.normalize("NFKC", x) == x:
+            seen.add(1)
+        return None if x is None else unicodedata.normalize("NFKC", x)
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    want = [r.v for r in spark.createDataFrame([(k, t and unicodedata.normalize("NFKC", t)) for k, t in enumerate(rows)], "k int, t string").select("k", figures(F.col("t"), compose=False).alias("v")).orderBy("k").collect()]
+    monkeypatch.setattr(text, "_nfkc", counted)
+    got = [r.v for r in df.select("k", figures(F.col("t")).alias("v")).orderBy("k").collect()]
+    assert got == want and seen.value == 0
