@@ -13,7 +13,7 @@ from pagetally.operators import layout, matching, multiset, reconcile, selection
 from pagetally.operators import tables as grids
 from pagetally.plans.registry import query
 from pagetally.sources import pages
-from pagetally.tables import table
+from pagetally.tables import dealt, table
 
 
 #: Line numbers repeat within an order; with part, quantity and discount they give its lines an order.
@@ -301,7 +301,7 @@ TRUTH_ROWS = f"li AS (SELECT *, {ORD} AS ord FROM lineitem), t AS (SELECT l_orde
 )
 def f06_best_by_truth(spark, sf):
     """Of each order's 'runs' (return flags) the one whose lines hold most of the order's items; every third quantity is misread."""
-    li = table(spark, sf, "lineitem").withColumn("ord", F.expr(ORD))
+    li = dealt(table(spark, sf, "lineitem"), "l_orderkey").withColumn("ord", F.expr(ORD))
     number = F.col("l_linenumber").cast("double") + 100
     misread = F.col("l_quantity") - F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)
     rows = li.select(F.col("l_orderkey").alias("k"), F.col("ord").alias("row_id"), F.explode(F.array(F.col("l_quantity"), number)).alias("value")).groupBy("k", "row_id", "value").agg(F.count(F.lit(1)).alias("n"))
