@@ -7,13 +7,14 @@ from math import ceil, floor, isfinite
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetally.operators.reconcile import decimals, edits, reconcile
+from pagetally.operators.reconcile import decimals, edits
+from pagetally.operators.relating import Related, arguments, gathered, listed, with_marks
 
-REPAIR = T.ArrayType(T.StructType([T.StructField("row_id", T.StringType()), T.StructField("old", T.DoubleType()), T.StructField("new", T.DoubleType()), T.StructField("mended", T.IntegerType())]))
+REPAIR = T.ArrayType(T.StructType([T.StructField("col", T.StringType()), T.StructField("row_id", T.StringType()), T.StructField("old", T.DoubleType()), T.StructField("new", T.DoubleType()), T.StructField("mended", T.IntegerType())]))
 
 
 def anchored(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: float = 1.0) -> DataFrame:
@@ -23,19 +24,37 @@ def anchored(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance:
     has it, since the others there fix its value. A figure of a failing relation is *suspect* unless it is anchored; where
     all figures of a failing relation are anchored they contradict each other, and all are suspect. A figure in no
     relation is neither. cells: keys, row_id, col, value; links: ``reconcile.edges``."""
-    figures = cells.where("value IS NOT NULL")
-    checked = reconcile(cells, links, keys, tolerance).select(*keys, "total", "col", "reconciles")
-    parts = links.select(*keys, "total", F.col("ref").alias("row_id")).distinct()
-    members = checked.join(parts, [*keys, "total"]).unionByName(checked.withColumn("row_id", F.col("total"))).distinct()
-    members = members.join(figures.select(*keys, "row_id", "col"), [*keys, "row_id", "col"], "left_semi")
-    each = members.groupBy(*keys, "row_id", "col").agg(F.count_if("reconciles").alias("holding"), F.count_if(~F.col("reconciles")).alias("failing"))
-    loose = members.where("NOT reconciles").join(each.select(*keys, "row_id", "col", (F.col("holding") > 0).alias("_fixed")), [*keys, "row_id", "col"])
-    clash = loose.groupBy(*keys, "total", "col").agg(F.bool_and("_fixed").alias("_all")).where("_all")
-    accused = loose.join(clash, [*keys, "total", "col"], "left_semi").select(*keys, "row_id", "col").distinct().withColumn("_clash", F.lit(True))
-    out = figures.select(*keys, "row_id", "col", "value").join(each, [*keys, "row_id", "col"], "left").join(accused, [*keys, "row_id", "col"], "left")
-    holding, failing = F.coalesce("holding", F.lit(0)), F.coalesce("failing", F.lit(0))
-    suspect = (failing > 0) & ((holding == 0) | F.coalesce("_clash", F.lit(False)))
-    return out.select(*keys, "row_id", "col", "value", holding.alias("holding"), failing.alias("failing"), (holding > 0).alias("anchored"), suspect.alias("suspect"))
+    figures = gathered(cells.where("value IS NOT NULL").select(*keys, "row_id", "col", "value"), links, keys)
+    out = with_marks(figures, keys, _anchors(tolerance))
+    return out.select(*keys, "row_id", "col", "value", "mark.holding", "mark.failing", (F.col("mark.holding") > 0).alias("anchored"), "mark.suspect")
+
+
+def _anchors(tolerance: float) -> Column:
+    """Of a gathered statement's cells the relations that hold and fail, and whether each is suspect."""
+
+    @F.arrow_udf("array<struct<holding: bigint, failing: bigint, suspect: boolean>>")
+    def find(row: pa.Array, col: pa.Array, value: pa.Array, total: pa.Array, ref: pa.Array, sign: pa.Array) -> pa.Array:
+        figures = Related(row, col, value, total, ref, sign)
+        totals, held, missed, members = figures.checked(tolerance)
+        # a printed total is a member of its own relation, once
+        printed = np.flatnonzero(held | missed)
+        pairs = np.concatenate([members[(held | missed)[members[:, 0]]], np.stack([printed, totals[printed]], 1)])
+        relation, cell = np.unique(pairs, axis=0).T
+        cells, place = np.unique(cell, return_inverse=True)
+        holding, failing = (np.bincount(place, flags[relation], minlength=len(cells)).astype(np.int64) for flags in (held, missed))
+        loose = missed[relation]
+        open_ = np.zeros(len(totals), bool)  # failing relations with a figure that nothing anchors
+        open_[relation[loose & (holding[place] == 0)]] = True
+        clash = np.zeros(len(cells), bool)
+        clash[place[loose & ~open_[relation]]] = True
+        at = np.minimum(np.searchsorted(cells, figures.cell), max(len(cells) - 1, 0))
+        known = (cells[at] == figures.cell) & (figures.cell >= 0) if len(cells) else np.zeros(len(at), bool)
+        take = lambda x: np.where(known, x[at], 0) if len(cells) else np.zeros(len(at), np.int64)
+        n, bad = take(holding), take(failing)
+        suspect = (bad > 0) & ((n == 0) | (take(clash) > 0))
+        return pa.ListArray.from_arrays(listed(row), pa.StructArray.from_arrays([pa.array(n), pa.array(bad), pa.array(suspect)], ["holding", "failing", "suspect"]))
+
+    return find(*arguments())
 
 
 def repairs(values: dict[str, float], links: dict[str, list[tuple[str, int]]], tolerance: float) -> list[tuple[str, float, float, int]]:
@@ -88,30 +107,42 @@ def repairs(values: dict[str, float], links: dict[str, list[tuple[str, int]]], t
     return sorted(out)
 
 
-def _mended(tolerance: float):
+def _mended(tolerance: float) -> Column:
+    """Of a gathered statement the repairs of its columns in which a total fails."""
+
     @F.arrow_udf(REPAIR)
-    def one(row_id: pa.Array, value: pa.Array, total: pa.Array, ref: pa.Array, sign: pa.Array) -> pa.Array:
-        cut = lambda a: np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        names, figures, totals, refs, signs = (a.flatten().to_pylist() for a in (row_id, value, total, ref, sign))
-        out, at, from_link = [], 0, 0
-        for end, to_link in zip(cut(row_id), cut(total), strict=True):
-            values = {k: v for k, v in zip(names[at:end], figures[at:end], strict=True) if v is not None and isfinite(v)}
-            links: dict[str, list] = {}
-            for t, x, s in zip(totals[from_link:to_link], refs[from_link:to_link], signs[from_link:to_link], strict=True):
-                links.setdefault(t, []).append((x, s))
-            out.append([dict(zip(("row_id", "old", "new", "mended"), r, strict=True)) for r in repairs(values, links, tolerance)])
-            at, from_link = end, to_link
-        return pa.array(out, pa.list_(pa.struct([("row_id", pa.string()), ("old", pa.float64()), ("new", pa.float64()), ("mended", pa.int32())])))
-
-    return one
+    def find(row: pa.Array, col: pa.Array, value: pa.Array, total: pa.Array, ref: pa.Array, sign: pa.Array) -> pa.Array:
+        figures = Related(row, col, value, total, ref, sign)
+        totals, _, missed, _ = figures.checked(tolerance)
+        failing = np.flatnonzero(np.isin(figures.cell, totals[missed]))
+        broken: dict[int, set] = {}
+        columns = col.flatten()
+        for k in failing.tolist():
+            broken.setdefault(int(figures.owner[k]), set()).add(columns[k].as_py())
+        begin, begin_link = (listed(x).to_numpy() for x in (row, total))
+        names, values, totals, refs, signs = (x.flatten() for x in (row, value, total, ref, sign))
+        out = []
+        for k in range(len(row)):
+            found: list[dict] = []
+            if k in broken:
+                here, there = slice(begin[k], begin[k + 1]), slice(begin_link[k], begin_link[k + 1])
+                links: dict[str, list] = {}
+                parts = zip(totals[there].to_pylist(), refs[there].to_pylist(), signs[there].to_pylist(), strict=True)
+                for t, x, s in sorted((t, x, int(s)) for t, x, s in parts if None not in (t, x, s)):
+                    links.setdefault(t, []).append((x, s))
+                lines = sorted((r, v, c) for r, v, c in zip(names[here].to_pylist(), values[here].to_pylist(), columns[here].to_pylist(), strict=True) if r is not None and v is not None and isfinite(v) and c in broken[k])
+                for name in sorted(broken[k]):
+                    mended = repairs({r: v for r, v, c in lines if c == name}, links, tolerance)
+                    found += [dict(zip(("col", "row_id", "old", "new", "mended"), (name, *r), strict=True)) for r in mended]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("col", pa.string()), ("row_id", pa.string()), ("old", pa.float64()), ("new", pa.float64()), ("mended", pa.int32())])))
+
+    return find(*arguments())
 
 
 def repair_groups(cells: DataFrame, links: DataFrame, keys: Sequence[str], tolerance: float = 1.0) -> DataFrame:
-    """(keys, col, row_id, old, new, mended): ``repairs`` of every column in which a total fails. Columns whose totals all hold
-    do not leave their tasks; the others are gathered once, with their statement's links (a statement has a few dozen rows)."""
-    listed = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
-    broken = reconcile(cells, links, keys, tolerance).where("NOT reconciles").select(*keys, "col").distinct()
-    columns = cells.join(broken, [*keys, "col"], "left_semi").groupBy(*keys, "col").agg(listed(F.col("row_id").cast("string").alias("row_id"), F.col("value").cast("double").alias("value")).alias("c"))
-    wanted = links.groupBy(*keys).agg(listed(F.col("total").cast("string").alias("total"), F.col("ref").cast("string").alias("ref"), "sign").alias("l"))
-    mended = _mended(tolerance)(*[F.col(c) for c in ("c.row_id", "c.value", "l.total", "l.ref", "l.sign")])
-    return columns.join(wanted, list(keys)).select(*keys, "col", F.inline(mended))
+    """(keys, col, row_id, old, new, mended): ``repairs`` of every column in which a total fails. A statement is gathered once, with
+    its links (it has a few dozen rows), and only its columns with a failing total are looked at one by one."""
+    kind = dict(cells.dtypes)["col"]
+    found = gathered(cells.select(*keys, "row_id", "col", "value"), links, keys).select(*keys, F.inline(_mended(tolerance)))
+    return found.withColumn("col", F.col("col").cast(kind))

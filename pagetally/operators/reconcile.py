@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetally.functions.text import signed_reference
+from pagetally.operators.relating import covering, gathered, with_marks
 
 
 def edges(rows: DataFrame, keys: Sequence[str], row: str = "row_id", refs: str = "sum_of") -> DataFrame:
@@ -46,12 +47,9 @@ def diagnose(checked: DataFrame, tolerance: float = 1.0) -> DataFrame:
 
 
 def covered(cells: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """cells with ``covered``: non-blank, and a total or a component of a total printed in its column."""
-    printed = cells.where("value IS NOT NULL").select(*keys, F.col("row_id").alias("total"), "col")
-    live = links.join(printed, [*keys, "total"])
-    hit = live.select(*keys, F.col("total").alias("row_id"), "col").union(live.select(*keys, F.col("ref").alias("row_id"), "col")).distinct()
-    marked = cells.join(hit.withColumn("hit", F.lit(True)), [*keys, "row_id", "col"], "left")
-    return marked.withColumn("covered", F.col("value").isNotNull() & F.coalesce("hit", F.lit(False))).drop("hit")
+    """cells with ``covered``: non-blank, and a total or a component of a total printed in its column. A statement is gathered once."""
+    marked = with_marks(gathered(cells, links, keys), keys, covering()).withColumnRenamed("mark", "covered")
+    return marked.select(*keys, "row_id", "col", *[c for c in cells.columns if c not in (*keys, "row_id", "col")], "covered")
 
 
 def validation_totals(statements: DataFrame, group: str, **counted) -> DataFrame:
