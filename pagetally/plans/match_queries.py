@@ -120,7 +120,7 @@ def _statement(spark, sf):
     net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stmt"), F.concat(F.lit("r"), "l_linenumber").alias("row_id"), F.lit("v").alias("col"), net.alias("value"))
     cells = o.unionByName(li)
-    refs = li.groupBy("stmt").agg(F.collect_set("row_id").alias("sum_of")).withColumn("row_id", F.lit("total"))
+    refs = dealt(li.select("stmt", "row_id"), "stmt").groupBy("stmt").agg(F.collect_set("row_id").alias("sum_of")).withColumn("row_id", F.lit("total"))
     return cells, reconcile.edges(refs, ["stmt"])
 
 
@@ -146,8 +146,8 @@ def d08_g06_g07_reconcile(spark, sf):
 )
 def e05_g08_coverage(spark, sf):
     cells, links = _statement(spark, sf)
-    status = table(spark, sf, "orders").select(F.col("o_orderkey").alias("stmt"), F.col("o_orderstatus").alias("status"))
-    return reconcile.coverage(reconcile.covered(cells, links, ["stmt"]).join(status, "stmt"), "status")
+    status = dealt(table(spark, sf, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("stmt"), F.col("o_orderstatus").alias("status"))
+    return reconcile.coverage(reconcile.covered(dealt(cells, "stmt").join(status, "stmt"), links, ["stmt"]), "status")
 
 
 @query(f"WITH {NET} SELECT CASE WHEN summed IS NULL THEN 'without components' WHEN abs(o_totalprice - summed) <= 1 THEN 'reconciles' ELSE 'differs' END AS part, count(*) AS totals FROM orders LEFT JOIN s ON stmt = o_orderkey GROUP BY 1")
