@@ -13,6 +13,12 @@ def owners(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), lengths)
 
 
+def flat(lists: pa.ListArray) -> pa.Array:
+    """The elements of lists. Spark sends lists inside lists that are all empty without offsets, which must not be read."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0)
+    return lists.flatten() if lengths.sum() else pa.array([], lists.type.value_type)
+
+
 def codes(*arrays: pa.Array) -> list[np.ndarray]:
     """Numbers that are equal where values are, over all arrays; -1 for null, which equals nothing. As in SQL, NaN equals NaN and 0 equals -0."""
     values = pa.concat_arrays(arrays)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions.figures import distinct_figures, figures, financial
 from pagetally.functions.text import lines_of, nfkc
-from pagetally.operators.gathered import codes, owners, places, ranges
+from pagetally.operators.gathered import codes, flat, owners, places, ranges
 from pagetally.operators.tables import grid_values, relations, tables
 
 
@@ -43,8 +43,8 @@ PAIRS = 1 << 20  # pairs of rows and lines that are compared at once
 def _held(rows: pa.ListArray, times: pa.ListArray, lines: pa.ListArray) -> np.ndarray:
     """Of each page, how many of its rows some line holds whole. rows, lines: lists of multisets, as lists of (value, n); times: how
     often each row stands for. A row meets the lines that hold the rarest of its values there."""
-    page, row_of, wanted = owners(rows), owners(rows.flatten()), rows.flatten().flatten()
-    line_page, line_of, given = owners(lines), owners(lines.flatten()), lines.flatten().flatten()
+    page, row_of, wanted = owners(rows), owners(flat(rows)), flat(flat(rows))
+    line_page, line_of, given = owners(lines), owners(flat(lines)), flat(flat(lines))
     (value, n), (line_value, line_n) = wanted.flatten(), given.flatten()
     value, line_value = codes(value, line_value)
     n, line_n = (pc.fill_null(x, null).to_numpy(zero_copy_only=False) for x, null in ((n, np.iinfo(np.int64).max), (line_n, 0)))

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import bisect
-import json
 import re
 import unicodedata
 from collections.abc import Sequence
 from html.parser import HTMLParser
+from math import isfinite
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetally.functions.figures import figures, row_years, upper_median, years
 from pagetally.functions.text import lines_of
+from pagetally.operators.gathered import flat
 
 # What HTML takes larger spans for.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
@@ -78,7 +79,7 @@ class _Grid(HTMLParser):
             return
         parts, wide, tall = t["cell"]
         t["cell"] = None
-        text = re.sub(r"\s+", " ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split())
         self._fill(t)
         for _ in range(wide):
             if tall > 1:
@@ -93,12 +94,42 @@ class _Grid(HTMLParser):
             t["row"] = None
 
 
+# Plain tables: whole tags of these names, attributes in quotes or without, no entities, comments or other marks.
+_ATTRIBUTE = r"""\s+([a-zA-Z]+)=(?:'([^'<>&]*)'|"([^"<>&]*)"|([^\s'"<>&=`/]+))"""
+_TOKEN = re.compile(r"""<(/?)(table|thead|tbody|tr|td|th|br)((?:\s+[a-zA-Z]+=(?:'[^'<>&]*'|"[^"<>&]*"|[^\s'"<>&=`/]+))*)>|([^<&]+)""", re.IGNORECASE)
+
+
+def _plain_grid(text: str) -> _Grid | None:
+    """The grid of a text with plain tags alone, read tag by tag; None where the parser has to read it."""
+    if "&" in text:
+        return None
+    tokens = _TOKEN.finditer(text)
+    grid, at = _Grid(), 0
+    start, end, data = grid.handle_starttag, grid.handle_endtag, grid.handle_data
+    for token in tokens:
+        if token.start() != at:
+            return None
+        at = token.end()
+        closing, tag, attributes, words = token.groups()
+        if words is not None:
+            data(words)
+        elif closing:
+            if attributes:
+                return None
+            end(tag.lower())
+        else:
+            start(tag.lower(), [(k.lower(), a or b or c) for k, a, b, c in re.findall(_ATTRIBUTE, attributes)] if attributes else ())
+    return grid if at == len(text) else None
+
+
 def parse_tables(text: str) -> list[list[list[str]]]:
     """HTML tables, or else runs of lines with bars (a rule of dashes is no row, emphasis marks go)."""
     if "<table" in text.lower():
-        grid = _Grid()
-        grid.feed(text)
-        grid.close()
+        grid = _plain_grid(text)
+        if grid is None:
+            grid = _Grid()
+            grid.feed(text)
+            grid.close()
         while grid.open:  # an output may break off inside a table
             grid.handle_endtag("table")
         return grid.tables
@@ -137,15 +168,31 @@ def table_cells(pages: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     return pages.select(*key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-@F.pandas_udf(GRID)
-def tables(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else parse_tables(unicodedata.normalize("NFKC", t)))
+def _nested(sizes: list[list[int]], flat: pa.Array) -> pa.Array:
+    """Lists of lists of ... of the flat values; sizes from the outermost level on."""
+    for lengths in reversed(sizes):
+        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]), pa.int32()), flat)
+    return flat
+
+
+@F.arrow_udf(GRID)
+def tables(text: pa.Array) -> pa.Array:
+    page, table, row, cells = [], [], [], []  # flat, as nested objects take many times their memory
+    for t in text.to_pylist():
+        grids = [] if t is None else parse_tables(unicodedata.normalize("NFKC", t))
+        page.append(len(grids))
+        for grid in grids:
+            table.append(len(grid))
+            for r in grid:
+                row.append(len(r))
+                cells += r
+    return _nested([page, table, row], pa.array(cells, pa.string()))
 
 
 def cell_value(cell: Column) -> Column:
     """A cell's figure if it holds exactly one, else null. Cells are composed text."""
-    found = figures(cell, compose=False)
-    return F.when(F.size(found) == 1, F.get(found, 0))
+    one = F.transform(F.array(figures(cell, compose=False)), lambda found: F.when(F.size(found) == 1, F.get(found, 0)))  # looked for once
+    return F.get(one, 0)
 
 
 # The texts of the flags.
@@ -232,16 +279,31 @@ def count_relations(table: list[list[float | None]], tolerance: float = 1.0) ->
     return found
 
 
-@F.pandas_udf(T.LongType())
-def _relations(values: pd.Series) -> pd.Series:
-    clean = lambda v: v if isinstance(v, int | float) else None
-    return values.map(lambda ts: 0 if ts is None else sum(count_relations([[clean(v) for v in row] for row in t]) for t in json.loads(ts)))
+@F.arrow_udf(T.LongType())
+def _relations(values: pa.Array) -> pa.Array:
+    grids = flat(values)
+    rows = flat(grids)
+    figures = flat(rows).cast(pa.float64()).to_pylist()
+    lengths = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+    out, at = [], 0
+    wide = iter(lengths(rows))
+    tall = iter(lengths(grids))
+    for count in lengths(values):
+        found = 0
+        for _ in range(count):
+            table = []
+            for _ in range(next(tall)):
+                width = next(wide)
+                table.append([None if v is None or not isfinite(v) else v for v in figures[at : at + width]])
+                at += width
+            found += count_relations(table)
+        out.append(found)
+    return pa.array(out, pa.int64())
 
 
 def relations(values: Column) -> Column:
-    """Relations of all of a page's tables, given as arrays of rows of values. They go over as JSON: Arrow's
-    conversion of arrays nested three deep to pandas is not reliable for empty ones."""
-    return _relations(F.to_json(values))
+    """Relations of all of a page's tables, given as arrays of rows of values."""
+    return _relations(values)
 
 
 def grid_values(grids: Column) -> Column:

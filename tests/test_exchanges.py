@@ -4,9 +4,12 @@ import contextlib
 import io
 import random
 
+from pyspark.sql import functions as F
+
 from pagetally.operators import selection
 from pagetally.operators.anchoring import anchored
 from pagetally.operators.reconcile import covered
+from pagetally.operators.signed import relations_with_signs
 from pagetally.plans import catalog
 
 
@@ -77,3 +80,9 @@ def test_anchored_and_covered_against_all_relations(spark):
     assert any(s for _, _, s in want.values()) and any(h for h, _, _ in want.values())
     hit = {(k, r, c) for k in figures for t, ref, _ in links[k] for r, c in figures[k] if r == ref and (t, c) in figures[k] or r == t}
     assert {(r.k, r.row_id, r.col) for r in covered(cells, edges, ["k"]).where("covered").collect()} == hit
+
+
+def test_batches_of_empty_tables(spark):
+    for rows in ([(None,)], [([],)], [([[]],)], [([[], []],), (None,)]):
+        df = spark.createDataFrame(rows, "t array<array<double>>")
+        assert df.select(F.size(relations_with_signs(F.col("t"))).alias("n")).where("n > 0").count() == 0
