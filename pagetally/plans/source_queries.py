@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetally.plans.registry import query
 from pagetally.sources import pages
-from pagetally.tables import table
+from pagetally.tables import dealt, table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,27 +34,32 @@ def a01_page_files(spark, sf):
     return pages.read_outputs(spark, f"{path}/benchmark")
 
 
+ORD = "CAST(l_linenumber * 10000000000 + l_partkey * 100000 + round(l_quantity) * 1000 + round(l_discount * 100) AS BIGINT)"
+
+
 def _truth(spark, sf):
-    cell = F.create_map(F.lit("v"), F.col("l_extendedprice"))
-    row = F.struct(F.concat(F.lit("r"), F.expr("CAST(l_linenumber * 10000000000 + l_partkey * 100000 + round(l_quantity) * 1000 + round(l_discount * 100) AS BIGINT)")).alias("id"), F.col("l_returnflag").alias("label"), F.lit("item").alias("kind"), F.array().cast("array<string>").alias("sum_of"), cell.alias("values"))
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
-    statement = F.array(F.struct(F.lit("income").alias("type"), F.array(F.lit(1)).alias("pages"), F.col("rows")))
-    return g.select(F.concat(F.lit("f"), "l_orderkey").alias("filing_id"), F.lit("x").alias("annotator"), F.lit("").alias("verified_by"), statement.alias("statements"))
+    """Orders as filings. Lines move as plain columns; the rows of a filing are built when they are together."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.expr(ORD).alias("ord"), "l_returnflag", "l_extendedprice")
+    g = dealt(lines, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct("ord", "l_returnflag", "l_extendedprice")).alias("lines"))
+    row = lambda x: F.struct(F.concat(F.lit("r"), x["ord"].cast("string")).alias("id"), x["l_returnflag"].alias("label"), F.lit("item").alias("kind"), F.array().cast("array<string>").alias("sum_of"), F.create_map(F.lit("v"), x["l_extendedprice"]).alias("values"))
+    statement = F.array(F.struct(F.lit("income").alias("type"), F.array(F.lit(1)).alias("pages"), F.transform("lines", row).alias("rows")))
+    return _filings(g, statement)
+
+
+def _filings(orders, statements):
+    return orders.select(F.concat(F.lit("f"), "l_orderkey").alias("filing_id"), F.lit("x").alias("annotator"), F.lit("").alias("verified_by"), statements.alias("statements"))
 
 
 @query("SELECT 'f' || l_orderkey AS filing_id, 'r' || CAST(l_linenumber * 10000000000 + l_partkey * 100000 + round(l_quantity) * 1000 + round(l_discount * 100) AS BIGINT) AS row_id, l_extendedprice AS value FROM lineitem")
 def a02_truth_files(spark, sf):
     """Orders as truth files; a second folder has the same filings, whose copies give way."""
     path = scratch(spark, "a02")
-    truth = _truth(spark, sf)
-    pages.write_truth(truth, f"{path}/gt")
-    pages.write_truth(truth.withColumn("statements", F.slice("statements", 1, 0)), f"{path}/drafts")
+    pages.write_truth(_truth(spark, sf), f"{path}/gt")
+    orders = table(spark, sf, "lineitem").select("l_orderkey").distinct()  # a draft has no statements, so lines need not move for it
+    pages.write_truth(_filings(orders, F.array().cast(pages.TRUTH.split("statements ")[1])), f"{path}/drafts")
     return pages.truth_cells(pages.read_truth(spark, [f"{path}/gt", f"{path}/drafts"])).select("filing_id", "row_id", "value")
 
 
-ORD = "CAST(l_linenumber * 10000000000 + l_partkey * 100000 + round(l_quantity) * 1000 + round(l_discount * 100) AS BIGINT)"
-
-
 @query(f"SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORD}) AS INTEGER) AS row_no, l_returnflag AS label, l_quantity AS first, CAST(l_linenumber AS DOUBLE) AS second FROM lineitem")
 def a03_markdown_truth(spark, sf):
     row = F.concat(F.lit("| "), "l_returnflag", F.lit(" | "), F.col("l_quantity").cast("string"), F.lit(" | "), F.col("l_linenumber").cast("string"), F.lit(" |"))

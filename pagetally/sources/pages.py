@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.operators.ranks import ranked
+from pagetally.tables import dealt
 
 # Fixed value: <run>/<filing>_p<page>.md
 PATH = r"(?:^|/)([^/]+)/([^/]+)_p(\d+)\.[a-z]+$"
@@ -38,7 +41,7 @@ def read_truth(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     for rank, folder in enumerate(folders):
         one = spark.read.schema(TRUTH).json(folder, multiLine=True).withColumn("rank", F.lit(rank))
         found = one if found is None else found.unionByName(one)
-    return precedence(found, "filing_id", "rank").drop("rank")
+    return precedence(dealt(found, "filing_id"), "filing_id", "rank").drop("rank")
 
 
 def statements(truth: DataFrame) -> DataFrame:
@@ -157,11 +160,16 @@ def write_page_files(df: DataFrame, path: str, most: int = 10_000) -> None:
 
 
 def write_truth(truth: DataFrame, path: str, filings: int = 1000) -> None:
-    """Filings as JSON lists of about so many each, a file for each list: ``read_truth`` reads a file's first value only."""
-    parts = max(1, -(-truth.count() // filings))
-    one = F.struct(*truth.columns)
-    lists = truth.groupBy(F.pmod(F.xxhash64("filing_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    lists.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    """Filings as JSON lists of at most so many each, a compressed file for each list: ``read_truth`` reads a file's first value
+    only. Lists are made where the filings lie, so nothing is counted, moved or gathered; a partition's last list may be short."""
+
+    def lists(batches):  # a batch in, a batch out: sent one by one, each list waits for the worker's socket
+        for b in batches:
+            joined = ["[" + ",".join(some) + "]" for some in batched(b.column(0).to_pylist(), filings)]
+            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.string())], ["value"])
+
+    one = truth.select(F.to_json(F.struct(*truth.columns)).alias("value"))
+    one.mapInArrow(lists, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path, compression="gzip")
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -1,8 +1,13 @@
+import contextlib
+import gzip
+import io
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagetally.plans import catalog
 from pagetally.sources import pages
 from pagetally.streaming.runlog import progress, sessions, stream_timing
 
@@ -45,6 +50,47 @@ def test_truth_of_many_lists(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def stages_of(spark, run):
+    """Stages of the jobs that ``run`` starts, one for each shuffle and one for each job's end; those skipped do not count."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    return {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s) and status.getStageInfo(s).numCompletedTasks}
+
+
+def test_truth_is_written_where_it_lies_and_compressed(spark, tmp_path):
+    """No count, no shuffle; lists of at most so many filings, odd texts among them."""
+    odd = "نص \"q\" \\ \n , [ ] \U0001f600"
+    kind = pages.TRUTH.split("statements ")[1]
+    truth = spark.range(0, 103, 1, 4).select(F.concat(F.lit("f"), "id").alias("filing_id"), F.when(F.col("id") % 2 == 0, F.lit(odd)).alias("annotator"), F.lit("").alias("verified_by"), F.array().cast(kind).alias("statements"))
+    assert len(stages_of(spark, lambda: pages.write_truth(truth, str(tmp_path / "gt"), filings=10))) == 1
+    lists = [json.loads(gzip.decompress(f.read_bytes())) for f in (tmp_path / "gt").iterdir() if f.name.endswith(".gz")]
+    assert sum(map(len, lists)) == 103 and max(map(len, lists)) == 10 and len(lists) <= 103 // 10 + 4
+    assert {(r.filing_id, r.annotator) for r in pages.read_truth(spark, [str(tmp_path / "gt")]).collect()} == {(f"f{i}", None if i % 2 else odd) for i in range(103)}
+    pages.write_truth(truth.limit(0), str(tmp_path / "none"))
+    assert pages.read_truth(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_truth_is_read_in_small_shares(spark, tmp_path):
+    """Filings are compared over eight times the partitions of shuffles, in one exchange."""
+    out = io.StringIO()
+    (tmp_path / "gt").mkdir(), (tmp_path / "gt" / "a.json").write_text('{"filing_id": "a", "statements": []}')
+    with contextlib.redirect_stdout(out):
+        pages.read_truth(spark, [str(tmp_path / "gt")]).explain("simple")
+    moved = [line for line in out.getvalue().splitlines() if "Exchange" in line]
+    assert len(moved) == 1 and "hashpartitioning(filing_id" in moved[0] and ", 32), REPARTITION_BY_NUM" in moved[0]
+
+
+def test_truth_files_move_lines_once(spark, sf):
+    """Written: the lines and the different orders, one exchange each; the rest reads tables' footers and lists files."""
+    with_shuffle = stages_of(spark, lambda: catalog.QUERIES["a02_truth_files"](spark, sf))
+    assert len(with_shuffle) <= 6
+
+
 def test_inventory_without_its_mark(spark, tmp_path):
     (tmp_path / "i.csv").write_text("﻿filing_id,entity\na,b\n", encoding="utf-8")
     assert pages.read_inventory(spark, str(tmp_path / "i.csv")).first().asDict() == {"filing_id": "a", "entity": "b"}
