@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -58,6 +59,11 @@ def loose_years(c: Column) -> Column:
     return F.filter(found, lambda y: y.between(2015, 2030))
 
 
+def loose_years_of(text: str) -> list[int]:
+    """``loose_years`` of one text."""
+    return [y for y in map(int, re.findall(LOOSE_YEAR, text, re.ASCII)) if 2015 <= y <= 2030]
+
+
 def row_years(cells: Column) -> Column:
     """A row's years if all its numbers are years, else none. Cells are composed text."""
     values = F.flatten(F.transform(cells, lambda c: figures(c, compose=False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -65,6 +66,18 @@ def label_key(c: Column) -> Column:
     return normalise(F.regexp_replace(western_digits(c), r"[\d,.()\-|]+", " "), compose=False)
 
 
+_DIGITS = str.maketrans(ARABIC_INDIC + PERSIAN, ASCII_DIGITS * 2)
+_LETTERS = str.maketrans("إأآىة", "ااايه")
+_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def key_of(label: str) -> str:
+    """``label_key`` of one label, for functions that look at each different label once."""
+    t = re.sub(r"[0-9,.()\-|]+", " ", label.translate(_DIGITS))
+    t = re.sub(r"[|*_#`\-—–]", " ", re.sub(r"<[^>]+>", " ", t))
+    return _BLANK.sub(" ", t.translate(_LETTERS)).strip(" ")
+
+
 def entity_name(name: Column, arabic: Column) -> Column:
     """The name before a dash, with the Arabic file name behind it unless that is a PDF's."""
     short = F.regexp_replace(name, r" — .*", "")

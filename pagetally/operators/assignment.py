@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetally.functions.distance import cer, similarities, wer
-from pagetally.functions.figures import loose_years
-from pagetally.functions.text import label_key
+from pagetally.functions.figures import loose_years, loose_years_of
+from pagetally.functions.text import key_of
+from pagetally.operators.gathered import codes, flat, owners, places, ranges
 
 MOST_EDGES = 4_000_000  # of one group; more raise
 PAIR = pa.struct([("left", pa.int64()), ("right", pa.int64())])
@@ -101,11 +102,20 @@ def heaviest(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     for part in _components(edges):
         if len(part) == 1:
             out.append(part[0][:2])
-        else:
+        elif len(part) > 16:
             out += _heaviest(part)
+        else:  # small ones are alike again and again: solved by the places of their ends
+            lefts, rights = sorted({e[0] for e in part}), sorted({e[1] for e in part})
+            place, number = ({x: k for k, x in enumerate(xs)} for xs in (rights, lefts))
+            out += [(lefts[i], rights[k]) for i, k in _solved(tuple([(number[x], place[y], w) for x, y, w in part]))]
     return sorted(out)
 
 
+@lru_cache(1 << 16)
+def _solved(part: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int]]:
+    return _heaviest(list(part))
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])))
 def _matched(left: pa.Array, right: pa.Array, weight: pa.Array) -> pa.Array:
     ends = np.cumsum(left.value_lengths().to_numpy(zero_copy_only=False)).tolist()
@@ -129,96 +139,167 @@ def matched(edges: DataFrame, keys: Sequence[str], most: int = MOST_EDGES) -> Da
     return found.select(*keys, F.inline(_matched(F.col("e.left"), F.col("e.right"), F.col("e.weight"))))
 
 
-def _gathered(truth: DataFrame, output: DataFrame, keys: Sequence[str], known: Sequence[str] = ()) -> DataFrame:
-    """(keys, a, a_labels, a_keys, b, b_labels, b_keys, b_heads, b_periods): each group of truth in one row, its cells beside those of
-    its output. Grouping and join are by the group alone, so nothing is dealt out twice; each different label and header of a
-    group is looked at once. A group is a statement, of a few dozen rows."""
-    different = lambda c, part: F.array_distinct(F.filter(F.transform(c, lambda x: x[part]), lambda x: x.isNotNull()))
-    listed = lambda t, names, to: t.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias(to)).withColumn(f"{to}_labels", different(to, "label")).withColumn(f"{to}_keys", F.transform(f"{to}_labels", label_key))
-    a = listed(truth, ["row", "label", "value", *known], "a")
-    headed = [c for c in ("header", "out_col") if known]
-    b = listed(output, ["out_row", "label", "value", *headed], "b")
-    if known:
-        b = b.withColumn("b_heads", different("b", "header")).withColumn("b_periods", F.transform("b_heads", stated_period))
-    return a.join(b, list(keys), "left")
-
-
-def _size(value: float) -> float | str:
-    """A figure without its sign; all that are no number are alike."""
-    return abs(value) if value == value else "NaN"
-
-
-def _rows(rows: list, labels: list, values: list, of: dict) -> tuple[dict, dict]:
-    """(row: its label's key, the largest of several; row: its absolute figures) of rows whose label states something."""
-    named: dict = {}
-    figures: dict = {}
-    for row, label, value in zip(rows, labels, values, strict=True):
-        key = of.get(label, "")
-        if key > named.get(row, ""):
-            named[row] = key
-        if value is not None:
-            figures.setdefault(row, set()).add(_size(value))
-    return named, figures
-
-
-def _cut(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """The stretch of each row in a list column's flat values."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
-    return zip([0, *ends], ends, strict=False)
-
-
-def _lists(column: pa.Array) -> dict[str, list]:
-    """The fields of a column of arrays of structs, flat."""
-    flat = column.flatten()
-    return {f.name: _values(flat.field(k)) for k, f in enumerate(flat.type)}
-
-
-def _values(flat: pa.Array) -> list:
-    """A column as a list, each different string made once."""
-    if pa.types.is_string(flat.type):
-        coded = flat.dictionary_encode()
-        words = [*coded.dictionary.to_pylist(), None]
-        return [words[k] for k in pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).tolist()]
-    return flat.to_pylist() if flat.null_count else flat.to_numpy(zero_copy_only=False).tolist()
-
-
-def _stated(a: pa.Array, x: dict[str, list], a_of: list[dict], b: pa.Array, y: dict[str, list], b_of: list[dict], alike: float) -> Iterator[list[tuple[int, int]]]:
-    """Each group's (row, out_row); labels of the whole batch are compared at once."""
-    groups = []
-    scores: dict[tuple[str, str], float] = {}
-    for (i, j), (k, m), of, out_of in zip(_cut(a), _cut(b), a_of, b_of, strict=False):
-        mine = _rows(x["row"][i:j], x["label"][i:j], x["value"][i:j], of)
-        theirs = _rows(y["out_row"][k:m], y["label"][k:m], y["value"][k:m], out_of)
-        groups.append((mine, theirs))
-        printed = set(theirs[0].values())
-        for one in set(mine[0].values()):
-            for other in printed:
-                scores[one, other] = 0.0
-    pairs = list(scores)
-    scores.update(zip(pairs, similarities([p for p, _ in pairs], [q for _, q in pairs]).tolist(), strict=True))
-    for (named, figures), (printed, out_figures) in groups:
-        by: dict[str, list] = {}
-        for out_row, key in printed.items():
-            by.setdefault(key, []).append(out_row)
-        near: dict[str, list] = {}
-        edges = []
-        for row, key in named.items():
-            if key not in near:
-                near[key] = [(out, math.floor(scores[key, other] * 100 + 0.5) * 1024) for other, outs in by.items() if scores[key, other] >= alike for out in outs]
-            here = figures.get(row, ())
-            edges += [(row, out, weight + (min(len(here & out_figures.get(out, _NONE)), 1023) if here else 0)) for out, weight in near[key]]
-            if len(edges) > MOST_EDGES:
-                raise ValueError(f"a group has more edges than can be matched: {len(edges)}")
-        yield heaviest(edges)
-
-
-_NONE: frozenset = frozenset()
-
-
-def _named(labels: pa.Array, keys: pa.Array) -> list[dict]:
-    """A dictionary of label and key for each group."""
-    name, key = _values(labels.flatten()), _values(keys.flatten())
-    return [dict(zip(name[i:j], key[i:j], strict=True)) for i, j in _cut(labels)]
+def gathered(truth: DataFrame, output: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a, b): each group of truth in one row, its cells beside those of its output. Grouping and join are by the group alone,
+    so nothing is dealt out twice. A group is a statement, of a few dozen rows."""
+    listed = lambda t, to: t.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in t.columns if c not in keys])).alias(to))
+    return listed(truth, "a").join(listed(output, "b"), list(keys), "left")
+
+
+def _ranks(values: pa.Array) -> np.ndarray:
+    """Places of values in their order, alike where values are; -1 for null. What is no number comes last."""
+    if pa.types.is_string(values.type):
+        coded = values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        rank = np.full(len(words) + 1, -1)
+        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        return rank[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
+    found = np.unique(pc.fill_null(values, 0).to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)
+    return np.where(values.is_valid().to_numpy(zero_copy_only=False), found, -1)
+
+
+class _Side:
+    """The cells of a batch of groups, flat; their rows are numbered over the batch, by group and then by row."""
+
+    def __init__(self, lists: pa.ListArray, row: str):
+        self.owner, cells = owners(lists), flat(lists)
+        self.fields = {f.name: cells.field(k) for k, f in enumerate(cells.type)}
+        self.value = self.fields["value"]
+        place = _ranks(self.fields[row])
+        wide = place.max(initial=-1) + 2
+        number, first, self.row = np.unique(self.owner * wide + place + 1, return_index=True, return_inverse=True)
+        self.group, self.rows = number // wide, self.fields[row].take(pa.array(first))
+
+    def largest(self, rank: np.ndarray) -> np.ndarray:
+        """Each row's largest rank of its cells, -1 if it has none."""
+        found = np.full(len(self.group), -1)
+        np.maximum.at(found, self.row, rank)
+        return found
+
+
+class _Labels:
+    """The labels of both sides in their order (``words``), their keys, and each row's label by key; different ones are looked at once."""
+
+    def __init__(self, a: _Side, b: _Side):
+        both = pa.concat_arrays([a.fields["label"], b.fields["label"]])
+        self.words = sorted(both.unique().drop_null().to_pylist())
+        keyed = [key_of(w) for w in self.words]
+        self.keys = sorted({"", *keyed})
+        number = {k: i for i, k in enumerate(self.keys)}
+        self.key = np.array([*[number[k] for k in keyed], 0], np.int64)  # 0 states nothing
+        self.labels = np.split(_ranks(both), [len(a.owner)])
+        self.named = [side.largest(self.key[rank]) for side, rank in zip((a, b), self.labels, strict=True)]
+
+
+def _pairs(left: np.ndarray, right: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in left, place in right) of equal groups, right in order, in parts of about so many."""
+    begin, count = places(left, right)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        one, other = ranges(begin[at:stop], count[at:stop])
+        yield one + at, other
+        at = stop
+
+
+def _check(edges: np.ndarray) -> None:
+    if edges.max(initial=0) > MOST_EDGES:
+        raise ValueError(f"a group has more edges than can be matched: {int(edges.max())}")
+
+
+def _alike(a: _Side, b: _Side, labels: _Labels, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, similarity to a hundredth) of rows of one group whose keys are so much alike. A group's different keys are
+    compared, each different pair once; their rows are only then paired."""
+    many = len(labels.keys)
+    known = []
+    for side, named in zip((a, b), labels.named, strict=True):
+        rows = np.flatnonzero(named > 0)
+        code, count = np.unique(side.group[rows] * many + named[rows], return_counts=True)
+        order = np.argsort(side.group[rows] * many + named[rows], kind="stable")
+        known.append((code // many, code % many, count, np.cumsum(count) - count, rows[order]))
+    (group, key, n, begin, rows), (out_group, out_key, m, out_begin, out_rows) = known
+    left, right, score = [], [], []
+    for one, other in _pairs(group, out_group):
+        pair, at = np.unique(key[one] * many + out_key[other], return_inverse=True)
+        found = similarities([labels.keys[k] for k in (pair // many).tolist()], [labels.keys[k] for k in (pair % many).tolist()])[at.reshape(-1)]
+        near = np.flatnonzero(found >= alike)
+        left.append(one[near]), right.append(other[near]), score.append(np.floor(found[near] * 100 + 0.5).astype(np.int64))
+    left, right, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right, score))
+    edges = n[left] * m[right]
+    _check(np.bincount(group[left], edges))
+    entry, at = ranges(np.zeros(len(edges), np.int64), edges)
+    i, j = np.divmod(at, m[right][entry])
+    return rows[begin[left][entry] + i], out_rows[out_begin[right][entry] + j], score[entry]
+
+
+def _shared(a: _Side, b: _Side, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many absolute figures both rows of each pair have."""
+    size = _sizes(a, b)
+    many = max(s.max(initial=-1) for s in size) + 1
+    here, there = (np.unique((side.row * many + s)[s >= 0]) for side, s in zip((a, b), size, strict=True))
+    begin, count = places(left, here // many) if len(here) else (np.zeros_like(left), np.zeros_like(left))
+    entry, at = ranges(begin, count)
+    wanted = right[entry] * many + here[at] % many
+    found = np.searchsorted(there, wanted)
+    hit = np.append(there, -1)[found] == wanted
+    return np.bincount(entry[hit], minlength=len(left))
+
+
+def _sizes(a: _Side, b: _Side) -> list[np.ndarray]:
+    """Numbers of figures without their sign, over both sides; all that are no number are alike, -1 for none."""
+    return codes(pc.abs(a.value), pc.abs(b.value))
+
+
+def _matching(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The heaviest matching of all groups' edges; one that shares no end with another needs no search."""
+    real = weight > 0
+    left, right, weight = left[real], right[real], weight[real]
+    if not len(left):
+        return left, right
+    alone = (np.bincount(left)[left] == 1) & (np.bincount(right)[right] == 1)
+    rest = ~alone
+    found = np.array(heaviest(list(zip(left[rest].tolist(), right[rest].tolist(), weight[rest].tolist(), strict=True))), np.int64).reshape(-1, 2)
+    return np.concatenate([left[alone], found[:, 0]]), np.concatenate([right[alone], found[:, 1]])
+
+
+def _stated(a: _Side, b: _Side, labels: _Labels, alike: float) -> np.ndarray:
+    """The row of a that each row of b states, -1 for none."""
+    left, right, score = _alike(a, b, labels, alike)
+    left, right = _matching(left, right, score * 1024 + np.minimum(_shared(a, b, left, right), 1023))
+    found = np.full(len(b.group), -1)
+    found[right] = left
+    return found
+
+
+def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch of gathered groups in parts whose cells form about so many pairs at most, or of one group."""
+    a, b = (pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    ends = np.cumsum(a * b)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _found(groups: DataFrame, keys: Sequence[str], columns: dict[str, str], find: Callable) -> DataFrame:
+    """(keys, columns): what ``find`` makes of gathered groups; it returns each row's group and the columns."""
+    kinds = dict(groups.dtypes)
+    schema = ", ".join(f"`{k}` {v}" for k, v in ({k: kinds[k] for k in keys} | columns).items())
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                group, *made = find(_Side(part.column("a"), "row"), _Side(part.column("b"), "out_row"))
+                taken = pa.array(group, pa.int64())
+                yield pa.record_batch([*[part.column(k).take(taken) for k in keys], *made], names=[*keys, *columns])
+
+    return groups.select(*keys, "a", "b").mapInArrow(run, schema)
+
+
+def _kind(groups: DataFrame, field: str) -> str:
+    return groups.schema["a"].dataType.elementType[field].dataType.simpleString()
 
 
 def stated_rows(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: float = 80.0) -> DataFrame:
@@ -229,16 +310,12 @@ def stated_rows(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike:
     nothing); it weighs that similarity, to a hundredth, and then the absolute values that both rows have (1,023 at
     most are told apart), so rows of one label are told apart by their figures."""
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("row", T.LongType()), T.StructField("out_row", T.LongType())])))
-    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array) -> pa.Array:
-        found = _stated(a, _lists(a), _named(a_labels, a_keys), b, _lists(b), _named(b_labels, b_keys), alike)
-        return pa.array([[{"row": x, "out_row": y} for x, y in pairs] for pairs in found], pa.list_(pa.struct([("row", pa.int64()), ("out_row", pa.int64())])))
-
-    met = _gathered(truth, output, keys)
-    return met.select(*keys, F.inline(find(*[F.col(c) for c in GATHERED])))
-
+    def find(a: _Side, b: _Side):
+        of = _stated(a, b, _Labels(a, b), alike)
+        out = np.flatnonzero(of >= 0)
+        return b.group[out], a.rows.take(pa.array(of[out])), b.rows.take(pa.array(out))
 
-GATHERED = ["a", "a_labels", "a_keys", "b", "b_labels", "b_keys"]
+    return _found(gathered(truth, output, keys), keys, {"row": "bigint", "out_row": "bigint"}, find)
 
 
 def stated_period(header: Column) -> Column:
@@ -247,6 +324,12 @@ def stated_period(header: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, 0).cast("int").cast("string"))
 
 
+def period_of(header: str | None) -> str | None:
+    """``stated_period`` of one header."""
+    found = set(loose_years_of(header or ""))
+    return str(found.pop()) if len(found) == 1 else None
+
+
 def outcomes(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: float = 80.0) -> DataFrame:
     """(keys, row, col, value, outcome): one outcome for each eligible cell, a true cell with a value.
 
@@ -260,90 +343,78 @@ def outcomes(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: fl
 
     Rows of one true (row, col) or output (out_row, out_col) given twice are cells of their own; a null value in the
     output answers nothing; a table without output has nothing but cells that are omitted."""
-    kinds = {f.name: f.dataType for f in truth.schema.fields}
-    found_type = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("outcome", T.StringType())]))
-
-    @F.arrow_udf(found_type)
-    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array, heads: pa.Array, periods: pa.Array) -> pa.Array:
-        x, y = _lists(a), _lists(b)
-        stated = _stated(a, x, _named(a_labels, a_keys), b, y, _named(b_labels, b_keys), alike)
-        x_places, y_places = _places(x["row"], x["col"], x["value"]), _places(y["out_row"], y["out_col"], y["value"])
-        ends, at, outcome = [0], [], []
-        for (i, j), (k, m), period, pairs in zip(_cut(a), _cut(b), _named(heads, periods), stated, strict=False):
-            of_row = {out: row for row, out in pairs}
-            cells = [c for *_, c in sorted(y_places[k:m]) if y["value"][c] is not None]
-            true = [c for *_, c in sorted(x_places[i:j]) if x["value"][c] is not None]
-            by: dict = {}
-            for right, c in enumerate(cells):
-                by.setdefault(_size(y["value"][c]), []).append((right, c))
-            kind, edges = {}, []
-            for left, c in enumerate(true):
-                for right, d in by.get(_size(x["value"][c]), ()):
-                    name = _outcome(x["row"][c], x["col"][c], x["value"][c], y["value"][d], of_row.get(y["out_row"][d]), period.get(y["header"][d]))
-                    kind[left, right] = name
-                    edges.append((left, right, WORTH[name]))
-            if len(edges) > MOST_EDGES:
-                raise ValueError(f"a group has more edges than can be matched: {len(edges)}")
-            chosen = {left: kind[left, right] for left, right in heaviest(edges)}
-            at += [c - i for c in true]
-            outcome += [chosen.get(left, "misread or omitted") for left in range(len(true))]
-            ends.append(len(at))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(outcome, pa.string())], ["at", "outcome"]))
-
-    met = _gathered(truth, output, keys, ["col"]).withColumn("f", find(*[F.col(c) for c in [*GATHERED, "b_heads", "b_periods"]]))
-    cell = F.transform("f", lambda f: F.struct(F.get("a", f["at"]).alias("c"), f["outcome"].alias("outcome")))
-    return met.select(*keys, F.explode(cell).alias("z")).select(*keys, *[F.col(f"z.c.{c}").cast(kinds[c]).alias(c) for c in ("row", "col", "value")], "z.outcome")
-
-
-def _place(value) -> tuple:
-    """Order of values as in Spark: nulls first, what is no number last."""
-    return (0, 0) if value is None else (2, 0) if value != value else (1, value)
-
-
-def _places(*columns: list) -> list[tuple]:
-    """Rows as tuples in whose order they come, with their number last."""
-    if any(v is None or v != v for column in columns for v in column):
-        columns = [[_place(v) for v in column] for column in columns]
-    return list(zip(*columns, range(len(columns[0])), strict=True))
-
-
-def _outcome(row: int, col: str | None, value: float, printed: float, of_row: int | None, of_col: str | None) -> str:
-    if printed != value and (printed == printed or value == value):
-        return "wrong sign"
-    if of_row is None:
-        return "unresolved row"
-    if of_row != row:
-        return "misplaced row"
-    if of_col is None:
-        return "unresolved column"
-    return "misplaced column" if of_col != col else "complete"
+    return outcomes_of(gathered(truth, output, keys), keys, alike)
+
+
+def outcomes_of(groups: DataFrame, keys: Sequence[str], alike: float = 80.0) -> DataFrame:
+    """``outcomes`` of groups that are gathered: (keys, a, b), the cells of truth and output as arrays of structs."""
+
+    def find(a: _Side, b: _Side):
+        labels = _Labels(a, b)
+        of_row = _stated(a, b, labels, alike)
+        true = _ordered(a, "col")
+        cells = _ordered(b, "out_col")
+        sizes, out_sizes = (s[c] for s, c in zip(_sizes(a, b), (true, cells), strict=True))
+        many = max(sizes.max(initial=0), out_sizes.max(initial=0)) + 1
+        size, out_size = a.owner[true] * many + sizes, b.owner[cells] * many + out_sizes
+        order = np.argsort(out_size, kind="stable")
+        begin, count = places(size, out_size[order])
+        _check(np.bincount(a.owner[true], count))
+        left, at = ranges(begin, count)
+        right = order[at]
+        kind = _outcome(a, b, of_row, true[left], cells[right])
+        chosen, answer = _matching(left, right, np.array([WORTH[o] for o in OUTCOMES], np.int64)[kind])
+        edge = np.searchsorted(left * len(cells) + right, chosen * len(cells) + answer)  # edges are in this order
+        outcome = np.full(len(true), len(OUTCOMES))
+        outcome[chosen] = kind[edge]
+        taken = pa.array(true)
+        return a.owner[true], *[a.fields[c].take(taken) for c in ("row", "col", "value")], pa.array([*OUTCOMES, "misread or omitted"]).take(pa.array(outcome))
+
+    return _found(groups, keys, {c: _kind(groups, c) for c in ("row", "col", "value")} | {"outcome": "string"}, find)
+
+
+def _ordered(side: _Side, col: str) -> np.ndarray:
+    """Cells with a value by group, row, column and value; nulls come first, what is no number last."""
+    order = np.lexsort((_ranks(side.value), _ranks(side.fields[col]), side.row))
+    return order[side.value.is_valid().to_numpy(zero_copy_only=False)[order]]
+
+
+def _outcome(a: _Side, b: _Side, of_row: np.ndarray, cell: np.ndarray, printed: np.ndarray) -> np.ndarray:
+    """Numbers in ``OUTCOMES`` of true cells if those output cells answer them."""
+    heads = b.fields["header"].dictionary_encode()
+    periods = pa.array([*[period_of(h) for h in heads.dictionary.to_pylist()], None], pa.string())
+    col, period = codes(a.fields["col"].cast(pa.string()), periods)
+    period = period[pc.fill_null(heads.indices, -1).to_numpy(zero_copy_only=False)][printed]
+    value, other = (pc.fill_null(side.value, 0).to_numpy(zero_copy_only=False)[at] for side, at in ((a, cell), (b, printed)))
+    sign = (other != value) & ((other == other) | (value == value))
+    row = of_row[b.row[printed]]
+    tests = {"wrong sign": sign, "unresolved row": row < 0, "misplaced row": row != a.row[cell], "unresolved column": period < 0, "misplaced column": period != col[cell]}
+    return np.select(list(tests.values()), [OUTCOMES.index(o) for o in tests], OUTCOMES.index("complete"))
 
 
 def label_errors(truth: DataFrame, output: DataFrame, keys: Sequence[str], by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
     """(by, labels, found, cer, wer): of the true rows' labels those that an output row states (``stated_rows``), and the mean
     character and word error rates of these, on the labels as they are printed. ``by`` are some of the keys."""
-
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("printed", T.StringType())])))
-    def find(a: pa.Array, a_labels: pa.Array, a_keys: pa.Array, b: pa.Array, b_labels: pa.Array, b_keys: pa.Array) -> pa.Array:
-        a_of, b_of = _named(a_labels, a_keys), _named(b_labels, b_keys)
-        x, y = _lists(a), _lists(b)
-        out = []
-        for (i, j), (k, m), of, out_of, pairs in zip(_cut(a), _cut(b), a_of, b_of, _stated(a, x, a_of, b, y, b_of, alike), strict=False):
-            there, printed = _last(x["row"][i:j], x["label"][i:j], of), _last(y["out_row"][k:m], y["label"][k:m], out_of)
-            states = dict(pairs)
-            out.append([{"label": label, "printed": printed.get(states.get(row))} for row, label in there.items()])
-        return pa.array(out, pa.list_(pa.struct([("label", pa.string()), ("printed", pa.string())])))
-
-    met = _gathered(truth, output, keys).select(*keys, F.inline(find(*[F.col(c) for c in GATHERED])))
-    there = F.col("printed").isNotNull()
-    rate = lambda f: F.avg(F.when(there, f(F.col("label"), F.coalesce("printed", F.lit("")))))
-    return met.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.count_if(there).alias("found"), rate(cer).alias("cer"), rate(wer).alias("wer"))
-
-
-def _last(rows: list, labels: list, of: dict) -> dict:
-    """Each row's label, the last in order of several, of rows where that one states something."""
-    last: dict = {}
-    for row, label in zip(rows, labels, strict=True):
-        if label is not None and (row not in last or label > last[row]):
-            last[row] = label
-    return {row: label for row, label in last.items() if of[label]}
+    return label_errors_of(gathered(truth, output, keys), by, alike)
+
+
+def label_errors_of(groups: DataFrame, by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
+    """``label_errors`` of groups that are gathered: (keys, a, b). Rates are found once for each different pair of labels."""
+
+    def find(a: _Side, b: _Side):
+        labels = _Labels(a, b)
+        of_row = _stated(a, b, labels, alike)
+        last, out_last = (np.where(labels.key[found] > 0, found, -1) for found in (side.largest(rank) for side, rank in zip((a, b), labels.labels, strict=True)))
+        printed = np.full(len(a.group), -1)
+        stating = np.flatnonzero(of_row >= 0)
+        printed[of_row[stating]] = out_last[stating]
+        there = np.flatnonzero(last >= 0)
+        words = pa.array([*labels.words, None], pa.string())
+        printed = printed[there]
+        return a.group[there], words.take(pa.array(last[there])), words.take(pa.array(np.where(printed < 0, len(labels.words), printed)))
+
+    pairs = _found(groups, by, {"_label": "string", "_printed": "string"}, find).groupBy(*by, "_label", "_printed").agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("_printed").isNotNull()
+    found = F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0))
+    rate = lambda f: F.sum(F.when(there, f(F.col("_label"), F.coalesce("_printed", F.lit(""))) * F.col("n"))) / F.sum(F.when(there, F.col("n")))
+    return pairs.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("labels"), found.alias("found"), rate(cer).alias("cer"), rate(wer).alias("wer"))

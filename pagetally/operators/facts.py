@@ -57,6 +57,14 @@ def statement_level(cells: DataFrame, statement: Sequence[str], system: str = "s
     return each.groupBy(system).agg(F.count(F.lit(1)).alias("statements"), F.count_if("right").alias("fully_right"), F.count_if("critical").alias("with_critical"))
 
 
+def shares_by_statement(cells: DataFrame, outcomes: Sequence[str], statement: Sequence[str], system: str = "system") -> DataFrame:
+    """``outcome_shares`` beside ``statement_level``, for cells that take work: they are looked at once, a statement's together."""
+    name = lambda o: o.replace(" ", "_")
+    each = cells.groupBy(system, *statement).agg(F.count(F.lit(1)).alias("cells"), *[F.count_if(F.col("outcome") == o).alias(name(o)) for o in outcomes], F.bool_and("right").alias("right"), F.bool_or("critical").alias("critical"))
+    shares = [(F.sum(name(o)) / F.sum("cells")).alias(name(o)) for o in outcomes]
+    return each.groupBy(system).agg(F.sum("cells").alias("cells"), *shares, F.count(F.lit(1)).alias("statements"), F.count_if("right").alias("fully_right"), F.count_if("critical").alias("with_critical"))
+
+
 def offset_class(distance, heading=None):
     """Where a misplaced figure's label points, from its signed row distance (null: another statement) and
     whether the line there is a section heading, which goes before the distance."""
