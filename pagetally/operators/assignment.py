@@ -28,19 +28,20 @@ CRITICAL = ["misplaced row", "misplaced column", "wrong sign"]
 
 def _components(edges: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """Edges by connected component."""
-    root: dict = {}
+    root: dict[int, int] = {}  # ends as numbers: lefts even, rights odd
 
     def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
         return x
 
     for left, right, _ in edges:
-        root[find((0, left))] = find((1, right))
+        x, y = find(2 * left), find(2 * right + 1)
+        if x != y:
+            root[x] = y
     parts: dict = {}
     for edge in edges:
-        parts.setdefault(find((0, edge[0])), []).append(edge)
+        parts.setdefault(find(2 * edge[0]), []).append(edge)
     return list(parts.values())
 
 
@@ -159,10 +160,10 @@ def _ranks(values: pa.Array) -> np.ndarray:
 
 
 class _Side:
-    """The cells of a batch of groups, flat; their rows are numbered over the batch, by group and then by row."""
+    """The cells of a batch of groups, flat; their rows are numbered over the batch, by group and then by row. ``group``: each list's."""
 
-    def __init__(self, lists: pa.ListArray, row: str):
-        self.owner, cells = owners(lists), flat(lists)
+    def __init__(self, lists: pa.ListArray, group: np.ndarray, row: str):
+        self.owner, cells = group[owners(lists)], flat(lists)
         self.fields = {f.name: cells.field(k) for k, f in enumerate(cells.type)}
         self.value = self.fields["value"]
         place = _ranks(self.fields[row])
@@ -208,6 +209,20 @@ def _check(edges: np.ndarray) -> None:
         raise ValueError(f"a group has more edges than can be matched: {int(edges.max())}")
 
 
+_SCORES: dict[tuple[str, str], float] = {}  # of keys that a worker has met, so many at most
+
+
+def _scores(a: list[str], b: list[str], most: int = 1 << 18) -> np.ndarray:
+    """``similarities``, of which a worker keeps those of its first different pairs."""
+    found = [_SCORES.get(p) for p in zip(a, b, strict=True)]
+    new = [i for i, score in enumerate(found) if score is None]
+    for i, score in zip(new, similarities([a[i] for i in new], [b[i] for i in new]).tolist(), strict=True):
+        found[i] = score
+        if len(_SCORES) < most:
+            _SCORES[a[i], b[i]] = score
+    return np.array(found, np.float64)
+
+
 def _alike(a: _Side, b: _Side, labels: _Labels, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, similarity to a hundredth) of rows of one group whose keys are so much alike. A group's different keys are
     compared, each different pair once; their rows are only then paired."""
@@ -222,7 +237,7 @@ def _alike(a: _Side, b: _Side, labels: _Labels, alike: float) -> tuple[np.ndarra
     left, right, score = [], [], []
     for one, other in _pairs(group, out_group):
         pair, at = np.unique(key[one] * many + out_key[other], return_inverse=True)
-        found = similarities([labels.keys[k] for k in (pair // many).tolist()], [labels.keys[k] for k in (pair % many).tolist()])[at.reshape(-1)]
+        found = _scores([labels.keys[k] for k in (pair // many).tolist()], [labels.keys[k] for k in (pair % many).tolist()])[at.reshape(-1)]
         near = np.flatnonzero(found >= alike)
         left.append(one[near]), right.append(other[near]), score.append(np.floor(found[near] * 100 + 0.5).astype(np.int64))
     left, right, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right, score))
@@ -272,30 +287,70 @@ def _stated(a: _Side, b: _Side, labels: _Labels, alike: float) -> np.ndarray:
     return found
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """A batch of gathered groups in parts whose cells form about so many pairs at most, or of one group."""
-    a, b = (pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-    ends = np.cumsum(a * b)
+def _starts(batch: pa.RecordBatch, together: Sequence[str]) -> np.ndarray:
+    """Where groups that stand together begin; each row is one of its own if no columns are named."""
+    new = np.full(batch.num_rows, not together)
+    new[:1] = True
+    for c in together:
+        code = codes(batch.column(c))[0]
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _parts(batch: pa.RecordBatch, together: Sequence[str], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose groups' cells form about so many pairs at most, or of one group."""
+    starts = _starts(batch, together)
+    a, b = (np.add.reduceat(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64), starts) if len(starts) else starts for c in ("a", "b"))
+    ends, starts = np.cumsum(a * b), np.append(starts, batch.num_rows)
     at = 0
     while at < len(ends):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, stop - at)
+        yield batch.slice(starts[at], starts[stop] - starts[at])
         at = stop
 
 
-def _found(groups: DataFrame, keys: Sequence[str], columns: dict[str, str], find: Callable) -> DataFrame:
-    """(keys, columns): what ``find`` makes of gathered groups; it returns each row's group and the columns."""
+def _whole(batches: Iterator[pa.RecordBatch], together: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups: rows of the last one wait for those of the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if not together:
+            yield batch
+            continue
+        last = _starts(batch, together)[-1]
+        if waiting and not last and len(_starts(pa.concat_batches([waiting[-1].slice(waiting[-1].num_rows - 1), batch.slice(0, 1)]), together)) == 1:
+            waiting.append(batch)  # still the same group
+            continue
+        yield pa.concat_batches([*waiting, batch.slice(0, last)])
+        waiting = [batch.slice(last)]
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each group, group of each row)."""
+    of = np.zeros(batch.num_rows, np.int64)
+    for c in keys:
+        code = codes(batch.column(c))[0] + 1
+        of = np.unique(of * (code.max(initial=0) + 1) + code, return_inverse=True)[1].reshape(-1)
+    return np.unique(of, return_index=True)[1], of
+
+
+def _found(groups: DataFrame, keys: Sequence[str], kept: Sequence[str], together: Sequence[str], columns: dict[str, str], find: Callable) -> DataFrame:
+    """(kept keys, columns): what ``find`` makes of gathered groups; it returns each row's group and the columns."""
     kinds = dict(groups.dtypes)
-    schema = ", ".join(f"`{k}` {v}" for k, v in ({k: kinds[k] for k in keys} | columns).items())
+    schema = ", ".join(f"`{k}` {v}" for k, v in ({k: kinds[k] for k in kept} | columns).items())
 
     def run(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                group, *made = find(_Side(part.column("a"), "row"), _Side(part.column("b"), "out_row"))
-                taken = pa.array(group, pa.int64())
-                yield pa.record_batch([*[part.column(k).take(taken) for k in keys], *made], names=[*keys, *columns])
+        for batch in _whole(batches, together):
+            for part in _parts(batch, together):
+                first, of = _groups(part, keys) if together else (None, np.arange(part.num_rows))
+                group, *made = find(_Side(part.column("a"), of, "row"), _Side(part.column("b"), of, "out_row"))
+                taken = pa.array(group if first is None else first[group], pa.int64())
+                yield pa.record_batch([*[part.column(k).take(taken) for k in kept], *made], names=[*kept, *columns])
 
-    return groups.select(*keys, "a", "b").mapInArrow(run, schema)
+    return groups.select(*dict.fromkeys([*keys, *together]), "a", "b").mapInArrow(run, schema)
 
 
 def _kind(groups: DataFrame, field: str) -> str:
@@ -315,7 +370,7 @@ def stated_rows(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike:
         out = np.flatnonzero(of >= 0)
         return b.group[out], a.rows.take(pa.array(of[out])), b.rows.take(pa.array(out))
 
-    return _found(gathered(truth, output, keys), keys, {"row": "bigint", "out_row": "bigint"}, find)
+    return _found(gathered(truth, output, keys), keys, keys, (), {"row": "bigint", "out_row": "bigint"}, find)
 
 
 def stated_period(header: Column) -> Column:
@@ -346,8 +401,9 @@ def outcomes(truth: DataFrame, output: DataFrame, keys: Sequence[str], alike: fl
     return outcomes_of(gathered(truth, output, keys), keys, alike)
 
 
-def outcomes_of(groups: DataFrame, keys: Sequence[str], alike: float = 80.0) -> DataFrame:
-    """``outcomes`` of groups that are gathered: (keys, a, b), the cells of truth and output as arrays of structs."""
+def outcomes_of(groups: DataFrame, keys: Sequence[str], alike: float = 80.0, together: Sequence[str] = ()) -> DataFrame:
+    """``outcomes`` of groups that are gathered: (keys, a, b), the cells of truth and output as arrays of structs. A group is one row.
+    With ``together``, some of the keys by which partitions are dealt and sorted, it may be several: they need not be collected."""
 
     def find(a: _Side, b: _Side):
         labels = _Labels(a, b)
@@ -370,7 +426,7 @@ def outcomes_of(groups: DataFrame, keys: Sequence[str], alike: float = 80.0) ->
         taken = pa.array(true)
         return a.owner[true], *[a.fields[c].take(taken) for c in ("row", "col", "value")], pa.array([*OUTCOMES, "misread or omitted"]).take(pa.array(outcome))
 
-    return _found(groups, keys, {c: _kind(groups, c) for c in ("row", "col", "value")} | {"outcome": "string"}, find)
+    return _found(groups, keys, keys, together, {c: _kind(groups, c) for c in ("row", "col", "value")} | {"outcome": "string"}, find)
 
 
 def _ordered(side: _Side, col: str) -> np.ndarray:
@@ -395,11 +451,11 @@ def _outcome(a: _Side, b: _Side, of_row: np.ndarray, cell: np.ndarray, printed:
 def label_errors(truth: DataFrame, output: DataFrame, keys: Sequence[str], by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
     """(by, labels, found, cer, wer): of the true rows' labels those that an output row states (``stated_rows``), and the mean
     character and word error rates of these, on the labels as they are printed. ``by`` are some of the keys."""
-    return label_errors_of(gathered(truth, output, keys), by, alike)
+    return label_errors_of(gathered(truth, output, keys), keys, by, alike)
 
 
-def label_errors_of(groups: DataFrame, by: Sequence[str] = (), alike: float = 80.0) -> DataFrame:
-    """``label_errors`` of groups that are gathered: (keys, a, b). Rates are found once for each different pair of labels."""
+def label_errors_of(groups: DataFrame, keys: Sequence[str], by: Sequence[str] = (), alike: float = 80.0, together: Sequence[str] = ()) -> DataFrame:
+    """``label_errors`` of groups that are gathered, as for ``outcomes_of``. Rates are found once for each different pair of labels."""
 
     def find(a: _Side, b: _Side):
         labels = _Labels(a, b)
@@ -413,7 +469,7 @@ def label_errors_of(groups: DataFrame, by: Sequence[str] = (), alike: float = 80
         printed = printed[there]
         return a.group[there], words.take(pa.array(last[there])), words.take(pa.array(np.where(printed < 0, len(labels.words), printed)))
 
-    pairs = _found(groups, by, {"_label": "string", "_printed": "string"}, find).groupBy(*by, "_label", "_printed").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _found(groups, keys, by, together, {"_label": "string", "_printed": "string"}, find).groupBy(*by, "_label", "_printed").agg(F.count(F.lit(1)).alias("n"))
     there = F.col("_printed").isNotNull()
     found = F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0))
     rate = lambda f: F.sum(F.when(there, f(F.col("_label"), F.coalesce("_printed", F.lit(""))) * F.col("n"))) / F.sum(F.when(there, F.col("n")))

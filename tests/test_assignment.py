@@ -5,9 +5,12 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagetally.functions.distance import similarity
-from pagetally.operators.assignment import OUTCOMES, WORTH, heaviest, matched, outcomes
+from pagetally.functions.text import key_of, label_key
+from pagetally.operators.assignment import OUTCOMES, WORTH, gathered, heaviest, label_errors, label_errors_of, matched, outcomes, outcomes_of, period_of, stated_period, stated_rows
+from pagetally.plans import fact_queries
 
 
 def exhaustive(edges):
@@ -125,3 +128,48 @@ def test_outcomes_deal_rows_out_by_group_alone(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 0, "2024", 5.0, "complete")]
     assert found._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
+
+
+ODD = ["Cash (12) at bank", "نقد ١٢٣ في البنك", "<b>Total</b>  assets*", "a\u00a0b\u2003 c\x1cd\x85e", " \t", "", "إأآىة – x", "1,234.5-|", "<open", "a\nb", "😀 ۱۲ y", "_#`—", "Year 2024", "2024/2023", "2024 2024", "٢٠٢٤", "٢٠٢٤ 2024", "20245", "2031", "1920 2016", None]
+
+
+def test_labels_and_headers_are_keyed_as_in_columns(spark):
+    got = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", label_key(F.col("t")).alias("key"), stated_period(F.col("t")).alias("period")).collect()
+    assert [(r.key, r.period) for r in got] == [(None if r.t is None else key_of(r.t), period_of(r.t)) for r in got]
+    assert {r.period for r in got} == {None, "2024", "2016"}
+
+
+def many_cells(spark, rnd, groups=40):
+    truth = [(s, k, i, rnd.choice(LABELS), y, rnd.choice([None, 5.0, -7.0, float("nan"), 10.0 * i])) for s in "xy" for k in range(groups) for i in range(rnd.randint(1, 4)) for y in ("2024", "2023")]
+    output = [(s, k, j, rnd.choice(LABELS), c, rnd.choice(["year 2024", "2023", "Note", None]), rnd.choice([None, 5.0, 7.0, float("nan"), 10.0 * j])) for s in "xy" for k in range(groups) if k % 5 for j in range(rnd.randint(0, 4)) for c in range(2)]
+    t = spark.createDataFrame(truth, "s string, k bigint, row bigint, label string, col string, value double")
+    return t, spark.createDataFrame(output, "s string, k bigint, out_row bigint, label string, out_col bigint, header string, value double")
+
+
+def test_groups_may_be_several_rows_that_stand_together(spark):
+    """A row for each cell, over batches of three rows: the results of gathered groups."""
+    t, o = many_cells(spark, random.Random(7))
+    cells = [F.array(F.struct(*[F.col(c) for c in df.columns if c not in "sk"])) for df in (t, o)]
+    whole = gathered(t, o, ["s", "k"])
+    kind = dict(whole.dtypes)
+    pieces = t.select("s", "k", cells[0].alias("a"), F.lit(None).cast(kind["b"]).alias("b")).union(o.select("s", "k", F.lit(None).cast(kind["a"]), cells[1]))
+    pieces = pieces.repartition(3, "k").sortWithinPartitions("k", F.rand(1))
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert rows(outcomes_of(pieces, ["s", "k"], together=["k"])) == rows(outcomes(t, o, ["s", "k"]))
+        (x,), (y,) = (df.collect() for df in (label_errors_of(pieces, ["s", "k"], together=["k"]), label_errors(t, o, ["s", "k"])))
+        assert (x.labels, x.found) == (y.labels, y.found) and x.found and x.cer == pytest.approx(y.cer) and x.wer == pytest.approx(y.wer)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert stated_rows(t, o, ["s", "k"]).count() >= x.found
+
+
+def test_statements_of_queries_move_lines_once(spark, sf):
+    """One exchange and one sort for the lines; cells of both systems are looked at once."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    cells = plan(fact_queries.h02_cell_outcomes(spark, sf))
+    assert cells.count("Exchange hashpartitioning") == 1 and cells.count("Sort [") == 1 and cells.count("Aggregate") == 0
+    assert plan(fact_queries.h02_h04_outcomes_by_system(spark, sf)).count("MapInArrow") == 1
+    labels = plan(fact_queries.h10_label_errors(spark, sf))
+    assert labels.count("MapInArrow") == 1 and labels.count("Exchange hashpartitioning(stmt") == 1
