@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagetally.functions.distance import similarity
 from pagetally.functions.text import key_of, label_key
 from pagetally.operators.assignment import OUTCOMES, WORTH, gathered, heaviest, label_errors, label_errors_of, matched, outcomes, outcomes_of, period_of, stated_period, stated_rows
+from pagetally.operators import facts
 from pagetally.plans import fact_queries
 
 
@@ -173,3 +174,14 @@ def test_statements_of_queries_move_lines_once(spark, sf):
     assert plan(fact_queries.h02_h04_outcomes_by_system(spark, sf)).count("MapInArrow") == 1
     labels = plan(fact_queries.h10_label_errors(spark, sf))
     assert labels.count("MapInArrow") == 1 and labels.count("Exchange hashpartitioning(stmt") == 1
+
+
+def test_shares_and_statements_of_one_pass(spark):
+    """Those of the two passes that are joined."""
+    rnd = random.Random(11)
+    names = [*OUTCOMES, "misread or omitted"]
+    rows = [(rnd.choice("xy"), rnd.randint(0, 30), rnd.choice(["complete", "complete", *names])) for _ in range(200)]
+    cells = spark.createDataFrame(rows, "system string, stmt bigint, outcome string").select("*", (F.col("outcome") == "complete").alias("right"), (F.col("outcome") == "wrong sign").alias("critical"))
+    got = facts.shares_by_statement(cells, names, ["stmt"])
+    want = facts.outcome_shares(cells, names).join(facts.statement_level(cells, ["stmt"]), "system")
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
