@@ -185,3 +185,14 @@ def test_shares_and_statements_of_one_pass(spark):
     got = facts.shares_by_statement(cells, names, ["stmt"])
     want = facts.outcome_shares(cells, names).join(facts.statement_level(cells, ["stmt"]), "system")
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rates_count_equal_pairs_of_labels_as_often_as_they_are(spark):
+    """Three labels read well and one cut short: rates are found once a pair and weighted."""
+    true = [(k, 0, "Cash at bank", "2024", 5.0) for k in range(4)] + [(9, 0, "Loans", "2024", 1.0)]
+    t = spark.createDataFrame(true, "k bigint, row bigint, label string, col string, value double")
+    o = spark.createDataFrame([(k, 0, "Cash at bank" if k else "Cash at ban", 0, "2024", 5.0) for k in range(4)], "k bigint, out_row bigint, label string, out_col bigint, header string, value double")
+    found = label_errors(t, o, ["k"])
+    (r,) = found.collect()
+    assert (r.labels, r.found) == (5, 4) and r.cer == pytest.approx(1 / 12 / 4) and r.wer == pytest.approx(1 / 3 / 4)
+    assert "_printed" in found._jdf.queryExecution().executedPlan().toString()  # pairs are counted before they are compared
